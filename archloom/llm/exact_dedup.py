@@ -87,21 +87,23 @@ def exact_dedup(
     found = written(runs.join(index, "digest"), "digest-found")
 
     hits = found.where("group_size > 1").groupBy("id", "digest").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    # The digest is part of the key: rows of one identifier may have several texts.
-    texts = docs.select("id", "normal").join(hits, docs["id"].eqNullSafe(hits["id"])).select(docs["id"], "normal", "digest", "keep_id", "group_size").where(digest(F.col("normal")) == F.col("digest"))
+    # The texts of hits alone: each text crosses the network once. An identifier may have several.
+    texts = docs.select("id", "normal").join(hits, docs["id"].eqNullSafe(hits["id"])).drop(hits["id"])
+    texts = written(texts.where(digest(F.col("normal")) == F.col("digest")), "digest-hits")
     salts = (F.col("group_size") / VERIFY_ROWS).cast("int") + 1
     kept = texts.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "group_size").agg(F.min("normal").alias("kept_text"))
     kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     compared = texts.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(kept.drop("group_size"), ["digest", "salt"])
-    collided = compared.where(F.col("normal") != F.col("kept_text")).select("digest").distinct()
-
-    sound = found.join(collided, "digest", "left_anti").select("id", "keep_id", "keep_points", "group_size", "text_sha256", "copies", "n_points")
-    again = docs.withColumn("digest", digest(F.col("normal"))).join(collided, "digest", "left_semi").withColumn("n_points", F.char_length("original").cast("long"))
-    rows = again.groupBy("normal", "id", "n_points").agg(F.count("*").alias("copies"))
-    groups = rows.groupBy("normal").agg(F.min(_best()).alias("best"), F.sum("copies").alias("group_size"))
-    rest = rows.join(groups, "normal").select("id", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "group_size", F.sha2("normal", 256).alias("text_sha256"), "copies", "n_points")
-
-    out = sound.unionByName(rest)
+    collided = written(compared.where(F.col("normal") != F.col("kept_text")).select("digest").distinct(), "digest-collided")
+
+    columns = ["id", "keep_id", "keep_points", "group_size", "text_sha256", "copies", "n_points"]
+    out = found.select(*columns)
+    if not collided.isEmpty():
+        again = docs.withColumn("digest", digest(F.col("normal"))).join(collided, "digest", "left_semi").withColumn("n_points", F.char_length("original").cast("long"))
+        rows = again.groupBy("normal", "id", "n_points").agg(F.count("*").alias("copies"))
+        groups = rows.groupBy("normal").agg(F.min(_best()).alias("best"), F.sum("copies").alias("group_size"))
+        rest = rows.join(groups, "normal").select("id", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "group_size", F.sha2("normal", 256).alias("text_sha256"), "copies", "n_points")
+        out = found.join(collided, "digest", "left_anti").select(*columns).unionByName(rest)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 

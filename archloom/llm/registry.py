@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .divergence_rules import op4_divergence_rules
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .source_mix import op9_source_mix
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_divergence_rules": op4_divergence_rules,
     "op9_source_mix": op9_source_mix,
 }
 ORACLE_SQL = {
