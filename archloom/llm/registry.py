@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .divergence_rules import op4_divergence_rules
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .html_text import op10_html_text
 from .source_mix import op9_source_mix
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_divergence_rules": op4_divergence_rules,
     "op9_source_mix": op9_source_mix,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
