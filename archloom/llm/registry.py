@@ -7,10 +7,12 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op10_html_text
 from .ordinal_quality import op3_ordinal_quality
 from .source_mix import op9_source_mix
+from .suffix_tree_lm import op2_suffix_tree_lm
 from .swap_packing import op5_swap_packing
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_tree_lm": op2_suffix_tree_lm,
     "op3_ordinal_quality": op3_ordinal_quality,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_swap_packing": op5_swap_packing,
