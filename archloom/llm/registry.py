@@ -6,6 +6,7 @@ from .divergence_rules import op4_divergence_rules
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op10_html_text
 from .ordinal_quality import op3_ordinal_quality
+from .patience_lines import op8_patience_lines
 from .source_mix import op9_source_mix
 from .suffix_tree_lm import op2_suffix_tree_lm
 from .swap_packing import op5_swap_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_ordinal_quality": op3_ordinal_quality,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_swap_packing": op5_swap_packing,
+    "op8_patience_lines": op8_patience_lines,
     "op9_source_mix": op9_source_mix,
     "op10_html_text": op10_html_text,
 }
