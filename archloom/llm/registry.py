@@ -7,6 +7,7 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op10_html_text
 from .ordinal_quality import op3_ordinal_quality
 from .patience_lines import op8_patience_lines
+from .shingle_join import op7_shingle_join
 from .source_mix import op9_source_mix
 from .suffix_tree_lm import op2_suffix_tree_lm
 from .swap_packing import op5_swap_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_ordinal_quality": op3_ordinal_quality,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_swap_packing": op5_swap_packing,
+    "op7_shingle_join": op7_shingle_join,
     "op8_patience_lines": op8_patience_lines,
     "op9_source_mix": op9_source_mix,
     "op10_html_text": op10_html_text,
