@@ -10,6 +10,7 @@ from .patience_lines import op8_patience_lines
 from .shingle_join import op7_shingle_join
 from .source_mix import op9_source_mix
 from .suffix_tree_lm import op2_suffix_tree_lm
+from .suffix_dedup import op6_suffix_dedup
 from .swap_packing import op5_swap_packing
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_ordinal_quality": op3_ordinal_quality,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_swap_packing": op5_swap_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_shingle_join": op7_shingle_join,
     "op8_patience_lines": op8_patience_lines,
     "op9_source_mix": op9_source_mix,
