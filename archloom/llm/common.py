@@ -74,3 +74,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
         one = F.col(k).eqNullSafe(F.col(f"__right_{k}"))
         on = one if on is None else on & one
     return left.join(right, on, how).drop(*(f"__right_{k}" for k in keys))
+
+
+def text_key(column: str = "text") -> Column:
+    """A hash that tells rows of one identifier apart by their texts; null counts as empty."""
+    return F.xxhash64(text_of(column))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, once: bool = False) -> DataFrame:
+    """The rows of docs whose identifier and text hash are in keys (id, t); with once, one of rows that repeat both."""
+    keyed = docs.withColumns({"__loom_id": F.col(id_col), "__loom_t": text_key(text_col)})
+    keys = keys.select(F.col("id").alias("__loom_id"), F.col("t").alias("__loom_t"), *(c for c in keys.columns if c not in ("id", "t")))
+    out = join_null_safe(keyed, keys, ["__loom_id", "__loom_t"])
+    if once:
+        out = out.dropDuplicates(["__loom_id", "__loom_t"])
+    return out.drop("__loom_id", "__loom_t")

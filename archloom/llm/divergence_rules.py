@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, words, written
+from .common import rows_of, table, text_key, text_of, words, written
 
 # Frequent words of each language, in about the order of their frequency.
 COMMON_WORDS = {
@@ -39,13 +39,13 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
     Windows of three words are compared by 64-bit hash. Each step is a projection of its own so
     that arrays used inside lambdas are computed once a row.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_of(text_col).alias("t"))
-    d = d.select("id", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("").alias("lang"), "t", words(F.col("t")).alias("w"))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_of(text_col).alias("t"), text_key(text_col).alias("key"))
+    d = d.select("id", "key", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("").alias("lang"), "t", words(F.col("t")).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select("id", "lang", "t", "w", lines.alias("l"), F.size("w").cast("long").alias("n_words"), F.array_join("w", "").alias("glued"))
+    d = d.select("id", "key", "lang", "t", "w", lines.alias("l"), F.size("w").cast("long").alias("n_words"), F.array_join("w", "").alias("glued"))
     lists = F.create_map(*(x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     d = d.select(
-        "id", "lang", "n_words",
+        "id", "key", "lang", "n_words",
         F.char_length("glued").cast("long").alias("word_chars"),
         F.char_length("t").cast("long").alias("n_chars"),
         _count(F.col("glued"), "#*$%&|<>").alias("n_symbols"),
@@ -61,7 +61,7 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
     )
     found = [F.coalesce(((F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.concat(F.lit(" "), F.get("common", F.lit(i)), F.lit(" "))))) / (F.octet_length(F.get("common", F.lit(i))) + 2)).cast("long"), F.lit(0).cast("long")) for i in range(N_COMMON)]
     d = d.select(
-        "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "id", "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.array("n_lower", "n_upper", "n_digits", "n_marks", F.col("word_chars") - F.col("n_lower") - F.col("n_upper") - F.col("n_digits") - F.col("n_marks"), F.col("n_chars") - F.col("word_chars")).alias("classes"),
         F.array(*found).alias("commons"), "h",
     )
@@ -85,7 +85,7 @@ def _base_failed() -> Column:
     return (F.col("n_words") < BASE_LEAST_WORDS) | (100 * F.col("n_repeat_words") > BASE_MOST_REPEATED * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_key: bool = False) -> DataFrame:
     """One row per document: id_col, the counts, the two distances, base_failed and kept.
 
     A null text has no words, so it fails the base rules, as does any text of under 50 words. A null
@@ -104,7 +104,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.withColumn("class_distance", F.when(whole("classes") >= LEAST_CHARS, js_distance(real("classes"), F.col("ref_classes"))))
     d = d.withColumn("word_distance", F.when((F.col("lang") != "") & (F.col("n_words") >= LEAST_WORDS), js_distance(real("bins"), F.col("ref_bins"))))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORD_DISTANCE)
-    return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")
+    return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance", *(["key"] if with_key else []))
+
+
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    kept = quality_rules(docs, id_col, text_col, lang_col, with_key=True).where("kept").select(F.col(id_col).alias("id"), F.col("key").alias("t")).distinct()
+    return rows_of(docs, kept, id_col, text_col)
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

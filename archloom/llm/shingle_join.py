@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, slices, table, text_of, written
+from .common import join_null_safe, rows_of, slices, table, text_key, text_of, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -72,7 +72,7 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> DataFrame:
     """Per row: id, row, n, signature of the set, and its first n-grams by hash."""
-    d = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_key(text_col).alias("t"), text_of(text_col).alias("text"))
     id_type = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +86,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: in
                 low.append(s[: max(at, prefix_size(len(s), percent) if len(s) else 0)])
             offsets = np.cumsum([0, *map(len, low)])
             values = np.concatenate([np.zeros(0, np.int64), *low])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["id", "row", "n", "signature", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("t"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["id", "row", "t", "n", "signature", "low"])
 
-    return d.mapInArrow(run, f"id {id_type}, row long, n long, signature binary, low array<long>")
+    return d.mapInArrow(run, f"id {id_type}, row long, t long, n long, signature binary, low array<long>")
 
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: id, row, n, component_id, first.
+    """One row per document: id, row, t (a hash of the text), n, component_id, first.
 
     first is true for one row of each component: that of the smallest identifier. A null or blank
     text has an empty set and is a component of its own, as is a row with a null identifier
@@ -220,10 +220,21 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
     else:
         out, component = out.withColumn("label", F.lit(None).cast("long")), F.col("class_id")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, component).otherwise(F.col("id")))
-    out = written(out.select("id", "row", "n", "component_id", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("group")), "components")
+    out = written(out.select("id", "row", "t", "n", "component_id", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("group")), "components")
     heads = out.where("n > 0").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"))
     out = out.join(heads, "group", "left")
-    return out.select("id", "row", "n", "component_id", F.when(F.col("n") > 0, F.col("row") == F.col("head.row")).otherwise(True).alias("first"))
+    return out.select("id", "row", "t", "n", "component_id", F.when(F.col("n") > 0, F.col("row") == F.col("head.row")).otherwise(True).alias("first"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of docs of the smallest identifier of each component, with all its columns.
+
+    Rows without words are components of their own, though rows that repeat identifier and text
+    stay once.
+    """
+    found = links(docs, id_col, text_col)
+    repeated = not found.groupBy("id", "t").count().where("count > 1").isEmpty()
+    return rows_of(docs, found.where("first").select("id", "t").distinct(), id_col, text_col, once=repeated)
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

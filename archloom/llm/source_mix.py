@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_null_safe, table, text_of, written
+from .common import WORD, join_null_safe, rows_of, table, text_key, text_of, words, written
 
 #: Words of a block, and the most times that a word is taken.
 BLOCK_WORDS, MOST_TIMES = 64, 3
@@ -65,13 +65,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: in
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED) -> DataFrame:
-    """One row per document: id_col, source, size, source_size, target, taken, shard.
+    """One row per document: id_col, source, size, source_size, target, taken, shard, t (a hash of the text).
 
     A null or blank text has size 0 and is never taken; a null source is one source, last in order.
     Repeated rows are rows of their own. A table without words has targets of 0; an empty one gives
     no rows. Every run over the same rows gives the same result.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), text_key(text_col).alias("t"))
     n_shards = max(1, -(-docs.count() // shard_rows))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("-"))))
     d = d.withColumn("key", key).withColumn("shard", F.pmod(F.crc32("key"), F.lit(n_shards)))
@@ -92,7 +92,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = d.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     d = join_null_safe(d, parts, ["source", "shard"])
     once = F.greatest(F.lit(0).cast("long"), F.least(F.col("over") - F.col("start"), F.col("size")))
-    return d.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + once).alias("taken"), "shard")
+    return d.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + once).alias("taken"), "shard", "t")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: a row for each time a document is taken whole, and one for a part.
+
+    All columns stay; the text of a part is its first words, joined by blanks. What is taken of rows
+    that repeat identifier and text is dealt to them evenly.
+    """
+    taken = written(mix(docs, id_col, text_col, source_col), "mix")
+    keys = taken.groupBy(F.col(id_col).alias("id"), "t").agg(F.sum("taken").alias("__loom_taken"), F.first("size").alias("__loom_size"), F.count("*").alias("__loom_rows")).where("__loom_taken > 0")
+    out = rows_of(docs, keys, id_col, text_col)
+    each = F.expr("__loom_taken div __loom_rows")
+    out = out.withColumn("__loom_each", each).withColumn("__loom_times", F.expr("__loom_each div __loom_size")).withColumn("__loom_part", F.col("__loom_each") - F.col("__loom_times") * F.col("__loom_size"))
+    out = out.withColumn("__loom_copy", F.explode(F.sequence(F.lit(1), (F.col("__loom_times") + (F.col("__loom_part") > 0).cast("long")).cast("int"))))
+    part = F.array_join(F.slice(words(F.col(text_col)), F.lit(1), F.col("__loom_part").cast("int")), " ")
+    out = out.withColumn(text_col, F.when(F.col("__loom_copy") > F.col("__loom_times"), part).otherwise(F.col(text_col)))
+    return out.select(*docs.columns)
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
