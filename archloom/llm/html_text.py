@@ -49,6 +49,8 @@ LABELLED = (
     (-1, 8, 0.0, 1, 1.0, 9, 0.0, 0, 0), (-1, 25, 0.0, 1, 1.0, 9, 0.0, 0, 0), (-1, 60, 0.0, 80, 0.0, 40, 0.0, 0, 0),
     (-1, 40, 0.1, 60, 0.0, 30, 0.0, 0, 0), (-1, 12, 0.0, 90, 0.0, 0, 0.0, 0, 0), (-1, 4, 0.0, 30, 0.0, 50, 0.0, 1, 0),
     (-1, 150, 0.0, 200, 0.0, 90, 0.0, 0, 0), (-1, 20, 0.5, 100, 0.0, 5, 1.0, 0, 0), (-1, 2, 0.0, 0, 0.0, 3, 0.0, 0, 0),
+    (-1, 60, 0.0, 60, 0.0, 0, 0.0, 0, 0), (-1, 100, 0.0, 10, 0.0, 4, 0.0, 0, 0), (-1, 45, 0.0, 0, 0.0, 6, 0.0, 0, 0),
+    (-1, 3, 0.0, 0, 0.0, 90, 0.0, 0, 0), (-1, 10, 0.0, 3, 0.0, 120, 0.0, 1, 0), (-1, 35, 0.0, 3, 0.0, 60, 0.0, 0, 0),
     (1, 9, 0.0, 8, 0.0, 70, 0.0, 1, 1), (1, 120, 0.0, 9, 0.0, 80, 0.0, 0, 1), (1, 1, 0.0, 90, 0.0, 1, 0.0, 0, 1),
     (1, 1, 0.0, 1, 0.0, 30, 0.0, 0, 1), (1, 60, 0.1, 100, 0.0, 12, 0.0, 0, 1), (1, 12, 0.3, 60, 0.0, 40, 0.0, 0, 1),
     (1, 2, 0.0, 0, 0.0, 3, 0.0, 1, 1), (1, 200, 0.02, 150, 0.0, 90, 0.0, 0, 1), (1, 30, 0.0, 2, 1.0, 12, 0.0, 0, 1),
