@@ -18,7 +18,6 @@ Hashes are of 64 bits. Tasks pass each other arrays, not rows, for the many anch
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -29,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, slices, table, text_of, written
+from .common import forget, join_null_safe, slices, table, text_of, written
 
-LENGTH, GRAM, SHALLOW = 50, 16, 24
+LENGTH, GRAM, SHALLOW = 50, 24, 24
 #: Anchors of a bucket of round 1, and suffixes of a bucket of round 2, at the mean.
 BUCKET_ANCHORS, BUCKET_SUFFIXES = 1_500_000, 1_500_000
 #: Extents of one anchor from which its windows are dealt over the buckets singly.
@@ -68,10 +67,10 @@ def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none.view(np.uint64), none.view(np.uint64)
     b = _BYTE[buf]
     h, width = b, 1
-    while width < GRAM:
+    while width * 2 <= GRAM:
         h = h[:-width] * _ODD[2 + width.bit_length()] + h[width:]
         width *= 2
-    h = _mixed(h)
+    h = _mixed(h[: len(h) - (GRAM - width)] * _ODD[3] + h[GRAM - width :])
     low = np.uint64((1 << _PLACE) - 1)
     v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     reach, width = LENGTH - GRAM + 1, 1
@@ -389,12 +388,6 @@ def _cut(marked: DataFrame, more: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _forget(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of what is already written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if asked for.
 
@@ -410,9 +403,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long_enough = d.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
     n_buckets = max(12, 2 * n_bytes // (LENGTH - GRAM + 2) // BUCKET_ANCHORS)
     flags = written(_round_1(long_enough, n_buckets), "anchor-flags")
-    _forget(spark)
+    forget(spark)
     marked = written(_marked(long_enough, flags), "marked-texts")
-    _forget(spark)
+    forget(spark)
     n_suffixes = marked.agg(F.coalesce(F.sum("n_suffixes"), F.lit(0))).first()[0]
     more = written(_round_2(marked, max(12, n_suffixes // BUCKET_SUFFIXES)), "sorted-spans")
     cut = _cut(marked, more).where("n_removed > 0").dropDuplicates(["id", "sha"])
