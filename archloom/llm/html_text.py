@@ -51,10 +51,19 @@ LABELLED = (
     (-1, 150, 0.0, 200, 0.0, 90, 0.0, 0, 0), (-1, 20, 0.5, 100, 0.0, 5, 1.0, 0, 0), (-1, 2, 0.0, 0, 0.0, 3, 0.0, 0, 0),
     (-1, 60, 0.0, 60, 0.0, 0, 0.0, 0, 0), (-1, 100, 0.0, 10, 0.0, 4, 0.0, 0, 0), (-1, 45, 0.0, 0, 0.0, 6, 0.0, 0, 0),
     (-1, 3, 0.0, 0, 0.0, 90, 0.0, 0, 0), (-1, 10, 0.0, 3, 0.0, 120, 0.0, 1, 0), (-1, 35, 0.0, 3, 0.0, 60, 0.0, 0, 0),
+    (-1, 300, 0.0, 200, 0.0, 250, 0.0, 0, 0), (-1, 180, 0.0, 5, 0.0, 0, 0.0, 0, 0), (-1, 130, 0.0, 130, 0.0, 3, 1.0, 0, 0),
+    (-1, 75, 0.0, 90, 0.0, 15, 0.0, 0, 0), (-1, 22, 0.0, 60, 0.0, 2, 0.0, 0, 0), (-1, 90, 0.05, 2, 0.0, 1, 0.0, 0, 0),
+    (-1, 55, 0.0, 6, 0.0, 100, 0.0, 0, 0), (-1, 15, 0.0, 150, 0.0, 75, 0.0, 0, 0), (-1, 250, 0.1, 40, 0.0, 8, 0.0, 0, 0),
     (1, 9, 0.0, 8, 0.0, 70, 0.0, 1, 1), (1, 120, 0.0, 9, 0.0, 80, 0.0, 0, 1), (1, 1, 0.0, 90, 0.0, 1, 0.0, 0, 1),
     (1, 1, 0.0, 1, 0.0, 30, 0.0, 0, 1), (1, 60, 0.1, 100, 0.0, 12, 0.0, 0, 1), (1, 12, 0.3, 60, 0.0, 40, 0.0, 0, 1),
     (1, 2, 0.0, 0, 0.0, 3, 0.0, 1, 1), (1, 200, 0.02, 150, 0.0, 90, 0.0, 0, 1), (1, 30, 0.0, 2, 1.0, 12, 0.0, 0, 1),
     (1, 4, 1.0, 40, 0.0, 40, 0.0, 0, 1), (1, 3, 0.0, 50, 0.0, 10, 0.0, 0, 1), (1, 7, 0.6, 30, 0.0, 60, 0.0, 0, 1),
+    (1, 2, 0.0, 3, 0.0, 4, 0.0, 0, 1), (1, 10, 0.0, 12, 0.0, 5, 0.0, 0, 1), (1, 20, 0.0, 10, 0.0, 0, 0.0, 0, 1),
+    (1, 5, 0.0, 20, 0.0, 8, 0.0, 0, 1), (1, 15, 0.0, 5, 0.0, 11, 0.0, 0, 1), (1, 3, 0.0, 30, 0.0, 1, 0.0, 0, 1),
+    (1, 1, 0.0, 4, 0.0, 2, 0.0, 0, 1), (1, 8, 0.0, 2, 0.0, 9, 0.0, 0, 1), (1, 22, 0.0, 33, 0.0, 0, 0.0, 0, 1),
+    (1, 9, 0.0, 2, 1.0, 30, 0.0, 1, 1), (1, 4, 0.0, 1, 1.0, 12, 0.0, 1, 1), (1, 12, 0.0, 3, 1.0, 5, 0.0, 0, 1),
+    (1, 6, 0.0, 1, 1.0, 20, 0.0, 0, 1), (1, 8, 0.0, 20, 0.0, 2, 1.0, 0, 1), (1, 30, 0.0, 40, 0.0, 3, 1.0, 0, 1),
+    (1, 3, 0.0, 9, 0.0, 1, 1.0, 0, 1), (1, 2, 0.0, 4, 1.0, 1, 0.0, 1, 1), (1, 15, 0.1, 2, 1.0, 1, 1.0, 0, 1),
     (1, 1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (1, 2, 1.0, 3, 1.0, 2, 1.0, 0, 0), (1, 3, 1.0, 2, 1.0, 4, 0.9, 0, 0),
     (1, 2, 1.0, 1, 1.0, 0, 0.0, 0, 0), (1, 1, 1.0, 2, 1.0, 3, 1.0, 0, 0), (1, 5, 1.0, 4, 1.0, 5, 1.0, 0, 0),
     (0, 1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (0, 3, 1.0, 0, 0.0, 2, 1.0, 0, 0), (0, 5, 0.9, 4, 0.8, 60, 0.0, 0, 0),
