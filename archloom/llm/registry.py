@@ -7,8 +7,8 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op10_html_text
 from .ordinal_quality import op3_ordinal_quality
 from .patience_lines import op8_patience_lines
-from .shingle_join import op7_shingle_join
-from .source_mix import op9_source_mix
+from .shingle_join import OP7_SQL, op7_shingle_join
+from .source_mix import OP9_SQL, op9_source_mix
 from .suffix_tree_lm import op2_suffix_tree_lm
 from .suffix_dedup import op6_suffix_dedup
 from .swap_packing import op5_swap_packing
@@ -27,4 +27,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op7_shingle_join": OP7_SQL,
+    "op9_source_mix": OP9_SQL,
 }

@@ -114,3 +114,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: For tables of one shard (SHARD_ROWS documents or fewer), where every source's quota is its shard's.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('loom-1:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, CASE WHEN cap <= weight * level THEN cap ELSE weight * (SELECT arg_min(level, cap / weight) FROM l WHERE cap > weight * level) END AS target FROM l),
+n AS (SELECT round(sum(source_size) / 64)::BIGINT AS seats FROM t),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS r FROM t, n, range(0, (SELECT seats FROM n)) AS x(k)),
+u AS (SELECT source, count(*) AS quota FROM q, n WHERE r <= seats GROUP BY source),
+c AS (SELECT t.*, least(coalesce(quota, 0) * 64, 3 * source_size)::BIGINT AS words FROM t LEFT JOIN u ON u.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(words % source_size - start, size)) END)::BIGINT AS taken
+FROM o JOIN c ON c.source IS NOT DISTINCT FROM o.source
+"""

@@ -88,6 +88,12 @@ shared("effective_type", f"WITH {FET}, t AS (SELECT url, kind, coalesce(nullif({
 SWITCHES = [("css", True), ("js", True), ("img", True), ("font", True), ("doc", True), ("media", False)]
 shared("filter_type", f"WITH {FET}, t AS (SELECT url, coalesce(nullif({_TYPE}, ''), nullif(guess, ''), 'doc') AS type FROM f), s AS (SELECT * FROM {values(SWITCHES, 'type, wanted')}) SELECT t.url, t.type FROM t LEFT JOIN s ON s.type = t.type WHERE coalesce(s.wanted, true)")
 shared("redirect_offsite", f"WITH {FET} SELECT url, final_url FROM f WHERE kind = 'page' AND NOT (final_url LIKE 'https://site.test/%')")
+shared("crawl_handle", f"""WITH {FET}, t AS (SELECT *, coalesce(nullif({_TYPE}, ''), nullif(guess, ''), 'doc') AS type FROM f),
+e AS (SELECT *, CASE WHEN kind = 'page' AND type <> 'html' THEN 'asset' ELSE kind END AS real_kind, CASE WHEN size > 26214400 THEN 'skipped: larger than the per-file limit' WHEN error <> '' THEN error WHEN status >= 400 THEN concat('HTTP ', CAST(status AS VARCHAR(9))) WHEN status = 0 THEN 'no response' ELSE '' END AS problem FROM t),
+h AS (SELECT url, final_url, type, real_kind, CASE WHEN problem <> '' THEN 'fail' WHEN type = 'media' THEN 'skip' WHEN real_kind = 'page' AND NOT (final_url LIKE 'https://site.test/%') THEN 'skip' ELSE 'ok' END AS state,
+  CASE WHEN problem <> '' THEN problem WHEN type = 'media' THEN 'media files are turned off' WHEN real_kind = 'page' AND NOT (final_url LIKE 'https://site.test/%') THEN 'redirected off-site' ELSE '' END AS note FROM e)
+SELECT url, type, real_kind AS kind, state, note, CASE WHEN state = 'ok' THEN concat('raw/', sha1(url), '.dat') ELSE '' END AS raw FROM h UNION ALL
+SELECT final_url, type, real_kind, state, note, concat('raw/', sha1(url), '.dat') FROM h WHERE state = 'ok' AND final_url <> url""")
 CANDIDATES = [
     (0, "mailto:x@y", "page", ""), (1, "https://site.test/private/a", "page", "html"), (2, "https://other.test/p", "page", "html"), (3, "https://cdn.test/a.js", "asset", "js"),
     (4, "https://site.test/v.mp4", "asset", "media"), (5, "https://site.test/big.iso", "asset", "doc"), (6, "https://site.test/ok", "page", "html"), (7, "https://site.test/app.css", "asset", "css"),
