@@ -10,7 +10,7 @@ from .kit import query, table
 
 
 def _events(spark, sf_dir, transform, mode="append"):
-    path = f"{sf_dir}/events.parquet"
+    path = f"{sf_dir}/event[s].parquet"  # a pattern, as a stream over one file needs
     return tick(spark, path, table(spark, sf_dir, "events").schema, transform, mode)
 
 
