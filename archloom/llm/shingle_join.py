@@ -3,7 +3,8 @@
 Documents with equal sets are one class. Class sets are put in one global order, n-grams held by
 few sets first, so that two sets that link share an n-gram in their prefixes. Sets that share one
 there are candidates; in each round, the first sets of every such group lead, the others are
-verified against them, and pairs already in one component are left out. Sets to be verified
+compared with them, and pairs already in one component are left out. Bitmaps of whole sets rule out
+most pairs that don't link. Sets to be verified
 against a leader are stored in a prefix tree by the global order of their n-grams; it is walked
 with the leader's set, the overlap of a shared path is counted once, and a subtree is left when its
 overlap with all that may follow can't reach the bound. Rounds end when every group lies in one
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, rows_of, slices, table, text_key, text_of, written
+from .common import forget, join_null_safe, rows_of, slices, table, text_key, text_of, together, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -31,6 +32,8 @@ FIRST_SHARE = 0.2
 _FIRST = int(FIRST_SHARE * 2**64) - 2**63
 #: Sets that are verified together against one leader.
 CHUNK = 256
+#: First rounds in which a set meets one leader only.
+SPROUTS = 2
 #: Words that a worker remembers with their hashes.
 REMEMBERED = 200_000
 
@@ -70,41 +73,72 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of a set by the low ends of its hashes, a power of two of them and at least two for each n-gram."""
+    m = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    bits = np.zeros(m, bool)
+    bits[s & (m - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
+    """Whether bitmaps of sets of n_a and n_b n-grams leave room for a link.
+
+    Each bit that one has and the other lacks stands for an n-gram that they don't share.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+    most = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return (100 + percent) * most >= percent * (n_a + n_b)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> DataFrame:
-    """Per row: id, row, n, signature of the set, and its first n-grams by hash."""
+    """Per row: id, row, t, n, signature and bitmap of the set, and its first n-grams by hash."""
     d = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_key(text_col).alias("t"), text_of(text_col).alias("text"))
     id_type = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sizes, signatures, low = [], [], []
+            sizes, signatures, bits, low = [], [], [], []
             for text in pc.cast(b.column("text"), pa.binary()).to_pylist():
                 s = shingle_set(text, n_words)
                 sizes.append(len(s))
                 signatures.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bits.append(bitmap(s))
                 at = int(np.searchsorted(s, _FIRST))
                 low.append(s[: max(at, prefix_size(len(s), percent) if len(s) else 0)])
             offsets = np.cumsum([0, *map(len, low)])
             values = np.concatenate([np.zeros(0, np.int64), *low])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("t"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["id", "row", "t", "n", "signature", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("t"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["id", "row", "t", "n", "signature", "bits", "low"])
 
-    return d.mapInArrow(run, f"id {id_type}, row long, t long, n long, signature binary, low array<long>")
+    return d.mapInArrow(run, f"id {id_type}, row long, t long, n long, signature binary, bits binary, low array<long>")
 
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Columns token, node, n: n-grams in the prefixes of two classes or more."""
+    """Columns token, node, n, leads: n-grams in the prefixes of two classes or more.
+
+    Of a pair that links, the smaller set has an n-gram of the larger one's prefix in a shorter
+    prefix of its own, the one in which it leads.
+    """
     tokens = reps.select("node", F.explode("low").alias("token"))
     first = tokens.where(F.col("token") < _FIRST)
     held = first.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # The first n-grams that nobody else holds take their places in a prefix and are dropped.
     several = first.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("several"))
     sized = reps.select("node", "n", F.size(F.filter("low", lambda x: x < _FIRST)).alias("n_first"), F.filter("low", lambda x: x >= _FIRST).alias("rest"))
-    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("n_first")).cast("int")
     d = sized.join(several, "node", "left").withColumn("several", F.coalesce("several", F.expr("array()").cast("array<struct<df:bigint,token:bigint>>")))
-    from_first = F.slice("several", F.lit(1), F.greatest(F.lit(0), F.least(F.size("several"), room + F.size("several"))))
-    chosen = F.concat(F.transform(from_first, lambda x: x.getField("token")), "rest")
-    rows = written(d.select("node", "n", F.explode(chosen).alias("token")), "prefixes")
-    groups = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    d = d.withColumn("lone", (F.col("n_first") - F.size("several")).cast("int"))
+    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    leading = (F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).cast("int") - F.col("lone")
+    # Of the rest, the first n-grams by hash that still fit; low holds enough of them.
+    chosen = F.slice(F.concat(F.transform("several", lambda x: x.getField("token")), "rest"), F.lit(1), F.greatest(F.lit(0), room - F.col("lone")))
+    rows = d.select("node", "n", "lone", leading.alias("leading"), F.posexplode(chosen).alias("place", "token"))
+    rows = written(rows.select("token", "node", "n", "lone", (F.col("place") < F.col("leading")).alias("leads")), "prefixes")
+    groups = rows.groupBy("token").agg(F.count("*").alias("c"), F.max("leads").alias("l")).where("c > 1 and l").select("token")
     return written(rows.join(groups, "token"), "candidates")
 
 
@@ -145,22 +179,40 @@ def overlaps(sets: list[np.ndarray], leader: np.ndarray, percent: int) -> np.nda
     return found
 
 
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (leader, node) whose bitmaps leave room for a link."""
+    rows = pairs.join(bits, "node").join(bits.toDF("leader", "leader_n", "leader_bits"), "leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([may_link(*x, percent) for x in zip(*(b.column(c).to_pylist() for c in ("leader_bits", "leader_n", "bits", "n")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("leader").filter(keep), b.column("node").filter(keep)], ["leader", "node"])
+
+    return rows.select("leader", "node", "leader_bits", "leader_n", "bits", "n").mapInArrow(run, "leader long, node long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges a, b of the pairs (leader, node) that link."""
-    members = pairs.join(sets.select("node", "s"), "node")
-    leaders = sets.select(F.col("node").alias("leader"), F.col("s").alias("leader_s"))
-    # Each row goes with its leader's set; a leader of many is dealt over many tasks.
-    rows = members.join(leaders, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
-    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part").select("leader", "node", "s", "leader_s")
+    parts = pairs.groupBy("leader").agg((F.count("*") / CHUNK).cast("int").alias("last"))
+    sized = pairs.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
+    members = sized.join(sets, "node").select("leader", "part", F.lit(1).alias("kind"), "node", "s")
+    # A leader's set goes once to each part of its members, before them.
+    own = parts.join(sets.withColumnRenamed("node", "leader"), "leader").select("leader", F.explode(F.sequence(F.lit(0), "last")).alias("part"), F.lit(0).alias("kind"), F.col("leader").alias("node"), "s")
+    rows = members.unionByName(own).repartition("leader", "part").sortWithinPartitions("leader", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, head_set = None, None
         for b in slices(batches, CHUNK):
-            leader = np.array(b.column("leader"))
+            leader, kind = np.array(b.column("leader")), np.array(b.column("kind"))
+            part = np.array(b.column("part"))
             sets = [np.frombuffer(x, "<i8") for x in b.column("s").to_pylist()]
             keep = np.zeros(b.num_rows, bool)
-            starts = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]))
+            starts = np.flatnonzero(np.append(True, (leader[1:] != leader[:-1]) | (part[1:] != part[:-1])))
             for i, j in zip(starts, np.append(starts[1:], len(leader))):
-                keep[i:j] = overlaps(sets[i:j], np.frombuffer(b.column("leader_s")[int(i)].as_py(), "<i8"), percent)
+                if kind[i] == 0:
+                    head, head_set, i = leader[i], sets[i], i + 1
+                if i < j and head == leader[i]:
+                    keep[i:j] = overlaps(sets[i:j], head_set, percent)
             yield pa.RecordBatch.from_arrays([b.column("leader").filter(pa.array(keep)), b.column("node").filter(pa.array(keep))], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
@@ -176,10 +228,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
     rows = written(_sets(docs, id_col, text_col, n_words, percent), "shingles")
     some = rows.where("n > 0")
     classes = written(some.groupBy("signature").agg(F.min("row").alias("node"), F.min("id").alias("class_id")), "classes")
-    reps = rows.join(classes.select(F.col("node").alias("row"), F.col("node")), "row").select("node", "id", "n", "low", "signature")
+    reps = rows.join(classes.select(F.col("node").alias("row"), F.col("node")), "row").select("node", "id", "n", "low", "signature", "bits")
     reps = written(reps, "class-sets")
+    bits = reps.select("node", "n", "bits")
+    forget(docs.sparkSession)
     open_rows = _candidates(reps.select("node", "n", "low"), percent)
 
+    forget(docs.sparkSession)
     # The whole sets of the candidates, from their texts.
     wanted = reps.join(open_rows.select("node").distinct(), "node").select("node", "id", "signature")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -192,25 +247,41 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
             right = [hashlib.blake2b(s, digest_size=16).digest() == x for s, x in zip(got, b.column("signature").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(right)), pa.array([s for s, r in zip(got, right) if r], pa.binary())], ["node", "s"])
 
-    sets = written(wanted.mapInArrow(whole, "node long, s binary").dropDuplicates(["node"]), "whole-sets")
-    edges, labels, leaders = None, None, 1
+    sets = written(wanted.mapInArrow(whole, "node long, s binary"), "whole-sets")
+    if sets.count() > sets.select("node").distinct().count():  # rows that repeat identifier and text
+        sets = written(sets.dropDuplicates(["node"]), "whole-sets")
+    forget(docs.sparkSession)
+    n_rows = open_rows.count()
+    open_rows = together(open_rows, n_rows)
+    nodes = open_rows.select("node").distinct()
+    bits = together(written(bits.join(nodes, "node"), "bitmaps"), n_rows)
+    edges, labels, leaders, sprouts = None, None, 1, SPROUTS
     while not open_rows.isEmpty():
-        first = open_rows.groupBy("token").agg(F.slice(F.array_sort(F.collect_set("node")), 1, leaders).alias("heads")) if leaders > 1 else open_rows.groupBy("token").agg(F.array(F.min("node")).alias("heads"))
-        heads = first.select("token", F.explode("heads").alias("leader"))
-        sized = heads.join(open_rows.select("token", F.col("node").alias("leader"), F.col("n").alias("leader_n"), *([F.col("label").alias("leader_label")] if labels is not None else [])), ["token", "leader"])
-        pairs = sized.join(open_rows, "token").where("leader <> node")
-        pairs = pairs.where((F.col("n") * 100 >= percent * F.col("leader_n")) & (F.col("leader_n") * 100 >= percent * F.col("n")))
+        leading = open_rows.where("leads")
+        heads = leading.groupBy("token").agg(F.slice(F.array_sort(F.collect_set("node")), 1, leaders).alias("heads")) if leaders > 1 else leading.groupBy("token").agg(F.array(F.min("node")).alias("heads"))
+        heads = together(written(heads.select("token", F.explode("heads").alias("node")), "heads"), n_rows)
+        lead = open_rows.join(heads, ["token", "node"]).withColumnsRenamed({c: f"leader_{c}" for c in open_rows.columns if c not in ("token", "node")}).withColumnRenamed("node", "leader")
+        pairs = lead.join(open_rows, "token").where("leader <> node and n >= leader_n").where(F.col("leader_n") * 100 >= percent * F.col("n"))
+        # N-grams that nobody else has are lost to any overlap.
+        most = F.least(F.col("n") - F.col("lone"), F.col("leader_n") - F.col("leader_lone"))
+        pairs = pairs.where((100 + percent) * most >= percent * (F.col("n") + F.col("leader_n")))
         if labels is not None:
             pairs = pairs.where("label <> leader_label")
-        pairs = pairs.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
+        # At first each set meets one leader only, which brings together most of what links; then all.
+        pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader")) if sprouts else pairs.select("leader", "node").distinct()
+        pairs = written(_possible(pairs.select("leader", "node"), bits, percent), "pairs")
+        pairs = together(pairs, pairs.count())
         found = written(_verified(pairs, sets, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        rest = open_rows.drop("label").join(heads.withColumnRenamed("leader", "node"), ["token", "node"], "left_anti")
+        labels = together(components(edges), n_rows)
+        rest = open_rows.drop("label").join(heads.withColumn("led", F.lit(True)), ["token", "node"], "left")
+        if not sprouts:
+            rest = rest.withColumn("leads", F.col("leads") & F.col("led").isNull())
+        rest = rest.drop("led")
         rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        open_rows = written(rest.join(mixed, "token"), "open")
-        leaders *= 4
+        mixed = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("leads").alias("l")).where("low <> high and l").select("token")
+        open_rows = together(written(rest.join(mixed, "token"), "open"), n_rows)
+        sprouts, leaders = max(0, sprouts - 1), leaders if sprouts else leaders * 4
     out = rows.drop("low").join(classes, "signature", "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
@@ -240,3 +311,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = links(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id
+"""
