@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, join_null_safe, rows_of, slices, table, text_key, text_of, together, written
+from .common import forget, join_null_safe, rows_of, slices, table, text_key, text_of, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
 #: N-grams with a hash in this share of all hashes come first in the global order, by frequency.
 FIRST_SHARE = 0.2
 _FIRST = int(FIRST_SHARE * 2**64) - 2**63
+#: Rows of a part of a group of sets that share an n-gram.
+GROUP_PART = 1024
 #: Sets that are verified together against one leader.
 CHUNK = 256
 #: First rounds in which a set meets one leader only.
@@ -179,16 +181,73 @@ def overlaps(sets: list[np.ndarray], leader: np.ndarray, percent: int) -> np.nda
     return found
 
 
-def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (leader, node) whose bitmaps leave room for a link."""
-    rows = pairs.join(bits, "node").join(bits.toDF("leader", "leader_n", "leader_bits"), "leader")
+def _words(bits: bytes, n_words: int) -> np.ndarray:
+    """A bitmap folded or repeated to n_words words of 64 bits."""
+    x = np.frombuffer(bits, "<u8")
+    while len(x) > n_words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
+def _possible(heads: DataFrame, rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (leader, node) of one group whose sizes, labels and bitmaps leave room for a link.
+
+    A group is dealt over parts of about GROUP_PART rows, and its leaders go to each part; they are
+    compared there as arrays, so only pairs that may link become rows.
+    """
+    sizes = rows.groupBy("token").agg((F.count("*") / GROUP_PART).cast("int").alias("last"))
+    all_rows = rows.join(bits.select("node", "bits"), "node").join(sizes, "token")
+    columns = ["token", "part", "kind", "node", "n", "lone", "label", "bits"]
+    members = all_rows.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"), "kind": F.lit(1)}).select(columns)
+    leading = all_rows.join(heads, ["token", "node"]).withColumns({"part": F.explode(F.sequence(F.lit(0), "last")), "kind": F.lit(0)}).select(columns)
+    dealt = members.unionByName(leading).repartition("token", "part").sortWithinPartitions("token", "part", "kind")
+
+    def compared(group: list[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        t = pa.Table.from_batches(group)
+        kind, node, n, lone, label = (np.array(t.column(c)) for c in ("kind", "node", "n", "lone", "label"))
+        each = t.column("bits").to_pylist()
+        members = np.flatnonzero(kind == 1)
+        out: tuple[list, list] = ([], [])
+        for i in np.flatnonzero(kind == 0):
+            most = np.minimum(n[members] - lone[members], n[i] - lone[i])
+            ok = (node[members] != node[i]) & (label[members] != label[i]) & (n[members] >= n[i]) & (n[i] * 100 >= percent * n[members]) & ((100 + percent) * most >= percent * (n[members] + n[i]))
+            at = members[ok]
+            if not len(at):
+                continue
+            # Larger sets have bitmaps as long or longer; they are folded to the leader's.
+            own = np.frombuffer(each[i], "<u8")
+            other = np.stack([_words(each[k], len(own)) for k in at])
+            lost = np.bitwise_count(own & ~other).sum(1, dtype=np.int64)
+            gained = np.bitwise_count(other & ~own).sum(1, dtype=np.int64)
+            room = np.minimum(n[i] - lost, n[at] - gained)
+            at = at[(100 + percent) * room >= percent * (n[at] + n[i])]
+            out[0].append(np.full(len(at), node[i]))
+            out[1].append(node[at])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
         for b in batches:
-            keep = pa.array([may_link(*x, percent) for x in zip(*(b.column(c).to_pylist() for c in ("leader_bits", "leader_n", "bits", "n")))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("leader").filter(keep), b.column("node").filter(keep)], ["leader", "node"])
-
-    return rows.select("leader", "node", "leader_bits", "leader_n", "bits", "n").mapInArrow(run, "leader long, node long")
+            token, part = np.array(b.column("token")), np.array(b.column("part"))
+            starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
+            a, z = [], []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(token)]):
+                if (token[i], part[i]) != key and held:
+                    x, y = compared(held)
+                    a += x
+                    z += y
+                    held = []
+                key = (token[i], part[i])
+                held.append(b.slice(i, j - i))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(z))], ["leader", "node"])
+        if held:
+            x, y = compared(held)
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["leader", "node"])
+
+    return dealt.mapInArrow(run, "leader long, node long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,36 +310,28 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
     if sets.count() > sets.select("node").distinct().count():  # rows that repeat identifier and text
         sets = written(sets.dropDuplicates(["node"]), "whole-sets")
     forget(docs.sparkSession)
-    n_rows = open_rows.count()
-    open_rows = together(open_rows, n_rows)
-    nodes = open_rows.select("node").distinct()
-    bits = together(written(bits.join(nodes, "node"), "bitmaps"), n_rows)
+    open_rows = open_rows.withColumn("label", F.col("node"))
+    bits = written(bits.join(open_rows.select("node").distinct(), "node"), "bitmaps")
     edges, labels, leaders, sprouts = None, None, 1, SPROUTS
     while not open_rows.isEmpty():
         leading = open_rows.where("leads")
         heads = leading.groupBy("token").agg(F.slice(F.array_sort(F.collect_set("node")), 1, leaders).alias("heads")) if leaders > 1 else leading.groupBy("token").agg(F.array(F.min("node")).alias("heads"))
-        heads = together(written(heads.select("token", F.explode("heads").alias("node")), "heads"), n_rows)
-        lead = open_rows.join(heads, ["token", "node"]).withColumnsRenamed({c: f"leader_{c}" for c in open_rows.columns if c not in ("token", "node")}).withColumnRenamed("node", "leader")
-        pairs = lead.join(open_rows, "token").where("leader <> node and n >= leader_n").where(F.col("leader_n") * 100 >= percent * F.col("n"))
-        # N-grams that nobody else has are lost to any overlap.
-        most = F.least(F.col("n") - F.col("lone"), F.col("leader_n") - F.col("leader_lone"))
-        pairs = pairs.where((100 + percent) * most >= percent * (F.col("n") + F.col("leader_n")))
-        if labels is not None:
-            pairs = pairs.where("label <> leader_label")
+        heads = written(heads.select("token", F.explode("heads").alias("node")), "heads")
+        pairs = _possible(heads, open_rows, bits, percent)
         # At first each set meets one leader only, which brings together most of what links; then all.
         pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader")) if sprouts else pairs.select("leader", "node").distinct()
-        pairs = written(_possible(pairs.select("leader", "node"), bits, percent), "pairs")
-        pairs = together(pairs, pairs.count())
+        pairs = written(pairs.select("leader", "node"), "pairs")
         found = written(_verified(pairs, sets, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
-        labels = together(components(edges), n_rows)
+        labels = components(edges)
         rest = open_rows.drop("label").join(heads.withColumn("led", F.lit(True)), ["token", "node"], "left")
         if not sprouts:
             rest = rest.withColumn("leads", F.col("leads") & F.col("led").isNull())
         rest = rest.drop("led")
         rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("leads").alias("l")).where("low <> high and l").select("token")
-        open_rows = together(written(rest.join(mixed, "token"), "open"), n_rows)
+        open_rows = written(rest.join(mixed, "token").select("token", "node", "n", "lone", "leads", "label"), "open")
+        forget(docs.sparkSession)
         sprouts, leaders = max(0, sprouts - 1), leaders if sprouts else leaders * 4
     out = rows.drop("low").join(classes, "signature", "left")
     if labels is not None:

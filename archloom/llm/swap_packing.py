@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,16 +29,19 @@ SHARD_PIECES = 20_000
 #: Bins filled to this share or more are left as they are in the second round.
 FULL_ENOUGH = 0.995
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
-_ODD_SPACE = re.compile(r" \s|\s |^ | $")
+#: Blanks, and line ends, that do not stand alone between two other characters.
+_ODD_BLANK = re.compile(r" \s|\s |^ | $")
+_ODD_LINE = re.compile(r"\n\s|\s\n|^\n|\n$")
 
 
 class Ids:
     """Token ids as little-endian bytes, by the tokenizers library.
 
-    A blank between two other characters always starts a pre-token, so the text between such blanks
-    is encoded on its own and remembered. Texts with other uses of blanks are encoded whole.
+    A blank alone between two other characters always starts a pre-token, and a line end alone is
+    one. So the text between them is encoded on its own and remembered. A text with other blanks
+    is encoded whole; one with other line ends is cut at blanks only.
     """
 
     def __init__(self, path: str):
@@ -46,29 +49,57 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
+        self.line_end = self.encode(["\n"])[0]
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids of the tokens that begin with a blank, in byte-level spelling.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[k for w, k in vocabulary.items() if w.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    def all(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        cut = [t.split(" ") if t and not _ODD_SPACE.search(t) and "<|" not in t else None for t in texts]
-        fresh = list({w for c in cut if c for w in c[1:]} - known.keys())
-        ids = dict(zip(fresh, self.encode([" " + w for w in fresh])))
-        if len(known) + len(ids) <= REMEMBERED:
-            known.update(ids)
-            get = known.__getitem__
-        else:
-            room = max(0, REMEMBERED - len(known))
-            known.update(zip(fresh[:room], map(ids.__getitem__, fresh[:room])))
+    def encode_words(self, words: list[str], at_once: int = 500) -> list[bytes]:
+        """The ids of words after a blank each, many in one text; a token with a blank begins a word."""
+        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        out: list[bytes] = []
+        for group, got in zip(groups, self.encode(["".join([" " + w for w in g]) for g in groups])):
+            at = 4 * np.flatnonzero(self.begins[np.frombuffer(got, "<u4")])
+            if len(at) != len(group):
+                out += self.encode([" " + w for w in group])
+            else:
+                cuts = [*at.tolist(), len(got)]
+                out += [got[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def lookup(self, known: dict[str, bytes], words: set[str], encode: Callable[[list[str]], list[bytes]]) -> Callable[[str], bytes]:
+        """The ids of each of the words, those known or else those that encode gives."""
+        fresh = list(words - known.keys())
+        ids = dict(zip(fresh, encode(fresh)))
+        room = max(0, REMEMBERED - len(known))
+        known.update(ids if len(ids) <= room else zip(fresh[:room], map(ids.__getitem__, fresh[:room])))
+        if len(ids) <= room:
+            return known.__getitem__
+        return lambda w: known[w] if w in known else ids[w]
 
-            def get(w: str) -> bytes:
-                return known.get(w) or ids[w]
-
-        first = iter(self.encode([c[0] if c else t for c, t in zip(cut, texts)]))
-        return [next(first) + b"".join(map(get, c[1:])) if c else next(first) for c in cut]
+    def all(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for t in texts:
+            if not t or "<|" in t or _ODD_BLANK.search(t):
+                cut.append(None)
+            else:
+                cut.append([x.split(" ") for x in ([t] if _ODD_LINE.search(t) else t.split("\n"))])
+        starts, words = [], set()
+        for c in cut:
+            starts.append([x.pop(0) for x in c] if c else ())
+            for x in c or ():
+                words.update(x)
+        start = self.lookup(self.at_start, set().union(*starts), self.encode)
+        after = self.lookup(self.after_blank, words, self.encode_words)
+        whole = iter(self.encode([t for c, t in zip(cut, texts) if not c]))
+        return [self.line_end.join([start(f) + b"".join(map(after, x)) for f, x in zip(first, c)]) if c else next(whole) for c, first in zip(cut, starts)]
 
 
 _ids: dict[str, Ids] = {}
