@@ -14,7 +14,7 @@ MOST_ENTRIES, MOST_BYTES = 65_000, 0xFFFF0000
 
 def plan(files: DataFrame) -> DataFrame:
     """Files (path, body) with clean names and their method: 8 for deflate, 0 for store."""
-    name = F.regexp_replace(F.translate("path", "\\", "/"), r"^/+|(?:^|/)\.\.(?=/)", "")
+    name = F.array_join(F.filter(F.split(F.translate("path", "\\", "/"), "/"), lambda s: ~s.isin("", ".", "..")), "/")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     return files.select(name.alias("path"), "body", F.when((F.octet_length("body") > 1024) & ~ext.isin(*STORED), 8).otherwise(0).alias("method"))
 
