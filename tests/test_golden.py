@@ -48,15 +48,16 @@ def test_small_functions(spark):
     same(spark, U.type_from_mime, [("text/html; charset=x", "html"), ("image/svg+xml", "img"), ("application/vnd.ms-fontobject", "doc"), ("", "")], "m string")
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=2, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab./?&%: -_"), max_size=20), min_size=20, max_size=20))
 def test_normalize_twice_is_once(spark, paths):
-    df = spark.createDataFrame([("http://h/" + p,) for p in paths], "u string").select(U.normalize(F.col("u")).alias("n"))
-    assert df.where((U.normalize(F.col("n")) != F.col("n")) & ~F.col("n").rlike(r"\s$")).count() == 0
+    df = spark.createDataFrame([("http://h/" + p,) for p in paths], "u string").select(F.explode(F.array(U.normalize(F.col("u")))).alias("n"))
+    twice = df.select("n", F.explode(F.array(U.normalize(F.col("n")))).alias("m"))
+    assert [r for r in twice.collect() if r.n != r.m and not r.n[-1:].isspace()] == []
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=2, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab./%2e\\: "), max_size=20), min_size=20, max_size=20))
 def test_local_path_stays_inside(spark, paths):
-    df = spark.createDataFrame([("http://h/" + p,) for p in paths], "u string").select(F.split(U.local_path(F.col("u"), F.lit("html"), F.lit("h")), "/").alias("p"))
-    assert df.where(F.array_contains("p", "..") | F.array_contains("p", "")).count() == 0
+    df = spark.createDataFrame([("http://h/" + p,) for p in paths], "u string").select(U.local_path(F.col("u"), F.lit("html"), F.lit("h")).alias("p"))
+    assert not any({"..", ""} & set(r.p.split("/")) for r in df.collect())
