@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, join_null_safe, rows_of, slices, table, text_key, text_of, written
+from .common import discard, forget, join_null_safe, rows_of, slices, table, text_key, text_of, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -141,7 +141,19 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     rows = d.select("node", "n", "lone", leading.alias("leading"), F.posexplode(chosen).alias("place", "token"))
     rows = written(rows.select("token", "node", "n", "lone", (F.col("place") < F.col("leading")).alias("leads")), "prefixes")
     groups = rows.groupBy("token").agg(F.count("*").alias("c"), F.max("leads").alias("l")).where("c > 1 and l").select("token")
-    return written(rows.join(groups, "token"), "candidates")
+    found = written(rows.join(groups, "token"), "candidates")
+    discard(rows)
+    return found
+
+
+def _members() -> list[Column]:
+    """Aggregates that tell the member lists of n-grams apart, leaders and others."""
+    return [F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "leads")).alias("x"), F.bit_xor(F.xxhash64("leads", "node", F.lit(1))).alias("y")]
+
+
+def _one_of_each_list(groups: DataFrame) -> DataFrame:
+    """Of the n-grams with the same members one, for they make the same pairs; a shared passage has many."""
+    return groups.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
 
 
 def overlaps(sets: list[np.ndarray], leader: np.ndarray, percent: int) -> np.ndarray:
@@ -289,9 +301,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
     classes = written(some.groupBy("signature").agg(F.min("row").alias("node"), F.min("id").alias("class_id")), "classes")
     reps = rows.join(classes.select(F.col("node").alias("row"), F.col("node")), "row").select("node", "id", "n", "low", "signature", "bits")
     reps = written(reps, "class-sets")
+    narrow = written(rows.select("id", "row", "t", "n", "signature"), "rows")
+    discard(rows)
+    rows = narrow
     bits = reps.select("node", "n", "bits")
     forget(docs.sparkSession)
-    open_rows = _candidates(reps.select("node", "n", "low"), percent)
+    found = _candidates(reps.select("node", "n", "low"), percent)
+    forget(docs.sparkSession)
+    open_rows = written(found.join(_one_of_each_list(found.groupBy("token").agg(*_members())), "token"), "open")
+    discard(found)
 
     forget(docs.sparkSession)
     # The whole sets of the candidates, from their texts.
@@ -312,6 +330,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
     forget(docs.sparkSession)
     open_rows = open_rows.withColumn("label", F.col("node"))
     bits = written(bits.join(open_rows.select("node").distinct(), "node"), "bitmaps")
+    discard(reps)
     edges, labels, leaders, sprouts = None, None, 1, SPROUTS
     while not open_rows.isEmpty():
         leading = open_rows.where("leads")
@@ -329,11 +348,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
             rest = rest.withColumn("leads", F.col("leads") & F.col("led").isNull())
         rest = rest.drop("led")
         rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("leads").alias("l")).where("low <> high and l").select("token")
+        mixed = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("leads").alias("l"), *_members()).where("low <> high and l")
+        mixed = _one_of_each_list(mixed)
         open_rows = written(rest.join(mixed, "token").select("token", "node", "n", "lone", "leads", "label"), "open")
         forget(docs.sparkSession)
         sprouts, leaders = max(0, sprouts - 1), leaders if sprouts else leaders * 4
-    out = rows.drop("low").join(classes, "signature", "left")
+    out = rows.join(classes, "signature", "left")
     if labels is not None:
         out = out.join(labels, "node", "left")
         named = classes.join(labels, "node").groupBy("label").agg(F.min("class_id").alias("label_id"))
