@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line overlap. Of the documents that hold a line, the one of the smallest
-identifier is its first holder; each later holder is paired with it if the line is rare, or if it
-is among the rarest that the later document shares. So a line in m documents gives at most m - 1
-pairs. A pair is aligned by patience diff over line hashes, and the common blocks of enough words
-are deleted from the later document. All pairs are judged on the texts as they came.
+Documents that share a run of lines with enough words overlap. Of the documents that hold a run,
+the one of the smallest identifier is its first holder, and each later holder is paired with it.
+So a run in m documents gives at most m - 1 pairs. The runs are the shortest ones from each line on
+and up to each line; as every line of a common block lies in one of the block's, no block is left
+without a pair. A pair is aligned by patience diff over line hashes, and the common blocks of
+enough words are deleted from the later document. All pairs are judged on the texts as they came.
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, join_null_safe, table, text_of, written
 
-#: Documents that may hold a rare line, and the rarest shared lines of a document that count anyway.
-RARE_HOLDERS, RAREST = 64, 3
 #: Words of a common block that is deleted.
 LEAST_WORDS = 20
 
@@ -91,7 +90,31 @@ def common_lines(first: list[int], later: list[int], words: list[int], least_wor
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, rare_holders: int = RARE_HOLDERS, rarest: int = RAREST) -> DataFrame:
+def runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of at least least_words words, from each line on and up to each line.
+
+    begin, end: where the document of each line begins and ends among the lines, none of which is blank.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    lines = np.arange(len(words))
+    stop = np.searchsorted(total, total[:-1] + least_words)
+    start = np.searchsorted(total, total[1:] - least_words, side="right") - 1
+    on, up = stop <= end, start >= begin
+    both = np.unique(np.stack([np.concatenate([lines[on], start[up]]), np.concatenate([stop[on], lines[up] + 1])]), axis=1)
+    return both[0], both[1]
+
+
+def run_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the lines of each run, in order."""
+    keys = np.ones(len(starts), np.uint64)
+    for k in range(int((ends - starts).max(initial=0))):
+        at = np.flatnonzero(starts + k < ends)
+        x = (keys[at] ^ hashes[starts[at] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        keys[at] = x ^ (x >> np.uint64(32))
+    return keys.view(np.int64)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs with the text left, and n_lines, n_removed and n_partners.
 
     Lines are equal if they are so without outer ASCII white space; blank lines are never counted
@@ -105,17 +128,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.select("id", "t", F.transform("l", lambda x: F.when(x.rlike(WORD), F.xxhash64(trim(x)))).alias("h"), F.transform("l", lambda x: F.regexp_count(x, F.lit(WORD))).alias("w"))
     lines = written(d.groupBy("id").agg(F.min_by(F.struct("t", "h", "w"), "t").alias("s")).select("id", "s.*"), "line-hashes")
 
-    held = lines.select("id", F.explode(F.array_distinct("h")).alias("line")).where("line is not null")
-    holders = held.groupBy("line").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where("holders > 1")
-    shared = held.join(holders, "line").where(F.col("id") > F.col("first"))
-    # A document's rarest shared lines; its lines are as many as its text has.
-    place = F.row_number().over(Window.partitionBy("id").orderBy("holders", "line"))
-    pairs = shared.withColumn("place", place).where((F.col("holders") <= rare_holders) | (F.col("place") <= rarest)).select("id", "first").distinct()
+    id_type = lines.schema["id"].dataType.simpleString()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, w = b.column("h").flatten(), b.column("w").flatten().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(b.num_rows), b.column("h").value_lengths().to_numpy(zero_copy_only=False))
+            some = h.is_valid().to_numpy(zero_copy_only=False)
+            hashes, doc = h.drop_null().to_numpy().view(np.uint64), doc[some]
+            starts, ends = runs(w[some], np.searchsorted(doc, doc), np.searchsorted(doc, doc, side="right"), least_words)
+            # Each run once a document.
+            each = np.unique(np.stack([doc[starts], run_keys(hashes, starts, ends)]), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(each[0])), pa.array(each[1])], ["id", "run"])
+
+    held = lines.select("id", "h", "w").mapInArrow(keyed, f"id {id_type}, run long")
+    # Written, so that the join can split a run that very many documents hold.
+    holders = written(held.groupBy("run").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where("holders > 1"), "first-holders")
+    pairs = held.join(holders, "run").where(F.col("id") > F.col("first")).select("id", "first").distinct()
 
     later = lines.select("id", "h", "w")
     first = lines.select(F.col("id").alias("first"), F.col("h").alias("first_h"))
     both = pairs.join(later, "id").join(first, "first")
-    id_type = lines.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -123,6 +123,20 @@ def test_line_blocks_go_from_the_later_document(spark):
     assert rows[12].text == "x" and rows[12].n_removed == 1
 
 
+def test_a_block_meets_a_holder_however_its_lines_are_held(spark):
+    # Each line of the block occurs singly in an earlier document, as other lines do in many.
+    one, two, tail, line = prose(20, 8), prose(21, 12), prose(22, 5), lambda k: prose(30 + k, 6)
+    rows = [(0, one), (1, two), (2, f"{one}\n{two}"), (3, f"{one}\n{two}\n{tail}"), (4, f"{one}\n\n{two}\n{tail}\nown")]
+    rows += [(10 + k, prose(50, 25)) for k in range(70)]
+    rows += [(100 + k, line(k)) for k in range(3)] + [(110, "\n".join([*map(line, range(3)), prose(50, 25)]))]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == f"{one}\n{two}"
+    assert got[3] == tail
+    assert got[4] == "\nown"
+    assert got[10] == prose(50, 25) and not any(got[k] for k in range(11, 80))
+    assert got[110] == "\n".join(map(line, range(3)))
+
+
 def test_html_text(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<html><body><nav><a href=x>x</a></nav><article><h1>T &amp; t</h1><p>a\n b<p>c<script>no</script></article><footer>f</footer>"), (4, "u", "<p>" + "word " * 60 + "</p><div class=sidebar><p>" + "side " * 60 + "</p></div>")]
     got = {r.page_id: (r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
