@@ -69,27 +69,6 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_lines(first: list[int], later: list[int], words: list[int], least_words: int) -> list[int]:
-    """Places in later of the lines in aligned blocks with at least least_words words.
-
-    A block is a run of aligned places that follow each other in both documents, blank lines aside.
-    """
-    # Blank lines have no words and don't part blocks.
-    keep_a = [k for k, x in enumerate(first) if x is not None]
-    keep_b = [k for k, n in enumerate(words) if n]
-    pairs = patience([first[k] for k in keep_a], [later[k] for k in keep_b])
-    out: list[int] = []
-    block: list[tuple[int, int]] = []
-    for pair in [*pairs, (-9, -9)]:
-        if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
-            places = [keep_b[y] for _, y in block]
-            if sum(words[k] for k in places) >= least_words:
-                out.extend(places)
-            block = []
-        block.append(pair)
-    return out
-
-
 def runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the shortest runs of at least least_words words, from each line on and up to each line.
 
@@ -114,6 +93,40 @@ def run_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return keys.view(np.int64)
 
 
+def common_lines(first: list[int], later: list[int], words: list[int], least_words: int) -> list[int]:
+    """Places in later of the lines in common blocks with at least least_words words.
+
+    A block is a run of lines that follow each other in both documents, blank lines aside. The
+    blocks that rise in both are aligned; those that do not, as they are repeated or in another
+    order, are found by their shortest runs of enough words.
+    """
+    # Blank lines have no words and don't part blocks.
+    keep_a = [k for k, x in enumerate(first) if x is not None]
+    keep_b = [k for k, n in enumerate(words) if n]
+    a, b, w = [first[k] for k in keep_a], [later[k] for k in keep_b], np.array([words[k] for k in keep_b], np.int64)
+    pairs = patience(a, b)
+    gone = np.zeros(len(b), bool)
+    block: list[tuple[int, int]] = []
+    for pair in [*pairs, (-9, -9)]:
+        if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
+            places = [y for _, y in block]
+            if w[places].sum() >= least_words:
+                gone[places] = True
+            block = []
+        block.append(pair)
+    if not gone.all():
+        starts, ends = runs(w, np.zeros(len(b), np.int64), np.full(len(b), len(b)), least_words)
+        left = np.concatenate([[0], np.cumsum(~gone)])
+        some = left[ends] > left[starts]
+        starts, ends = starts[some], ends[some]
+        for n in np.unique(ends - starts).tolist():
+            in_a = set(zip(*(a[k:] for k in range(n))))
+            for k in starts[ends - starts == n].tolist():
+                if tuple(b[k : k + n]) in in_a:
+                    gone[k : k + n] = True
+    return [keep_b[k] for k in np.flatnonzero(gone)]
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs with the text left, and n_lines, n_removed and n_partners.
 

@@ -12,7 +12,7 @@ import pytest
 
 from archloom.llm.html_text import op10_html_text
 from archloom.llm.ordinal_quality import op3_ordinal_quality
-from archloom.llm.patience_lines import common_lines, patience
+from archloom.llm.patience_lines import common_lines, line_dedup, patience
 from archloom.llm.shingle_join import bitmap, links, may_link, overlaps, shingle_set
 from archloom.llm.suffix_dedup import blind_trie_order, covered_suffixes, suffix_dedup
 from archloom.llm.suffix_tree_lm import END, op2_suffix_tree_lm
@@ -159,6 +159,43 @@ def test_patience_places_rise_and_match():
     assert common_lines([1, None, 2, 3], [9, 1, None, 2, 8], [3, 15, 0, 15, 2], 20) == [1, 3]
 
 
+def shared_places(first, later, words, least):
+    """By definition: the lines of later in any stretch of enough words that first has too."""
+    keep = [k for k, n in enumerate(words) if n]
+    a, b = [x for x in first if x is not None], [later[k] for k in keep]
+    held = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    return {k for i in range(len(b)) for j in range(i + 1, len(b) + 1) if sum(words[k] for k in keep[i:j]) >= least and tuple(b[i:j]) in held for k in keep[i:j]}
+
+
+def test_repeats_and_swaps_are_common_blocks():
+    assert common_lines([7, 7], [1, 7, 2], [5, 60, 5], 20) == [1]
+    assert common_lines([1, 2, 3, 4], [3, 4, 1, 2], [15, 15, 15, 15], 20) == [0, 1, 2, 3]
+    r = random.Random(6)
+    for _ in range(300):
+        size = {k: r.randint(1, 14) for k in range(6)}
+        a, b = ([r.choice([None, *size]) for _ in range(r.randint(0, 14))] for _ in range(2))
+        words = [size.get(x, 0) for x in b]
+        assert common_lines(a, b, words, 20) == sorted(shared_places(a, b, words, 20))
+
+
+def test_line_dedup_rows_match_brute_force(spark):
+    r = random.Random(7)
+    line = [" ".join(f"w{k}x{n}" for n in range(r.randint(1, 15))) for k in range(25)]
+    docs = {i: [r.choice(["", *line, f"own {i}"]) for _ in range(r.randint(0, 12))] for i in range(60)}
+    for i in range(0, 60, 4):  # passages of an earlier document, swapped and repeated
+        p = docs[i][: len(docs[i]) // 2]
+        docs[i + 3] = [*docs[i][len(p) :], "between", *p, *p]
+    hashes = {i: [x or None for x in d] for i, d in docs.items()}
+    rows = line_dedup(spark.createDataFrame([(i, "\n".join(d)) for i, d in docs.items()], "doc_id long, text string")).collect()
+    got = {x.doc_id: (x.text, x.n_removed) for x in rows}
+    for i, d in docs.items():
+        d = d or [""]
+        words = [len(x.split()) for x in d]
+        gone = set().union(*(shared_places(hashes[j], hashes[i], words, 20) for j in range(i))) if docs[i] else set()
+        assert got[i] == ("\n".join(x for k, x in enumerate(d) if k not in gone), len(gone))
+    assert sum(n for _, n in got.values()) > 50
+
+
 def test_pages_give_their_article(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in op10_html_text(spark, SF).collect():
