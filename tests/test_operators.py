@@ -18,6 +18,23 @@ def test_path_assignment_shares_twins_and_skips_natural_names(spark):
     assert got == {0: "a/index.html", 1: "a/index-3.html", 2: "a/index-3.html", 3: "b/index.html", 4: "a/index-2.html", 5: "a/index.html"}
 
 
+def test_path_assignment_passes_any_number_of_natural_names(spark):
+    paths = ["page.html"] * 3 + [f"page-{k}.html" for k in range(2, 70)] + ["page-71.html", "page-072.html", "page-5.html", "d.x/y", "d.x/y", "d.x/y-2", "page-9999999999999999999.html"]
+    rows = [(k, f"/{k}", p, f"h{k}") for k, p in enumerate(paths)]
+    got = {r.seq: r.file for r in assign(spark.createDataFrame(rows, "seq long, url string, path string, hash string")).collect()}
+    # By hand: in order of arrival, the first number whose name is neither natural nor given away.
+    want, used = {}, set(paths)
+    for k, p in enumerate(paths):
+        if p not in paths[:k]:
+            want[k] = p
+            continue
+        stem, dot, ext = p.rpartition(".") if "." in p.rsplit("/", 1)[-1] else (p, "", "")
+        want[k] = next(x for n in range(2, 99) if (x := f"{stem}-{n}{dot}{ext}") not in used)
+        used.add(want[k])
+    assert got == want and got[1] == "page-70.html" and got[2] == "page-72.html"
+    assert len(set(got.values())) == len(rows)
+
+
 def test_closure_stops_at_depth_and_survives_cycles(spark):
     edges = spark.createDataFrame([("a", "b", "page"), ("b", "a", "page"), ("b", "c", "page"), ("c", "d", "page"), ("a", "x.css", "asset")], "src string, dst string, kind string")
     got = {r.url: r.depth for r in closure(spark.createDataFrame([("a",)], "url string"), edges, 2).collect()}
