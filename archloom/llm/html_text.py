@@ -28,11 +28,12 @@ OUTSIDE = frozenset("nav footer aside form menu header dialog search".split())
 INSIDE = frozenset("article main".split())
 #: Words in class, id or role that mark a container outside the main text.
 _OUTSIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?|contentinfo|complementary)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?|contentinfo|complementary)(?=$|[\s_-])",
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)(?:>|$)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A whole attribute; as values are read along, nothing within them passes for a name.
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: The white space of HTML; other spaces, such as the no-break one, are text.
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -112,12 +113,18 @@ def _outside(name: str, attrs: str, within: bool) -> bool | None:
     """Whether a container lies outside the main text; None for one to be left out altogether."""
     outside = name in OUTSIDE and not (within and name == "header")
     if attrs:
+        seen = set()
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
+            if key in seen:
+                continue  # the first of a name counts
+            seen.add(key)
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
                 return None
-            if key in ("class", "id", "role") and name not in ("body", "html", "article", "main") and _OUTSIDE_WORDS.search(value):
-                outside = True
+            if key in ("class", "id", "role") and name not in ("body", "html", "article", "main"):
+                # The header of an article is part of it, by whatever name.
+                if any(not (within and m[1].lower() == "header") for m in _OUTSIDE_WORDS.finditer(value)):
+                    outside = True
     return outside
 
 

@@ -143,3 +143,20 @@ def test_html_text(spark):
     assert got[1] == got[2] == ("", 0)
     assert got[3][0] == "T & t\n\na b\n\nc"
     assert got[4][0] == ("word " * 60).strip()
+
+
+def test_attributes_are_read_whole(spark):
+    text = lambda k: prose(60 + k, 60)
+    bodies = {
+        1: f'<p>{text(1)} <a href="/hidden-beaches">here</a> {text(2)}</p>',
+        2: f'<div title="a hidden life"><p>{text(1)}</p></div>',
+        3: f'<div data-hidden="false" data-class="nav" title=\'style="display:none"\'><p>{text(1)}</p></div>',
+        4: f'<header class="entry-header"><h1>The headline</h1></header><p>{text(1)}</p>',
+        5: f'<div class="post_header share"><p>{text(2)}</p></div><div HIDDEN><p>{text(3)}</p></div><div id=x style="display: none"><p>{text(4)}</p></div><div class=nav><p>{text(5)}</p></div><p>{text(1)}</p>',
+    }
+    rows = [(k, "u", f"<html><body><article>{b}</article></body></html>") for k, b in bodies.items()]
+    rows.append((6, "u", f'<body><div class="site-header"><p>{text(2)}</p></div><article><p>{text(1)}</p></article></body>'))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"{text(1)} here {text(2)}"
+    assert got[4] == f"The headline\n\n{text(1)}"
+    assert all(got[k] == text(1) for k in (2, 3, 5, 6))
