@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_null_safe, rows_of, table, text_key, text_of, words, written
+from .common import SPACE, WORD, join_null_safe, rows_of, table, text_key, text_of, written
 
 #: Words of a block, and the most times that a word is taken.
 BLOCK_WORDS, MOST_TIMES = 64, 3
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each time a document is taken whole, and one for a part.
 
-    All columns stay; the text of a part is its first words, joined by blanks. What is taken of rows
+    All columns stay; the text of a part is cut at the end of its last word. What is taken of rows
     that repeat identifier and text is dealt to them evenly.
     """
     taken = written(mix(docs, id_col, text_col, source_col), "mix")
@@ -107,7 +107,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     each = F.expr("__loom_taken div __loom_rows")
     out = out.withColumn("__loom_each", each).withColumn("__loom_times", F.expr("__loom_each div __loom_size")).withColumn("__loom_part", F.col("__loom_each") - F.col("__loom_times") * F.col("__loom_size"))
     out = out.withColumn("__loom_copy", F.explode(F.sequence(F.lit(1), (F.col("__loom_times") + (F.col("__loom_part") > 0).cast("long")).cast("int"))))
-    part = F.array_join(F.slice(words(F.col(text_col)), F.lit(1), F.col("__loom_part").cast("int")), " ")
+    # A piece is a word and the white space before it.
+    pieces = F.split(text_col, f"(?<={WORD[:-1]})(?={SPACE})")
+    part = F.array_join(F.slice(pieces, F.lit(1), F.col("__loom_part").cast("int")), "")
     out = out.withColumn(text_col, F.when(F.col("__loom_copy") > F.col("__loom_times"), part).otherwise(F.col(text_col)))
     return out.select(*docs.columns)
 

@@ -109,6 +109,18 @@ def test_mix_meets_targets(spark):
     assert n == sum(r.taken for r in mix(d).collect())
 
 
+def test_a_part_of_a_document_keeps_its_white_space(spark):
+    texts = {i: " \n" + prose(i, 40 + i % 7).replace(" ", "\n\n" if i % 2 else " \t", 20) for i in range(200)}
+    d = spark.createDataFrame([(i, t, "s%d" % (i % 5)) for i, t in texts.items()], "doc_id long, text string, source string")
+    taken = {r.doc_id: (r.taken, r.size) for r in mix(d).collect()}
+    rows = mixed(d).collect()
+    parts = [r for r in rows if r.text != texts[r.doc_id]]
+    assert parts and sum(len(r.text.split()) for r in rows) == sum(n for n, _ in taken.values())
+    for r in parts:
+        n, size = taken[r.doc_id]
+        assert texts[r.doc_id].startswith(r.text) and len(r.text.split()) == n % size and r.text == r.text.rstrip()
+
+
 def test_rules_and_groups_keep_whole_rows(spark):
     d = nasty(spark)
     assert passing(d).columns == d.columns
