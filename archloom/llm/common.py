@@ -44,18 +44,6 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of a table of numbers that one task takes whole.
-ONE_TASK_ROWS = 1_000_000
-
-
-def together(df: DataFrame, n_rows: int) -> DataFrame:
-    """df in one partition if it has few rows, so that joins and groups of small tables need no shuffle.
-
-    Beyond ONE_TASK_ROWS it stays dealt out, and the same operations shuffle.
-    """
-    return df.coalesce(1) if n_rows <= ONE_TASK_ROWS else df
-
-
 def forget(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of results that are written and no longer referred to."""
     for _ in range(2):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import together, written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,20 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     written, so lineage stays short.
     """
     edges = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    n = edges.count()
-
-    # Nodes, pointers and labels are at most twice as many as the first edges.
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return together(written(df, name), 2 * n)
-
-    edges = together(edges, 2 * n)
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "points")
+        points = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "points")
         while True:  # pointers halve their length each time
             to = points.toDF("label", "next")
-            moved = kept(points.join(to, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("changed")), "points")
+            moved = written(points.join(to, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("changed")), "points")
+            discard(points)
             points = moved.select("node", "label")
             if moved.where("changed").isEmpty():
                 break
@@ -37,7 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
             labels = points
         else:
             to = points.toDF("label", "next")
-            labels = kept(labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            longer = written(labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            discard(labels)
+            labels = longer
         a, b = points.toDF("a", "x"), points.toDF("b", "y")
-        edges = kept(edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
+        left = written(edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
+        discard(edges)
+        if points is not labels:
+            discard(points)
+        edges = left
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

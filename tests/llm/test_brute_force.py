@@ -13,7 +13,7 @@ import pytest
 from archloom.llm.html_text import op10_html_text
 from archloom.llm.ordinal_quality import op3_ordinal_quality
 from archloom.llm.patience_lines import common_lines, line_dedup, patience
-from archloom.llm.shingle_join import bitmap, links, may_link, overlaps, shingle_set
+from archloom.llm.shingle_join import PrefixTree, links, shingle_sets
 from archloom.llm.suffix_dedup import blind_trie_order, covered_suffixes, suffix_dedup
 from archloom.llm.suffix_tree_lm import END, op2_suffix_tree_lm
 from archloom.llm.swap_packing import Ids, best_fit, improve, tokenizer_path
@@ -46,7 +46,8 @@ def planted():
 
 def test_components_match_all_pairs(spark):
     rows = planted()
-    sets = {i: set(shingle_set(t.encode()).tolist()) for i, t in rows}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = {i: grams(t.lower().split()) for i, t in rows}
     label = {i: i for i in sets}
 
     def find(x):
@@ -63,14 +64,39 @@ def test_components_match_all_pairs(spark):
     assert got == {i: find(i) for i in sets}
 
 
-def test_prefix_tree_and_bitmaps():
+def test_prefix_tree_finds_each_link_once():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        base = np.unique(rng.integers(0, 200, rng.integers(3, 60)))
-        sets = [np.unique(np.r_[rng.choice(base, max(1, int(len(base) * rng.uniform(0.6, 1))), replace=False), rng.integers(0, 200, rng.integers(0, 8))]).astype("<i8") for _ in range(12)]
-        right = [100 * len(np.intersect1d(s, sets[0])) >= 80 * len(np.union1d(s, sets[0])) for s in sets]
-        assert overlaps(sets, sets[0], 80).tolist() == right
-        assert all(may_link(bitmap(s), len(s), bitmap(sets[0]), len(sets[0]), 80) for s, ok in zip(sets, right) if ok)
+    for _ in range(150):
+        base = np.unique(rng.integers(0, 300, rng.integers(5, 80)))
+        sets = [np.unique(np.r_[rng.choice(base, max(1, int(len(base) * rng.uniform(0.7, 1))), replace=False), rng.integers(0, 300, rng.integers(0, 8))]) for _ in range(rng.integers(2, 25))]
+        # Some n-grams stand before all others and are nobody else's.
+        lone = rng.integers(0, 3, len(sets))
+        n = np.array([len(s) for s in sets]) + lone
+        lists = [s[: max(0, m - -(-m * 80 // 100) + 1 - u)] for s, m, u in zip(sets, n.tolist(), lone.tolist())]
+        right = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (n[i] + n[j])}
+        got = []
+        for token in np.unique(np.concatenate(lists)).tolist():
+            held = [k for k in range(len(sets)) if token in lists[k]]
+            tree = PrefixTree([lists[k] for k in held], n[held], lone[held])
+            x, y = tree.candidates(token, [lists[k] for k in held], n[held], lone[held], 80)
+            got += [(held[a], held[b]) for a, b in zip(x, y) if a != b]
+        assert len(got) == len(set(got)) and right <= set(got)
+
+
+def test_shingles_are_those_of_the_words():
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["a", "B", "ab", "\u00e9", "c" * r.randint(1, 9)]) for _ in range(r.randint(0, 40))) + r.choice(["", "\n", " \t"]) for _ in range(300)]
+    texts += ["", " \n\x0b\x0c\r\t ", "x" * 2_500_000 + " y z", ("word " * 400_000).strip(), "x" * 2_500_000 + "\u00a0 Y z"]
+    values, offsets = shingle_sets([t.encode() for t in texts])
+    known, number = {}, {}
+    for t, i, j in zip(texts, offsets, offsets[1:]):
+        w = t.encode().lower().split()
+        grams = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        assert len(grams) == j - i
+        mine = frozenset(values[i:j].tolist())
+        assert known.setdefault(frozenset(grams), mine) == mine
+        number.setdefault(mine, frozenset(grams))
+    assert len(known) == len(number)
 
 
 def removed(rows, length=50):
