@@ -10,7 +10,6 @@ still far from full then meets in fewer shards for a second round.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -31,17 +30,13 @@ FULL_ENOUGH = 0.995
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 800_000
 
-#: Blanks, and line ends, that do not stand alone between two other characters.
-_ODD_BLANK = re.compile(r" \s|\s |^ | $")
-_ODD_LINE = re.compile(r"\n\s|\s\n|^\n|\n$")
-
-
 class Ids:
     """Token ids as little-endian bytes, by the tokenizers library.
 
     A blank alone between two other characters always starts a pre-token, and a line end alone is
-    one. So the text between them is encoded on its own and remembered. A text with other blanks
-    is encoded whole; one with other line ends is cut at blanks only.
+    one, as are each of two. So the text between them is encoded on its own and remembered. A text
+    with other white space around its blanks or line ends is encoded whole; that is seen from its
+    words, of which only those not yet remembered are looked at.
     """
 
     def __init__(self, path: str):
@@ -74,9 +69,8 @@ class Ids:
                 out += [got[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def lookup(self, known: dict[str, bytes], words: set[str], encode: Callable[[list[str]], list[bytes]]) -> Callable[[str], bytes]:
-        """The ids of each of the words, those known or else those that encode gives."""
-        fresh = list(words - known.keys())
+    def remember(self, known: dict[str, bytes], fresh: list[str], encode: Callable[[list[str]], list[bytes]]) -> Callable[[str], bytes]:
+        """The ids of words, those known and those that encode gives for the fresh ones."""
         ids = dict(zip(fresh, encode(fresh)))
         room = max(0, REMEMBERED - len(known))
         known.update(ids if len(ids) <= room else zip(fresh[:room], map(ids.__getitem__, fresh[:room])))
@@ -85,21 +79,24 @@ class Ids:
         return lambda w: known[w] if w in known else ids[w]
 
     def all(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            if not t or "<|" in t or _ODD_BLANK.search(t):
-                cut.append(None)
-            else:
-                cut.append([x.split(" ") for x in ([t] if _ODD_LINE.search(t) else t.split("\n"))])
-        starts, words = [], set()
-        for c in cut:
-            starts.append([x.pop(0) for x in c] if c else ())
-            for x in c or ():
-                words.update(x)
-        start = self.lookup(self.at_start, set().union(*starts), self.encode)
-        after = self.lookup(self.after_blank, words, self.encode_words)
-        whole = iter(self.encode([t for c, t in zip(cut, texts) if not c]))
-        return [self.line_end.join([start(f) + b"".join(map(after, x)) for f, x in zip(first, c)]) if c else next(whole) for c, first in zip(cut, starts)]
+        lines = [[] if "\n\n\n" in t or t.endswith("\n\n") else [x.split(" ") for x in t.split("\n")] for t in texts]
+        starts, words = set(), set()
+        for t in lines:
+            for x in t:
+                starts.add(x[0])
+                words.update(x[1:])
+        starts -= self.at_start.keys()
+        words -= self.after_blank.keys()
+        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace() or "<|" in w}
+        odd_start = {w for w in starts if w and (w[0].isspace() or w[-1].isspace() or "<|" in w)}
+        for k, t in enumerate(lines):
+            # A line that begins with a blank has an empty first word before others.
+            if any(not x[0] and len(x) > 1 for x in t) or odd and any(not odd.isdisjoint(x[1:]) for x in t) or odd_start and any(x[0] in odd_start for x in t):
+                lines[k] = []
+        start = self.remember(self.at_start, list(starts - odd_start), self.encode)
+        after = self.remember(self.after_blank, list(words - odd), self.encode_words)
+        whole = iter(self.encode([t for x, t in zip(lines, texts) if not x]))
+        return [self.line_end.join([start(x[0]) + b"".join(map(after, x[1:])) for x in t]) if t else next(whole) for t in lines]
 
 
 _ids: dict[str, Ids] = {}
@@ -120,7 +117,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
         at = path or tokenizer_path()
         ids = _ids.setdefault(at, Ids(at)) if at not in _ids else _ids[at]
         end = np.array([END_ID], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, 2048):
             rows: list[tuple] = []
             for k, got in enumerate(ids.all(b.column("text").to_pylist())):
                 got += end

@@ -160,7 +160,11 @@ def test_classifier_beats_chance_on_the_held_out_fold(spark):
 def test_tokens_are_those_of_the_whole_text(texts):
     ids = Ids(tokenizer_path())
     cases = [*texts.values(), "a  b", " x", "x ", "a\n\nb", "a\nb c\td e", "x\r\ny z", "don't it's 'll 12a b3 ##", "é   ü", ""]
+    cases += ["a\n", "\na", "\n", "\n\n", "\n\nb", "a\n\n", "a\n\n\nb", "a\n b", "a \nb", "a\t b", "a\tb c", " \n", "\n ", "a <|endoftext|> b", "<|endoftext|>", "\u00a0a b", "a\u2003 b", "a\x1c b", "a\n\n b"]
+    r = random.Random(9)
+    cases += ["".join(r.choice(["a", "Bc", " ", "\n", "'s", "1", "\t", "\u00e9", "."]) for _ in range(r.randint(1, 12))) for _ in range(3000)]
     assert ids.all(cases) == ids.encode(cases)
+    assert ids.all(cases[::-1]) == ids.encode(cases[::-1])  # with what is remembered
 
 
 def test_local_search_never_adds_bins():
