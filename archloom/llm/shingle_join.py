@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, forget, rows_of, slices, table, text_key, text_of, written
+from .common import discard, forget, numbers, planes, rows_of, slices, table, text_key, text_of, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -117,20 +117,6 @@ def shingle_sets(texts: list[bytes], n_words: int = WORDS) -> tuple[np.ndarray,
     return out[new], np.concatenate([[0], np.cumsum(new)])[offsets]
 
 
-def _planes(x: np.ndarray, n_bytes: int) -> bytes:
-    """Whole numbers by bytes of like weight, which sorted ones let the shuffle compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].T).tobytes()
-
-
-def _numbers(parts: list[bytes], n_bytes: int) -> list[np.ndarray]:
-    out = []
-    for p in parts:
-        x = np.zeros((len(p) // n_bytes, 8), np.uint8)
-        x[:, :n_bytes] = np.frombuffer(p, np.uint8).reshape(n_bytes, -1).T
-        out.append(x.view("<u8").ravel())
-    return out
-
-
 _SINGLE, _REPEATED, _HELD, _DOCS = range(4)
 _GRAM, _DOC, _COUNT = GRAM_BITS // 8, 2, 4
 
@@ -171,9 +157,9 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent:
             for kind, g, x, size in ((_SINGLE, gram[single], doc[single], _DOC), (_REPEATED, gram[new[times > 1]], times[times > 1], _COUNT)):
                 bucket = ((g >> shift) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                rows += [(k, batch, kind, _planes(g[i:j], _GRAM), _planes(x[i:j], size), None) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+                rows += [(k, batch, kind, planes(g[i:j], _GRAM), planes(x[i:j], size), None) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
             # What comes back to the batch anyway takes its way over some bucket.
-            rows.append((batch % n_buckets, batch, _HELD, _planes(gram[~single], _GRAM), _planes(doc[~single], _DOC), None))
+            rows.append((batch % n_buckets, batch, _HELD, planes(gram[~single], _GRAM), planes(doc[~single], _DOC), None))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, about.schema) as w:
                 w.write_table(about)
@@ -197,8 +183,8 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent:
         kind, batch = (np.array(t.column(c)) for c in ("kind", "batch"))
         a, b = (t.column(c).to_pylist() for c in ("a", "b"))
         sent = np.flatnonzero(kind < _HELD)
-        grams = _numbers([a[k] for k in sent], _GRAM)
-        other = [_numbers([b[k]], _DOC if kind[k] == _SINGLE else _COUNT)[0] for k in sent]
+        grams = numbers([a[k] for k in sent], _GRAM)
+        other = [numbers([b[k]], _DOC if kind[k] == _SINGLE else _COUNT)[0] for k in sent]
         every = np.concatenate([np.zeros(0, np.uint64), *grams])
         times = np.concatenate([np.zeros(0, np.int64), *(np.ones(len(x), np.int64) if kind[k] == _SINGLE else x.astype(np.int64) for k, x in zip(sent, other))])
         known, number = np.unique(every, return_inverse=True)
@@ -209,14 +195,14 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent:
             at += len(g)
             some = c > 1
             if some.any():
-                rows.append((0, int(batch[k]), int(kind[k]), _planes(g[some], _GRAM), _planes(x[some], _DOC) if kind[k] == _SINGLE else None, _planes(c[some], _DOC)))
+                rows.append((0, int(batch[k]), int(kind[k]), planes(g[some], _GRAM), planes(x[some], _DOC) if kind[k] == _SINGLE else None, planes(c[some], _DOC)))
         rows += [(0, int(batch[k]), int(kind[k]), a[k], b[k], None) for k in np.flatnonzero(kind >= _HELD)]
         return pa.Table.from_batches([_rows(rows, "")])
 
     def order(t: pa.Table) -> pa.Table:
         kind = np.array(t.column("kind"))
         a, b, c = (t.column(x).to_pylist() for x in "abc")
-        of = lambda which, column, size: np.concatenate([np.zeros(0, np.uint64), *_numbers([column[k] for k in np.flatnonzero(kind == which)], size)])
+        of = lambda which, column, size: np.concatenate([np.zeros(0, np.uint64), *numbers([column[k] for k in np.flatnonzero(kind == which)], size)])
         about = pa.ipc.open_stream(a[np.flatnonzero(kind == _DOCS)[0]]).read_all()
         gram, doc, holders = of(_SINGLE, a, _GRAM), of(_SINGLE, b, _DOC), of(_SINGLE, c, _DOC)
         g, h = of(_REPEATED, a, _GRAM), of(_REPEATED, c, _DOC)

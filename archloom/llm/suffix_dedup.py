@@ -2,18 +2,19 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
 identifier. Every window of LENGTH bytes has an anchor, the gram of GRAM bytes in it whose hash is
-least, so equal windows have equal anchors. Three rounds:
-
-1. Anchors of all documents meet by hash, each with a hash of its extent (all bytes of the windows
-   that it is the anchor of). An anchor held by one document is done. An extent that a smaller
-   document also has is covered whole. What is left are anchors that several documents share in
-   unlike extents: the ends of repeated passages.
-2. The suffixes in those extents are sorted: multikey quicksort on eight bytes at a time down to
-   SHALLOW bytes, then blind tries for the groups that still agree. Suffixes that agree over LENGTH
-   bytes are one string; all but those of its smallest document are covered.
-3. The covered spans of a document are joined and cut out.
-
-Hashes are of 64 bits. Tasks pass each other arrays, not rows, for the many anchors.
+least, so equal windows have equal anchors. Anchors choose the places to sort, the sort decides:
+
+1. Batches of documents send their distinct anchors to buckets by hash and learn which of them other
+   documents hold too. A window of any other anchor is found nowhere else.
+2. Each shared anchor's extent (the bytes of all windows that it is the anchor of) goes to the bucket
+   of the anchor, equal extents of a batch once. There the suffixes of the distinct extents are sorted:
+   multikey quicksort on eight bytes at a time down to SHALLOW bytes, then blind tries for the groups
+   that still agree. Suffixes that agree over LENGTH bytes are one string, whose first holder is
+   the smallest document with any of their extents; it goes from all other documents.
+3. The spans that a document loses are joined and cut out.
+
+Hashes only deal and compare anchors; strings are compared by their bytes. Tasks pass each other
+arrays, not rows, for the many anchors.
 """
 
 from __future__ import annotations
@@ -22,35 +23,30 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, join_null_safe, slices, table, text_of, written
+from .common import discard, forget, join_null_safe, numbers, planes, table, text_of, written
 
 LENGTH, GRAM, SHALLOW = 50, 24, 24
-#: Anchors of a bucket of round 1, and suffixes of a bucket of round 2, at the mean.
-BUCKET_ANCHORS, BUCKET_SUFFIXES = 1_500_000, 1_500_000
-#: Extents of one anchor from which its windows are dealt over the buckets singly.
-HOT = 2_000
+#: Bytes of text of a batch, anchors of a bucket of step 1, and suffixes of one of step 2, at the mean.
+BATCH_BYTES, BUCKET_ANCHORS, BUCKET_SUFFIXES = 8 << 20, 1_000_000, 1_500_000
+#: Documents with one anchor from which its windows are dealt over the buckets singly.
+HOT = 20_000
 #: Bytes that are hashed at once; a place has to fit in _PLACE bits.
 _BLOCK, _PLACE = 1 << 19, 20
-_COVERED, _SORT, _SORT_HOT = 1, 2, 3
+#: Bits of an anchor's hash.
+_ANCHOR = 48
 
 
-def _numbers(n: int, seed: int) -> np.ndarray:
+def _random(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64)
 
 
-_BYTE = _numbers(256, 1)
-_ODD = _numbers(8, 2) | np.uint64(1)
-_powers = np.ones((_BLOCK << 1) + 1, np.uint64)
-_powers[1:] = np.cumprod(np.full(_BLOCK << 1, _ODD[0]))
-_INVERSE = pow(int(_ODD[0]), -1, 1 << 64)
-_inverses = np.ones((_BLOCK << 1) + 1, np.uint64)
-_inverses[1:] = np.cumprod(np.full(_BLOCK << 1, np.uint64(_INVERSE)))
+_BYTE = _random(256, 1)
+_ODD = _random(8, 2) | np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,14 +55,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of at most 2 * _BLOCK bytes, documents end to end: first and last window start, anchor hash and extent hash of each anchor, in order."""
+def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of at most 2 * _BLOCK bytes, documents end to end: first and last window start and hash of each anchor, in order."""
     n = len(buf) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
-    b = _BYTE[buf]
-    h, width = b, 1
+        return none, none, none.view(np.uint64)
+    h, width = _BYTE[buf], 1
     while width * 2 <= GRAM:
         h = h[:-width] * _ODD[2 + width.bit_length()] + h[width:]
         width *= 2
@@ -88,16 +83,11 @@ def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     same = inside[1:n] & inside[: n - 1] & (at[1:] == at[:-1])
     first = np.flatnonzero(inside[:n] & np.append(True, ~same))
     last = np.flatnonzero(inside[:n] & np.append(~same, True))
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(b * _powers[: len(buf)], out=sums[1:])
-    extent = (sums[last + LENGTH] - sums[first]) * _inverses[first]
-    # The anchor's place in the extent, and how long that is, are part of the extent's hash.
-    shape = ((at[first] - first) * 64 + (last - first)).astype(np.uint64)
-    return first, last, h[at[first]], _mixed(extent + shape * _ODD[7])
+    return first, last, h[at[first]] >> np.uint64(64 - _ANCHOR)
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Number of the text, first and last window start in it, anchor hash and extent hash, by blocks of texts.
+def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of the text, first and last window start in it, and hash of each anchor, by blocks of texts.
 
     Texts longer than a block are cut into blocks that overlap, so that each window is in one.
     """
@@ -106,8 +96,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         if len(texts[k]) > _BLOCK:
             for s in range(0, len(texts[k]) - LENGTH + 1, _BLOCK):
                 piece = np.frombuffer(texts[k], np.uint8, min(_BLOCK + LENGTH - 1, len(texts[k]) - s), s)
-                first, last, g, x = _anchors(piece, np.array([len(piece)]))
-                yield np.full(len(first), k), first + s, last + s, g, x
+                first, last, g = _anchors(piece, np.array([len(piece)]))
+                yield np.full(len(first), k), first + s, last + s, g
             k += 1
             continue
         j, size = k, 0
@@ -115,118 +105,66 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             size += len(texts[j])
             j += 1
         ends = np.cumsum([len(t) for t in texts[k:j]])
-        first, last, g, x = _anchors(np.frombuffer(b"".join(texts[k:j]), np.uint8), ends)
+        first, last, g = _anchors(np.frombuffer(b"".join(texts[k:j]), np.uint8), ends)
         own = np.searchsorted(ends, first, "right")
         begin = np.append(0, ends[:-1])[own] if len(own) else own
-        yield own + k, first - begin, last - begin, g, x
+        yield own + k, first - begin, last - begin, g
         k = j
 
 
-def _dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
-    """Arrays as bytes, by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
-    arrays = [a[order] for a in arrays]
-    for i, j in zip(cuts, np.append(cuts[1:], len(bucket))):
-        yield int(bucket[i]), [a[i:j].tobytes() for a in arrays]
-
-
-def _round_1(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Columns id, flag, extents (hashes): those covered whole, and those to be sorted."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out() -> pa.RecordBatch:
-            g, x, d = (np.concatenate(a) for a in zip(*held))
-            order = np.lexsort((d, x, g))
-            g, x, d = g[order], x[order], d[order]
-            new = np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]))
-            smallest = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            repeat = np.append(False, ~new[1:] & (d[1:] == d[:-1]))
-            rows = []
-            # A smaller document of this very task has the extent too.
-            here = (d > smallest) & ~repeat
-            ids, number = np.unique(d[here], return_inverse=True)
-            for k, (extents,) in _dealt(number, [x[here]]):
-                rows.append((int(ids[k]) % n_buckets, int(ids[k]), extents, None, None))
-            rest = ~here & ~repeat
-            for k, (gs, xs, ds) in _dealt((g[rest] % np.uint64(n_buckets)).astype(np.int64), [g[rest], x[rest], d[rest]]):
-                rows.append((k, None, xs, gs, ds))
-            columns = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["bucket", "id", "x", "g", "d"])
-
-        size = 0
-        for b in slices(batches):
-            ids = np.array(b.column("id").to_pylist(), np.int64)
-            for own, _, _, g, x in anchors(pc.cast(b.column("text"), pa.binary()).to_pylist()):
-                if len(own):
-                    held.append((g, x, ids[own]))
-                    size += len(own)
-            if size > 2_000_000:
-                yield out()
-                held.clear()
-                size = 0
-        if size:
-            yield out()
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ready = pdf[pdf["id"].notna()]
-        rows = [(int(i), _COVERED, x) for i, x in zip(ready["id"], ready["x"])]
-        sent = pdf[pdf["id"].isna()]
-        g, x = (np.frombuffer(b"".join(sent[c]), np.uint64) for c in ("g", "x"))
-        d = np.frombuffer(b"".join(sent["d"]), np.int64)
-        if len(g):
-            order = np.lexsort((d, x, g))
-            g, x, d = g[order], x[order], d[order]
-            new_g = np.append(True, g[1:] != g[:-1])
-            new = new_g | np.append(True, x[1:] != x[:-1])
-            starts = np.flatnonzero(new_g)
-            group = np.cumsum(new_g) - 1
-            smallest = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            covered = d > smallest
-            # Unlike extents of two documents or more.
-            kinds = np.bincount(group, new)[group]
-            several = (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))[group]
-            flag = np.where(covered, _COVERED, np.where((kinds > 1) & several, np.where(kinds >= HOT, _SORT_HOT, _SORT), 0))
-            told = np.flatnonzero(flag)
-            ids, number = np.unique(d[told], return_inverse=True)
-            for k, (extents,) in _dealt(number * 4 + flag[told], [x[told]]):
-                rows.append((int(ids[k // 4]), k % 4, extents))
-        return pd.DataFrame(rows, columns=["id", "flag", "extents"])
-
-    sent = docs.mapInArrow(send, "bucket long, id long, x binary, g binary, d binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "id long, flag int, extents binary")
-
-
-def _marked(docs: DataFrame, flags: DataFrame) -> DataFrame:
-    """Documents with flagged extents: id, sha, text, covered spans, and the extents to sort."""
-    flags = flags.groupBy("id").agg(F.collect_list("flag").alias("flags"), F.collect_list("extents").alias("extents"))
-    d = docs.join(flags, "id").select("id", F.sha2("text", 256).alias("sha"), "text", "flags", "extents")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            texts = pc.cast(b.column("text"), pa.binary()).to_pylist()
-            told = []
-            for flags, extents in zip(b.column("flags").to_pylist(), b.column("extents").to_pylist()):
-                told.append([np.unique(np.frombuffer(b"".join(x for f, x in zip(flags, extents) if f == kind), np.uint64)) for kind in (_COVERED, _SORT, _SORT_HOT)])
-            parts: list[list[list[np.ndarray]]] = [[[] for _ in range(5)] for _ in texts]
-            for own, first, last, g, x in anchors(texts):
-                cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
-                for i, j in zip(cuts, np.append(cuts[1:], len(own)) if len(own) else []):
-                    i, j = int(i), int(j)
-                    covered, plain, hot = (np.isin(x[i:j], t) for t in told[own[i]])
-                    p = parts[own[i]]
-                    some = (plain | hot) & ~covered
-                    for to, a in zip(p, (first[i:j][covered], last[i:j][covered] + LENGTH, first[i:j][some], last[i:j][some], np.where(hot[some], 0, g[i:j][some] | np.uint64(1)))):
-                        to.append(a)
-            joined = [[np.concatenate(a) if a else np.zeros(0, np.int64) for a in p] for p in parts]
-            columns = [pa.array([p[k].astype("<i8" if k < 4 else "<u8").tobytes() for p in joined], pa.binary()) for k in range(5)]
-            n = pa.array([int((p[3] - p[2] + 1).sum()) for p in joined], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sha"), b.column("text"), *columns, n], ["id", "sha", "text", "from", "to", "first", "last", "key", "n_suffixes"])
-
-    return d.mapInArrow(run, "id long, sha string, text string, `from` binary, `to` binary, first binary, last binary, key binary, n_suffixes long")
+def _held(texts: list[bytes]) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """All anchors of a batch; the distinct ones in order, and how many texts hold each."""
+    found = [np.concatenate(c) for c in zip(*anchors(texts))] if texts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    own, _, _, g = found
+    order = np.lexsort((own, g))
+    g, own = g[order], own[order]
+    each = np.append(True, (g[1:] != g[:-1]) | (own[1:] != own[:-1]))[: len(g)]
+    distinct, holders = np.unique(g[each], return_counts=True)
+    return tuple(found), distinct, holders
+
+
+def _texts(t: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    """The documents of a batch in an order that each step finds anew, and their texts."""
+    t = t.sort_by([("id", "ascending"), ("sha", "ascending")])
+    return t, pc.cast(t.column("text"), pa.binary()).to_pylist()
+
+
+def _parts(bucket: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """Number, begin and end of the runs of a sorted bucket column."""
+    cuts = np.searchsorted(bucket, np.arange(n + 1))
+    return ((k, int(i), int(j)) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j)
+
+
+def _table(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.Table:
+    values = list(zip(*rows)) if rows else [()] * len(columns)
+    return pa.table([pa.array(v, k) for v, k in zip(values, columns.values())], names=list(columns))
+
+
+def _shared(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Columns batch, shared, hot: anchors of a batch that another batch holds too, and those of very many documents."""
+    sent = {"bucket": pa.int64(), "batch": pa.int64(), "g": pa.binary(), "n": pa.binary()}
+    back = {"batch": pa.int64(), "shared": pa.binary(), "hot": pa.binary()}
+
+    def send(t: pa.Table) -> pa.Table:
+        batch = t.column("batch")[0].as_py()
+        _, g, n = _held(_texts(t)[1])
+        bucket = (g >> np.uint64(_ANCHOR - 32)) * np.uint64(n_buckets) >> np.uint64(32)
+        return _table([(k, batch, planes(g[i:j], 6), planes(n[i:j], 4)) for k, i, j in _parts(bucket.astype(np.int64), n_buckets)], sent)
+
+    def meet(t: pa.Table) -> pa.Table:
+        each, times = numbers(t.column("g").to_pylist(), 6), numbers(t.column("n").to_pylist(), 4)
+        known, number = np.unique(np.concatenate(each), return_inverse=True)
+        batches = np.bincount(number)[number]
+        holders = np.bincount(number, np.concatenate(times).astype(np.int64))[number]
+        rows, at = [], 0
+        for batch, g in zip(t.column("batch").to_pylist(), each):
+            shared, hot = batches[at : at + len(g)] > 1, holders[at : at + len(g)] >= HOT
+            at += len(g)
+            rows.append((batch, planes(g[shared], 6), planes(g[hot], 6)))
+        return _table(rows, back)
+
+    dealt = docs.groupBy("batch").applyInArrow(send, "bucket long, batch long, g binary, n binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "batch long, shared binary, hot binary")
 
 
 def blind_trie_order(strings: list[bytes]) -> list[int]:
@@ -265,37 +203,34 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     return order
 
 
-def covered_suffixes(buf: np.ndarray, start: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which suffixes agree over LENGTH bytes with one of a smaller document and the same key.
+def first_holders(buf: np.ndarray, start: np.ndarray, holder: np.ndarray) -> np.ndarray:
+    """For each suffix the least holder of those that agree with it over LENGTH bytes.
 
-    Deep-shallow: groups are split by eight bytes at a time (multikey quicksort) while they hold
-    several documents; what agrees down to SHALLOW bytes is ordered by blind tries.
+    Deep-shallow: groups are split by eight bytes at a time (multikey quicksort) while they have
+    several holders; what agrees down to SHALLOW bytes is ordered by blind tries.
     """
-    found = np.zeros(len(start), bool)
+    least = holder.copy()
     buf = np.append(buf, np.zeros(8, np.uint8))
     weights = (np.uint64(1) << (np.uint64(8) * np.arange(7, -1, -1, dtype=np.uint64))).astype(np.uint64)
-    at = np.argsort(key, kind="stable")
-    group = np.cumsum(np.append(True, key[at][1:] != key[at][:-1])) - 1 if len(at) else at
-    depth = 0
+    at, group, depth = np.arange(len(start)), np.zeros(len(start), np.int64), 0
     while len(at):
-        # Groups of one document are done.
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        number = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
-        keep = (np.minimum.reduceat(doc[at], starts) < np.maximum.reduceat(doc[at], starts))[number]
+        # Groups of one holder are done.
+        new = np.append(True, group[1:] != group[:-1])
+        starts, number = np.flatnonzero(new), np.cumsum(new) - 1
+        keep = (np.minimum.reduceat(holder[at], starts) < np.maximum.reduceat(holder[at], starts))[number]
         at, group = at[keep], number[keep]
         if depth >= SHALLOW or not len(at):
             break
         word = np.zeros(len(at), np.uint64)
         for i in range(8):
             word += buf[start[at] + depth + i] * weights[i]
-        order = np.lexsort((word, group))
+        order = np.lexsort((word, group)) if depth else np.argsort(word, kind="stable")
         at, group, word = at[order], group[order], word[order]
         group = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1]))) - 1
         depth += 8
     raw = buf.tobytes()
     cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(at) else np.zeros(0, int)
-    begins = start[at].tolist()
-    docs = doc[at]
+    begins, holders = start[at].tolist(), holder[at]
     for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist()):
         tails: dict[bytes, list[int]] = {}
         for k in range(i, j):
@@ -304,88 +239,128 @@ def covered_suffixes(buf: np.ndarray, start: np.ndarray, key: np.ndarray, doc: n
         for name in blind_trie_order(names) if len(names) > 1 else [0]:
             leaf = tails[names[name]]
             if len(leaf) > 1:
-                found[at[leaf]] = docs[leaf] > docs[leaf].min()
-    return found
-
-
-def _round_2(marked: DataFrame, n_buckets: int) -> DataFrame:
-    """Columns id, from, to: spans covered in the extents that were sorted."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows: list[tuple] = []
-            keys, docs, firsts, lengths, cut = [], [], [], [], []
-            texts = pc.cast(b.column("text"), pa.binary()).to_pylist()
-            for i, (doc, text) in enumerate(zip(b.column("id").to_pylist(), texts)):
-                first, last = (np.frombuffer(b.column(c)[i].as_py(), "<i8") for c in ("first", "last"))
-                key = np.frombuffer(b.column("key")[i].as_py(), "<u8")
-                for f, l, k in zip(first.tolist(), last.tolist(), key.tolist()):
-                    if k:
-                        spans = [(f, l, k)]
-                    else:  # a hot anchor: window by window, by its own hash
-                        spans = [(p, p, int.from_bytes(hashlib.blake2b(text[p : p + LENGTH], digest_size=8).digest(), "little") | 1) for p in range(f, l + 1)]
-                    for p, q, k2 in spans:
-                        keys.append(k2)
-                        docs.append(doc)
-                        firsts.append(p)
-                        lengths.append(q - p + LENGTH)
-                        cut.append(text[p : q + LENGTH])
-            if not keys:
-                continue
-            key = np.array(keys, np.uint64)
-            bucket = (_mixed(key) % np.uint64(n_buckets)).astype(np.int64)
-            for k, (ks, ds, fs, ls, at) in _dealt(bucket, [key, np.array(docs, np.int64), np.array(firsts, np.int64), np.array(lengths, np.int64), np.arange(len(keys))]):
-                rows.append((k, ks, ds, fs, ls, b"".join([cut[i] for i in np.frombuffer(at, np.int64)])))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "key", "d", "first", "length", "bytes"])
-
-    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = np.frombuffer(b"".join(pdf["key"]), "<u8")
-        doc, first, length = (np.frombuffer(b"".join(pdf[c]), "<i8") for c in ("d", "first", "length"))
-        buf = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+                least[at[leaf]] = holders[leaf].min()
+    return least
+
+
+def _number(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces, and the number of each among them."""
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)
+    return list(known), number
+
+
+def _lost(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
+    """Columns batch, doc, from, size: spans that the documents of a batch lose."""
+    sent = {"bucket": pa.int64(), "batch": pa.int64(), "pieces": pa.binary(), "size": pa.binary(), "times": pa.binary(), "doc": pa.binary(), "id": pa.binary(), "first": pa.binary()}
+    spans = {"batch": pa.int64(), "doc": pa.binary(), "from": pa.binary(), "size": pa.binary()}
+
+    def send(texts: pa.Table, told: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _table([], sent)
+        batch = texts.column("batch")[0].as_py()
+        texts, raw = _texts(texts)
+        ids = np.array(texts.column("id").to_pylist(), np.int64)
+        (own, first, last, g), distinct, holders = _held(raw)
+        other, hot = (np.concatenate([np.zeros(0, np.uint64), *numbers(told.column(c).to_pylist(), 6)]) for c in ("shared", "hot"))
+        some = np.isin(g, np.union1d(other, distinct[holders > 1]))
+        own, first, last, g = own[some], first[some], last[some], g[some]
+        single = np.isin(g, hot)
+        if single.any():  # window by window
+            times = np.where(single, last - first + 1, 1)
+            k = np.repeat(np.arange(len(own)), times)
+            step = np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times)
+            own, g, first = own[k], g[k], first[k] + step
+            last, single = np.where(single[k], first, last[k]), single[k]
+        if not len(own):
+            return _table([], sent)
+        pieces, number = _number([raw[d][p : q + LENGTH] for d, p, q in zip(own.tolist(), first.tolist(), last.tolist())])
+        deal = np.zeros(len(pieces), np.uint64)
+        deal[number] = g
+        for k in np.unique(number[single]).tolist():
+            deal[k] = int.from_bytes(hashlib.blake2b(pieces[k], digest_size=6).digest(), "little")
+        bucket = (_mixed(deal) % np.uint64(n_buckets)).astype(np.int64)
+        # Distinct pieces by bucket, and their places by piece.
+        by = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        place = np.argsort(rank[number], kind="stable")
+        own, first, number = own[place], first[place], rank[number][place]
+        size, times = np.array([len(pieces[k]) for k in by]), np.bincount(number, minlength=len(by))
+        at = np.concatenate([[0], np.cumsum(times)])
+        rows = []
+        for k, i, j in _parts(bucket[by], n_buckets):
+            a, z = at[i], at[j]
+            rows.append((k, batch, b"".join([pieces[x] for x in by[i:j]]), planes(size[i:j], 1), planes(times[i:j], 4), planes(own[a:z], 4), planes(ids[own[a:z]], 8), planes(first[a:z], 4)))
+        return _table(rows, sent)
+
+    def sort(t: pa.Table) -> pa.Table:
+        size, times, doc, first = ([x.astype(np.int64) for x in numbers(t.column(c).to_pylist(), n)] for c, n in (("size", 1), ("times", 4), ("doc", 4), ("first", 4)))
+        ids = np.concatenate([x.view(np.int64) for x in numbers(t.column("id").to_pylist(), 8)])
+        each = []
+        for raw, n in zip(t.column("pieces").to_pylist(), size):
+            ends = np.cumsum(n).tolist()
+            each += [raw[i:j] for i, j in zip([0, *ends], ends)]
+        # Equal extents of several batches are one.
+        pieces, number = _number(each)
+        number = np.repeat(number, np.concatenate(times))
+        del each
+        holder = np.full(len(pieces), np.iinfo(np.int64).max)
+        np.minimum.at(holder, number, ids)
+        length = np.array([len(p) for p in pieces])
         n = length - LENGTH + 1
-        own = np.repeat(np.arange(len(key)), n)
+        own = np.repeat(np.arange(len(pieces)), n)
         step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        start = (np.cumsum(length) - length)[own] + step
-        found = np.flatnonzero(covered_suffixes(buf, start, key[own], doc[own]))
-        if not len(found):
-            return pd.DataFrame({"id": [], "from": [], "to": []})
-        # All windows of an extent hold its anchor, so those covered cover one span.
-        new = np.flatnonzero(np.append(True, own[found][1:] != own[found][:-1]))
-        extent = own[found][new]
-        last = np.append(found[new[1:] - 1], found[-1])
-        a, z = first[extent] + step[found[new]], first[extent] + step[last] + LENGTH
-        ids, number = np.unique(doc[extent], return_inverse=True)
-        rows = [(int(ids[k]), x, y) for k, (x, y) in _dealt(number, [a, z])]
-        return pd.DataFrame(rows, columns=["id", "from", "to"])
-
-    sent = marked.where("n_suffixes > 0").mapInArrow(send, "bucket long, key binary, d binary, first binary, length binary, bytes binary")
-    return sent.groupBy("bucket").applyInPandas(sort, "id long, `from` binary, `to` binary")
-
-
-def _cut(marked: DataFrame, more: DataFrame) -> DataFrame:
-    """Columns id, sha, n_removed, n_spans, kept_sha256, kept: what is left of each marked text."""
-    more = more.groupBy("id").agg(F.collect_list("from").alias("more_from"), F.collect_list("to").alias("more_to"))
-    d = marked.select("id", "sha", "text", "from", "to").join(more, "id", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = []
-            for i, text in enumerate(pc.cast(b.column("text"), pa.binary()).to_pylist()):
-                a, z = (np.frombuffer(b.column(c)[i].as_py() + b"".join(b.column(f"more_{c}")[i].as_py() or []), "<i8") for c in ("from", "to"))
-                # A row of the same identifier may have had another text.
-                ok = z <= len(text)
-                order = np.argsort(a[ok], kind="stable")
-                a, z = a[ok][order], np.maximum.accumulate(z[ok][order]) if ok.any() else z[ok]
-                new = np.flatnonzero(np.append(True, a[1:] > z[:-1])) if len(a) else np.zeros(0, int)
-                a, z = a[new], np.append(z[new[1:] - 1], z[-1:]) if len(new) else z
-                edges = [0, *np.stack([a, z], 1).ravel().tolist(), len(text)]
-                kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                rows.append((len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sha"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["id", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return d.mapInArrow(run, "id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        least = first_holders(np.frombuffer(b"".join(pieces), np.uint8), (np.cumsum(length) - length)[own] + step, holder[own])
+        # All windows of an extent hold its anchor, so what a document loses of it is one span: from
+        # the first to the last window with a holder before the document.
+        begins = np.cumsum(n) - n
+        low, high = np.minimum.reduceat(least, begins), np.maximum.reduceat(least, begins)
+        a, z = np.zeros(len(ids), np.int64), n[number]
+        whole = ids > high[number]
+        for k in np.flatnonzero(~whole & (ids > low[number])).tolist():
+            gone = np.flatnonzero(least[begins[number[k]] : begins[number[k]] + n[number[k]]] < ids[k])
+            a[k], z[k] = gone[0], gone[-1] + 1
+        lost = ids > low[number]
+        start, span = np.concatenate(first) + a, z - a + LENGTH - 1
+        doc, batch = np.concatenate(doc), np.repeat(np.array(t.column("batch")), [len(x) for x in doc])
+        rows = []
+        for k in np.unique(batch):
+            some = np.flatnonzero(lost & (batch == k))
+            some = some[np.lexsort((start[some], doc[some]))]
+            if len(some):
+                rows.append((int(k), planes(doc[some], 4), planes(start[some], 4), planes(span[some], 1)))
+        return _table(rows, spans)
+
+    schema = ", ".join(f"{c} {'long' if k == pa.int64() else 'binary'}" for c, k in sent.items())
+    dealt = docs.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send, schema)
+    return dealt.groupBy("bucket").applyInArrow(sort, "batch long, doc binary, `from` binary, size binary")
+
+
+def _cut(docs: DataFrame, lost: DataFrame, with_bytes: bool) -> DataFrame:
+    """Columns id, sha, n_removed, n_spans, kept_sha256, kept (if asked for) of the documents that lose bytes."""
+    columns = {"id": pa.int64(), "sha": pa.string(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_bytes else {})
+
+    def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
+        if not texts.num_rows or not spans.num_rows:
+            return _table([], columns)
+        texts, raw = _texts(texts)
+        doc, a, size = (np.concatenate(numbers(spans.column(c).to_pylist(), n)).astype(np.int64) for c, n in (("doc", 4), ("from", 4), ("size", 1)))
+        order = np.lexsort((a, doc))
+        doc, a, z = doc[order], a[order], (a + size)[order]
+        rows = []
+        ids, shas = texts.column("id").to_pylist(), texts.column("sha").to_pylist()
+        for k, i, j in _parts(doc, len(raw)):
+            x, y = a[i:j], np.maximum.accumulate(z[i:j])
+            new = np.flatnonzero(np.append(True, x[1:] > y[:-1]))
+            x, y = x[new], np.append(y[new[1:] - 1], y[-1:])
+            edges = [0, *np.stack([x, y], 1).ravel().tolist(), len(raw[k])]
+            kept = b"".join(raw[k][p:q] for p, q in zip(edges[::2], edges[1::2]))
+            rows.append((ids[k], shas[k], len(raw[k]) - len(kept), len(x), hashlib.sha256(kept).hexdigest(), kept)[: len(columns)])
+        return _table(rows, columns)
+
+    schema = "id long, sha string, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
+    return docs.groupBy("batch").cogroup(lost.groupBy("batch")).applyInArrow(run, schema)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -393,24 +368,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text is empty. Texts of under LENGTH bytes stay whole, as do rows with a null
     identifier, which are nobody's earlier document either. Rows that share an identifier are one
-    document in so far as none is smaller than another. Identifiers are whole numbers. An empty
+    document in so far as none is smaller than another; a whole number is needed for one. An empty
     table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     base = written(d.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "byte-sizes")
     n_bytes = base.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    long_enough = d.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    n_buckets = max(12, 2 * n_bytes // (LENGTH - GRAM + 2) // BUCKET_ANCHORS)
-    flags = written(_round_1(long_enough, n_buckets), "anchor-flags")
+    # Documents are dealt over batches by identifier and text, alike in each step.
+    long_enough = d.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).withColumn("sha", F.sha2("text", 256))
+    long_enough = long_enough.withColumn("batch", F.pmod(F.xxhash64("id", "sha"), F.lit(max(12, n_bytes // BATCH_BYTES))))
+    n_anchors = 2 * n_bytes // (LENGTH - GRAM + 2)
+    shared = written(_shared(long_enough, max(12, n_anchors // BUCKET_ANCHORS)), "shared-anchors")
+    forget(spark)
+    lost = written(_lost(long_enough, shared, max(12, n_bytes // BUCKET_SUFFIXES)), "lost-spans")
+    discard(shared)
     forget(spark)
-    marked = written(_marked(long_enough, flags), "marked-texts")
+    cut = written(_cut(long_enough, lost, with_bytes).dropDuplicates(["id", "sha"]), "cut-texts")
+    discard(lost)
     forget(spark)
-    n_suffixes = marked.agg(F.coalesce(F.sum("n_suffixes"), F.lit(0))).first()[0]
-    more = written(_round_2(marked, max(12, n_suffixes // BUCKET_SUFFIXES)), "sorted-spans")
-    cut = _cut(marked, more).where("n_removed > 0").dropDuplicates(["id", "sha"])
-    if not with_bytes:
-        cut = cut.drop("kept")
     out = join_null_safe(base, cut, ["id", "sha"], "left")
     columns = [F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
     return out.select(*columns, *(["kept"] if with_bytes else []))

@@ -14,7 +14,8 @@ from archloom.llm.html_text import op10_html_text
 from archloom.llm.ordinal_quality import op3_ordinal_quality
 from archloom.llm.patience_lines import common_lines, line_dedup, patience
 from archloom.llm.shingle_join import PrefixTree, links, shingle_sets
-from archloom.llm.suffix_dedup import blind_trie_order, covered_suffixes, suffix_dedup
+from archloom.llm import suffix_dedup as suffix_module
+from archloom.llm.suffix_dedup import blind_trie_order, first_holders, suffix_dedup
 from archloom.llm.suffix_tree_lm import END, op2_suffix_tree_lm
 from archloom.llm.swap_packing import Ids, best_fit, improve, tokenizer_path
 
@@ -130,10 +131,28 @@ def test_blind_trie_sorts():
         assert [s[k] for k in blind_trie_order(s)] == sorted(s)
 
 
-def test_covered_suffixes_by_hand():
+def test_first_holders_by_hand():
     buf = np.frombuffer(b"a" * 50 + b"a" * 50 + b"a" * 49 + b"b", np.uint8)
-    got = covered_suffixes(buf, np.array([0, 50, 100]), np.array([1, 1, 1], np.uint64), np.array([3, 5, 9]))
-    assert got.tolist() == [False, True, False]
+    assert first_holders(buf, np.array([0, 50, 100]), np.array([5, 3, 9])).tolist() == [3, 3, 9]
+
+
+def test_suffix_dedup_of_long_texts_and_hot_passages(spark, monkeypatch):
+    r = random.Random(12)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, long = prose(400), prose(700_000)
+    rows = [(i, prose(30) + passage[(i % 7) * 3 :] + prose(60)) for i in range(150)]
+    rows += [(500, long), (400, prose(100) + long[524_200:524_500]), (501, long[:90_000] + prose(20) + long[600_000:]), (501, long[:300]), (600, None), (502, "ab" * 400), (503, "x" + "ab" * 100)]
+    want = removed([(i, (t or "").encode()) for i, t in rows])
+    for hot in (10**9, 5):  # whole extents, then window by window
+        # Arrow functions are sent to the workers with what they refer to.
+        monkeypatch.setattr(suffix_module, "HOT", hot)
+        got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_bytes=True).collect()
+        for x in got:
+            if x.doc_id != 501:
+                assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id]
+            if x.kept is not None:
+                assert hashlib.sha256(x.kept).hexdigest() == x.kept_sha256
+        assert {x.n_bytes: x.n_removed for x in got if x.doc_id == 501} == {300: 300, 190_020: 190_000}
 
 
 def test_language_model(spark, texts):
