@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -98,6 +99,53 @@ def numbers(parts: list[bytes], n_bytes: int) -> list[np.ndarray]:
     return out
 
 
+#: Bytes that are hashed at once.
+_BLOCK = 1 << 20
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers = np.ones(_BLOCK + 1, np.uint64)
+_powers[1:] = np.cumprod(np.full(_BLOCK, ODD[0]))
+_inverses = np.ones(_BLOCK + 1, np.uint64)
+_inverses[1:] = np.cumprod(np.full(_BLOCK, np.uint64(pow(int(ODD[0]), -1, 1 << 64))))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of data, words being runs of bytes other than ASCII white space.
+
+    The data is cut into blocks between words; a word that no block can hold is hashed apart.
+    """
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        buf = np.frombuffer(data, np.uint8, min(_BLOCK, len(data) - at), at)
+        space = _SPACE[buf]
+        if at + len(buf) < len(data):
+            ends = np.flatnonzero(space)
+            if not len(ends):
+                n = len(data[at:].split(None, 1)[0])
+                hashes.append(np.frombuffer(hashlib.blake2b(data[at : at + n], digest_size=8).digest(), np.uint64))
+                starts.append(np.array([at]))
+                at += n
+                continue
+            buf, space = buf[: ends[-1] + 1], space[: ends[-1] + 1]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = np.concatenate([[0] if not space[0] else [], edge, [len(buf)] if not space[-1] else []]).astype(np.int64)
+        first, last = edge[::2], edge[1::2]
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * _powers[: len(buf)], out=sums[1:])
+        hashes.append((sums[last] - sums[first]) * _inverses[first])
+        starts.append(first + at)
+        at += len(buf)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet null keys; the keys come from the left."""
     right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})

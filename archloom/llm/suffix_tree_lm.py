@@ -1,23 +1,20 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Symbols are the frequent words, the end of a document, and classes of the rarer words by their last
-letters; a rare word is its class times its share of the class. The tree grows from the root by
-contexts of one, two, ... symbols: a context is counted if it is frequent and its own suffix was
-kept, and kept if its next-symbol distribution diverges from that suffix's by more than chance.
-Distributions are smoothed into those of the suffix. A text is scored from the longest suffix kept
-at each place.
-
-Everything that travels to the tasks has a proven bound: symbols, contexts and next symbols are
-those above a share of all tokens, so there are at most one over that share. The counts themselves
-are gathered over all training documents by Spark aggregations.
+The root is the smoothed distribution of all training tokens. Below it stand contexts of one, two,
+... tokens: one is counted if it occurs LEAST_CONTEXT times, and kept if its own suffix is and if
+the distribution of its next tokens diverges from its suffix's by more than chance. Distributions
+are smoothed into those of the suffix. A text is scored from the longest suffix kept at each place.
+
+All least counts are absolute, so vocabulary and tree grow with the corpus; neither is gathered in
+one place. Documents are dealt over batches. A batch sends its distinct tokens and n-grams, sorted
+and with their counts, to buckets by hash, and gets back the counts over all training documents
+where they differ from its own. The test of a context is a sum over the places where it stands, so
+batches send their parts of the sums and get back which contexts are kept. One level takes one pass.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,267 +22,204 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of, written
+from .common import ODD, discard, forget, mixed, numbers, planes, table, text_of, word_hashes, written
 
 FOLDS, HELD_OUT = 5, 1
-DEPTH = 3
-#: Least shares of all training tokens: of a word that is looked up by broadcast, of a word that is
-#: a symbol, of a context of one symbol, of a longer one, and of a next symbol in its context.
-LEAST_KNOWN, LEAST_SYMBOL, LEAST_FIRST, LEAST_CONTEXT, LEAST_NEXT = 1e-6, 1e-5, 1e-4, 1e-5, 1e-6
-CLASSES = 64
+DEPTH = 2
+#: Times that a context occurs, and that a next token does to be tested on its own.
+LEAST_CONTEXT, LEAST_NEXT = 8, 2
 #: Standard deviations above chance of the divergence of a context that is kept.
 LEAST_DEVIATIONS = 4.0
-#: Words beyond this many bytes are never looked up by broadcast.
-LONGEST_KNOWN = 64
-#: No word holds white space, so this is no word.
-END = b"\n"
-
-
-def _class_of(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % CLASSES
-
-
-def _counted(d: DataFrame) -> DataFrame:
-    """Columns token, c over all training documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-
-        for b in slices(batches):
-            for text in pc.cast(b.column("text"), pa.binary()).to_pylist():
-                seen.update(text.lower().split())
-            seen[END] += b.num_rows
-            if len(seen) > 400_000:
-                yield out()
-                seen = Counter()
-        if seen:
-            yield out()
-
-    return d.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
-
-
-class Alphabet:
-    """Frequent words with their symbols and logarithms; bounded by one over the least shares."""
-
-    def __init__(self, known: list[tuple[bytes, int]], n: int, v: int, class_n: np.ndarray, class_v: np.ndarray):
-        self.n, self.v = n, v
-        self.base_low = n + 0.5 * (v + 1)
-        least = LEAST_SYMBOL * n
-        symbols = sorted(w for w, c in known if c >= least or w == END)
-        self.size = CLASSES + len(symbols)
-        self.end = CLASSES + symbols.index(END) if END in symbols else -1
-        # Counts of the classes without the words that are symbols.
-        class_n, class_v = class_n.astype(float).copy(), class_v.astype(float).copy()
-        counts = dict(known)
-        for w in symbols:
-            class_n[_class_of(w)] -= counts[w]
-            class_v[_class_of(w)] -= 1
-        self.class_low = class_n + 0.5 * (class_v + 1)
-        number = {w: CLASSES + k for k, w in enumerate(symbols)}
-        total = np.concatenate([class_n, [counts[w] for w in symbols]])
-        self.p0 = np.log10((total + 0.5) / (total.sum() + 0.5 * self.size))
-        # Per word: its symbol, log10 base, and log10 within its class (0 for a symbol).
-        words = [w for w, _ in known]
-        self.index = {w: k for k, w in enumerate(words)}
-        self.symbol = np.array([number.get(w, _class_of(w)) for w in words] + [0], np.int32)
-        c = np.array([c for _, c in known] + [0], float)
-        self.base = np.log10((c + 0.5) / self.base_low)
-        self.within = np.where(self.symbol >= CLASSES, 0.0, np.log10((c + 0.5) / self.class_low[np.minimum(self.symbol, CLASSES - 1)]))
-
-
-def _encoded(d: DataFrame, shared) -> DataFrame:
-    """Per document: its symbols, the sums over the words known to the alphabet, and the other words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: Alphabet = shared.value
-        kind = np.dtype("<u2") if a.size < 65_535 else np.dtype("<i4")
-        other = len(a.index)
-        for b in slices(batches):
-            columns: list[list] = [[] for _ in range(6)]
-            for text in pc.cast(b.column("text"), pa.binary()).to_pylist():
-                words = text.lower().split()
-                words.append(END)
-                k = np.fromiter(map(a.index.get, words, repeat(other)), np.int64, len(words))
-                symbols, rare = a.symbol[k], []
-                missing = np.flatnonzero(k == other)
-                if len(missing):
-                    rare = [words[i] for i in missing]
-                    symbols = symbols.copy()
-                    symbols[missing] = [_class_of(w) for w in rare]
-                base, within = a.base[k], a.within[k]
-                known = k != other
-                for column, value in zip(columns, (len(words), int(known.sum()), float(base[known].sum()), float(within[known].sum()), symbols.astype(kind).tobytes(), rare)):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["id", "row", "held_out", "n_tokens", "n_known", "base", "within", "symbols", "rare"])
+#: Bytes of text of a batch, and entries of a bucket, at the mean.
+BATCH_BYTES, BUCKET_ENTRIES = 8 << 20, 2_000_000
+#: Hash of the end of a document, which also stands once before its first word.
+END = np.uint64(0x5BD1E9955BD1E995)
+#: Bytes of the hash of a token and of a longer n-gram, and of a count.
+_TOKEN, _GRAM, _COUNT = 8, 7, 6
+
+_COUNTS, _SUMS, _KEPT = range(3)
+_SENT = {"bucket": pa.int64(), "batch": pa.int64(), "kind": pa.int32(), "level": pa.int32(), "g": pa.binary(), "n": pa.binary()}
+_BACK = {k: _SENT[k] for k in ("batch", "kind", "level", "g", "n")} | {"tokens": pa.int64(), "distinct": pa.int64()}
+
+
+def _schema(columns: dict[str, pa.DataType]) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{c} {names[k]}" for c, k in columns.items())
+
+
+def _table(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.Table:
+    values = list(zip(*rows)) if rows else [()] * len(columns)
+    return pa.table([pa.array(v, k) for v, k in zip(values, columns.values())], names=list(columns))
 
-    id_type = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(run, f"id {id_type}, row long, held_out boolean, n_tokens long, n_known long, base double, within double, symbols binary, rare array<binary>")
-
-
-class Tree:
-    """Levels of contexts: sorted keys (number in the level above * size + older symbol), their
-    suffix's number, next-symbol log10 by sorted key (number * size + symbol), and log10 of the
-    factor by which other symbols take the suffix's probability."""
-
-    def __init__(self, size: int, end: int, p0: np.ndarray):
-        self.size, self.end, self.p0 = size, end, p0
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def nodes(self, symbols: np.ndarray, starts: np.ndarray, candidates: np.ndarray | None = None) -> list[np.ndarray]:
-        """For each place, its context's number in each level, -1 where there is none; candidates
-        stand for one more level."""
-        found: list[np.ndarray] = []
-        place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
-        keys = [level[0] for level in self.levels]
-        above = np.zeros(len(symbols), np.int64)
-        for k, known in enumerate([*keys, candidates] if candidates is not None else keys):
-            older = np.full(len(symbols), -1, np.int64)
-            older[k + 1 :] = symbols[: -k - 1] if k + 1 < len(symbols) else []
-            # What stands before a document is one end, and nothing before that.
-            older = np.where(place == k, self.end, np.where(place < k, -1, older))
-            number = np.full(len(symbols), -1, np.int64)
-            at = np.flatnonzero((above >= 0) & (older >= 0))
-            if len(known) and len(at):
-                want = above[at] * self.size + older[at]
-                i = np.minimum(np.searchsorted(known, want), len(known) - 1)
-                number[at] = np.where(known[i] == want, i, -1)
-            found.append(number)
-            above = number
-        return found
-
-    def log10(self, level: int, number: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """log10 of the next symbols from contexts of a level; level 0 is the root."""
-        if level == 0:
-            return self.p0[symbols]
-        _, suffix, keys, logs, back = self.levels[level - 1]
-        out = np.empty(len(symbols))
-        want = number * self.size + symbols
-        i = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-        hit = keys[i] == want if len(keys) else np.zeros(len(want), bool)
-        out[hit] = logs[i[hit]]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            out[miss] = back[number[miss]] + self.log10(level - 1, suffix[number[miss]], symbols[miss])
-        return out
 
-    def score(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of each place's symbol from its longest suffix kept."""
-        out = self.p0[symbols]
-        for k, number in enumerate(self.nodes(symbols, starts), 1):
-            at = np.flatnonzero(number >= 0)
-            if len(at):
-                out[at] = self.log10(k, number[at], symbols[at])
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the number of each element among them."""
+    order = np.argsort(x)
+    new = np.append(True, np.diff(x[order]) != 0)[: len(x)]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return x[order][new], number
+
+
+class Batch:
+    """Tokens of a batch of documents, and what its passes have learnt of them.
+
+    Places run over all documents: an end, the words, an end. The first is a context alone.
+    """
+
+    def __init__(self, t: pa.Table, told: list[tuple[int, int, bytes, bytes]], root: tuple[int, int] | None, depth: int):
+        texts = pc.cast(t.column("text"), pa.binary()).to_pylist()
+        words, starts = word_hashes(b"\n".join(texts).lower())
+        size = np.array([len(x) + 1 for x in texts], np.int64)
+        n = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)])))
+        self.begin = np.concatenate([[0], np.cumsum(n + 2)])
+        self.token = np.full(self.begin[-1], END)
+        inner = np.ones(len(self.token), bool)
+        inner[self.begin[:-1]] = inner[self.begin[1:] - 1] = False
+        self.token[inner] = mixed(words)
+        self.doc = np.repeat(np.arange(len(texts)), n + 2)
+        self.place = np.arange(len(self.token)) - self.begin[self.doc]
+        self.train = ~np.array(t.column("held_out").to_pylist(), bool)[self.doc] & (self.place > 0)
+        self.told, self.depth = told, depth
+        #: Of each level: the n-gram that ends at each place, its distinct values and their counts.
+        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count: list[np.ndarray] = []
+        self.root = root
+
+    def level(self, k: int) -> np.ndarray:
+        """Count over all training documents of the k + 1 tokens that end at each place; 0 where they are not counted."""
+        while len(self.count) <= k:
+            j = len(self.count)
+            g = self.token.copy()
+            for i in range(1, j + 1):  # the token i places before
+                g[i:] = mixed(g[i:] * ODD[i % 5] + self.token[:-i])
+            at = np.flatnonzero(self.place > 0 if j == 0 else self.place >= j)
+            if j > 1:  # contexts that are rare have no children
+                at = at[self.level(j - 1)[at - 1] >= LEAST_CONTEXT]
+            known, number = _distinct(g[at] if j == 0 else g[at] >> np.uint64(64 - 8 * _GRAM))
+            own = np.bincount(number, self.train[at], len(known)).astype(np.int64)
+            total = own.copy()
+            for kind, level, keys, counts in self.told:
+                if kind == _COUNTS and level == j:
+                    total[np.searchsorted(known, numbers([keys], _GRAM if j else _TOKEN)[0])] = numbers([counts], _COUNT)[0]
+            self.grams.append((at, known, own))
+            here = np.zeros(len(self.token), np.int64)
+            here[at] = total[number]
+            self.count.append(here)
+        return self.count[k]
+
+    def before(self, k: int) -> np.ndarray:
+        """Count of the context of k tokens before each place; that of the start is the number of documents."""
+        out = np.zeros(len(self.token), np.int64)
+        out[1:] = self.level(k - 1)[:-1]
+        if k == 1:
+            first = np.flatnonzero(self.place == 1)
+            out[first] = self.level(0)[self.begin[self.doc[first] + 1] - 1]
         return out
 
-    def grow(self, keys: np.ndarray, suffix: np.ndarray, node: np.ndarray, symbol: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
-        """Add a level from the counts of candidate contexts, keeping those that pass the divergence test.
-
-        node, symbol, n: the frequent next symbols, in order; total, kinds: all next symbols of a
-        context and how many differ.
-        """
-        depth = len(self.levels)
-        above = 10 ** self.log10(depth, suffix[node], symbol)
-        m = len(keys)
-        share = n / total[node]
-        part = np.bincount(node, share * np.log(share / above), m).astype(float)
-        rest, rest_above = 1 - np.bincount(node, share, m), 1 - np.bincount(node, above, m)
-        ok = (rest > 1e-12) & (rest_above > 1e-12)
-        part[ok] += rest[ok] * np.log(rest[ok] / rest_above[ok])
-        freedom = np.bincount(node, minlength=m)
-        keep = (2 * total * part > freedom + LEAST_DEVIATIONS * np.sqrt(2 * freedom)) & (freedom > 0)
-        p = (n + kinds[node] * above) / (total + kinds)[node]
-        left = np.maximum(1 - np.bincount(node, p, m), 1e-12)
-        back = np.log10(left / np.maximum(rest_above, 1e-12))
-        new = np.cumsum(keep) - 1
-        at = keep[node]
-        entry = new[node[at]] * self.size + symbol[at]
-        order = np.argsort(entry)
-        self.levels.append((keys[keep], suffix[keep], entry[order], np.log10(p[at])[order], back[keep]))
-
-
-def _joined(b: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    kind = np.dtype("<u2") if size < 65_535 else np.dtype("<i4")
-    each = b.column("symbols").to_pylist()
-    lengths = np.array([len(x) // kind.itemsize for x in each], np.int64)
-    return np.frombuffer(b"".join(each), kind).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(each) else np.zeros(0, np.int64)
-
-
-def _pairs(train: DataFrame, shared, candidates) -> DataFrame:
-    """Columns node, symbol, n: next symbols of the candidate contexts, over all training documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        keys, counts, held = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(k // tree.size), pa.array((k % tree.size).astype(np.int32)), pa.array(n)], ["node", "symbol", "n"])
-
-        for b in slices(batches):
-            symbols, starts = _joined(b, tree.size)
-            if not len(symbols):
-                continue
-            number = tree.nodes(symbols, starts, candidates.value)[-1]
-            at = np.flatnonzero(number >= 0)
-            k, n = np.unique(number[at] * tree.size + symbols[at], return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            held += len(k)
-            if held > 3_000_000:
-                yield out()
-                keys, counts, held = [], [], 0
-        if held:
-            yield out()
-
-    return train.select("symbols").mapInArrow(run, "node long, symbol int, n long").groupBy("node", "symbol").agg(F.sum("n").alias("n"))
-
-
-def _grown(spark: SparkSession, train: DataFrame, a: Alphabet, depth: int) -> Tree:
-    tree = Tree(a.size, a.end, a.p0)
-    counts = 10 ** a.p0 * (a.n + 0.5 * a.size) - 0.5
-    candidates = np.flatnonzero(counts >= LEAST_FIRST * a.n).astype(np.int64)
-    suffix = np.zeros(len(candidates), np.int64)
-    for _ in range(depth):
-        if not len(candidates):
-            break
-        pairs = written(_pairs(train, spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(candidates)), "contexts")
-        totals = pairs.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toPandas()
-        # At most 1 / LEAST_NEXT rows, as the counts of a level add up to at most all tokens.
-        rows = pairs.where(F.col("n") >= max(2.0, LEAST_NEXT * a.n)).toPandas().sort_values(["node", "symbol"])
-        total, kinds = np.ones(len(candidates)), np.ones(len(candidates))
-        total[totals.node], kinds[totals.node] = totals.total, totals.kinds
-        tree.grow(candidates, suffix, rows.node.to_numpy(np.int64), rows.symbol.to_numpy(np.int64), rows.n.to_numpy(float), total, kinds)
-        # A longer context: a kept one and the symbol before it. Its count is that of the older
-        # symbol followed by the context, seen as next symbols of shorter contexts.
-        candidates, suffix = _longer(train, spark, tree, a)
-    return tree
-
-
-def _longer(train: DataFrame, spark: SparkSession, tree: Tree, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the frequent contexts one symbol longer than the deepest level, and their suffixes."""
-    shared = spark.sparkContext.broadcast(tree)
-    depth = len(tree.levels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        for b in slices(batches, 2048):
-            symbols, starts = _joined(b, tree.size)
-            number = tree.nodes(symbols, starts)[-1] if len(symbols) else np.zeros(0, np.int64)
-            place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
-            at = np.flatnonzero((number >= 0) & (place >= depth))
-            older = np.where(place[at] == depth, tree.end, symbols[at - depth - 1])
-            k, n = np.unique(number[at] * tree.size + older, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
-
-    found = train.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # At most 1 / LEAST_CONTEXT rows.
-    keys = np.sort(found.where(F.col("n") >= max(2.0, LEAST_CONTEXT * a.n)).toPandas().key.to_numpy(np.int64))
-    return keys, keys // tree.size
+    def key(self, k: int) -> np.ndarray:
+        """Hash of the context of k tokens before each place."""
+        g = self.token.copy()
+        for i in range(1, k):
+            g[i:] = mixed(g[i:] * ODD[i % 5] + self.token[:-i])
+        return np.append(np.uint64(0), g[:-1]) >> np.uint64(64 - 8 * _GRAM)
+
+    def chances(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each token from the longest suffix of at most k tokens kept, and whether all k are."""
+        n, v = self.root
+        p = (self.level(0) + 0.5) / (n + 0.5 * (v + 1))
+        kept = self.place > 0
+        for j in range(1, k + 1):
+            held = [(numbers([g], _GRAM)[0], np.frombuffer(x, "<f8")) for kind, level, g, x in self.told if kind == _KEPT and level == j]
+            keys, kinds = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0))
+            kept = kept & (self.place >= j)
+            at = np.flatnonzero(kept)
+            if not len(keys):
+                return p, np.zeros(len(p), bool)
+            order = np.argsort(keys)
+            keys, kinds = keys[order], kinds[order]
+            want = self.key(j)[at]
+            i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[i] == want
+            kept = np.zeros(len(p), bool)
+            at, kind = at[hit], kinds[i[hit]]
+            kept[at] = True
+            # The longer context holds its next tokens and, in the share of their kinds, what its suffix says.
+            p[at] = (self.level(j)[at] + kind * p[at]) / (self.before(j)[at] + kind)
+        return p, kept
+
+    def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of k tokens that may be kept, and parts of their sums: kinds of next tokens, and
+        of those frequent enough divergence, probability by the suffix, places and kinds; then the count."""
+        p, kept = self.chances(k - 1)
+        context = self.before(k)
+        # Documents held out ask for the contexts too, and add nothing to the sums.
+        at = np.flatnonzero(kept & (self.place >= k) & (context >= LEAST_CONTEXT))
+        known, number = _distinct(self.key(k)[at])
+        train = self.train[at]
+        n, total = np.maximum(self.level(k)[at], 1).astype(float), context[at].astype(float)
+        often = train & (n >= LEAST_NEXT)
+        parts = (np.where(train, 1 / n, 0.0), np.where(often, np.log(n / (total * p[at])), 0.0), np.where(often, p[at] / n, 0.0), often.astype(float), np.where(often, 1 / n, 0.0))
+        count = np.zeros(len(known))
+        count[number] = total
+        return known, np.stack([*(np.bincount(number, x, len(known)) for x in parts), count])
+
+
+def kept_contexts(sums: np.ndarray) -> np.ndarray:
+    """Which contexts diverge from their suffixes by more than chance; a row of sums as Batch.sums gives them."""
+    _, divergence, above, places, freedom, total = sums
+    rest, rest_above = 1 - places / total, 1 - above
+    some = (rest > 1e-12) & (rest_above > 1e-12)
+    divergence = divergence + np.where(some, total * rest * np.log(np.where(some, rest, 1.0) / np.where(some, rest_above, 1.0)), 0.0)
+    return (2 * divergence > freedom + LEAST_DEVIATIONS * np.sqrt(2 * freedom)) & (freedom > 0)
+
+
+def _send(b: Batch, batch: int, done: int, n_buckets: int) -> Iterator[tuple]:
+    """Rows of a pass: counts of tokens and pairs first; then sums of the last level counted, and counts of the next."""
+
+    def deal(g: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+        bucket = ((g >> np.uint64(8 * size - 32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        return ((k, int(i), int(j)) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j)
+
+    for level in (0, 1) if done == 0 else (done + 1,) if done < b.depth else ():
+        b.level(level)
+        _, g, own = b.grams[level]
+        size = _GRAM if level else _TOKEN
+        yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(g[i:j], size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
+    if done:
+        g, sums = b.sums(done)
+        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], _GRAM), sums[:, i:j].astype("<f8").tobytes()) for k, i, j in deal(g, _GRAM))
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """Answers of a bucket to its batches."""
+    kind, level = t.column("kind")[0].as_py(), t.column("level")[0].as_py()
+    batches = t.column("batch").to_pylist()
+    each = numbers(t.column("g").to_pylist(), _GRAM if level else _TOKEN)
+    known, number = _distinct(np.concatenate(each))
+    rows, at = [], 0
+    if kind == _COUNTS:
+        own = [x.astype(np.int64) for x in numbers(t.column("n").to_pylist(), _COUNT)]
+        total = np.bincount(number, np.concatenate(own), len(known)).astype(np.int64)
+        for k, (batch, g, mine) in enumerate(zip(batches, each, own)):
+            whole = total[number[at : at + len(g)]]
+            at += len(g)
+            other = whole != mine
+            rows.append((batch, kind, level, planes(g[other], _GRAM if level else _TOKEN), planes(whole[other], _COUNT), int(total.sum()) * (k == 0), int((total > 0).sum()) * (k == 0)))
+        if level:
+            rows = [(*r[:5], 0, 0) for r in rows]
+        return _table(rows, _BACK)
+    parts = np.concatenate([np.frombuffer(x, "<f8").reshape(6, -1) for x in t.column("n").to_pylist()], axis=1)
+    sums = np.stack([*(np.bincount(number, x, len(known)) for x in parts[:5]), np.zeros(len(known))])
+    sums[5, number] = parts[5]
+    kept = kept_contexts(sums)
+    for batch, g in zip(batches, each):
+        k = number[at : at + len(g)]
+        at += len(g)
+        some = kept[k]
+        rows.append((batch, _KEPT, level, planes(g[some], _GRAM), sums[0][k][some].astype("<f8").tobytes(), 0, 0))
+    return _table(rows, _BACK)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -297,39 +231,54 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     """
     spark = docs.sparkSession
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
-    d = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), held.alias("held_out"), text_of(text_col).alias("text"))
-    vocabulary = written(_counted(d.where(~F.col("held_out"))), "vocabulary")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    last = F.crc32(F.expr("substring(token, greatest(length(token) - 1, 1), 2)"))
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, cn, cv in vocabulary.groupBy(F.pmod(last, F.lit(CLASSES))).agg(F.sum("c"), F.count("*")).collect():
-        class_n[k], class_v[k] = cn, cv
-    # At most 1 / LEAST_KNOWN words of at most LONGEST_KNOWN bytes.
-    known = vocabulary.where(((F.col("c") >= LEAST_KNOWN * n) & (F.length("token") <= LONGEST_KNOWN)) | (F.col("token") == F.lit(END))).toPandas()
-    a = Alphabet(sorted((bytes(w), int(c)) for w, c in zip(known.token, known.c)), int(n), int(v), class_n, class_v)
-    encoded = written(_encoded(d, spark.sparkContext.broadcast(a)), "encoded")
-    tree = _grown(spark, encoded.where(~F.col("held_out")), a, depth)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        for b in slices(batches):
-            symbols, starts = _joined(b, tree.size)
-            sums = np.add.reduceat(tree.score(symbols, starts), starts) if len(starts) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(sums)], ["row", "tree_score"])
-
-    scored = encoded.select("row", "symbols").mapInArrow(run, "row long, tree_score double")
-    rare = encoded.select("row", F.explode("rare").alias("token")).join(vocabulary, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    lows = F.array(*map(F.lit, a.class_low.tolist()))
-    low = F.element_at(lows, (F.pmod(last, F.lit(CLASSES)) + 1).cast("int"))
-    rare = rare.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / F.lit(a.base_low))).alias("rare_base"), F.sum(F.log10((F.col("c") + 0.5) / low)).alias("rare_within"), F.sum((F.col("c") > 0).cast("long")).alias("rare_known"))
-    rows = encoded.drop("symbols", "rare").join(scored, "row").join(rare, "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"),
-        (F.col("tree_score") + F.col("within") + zero("rare_within")).alias("score"),
-    )
+    d = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text_of(text_col).alias("text"))
+    id_type = d.schema["id"].dataType.simpleString()
+    n_bytes = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # A document is dealt to the same batch in each pass.
+    d = d.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(max(12, n_bytes // BATCH_BYTES))))
+    n_buckets = max(12, n_bytes // 5 // BUCKET_ENTRIES)
+
+    def answers(told: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
+        return list(zip(*(told.column(c).to_pylist() for c in ("kind", "level", "g", "n"))))
+
+    def first(t: pa.Table) -> pa.Table:
+        return _table(list(_send(Batch(t, [], None, depth), t.column("batch")[0].as_py(), 0, n_buckets)), _SENT)
+
+    told = written(d.groupBy("batch").applyInArrow(first, _schema(_SENT)).groupBy("bucket").applyInArrow(_meet, _schema(_BACK)), "token-counts")
+    forget(spark)
+    n, v = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    used = [told]
+
+    def grown(done: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def more(t: pa.Table, got: pa.Table) -> pa.Table:
+            if not t.num_rows:
+                return _table([], _SENT)
+            return _table(list(_send(Batch(t, answers(got), (n, v), depth), t.column("batch")[0].as_py(), done, n_buckets)), _SENT)
+
+        return more
+
+    for done in range(1, depth + 1):
+        sent = d.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(grown(done), _schema(_SENT))
+        used.append(written(sent.groupBy("bucket").applyInArrow(_meet, _schema(_BACK)), f"level-{done}"))
+        forget(spark)
+        told = told.unionByName(used[-1])
+
+    columns = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(t: pa.Table, got: pa.Table) -> pa.Table:
+        b = Batch(t, answers(got), (n, v), depth)
+        count, real = b.level(0), b.place > 0
+        base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
+        p, _ = b.chances(depth)
+        by = lambda x: pa.array(np.bincount(b.doc[real], x[real], t.num_rows))
+        whole = lambda x: pc.cast(by(x), pa.int64())
+        return pa.table([t.column("id"), t.column("held_out"), whole(np.ones(len(count))), whole(count > 0), pa.array(np.full(t.num_rows, n), pa.int64()), by(base), by(np.log10(p))], names=columns)
+
+    out = d.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = written(out, "scores")
+    for x in used:
+        discard(x)
+    return out.withColumnRenamed("id", id_col)
 
 
 def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

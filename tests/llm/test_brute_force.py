@@ -16,10 +16,12 @@ from archloom.llm.patience_lines import common_lines, line_dedup, patience
 from archloom.llm.shingle_join import PrefixTree, links, shingle_sets
 from archloom.llm import suffix_dedup as suffix_module
 from archloom.llm.suffix_dedup import blind_trie_order, first_holders, suffix_dedup
-from archloom.llm.suffix_tree_lm import END, op2_suffix_tree_lm
+from archloom.llm.suffix_tree_lm import op2_suffix_tree_lm
 from archloom.llm.swap_packing import Ids, best_fit, improve, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
+#: No word holds white space, so this is no word.
+END_WORD = b"\n"
 
 
 @pytest.fixture(scope="module")
@@ -156,7 +158,7 @@ def test_suffix_dedup_of_long_texts_and_hot_passages(spark, monkeypatch):
 
 
 def test_language_model(spark, texts):
-    words = {i: t.encode().lower().split() + [END] for i, t in texts.items()}
+    words = {i: t.encode().lower().split() + [END_WORD] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     count = collections.Counter(w for i, ws in words.items() if not held[i] for w in ws)
     n, v = sum(count.values()), len(count)
@@ -166,6 +168,40 @@ def test_language_model(spark, texts):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(words[r.doc_id]), sum(w in count for w in words[r.doc_id]), n)
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    # The tree by definition: counts of all n-grams, contexts level by level, the longest suffix kept.
+    path = {i: [END_WORD, *ws] for i, ws in words.items()}
+    grams = collections.Counter(tuple(p[k - j : k + 1]) for i, p in path.items() if not held[i] for k in range(1, len(p)) for j in (1, 2) if k >= j)
+    after = collections.defaultdict(dict)
+    for g, c in grams.items():
+        after[g[:-1]][g[-1]] = c
+    kept = {(): None}
+
+    def chance(context, w):
+        if not context:
+            return (count[w] + 0.5) / (n + 0.5 * (v + 1))
+        if context not in kept or context[1:] not in kept:
+            return chance(context[1:], w)
+        nexts = after[context]
+        return (nexts.get(w, 0) + len(nexts) * chance(context[1:], w)) / (sum(nexts.values()) + len(nexts))
+
+    for size in (1, 2):
+        for context, nexts in after.items():
+            total = sum(nexts.values())
+            if len(context) != size or total < 8 or context[1:] not in kept:
+                continue
+            often = {w: c for w, c in nexts.items() if c >= 2}
+            above = {w: chance(context[1:], w) for w in often}
+            g = sum(c * math.log(c / total / above[w]) for w, c in often.items())
+            rest, rest_above = 1 - sum(often.values()) / total, 1 - sum(above.values())
+            if rest > 1e-12 and rest_above > 1e-12:
+                g += total * rest * math.log(rest / rest_above)
+            if often and 2 * g > len(often) + 4 * math.sqrt(2 * len(often)):
+                kept[context] = None
+    assert len(kept) > 20 and any(len(k) == 2 for k in kept)
+    for r in rows:
+        p = path[r.doc_id]
+        want = sum(math.log10(chance(tuple(p[max(0, k - 2) : k]), p[k])) for k in range(1, len(p)))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
 
 
 def test_classifier_beats_chance_on_the_held_out_fold(spark):
