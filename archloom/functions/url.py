@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -48,54 +49,83 @@ def _map(values: dict[str, str]) -> Column:
     return F.create_map(*map(F.lit, chain.from_iterable(values.items())))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that it names, so that an expression used in many places stands in the plan once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_http(u: Column) -> Column:
     return u.rlike(r"(?i)^https?://")
 
 
 def canon_path(p: Column) -> Column:
     """Slash runs and dot segments gone; a slash at the end only where the input had one; ten characters escaped."""
-    kept = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
-    none = F.array().cast("array<string>")
-    folded = F.aggregate(kept, none, lambda a, s: F.when(s == "..", F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(none)).otherwise(F.concat(a, F.array(s))))
-    out = F.concat(F.lit("/"), F.array_join(folded, "/"))
-    out = F.when(p.endswith("/") & (out != "/"), F.concat(out, F.lit("/"))).otherwise(out)
-    for c, e in ESCAPES.items():
-        out = F.replace(out, F.lit(c), F.lit(e))
-    return out
+
+    def of(p: Column) -> Column:
+        kept = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
+        none = F.array().cast("array<string>")
+        folded = F.aggregate(kept, none, lambda a, s: F.when(s == "..", F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(none)).otherwise(F.concat(a, F.array(s))))
+        out = let(F.concat(F.lit("/"), F.array_join(folded, "/")), lambda x: F.when(p.endswith("/") & (x != "/"), F.concat(x, F.lit("/"))).otherwise(x))
+        for c, e in ESCAPES.items():
+            out = F.replace(out, F.lit(c), F.lit(e))
+        return out
+
+    return let(p, of)
+
+
+def parsed(u: Column) -> Column:
+    """Struct of scheme, authority (host with port), path and query of a URL, its fragment aside."""
+
+    def of(t: Column) -> Column:
+        part = lambda k: F.regexp_extract(t, URL, k)
+        return F.struct(lower(part(1)).alias("scheme"), lower(F.regexp_replace(part(2), "^.*@", "")).alias("authority"), part(3).alias("path"), part(4).alias("query"))
+
+    return let(F.substring_index(trim(u), "#", 1), of)
 
 
-def _parts(u: Column) -> tuple[Column, Column, Column, Column]:
-    """Scheme, host with port, path and query of a URL without a fragment."""
-    t = F.substring_index(trim(u), "#", 1)
-    part = lambda k: F.regexp_extract(t, URL, k)
-    return lower(part(1)), lower(F.regexp_replace(part(2), "^.*@", "")), part(3), part(4)
+def _host(x: Column) -> Column:
+    return F.regexp_extract(x.getField("authority"), r"^(\[[^\]]*\]|[^:]*)", 1)
+
+
+def _path(x: Column) -> Column:
+    return F.coalesce(F.nullif(x.getField("path"), F.lit("")), F.when(x.getField("path").isNotNull(), "/"))
+
+
+def _extension(p: Column) -> Column:
+    return lower(F.regexp_extract(p, r"\.([^./]*)$", 1))
 
 
 def normalize(u: Column) -> Column:
     """Canonical form; empty where there is no host."""
-    scheme, authority, path, query = _parts(u)
-    scheme = F.when(scheme == "", F.lit("http")).otherwise(scheme)
-    host, port = (F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?", k) for k in (1, 2))
-    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    out = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), canon_path(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(host == "", "").otherwise(out)
+
+    def of(x: Column) -> Column:
+        scheme = F.when(x.getField("scheme") == "", F.lit("http")).otherwise(x.getField("scheme"))
+        port = F.regexp_extract(x.getField("authority"), r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?", 2)
+        usual = lambda s, p: (p == "") | ((s == "http") & (p == "80")) | ((s == "https") & (p == "443"))
+        q = x.getField("query")
+        named = F.struct(scheme.alias("s"), port.alias("p"), _host(x).alias("h"))
+        whole = lambda y: F.concat(
+            y.getField("s"), F.lit("://"), y.getField("h"), F.when(usual(y.getField("s"), y.getField("p")), "").otherwise(F.concat(F.lit(":"), y.getField("p"))), canon_path(x.getField("path")), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
+        )
+        return let(named, lambda y: F.when(y.getField("h") == "", "").otherwise(whole(y)))
+
+    return let(parsed(u), of)
 
 
 def host(u: Column) -> Column:
-    return F.regexp_extract(_parts(u)[1], r"^(\[[^\]]*\]|[^:]*)", 1)
+    return _host(parsed(u))
 
 
 def path(u: Column) -> Column:
-    p = _parts(u)[2]
-    return F.when(p == "", "/").otherwise(p)
+    return let(parsed(u), _path)
 
 
 def query(u: Column) -> Column:
-    return _parts(u)[3]
+    return parsed(u).getField("query")
 
 
 def extension(u: Column) -> Column:
-    return lower(F.regexp_extract(path(u), r"\.([^./]*)$", 1))
+    return _extension(path(u))
 
 
 def is_dynamic(u: Column) -> Column:
@@ -104,17 +134,20 @@ def is_dynamic(u: Column) -> Column:
 
 def base_domain(h: Column) -> Column:
     """The last two labels, or three where the second-last is a common second level under a short one."""
-    labels = F.split(lower(h), r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, n - k + 1, F.lit(k)), ".")
-    deep = (n > 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL) & (F.length(F.get(labels, n - 1)) <= 3)
-    return F.when(n <= 2, lower(h)).when(deep, last(3)).otherwise(last(2))
+
+    def of(labels: Column) -> Column:
+        n = F.size(labels)
+        last = lambda k: F.array_join(F.slice(labels, n - k + 1, F.lit(k)), ".")
+        deep = (n > 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL) & (F.length(F.get(labels, n - 1)) <= 3)
+        return F.when(n <= 2, F.array_join(labels, ".")).when(deep, last(3)).otherwise(last(2))
+
+    return let(F.split(lower(h), r"\."), of)
 
 
 def same_site(u: Column, root_host: Column, subdomains: Column) -> Column:
-    h, r = host(u), lower(root_host)
+    r = lower(root_host)
     bare = lambda x: F.regexp_replace(x, r"^www\.", "")
-    return (h != "") & ((h == r) | (bare(h) == bare(r)) | (subdomains & (base_domain(h) == base_domain(r))))
+    return let(host(u), lambda h: (h != "") & ((h == r) | (bare(h) == bare(r)) | (subdomains & (base_domain(h) == base_domain(r)))))
 
 
 def type_from_url(u: Column) -> Column:
@@ -144,21 +177,24 @@ def html_decode(c: Column) -> Column:
 
 def resolve(base: Column, ref: Column) -> Column:
     """Absolute form of a reference; null for fragments, other schemes and bases without a host."""
-    r = trim(F.translate(html_decode(ref), "\r\n\t", ""))
-    scheme, authority, p, _ = _parts(base)
-    at = F.concat(F.when(scheme == "", "http").otherwise(scheme), F.lit("://"), authority)
-    folder = F.coalesce(F.nullif(F.regexp_extract(p, r"^(.*/)", 1), F.lit("")), F.lit("/"))
-    none = F.lit(None).cast("string")
-    out = (
-        F.when((r == "") | r.startswith("#"), none)
-        .when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(is_http(r), r).otherwise(none))
-        .when(authority == "", none)
-        .when(r.startswith("//"), F.concat(F.when(scheme == "", "http").otherwise(scheme), F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(at, r))
-        .when(r.startswith("?"), F.concat(at, F.when(p == "", "/").otherwise(p), r))
-        .otherwise(F.concat(at, folder, r))
-    )
-    return F.nullif(normalize(out), F.lit(""))
+
+    def of(r: Column) -> Column:
+        none = F.lit(None).cast("string")
+
+        def against(b: Column) -> Column:
+            scheme, authority, p = (b.getField(k) for k in ("scheme", "authority", "path"))
+            scheme = F.when(scheme == "", "http").otherwise(scheme)
+            folder = F.regexp_extract(p, r"^(.*/)", 1)
+            rest = (
+                F.when(r.startswith("/"), r)
+                .when(r.startswith("?"), F.concat(F.when(p == "", "/").otherwise(p), r))
+                .otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), r))
+            )
+            return F.when(authority == "", none).when(r.startswith("//"), F.concat(scheme, F.lit(":"), r)).otherwise(F.concat(scheme, F.lit("://"), authority, rest))
+
+        return F.when((r == "") | r.startswith("#"), none).when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(is_http(r), r).otherwise(none)).otherwise(let(parsed(base), against))
+
+    return F.nullif(normalize(let(trim(F.translate(html_decode(ref), "\r\n\t", "")), of)), F.lit(""))
 
 
 def safe_segment(s: Column) -> Column:
@@ -167,43 +203,59 @@ def safe_segment(s: Column) -> Column:
     t = F.regexp_replace(t, r"[\x00-\x1F\x7F]", "")
     t = trim(F.regexp_replace(t, r'[<>:"|?*/]+', "-"))
     t = F.trim(F.regexp_replace(t, r"\s+", "-"), F.lit(".-"))
-    t = F.when(t == "", "_").otherwise(t)
-    stem, ext = F.regexp_replace(t, r"\.[^.]*$", ""), F.regexp_extract(t, r"(\.[^.]+)$", 1)
-    t = F.when(lower(stem).rlike(RESERVED), F.concat(F.lit("_"), t)).otherwise(t)
-    stem = F.when(lower(stem).rlike(RESERVED), F.concat(F.lit("_"), stem)).otherwise(stem)
-    short = F.concat(F.substring(stem, 1, 70), F.lit("-"), F.substring(F.sha1(t), 1, 8), ext)
-    return F.when(F.octet_length(t) > 90, short).otherwise(t)
+    t = let(t, lambda x: F.when(x == "", "_").otherwise(x))
+
+    def of(t: Column) -> Column:
+        bare = F.regexp_replace(t, r"\.[^.]*$", "")
+        mark = F.when(lower(bare).rlike(RESERVED), F.lit("_")).otherwise("")
+
+        def named(x: Column) -> Column:
+            whole, stem = F.concat(x, t), F.concat(x, bare)
+            short = F.concat(F.substring(stem, 1, 70), F.lit("-"), F.substring(F.sha1(whole), 1, 8), F.regexp_extract(t, r"(\.[^.]+)$", 1))
+            return F.when(F.octet_length(whole) > 90, short).otherwise(whole)
+
+        return let(mark, named)
+
+    return let(t, of)
 
 
 def local_path(u: Column, kind: Column, root_host: Column) -> Column:
     """File of a URL in the copy of a site: stable, safe and relative to the copy's root."""
-    h, p, q = host(u), path(u), query(u)
-    segments = F.filter(F.split(p, "/"), lambda s: s != "")
-    folder_form = p.endswith("/")
-    n = F.size(segments)
-    last = F.when(folder_form | (n == 0), "").otherwise(F.element_at(F.concat(F.array(F.lit("")), segments), -1))
-    folders = F.when(folder_form, segments).otherwise(F.slice(segments, F.lit(1), F.greatest(n - 1, F.lit(0))))
-    raw_ext = lower(F.regexp_extract(last, r"\.([^.]*)$", 1))
-    safe = safe_segment(last)
-    default = F.coalesce(F.try_element_at(_map(NAME_FOR_TYPE), kind), F.lit("bin"))
-    html = kind == "html"
-    folders = F.transform(folders, safe_segment)
-    folders = F.when(html & (last != "") & (raw_ext == ""), F.concat(folders, F.array(safe))).otherwise(folders)
-    name = (
-        F.when(html, F.when((last == "") | (raw_ext == ""), "index.html").when(raw_ext.isin("html", "htm"), safe).otherwise(F.concat(safe, F.lit(".html"))))
-        .when(last == "", F.concat(F.lit("index."), F.when(kind == "", "bin").otherwise(kind)))
-        .when(~safe.rlike(r"\.[^.]+$"), F.concat(safe, F.lit("."), default))
-        .otherwise(safe)
-    )
-    # A query makes another page of the same path: a tag of it goes before the extension.
-    tag = F.concat(F.lit("__"), F.substring(F.sha1(q), 1, 7))
-    name = F.when(q == "", name).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), tag, F.regexp_extract(name, r"(\.[^.]*)$", 1)))
-    bare = lambda x: F.regexp_replace(x, r"^www\.", "")
-    outside = F.when(bare(h) == bare(lower(root_host)), F.array().cast("array<string>")).otherwise(F.array(F.lit("_external"), safe_segment(h)))
-    whole = F.concat(outside, folders, F.array(name))
-    full = F.array_join(whole, "/")
-    deep = F.array_join(F.concat(F.slice(whole, 1, 2), F.array(F.lit("_deep"), F.substring(F.sha1(full), 1, 10), F.element_at(whole, -1))), "/")
-    return F.when(F.octet_length(full) > 180, deep).otherwise(full)
+
+    def of(x: Column) -> Column:
+        segments = F.filter(F.split(_path(x), "/"), lambda s: s != "")
+        folder_form = x.getField("path").endswith("/")
+        last = F.when(folder_form, "").otherwise(F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")))
+        folders = lambda s: F.when(folder_form, s).otherwise(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
+        named = F.struct(segments.alias("s"), last.alias("last"), lower(F.regexp_extract(last, r"\.([^.]*)$", 1)).alias("ext"))
+        return let(named, lambda y: placed(x, folders(y.getField("s")), y.getField("last"), y.getField("ext")))
+
+    def placed(x: Column, folders: Column, last: Column, ext: Column) -> Column:
+        default = F.coalesce(F.try_element_at(_map(NAME_FOR_TYPE), kind), F.lit("bin"))
+        html = kind == "html"
+        q = x.getField("query")
+        # A query makes another page of the same path: a tag of it goes before the extension.
+        tagged = lambda n: F.when(q == "", n).otherwise(F.concat(F.regexp_replace(n, r"\.[^.]*$", ""), F.lit("__"), F.substring(F.sha1(q), 1, 7), F.regexp_extract(n, r"(\.[^.]*)$", 1)))
+
+        def parts(safe: Column) -> Column:
+            name = (
+                F.when(html, F.when((last == "") | (ext == ""), "index.html").when(ext.isin("html", "htm"), safe).otherwise(F.concat(safe, F.lit(".html"))))
+                .when(last == "", F.concat(F.lit("index."), F.when(kind == "", "bin").otherwise(kind)))
+                .when(~safe.rlike(r"\.[^.]+$"), F.concat(safe, F.lit("."), default))
+                .otherwise(safe)
+            )
+            own = F.when(html & (last != "") & (ext == ""), F.array(safe)).otherwise(F.array().cast("array<string>"))
+            return F.concat(F.transform(folders, safe_segment), own, F.array(let(name, tagged)))
+
+        bare = lambda h: F.regexp_replace(h, r"^www\.", "")
+        outside = let(_host(x), lambda h: F.when(bare(h) == bare(lower(root_host)), F.array().cast("array<string>")).otherwise(F.array(F.lit("_external"), safe_segment(h))))
+        return let(F.concat(outside, let(safe_segment(last), parts)), short)
+
+    def short(whole: Column) -> Column:
+        deep = lambda full: F.array_join(F.concat(F.slice(whole, 1, 2), F.array(F.lit("_deep"), F.substring(F.sha1(full), 1, 10), F.element_at(whole, -1))), "/")
+        return let(F.array_join(whole, "/"), lambda full: F.when(F.octet_length(full) > 180, deep(full)).otherwise(full))
+
+    return let(parsed(u), of)
 
 
 def relative_path(source: Column, target: Column) -> Column:
@@ -217,19 +269,26 @@ def relative_path(source: Column, target: Column) -> Column:
 
 
 def same_dir(a: Column, b: Column) -> Column:
-    folder = lambda u: F.concat(host(u), F.regexp_extract(path(u), r"^(.*/)", 1))
     return folder(a) == folder(b)
 
 
+def folder(u: Column) -> Column:
+    """Host and path of a URL up to the last slash."""
+    return let(parsed(u), lambda x: F.concat(_host(x), F.regexp_extract(_path(x), r"^(.*/)", 1)))
+
+
 def short_url(u: Column, root_host: Column, most: int = 95) -> Column:
     """Path and query, after the host where that is not the root's, cut to most characters."""
-    q = query(u)
-    t = F.concat(F.when(host(u) == lower(root_host), "").otherwise(host(u)), path(u), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    return F.when(F.octet_length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t)
+
+    def of(x: Column) -> Column:
+        q = x.getField("query")
+        t = F.concat(let(_host(x), lambda h: F.when(h == lower(root_host), "").otherwise(h)), _path(x), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        return let(t, lambda t: F.when(F.octet_length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t))
+
+    return let(parsed(u), of)
 
 
 def admit_url(u: Column) -> Column:
     """Canonical form of what a person typed; empty for what is no site."""
-    t = trim(u)
-    n = normalize(F.when((t != "") & ~is_http(t), F.concat(F.lit("https://"), t)).otherwise(t))
-    return F.when(host(n).rlike(r"^[a-z0-9]([a-z0-9.\-]*[a-z0-9])?$"), n).otherwise("")
+    whole = let(trim(u), lambda t: F.when((t != "") & ~is_http(t), F.concat(F.lit("https://"), t)).otherwise(t))
+    return let(normalize(whole), lambda n: F.when(host(n).rlike(r"^[a-z0-9]([a-z0-9.\-]*[a-z0-9])?$"), n).otherwise(""))
