@@ -23,6 +23,8 @@ SILENT = frozenset("script style noscript template head iframe object svg math c
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Of the silent ones, those that run to their closing tag whatever lies between, and those that no block can lie in.
+RAW, INLINE = frozenset("script style noscript template textarea title".split()), frozenset("select option button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav footer aside form menu header dialog search".split())
 INSIDE = frozenset("article main".split())
@@ -31,6 +33,8 @@ _OUTSIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?|contentinfo|complementary)(?=$|[\s_-])",
     re.I,
 )
+#: A class of this kind says that a page has something, not that an element is it.
+_ABOUT = re.compile(r"(?:^|\s)(?:has|no|not|with|without|is|hide|show)[-_]\S*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)(?:>|$)", re.S)
 #: A whole attribute; as values are read along, nothing within them passes for a name.
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -123,11 +127,30 @@ def _outside(name: str, attrs: str, within: bool) -> bool | None:
                 return None
             if key in ("class", "id", "role") and name not in ("body", "html", "article", "main"):
                 # The header of an article is part of it, by whatever name.
-                if any(not (within and m[1].lower() == "header") for m in _OUTSIDE_WORDS.finditer(value)):
+                if any(not (within and m[1].lower() == "header") for m in _OUTSIDE_WORDS.finditer(_ABOUT.sub(" ", value))):
                     outside = True
     return outside
 
 
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})\b", re.I)
+
+
+def _silent_end(page: str, name: str, m: re.Match, at: int) -> int:
+    """Where the page goes on after a silent element; one left open ends at the next block."""
+    if m[0].endswith("/>"):
+        return at
+    close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+    if close and name not in INLINE:
+        return close.end()
+    if not close and name in RAW:
+        return len(page)
+    if not close and name in ("head", "svg", "math"):
+        return at
+    block = _BLOCK_TAG.search(page, at)
+    ends = [x for x in (close and close.end(), block and block.start()) if x]
+    return min(ends, default=len(page))
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """Flat blocks in page order: text, words, link density, place, heading."""
     found, parts, linked = [], [], []
@@ -180,9 +203,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         if name in VOID and name != "hr":
             continue
         if name in SILENT:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at) if not m[0].endswith("/>") else None
-            if name not in ("head", "svg", "math") or close:
-                at = at if m[0].endswith("/>") else close.end() if close else len(page)
+            at = _silent_end(page, name, m, at)
             if name in BLOCK:
                 end()
             continue
@@ -205,7 +226,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
                 elif outside:
                     end()
                     place = -1
-                elif name in INSIDE and place >= 0:
+                elif name in INSIDE and (place >= 0 or name == "main"):
                     place = 1
     end()
     return found
@@ -214,7 +235,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
 def main_text(page: str | None, tree: tuple | float) -> str:
     """The main text of one page; empty for none."""
     found = blocks(page or "")
-    if any(b[3] == 1 for b in found):
+    marked, plain = (sum(b[1] for b in found if b[3] == k and b[2] < 0.5) for k in (1, 0))
+    # An article with less text than what lies beside it is a teaser.
+    if marked and marked >= plain:
         found = [b if b[3] != 0 else (*b[:3], -1, b[4]) for b in found]  # a page that marks its article says what is not
     kept = []
     for k, (text, n, links, place, heading) in enumerate(found):

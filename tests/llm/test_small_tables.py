@@ -172,3 +172,28 @@ def test_attributes_are_read_whole(spark):
     assert got[1] == f"{text(1)} here {text(2)}"
     assert got[4] == f"The headline\n\n{text(1)}"
     assert all(got[k] == text(1) for k in (2, 3, 5, 6))
+
+
+def test_layouts_that_hold_their_main_text(spark):
+    text = lambda k: prose(90 + k, 60)
+    nav = '<nav><a href="/">home</a> <a href="/x">more links</a></nav>'
+    pages = {
+        1: f'<div class="layout has-sidebar"><article><p>{text(1)}</p></article></div>',
+        2: f'<div class="content no-sidebar"><p>{text(1)}</p></div>',
+        3: f'<div data-role="search"><article><p>{text(1)}</p></article></div>',
+        4: f'{nav}<div><p>{text(1)}</p><p>{text(2)}</p></div><article><p>{prose(99, 12)}</p></article>',
+        5: f'<article><p>{text(1)}</p><button>press<p>{text(2)}</p></article>',
+        6: f'<article><p>{text(1)}</p><audio src="x"><p>{text(2)}</p></article>',
+        7: f'<article><p>{text(1)}</p><select><option>a<p>{text(2)}</p><button>b</button></article>',
+        8: f'<div class="page sidebar-left"><main><p>{text(1)}</p></main></div>',
+        9: f'<article><p>{text(1)}</p></article><div class="comments"><article><p>{text(2)}</p></article></div>',
+    }
+    rows = [(k, "u", f"<html><body>{b}</body></html>") for k, b in pages.items()]
+    rows += [rows[0]]  # repeated rows are rows of their own
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in extract(d).collect()]
+    assert len(got) == 10
+    want = {k: text(1) for k in (1, 2, 3, 8, 9)} | {k: f"{text(1)}\n\n{text(2)}" for k in (5, 6, 7)}
+    assert {k: t for k, t in got if k in want} == want
+    assert f"{text(1)}\n\n{text(2)}" in dict(got)[4]
+    assert extract(d.limit(0)).count() == 0
