@@ -93,44 +93,92 @@ def skippable(ref: Column) -> Column:
     return out
 
 
-def tags(pages: DataFrame) -> DataFrame:
-    """Rows page_id, pos, tag (name), raw of every start tag outside protected bodies."""
-    d = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(protect(F.col("html")), F.lit(TAG), 0)).alias("pos", "raw"))
+def tags(pages: DataFrame, *keep: str) -> DataFrame:
+    """Rows page_id, url, pos, tag (name), raw of every start tag outside protected bodies, and the columns keep."""
+    d = pages.select("page_id", "url", *keep, F.posexplode(F.regexp_extract_all(protect(F.col("html")), F.lit(TAG), 0)).alias("pos", "raw"))
     return d.withColumn("tag", lower(F.regexp_extract("raw", r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)))
 
 
-def attributes(pages: DataFrame) -> DataFrame:
+def attributes(pages: DataFrame, *keep: str) -> DataFrame:
     """Rows page_id, url, pos, tag, raw, apos, attr, value of every attribute with a value."""
-    d = tags(pages).select("page_id", "url", "pos", "tag", "raw", F.posexplode(F.regexp_extract_all("raw", F.lit(ATTR), 0)).alias("apos", "pair"))
+    d = tags(pages, *keep).select("page_id", "url", *keep, "pos", "tag", "raw", F.posexplode(F.regexp_extract_all("raw", F.lit(ATTR), 0)).alias("apos", "pair"))
     name = lower(F.regexp_extract("pair", r"^([^\s=]+)", 1))
-    return d.select("page_id", "url", "pos", "tag", "raw", "apos", name.alias("attr"), _unquoted(F.regexp_extract("pair", r"(?s)=\s*(.*)$", 1)).alias("value"))
+    return d.select("page_id", "url", *keep, "pos", "tag", "raw", "apos", name.alias("attr"), _unquoted(F.regexp_extract("pair", r"(?s)=\s*(.*)$", 1)).alias("value"))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """Rows page_id, url, pos, apos, target, kind, type of the links of HTML attributes, in document order."""
-    bases = pages.select("page_id", F.explode(F.array(base_href(F.col("html"), F.col("url")))).alias("base"))
-    d = attributes(pages).where(F.col("attr").isin(*URL_ATTRS) & ~skippable(F.col("value"))).join(bases, "page_id")
-    d = resolved(d, "base", "value")
+def _via(refs: Column, via: str) -> Column:
+    return F.transform(refs, lambda x: F.struct(x.alias("ref"), F.lit(via).alias("via")))
+
+
+def css_refs(css: Column) -> Column:
+    """Array of (ref, via) of a style sheet: its url(...) and then its plain imports."""
+    inner = lambda x: _unquoted(trim(F.regexp_extract(x, r"(?i)^url\((.*)\)$", 1)))
+    plain = lambda x: _unquoted(trim(F.regexp_extract(x, r"(?i)^@import\s+(.*)$", 1)))
+    return F.concat(_via(F.transform(F.regexp_extract_all(css, F.lit(CSS_URL), 0), inner), "css"), _via(F.transform(F.regexp_extract_all(css, F.lit(CSS_IMPORT), 0), plain), "import"))
+
+
+def bodies(html: Column, tag: str) -> Column:
+    """Array of the bodies of all elements of a raw-text tag, comments aside."""
+    return F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), 1)
+
+
+def references(pages: DataFrame, scripts: bool = False) -> DataFrame:
+    """Rows page_id, url, base, pos, apos, ipos, tag, attr, raw, ref, via of all that may name a URL.
+
+    Attributes, srcset candidates, style attributes and meta elements come at the place of their tag;
+    style bodies before all tags (pos -1), and literals of scripts, if asked for, before these (-2).
+    """
+    # The base is computed in the row, before anything is taken from it.
+    d = pages.select("page_id", "url", "html", F.explode(F.array(base_href(F.col("html"), F.col("url")))).alias("base"))
+    a = attributes(d, "base")
+    named = meta_target(F.when(lower(attribute(F.col("raw"), "http-equiv")) == "refresh", "refresh").otherwise(F.coalesce(F.nullif(attribute(F.col("raw"), "property"), F.lit("")), attribute(F.col("raw"), "name"))), F.col("value"))
+    sets = F.when(lower(F.col("value")).contains("data:"), F.array().cast("array<string>")).otherwise(srcset(F.col("value")).getField("ref"))
+    refs = (
+        F.when(F.col("attr").isin(*SRCSET_ATTRS), _via(sets, "srcset"))
+        .when(F.col("attr") == "style", css_refs(html_decode(F.col("value"))))
+        .when((F.col("tag") == "meta") & (F.col("attr") == "content"), _via(F.filter(F.array(named), lambda x: x.isNotNull()), "meta"))
+        .when(F.col("attr").isin(*URL_ATTRS), _via(F.array("value"), "attr"))
+    )
+    found = a.where(F.col("attr").isin(*URL_ATTRS, *SRCSET_ATTRS, "style") | ((F.col("tag") == "meta") & (F.col("attr") == "content")))
+    columns = ["page_id", "url", "base", "pos", "apos", "ipos", "tag", "attr", "raw", "ref", "via"]
+    found = found.select("*", F.posexplode(refs).alias("ipos", "x")).select("*", "x.*").select(columns)
+    for tag, pos, of in (("style", -1, css_refs), ("script", -2, lambda b: _via(F.transform(F.regexp_extract_all(b, F.lit(JS_LITERAL), 0), _unquoted), "js"))):
+        if tag == "style" or scripts:
+            body = d.select("page_id", "url", "base", F.posexplode(bodies(F.col("html"), tag)).alias("apos", "body"))
+            body = body.select("*", F.posexplode(of(F.col("body"))).alias("ipos", "x")).select("*", "x.*")
+            found = found.unionByName(body.withColumns({"pos": F.lit(pos), "tag": F.lit(tag), "attr": F.lit(""), "raw": F.lit("")}).select(columns))
+    return found.where(~skippable(F.col("ref")))
+
+
+#: Kind and type of what is no plain attribute; shared text of both engines.
+CLASSIFY_VIA = """CASE via
+ WHEN 'srcset' THEN 'asset:' || CASE WHEN ext_type IN ('', 'html') THEN 'img' ELSE ext_type END
+ WHEN 'meta' THEN CASE WHEN lower(raw) LIKE '%refresh%' THEN 'page:html' ELSE 'asset:' || CASE WHEN ext_type = '' THEN 'img' ELSE ext_type END END
+ WHEN 'js' THEN 'asset:' || ext_type
+ WHEN 'attr' THEN NULL
+ ELSE 'asset:' || CASE WHEN ext_type NOT IN ('', 'html') THEN ext_type WHEN via = 'import' OR target LIKE '%.css%' THEN 'css' ELSE 'img' END END"""
+
+
+def links(pages: DataFrame, scripts: bool = False) -> DataFrame:
+    """Rows page_id, url, pos, apos, ipos, target, kind, type of the links of pages, in document order."""
+    d = resolved(references(pages, scripts), "base", "ref")
     d = d.withColumns({"ext_type": type_from_url(F.col("target")), "rel": lower(attribute(F.col("raw"), "rel")), "as_": lower(attribute(F.col("raw"), "as"))})
-    d = d.withColumn("class", F.expr(CLASSIFY)).where("class is not null")
-    return d.select("page_id", "url", "pos", "apos", "target", F.substring_index("class", ":", 1).alias("kind"), F.substring_index("class", ":", -1).alias("type"))
+    d = d.withColumn("class", F.coalesce(F.expr(CLASSIFY_VIA), F.when(F.col("via") == "attr", F.expr(CLASSIFY)))).where("class is not null")
+    return d.select("page_id", "url", "pos", "apos", "ipos", "target", F.substring_index("class", ":", 1).alias("kind"), F.substring_index("class", ":", -1).alias("type"))
 
 
 def dedup(found: DataFrame) -> DataFrame:
     """One row a page and target: the first place, and the kind and type of the last."""
-    at = F.struct("pos", "apos")
+    at = F.struct("pos", "apos", "ipos")
     return found.groupBy("page_id", "target").agg(F.min("pos").alias("pos"), F.max_by("kind", at).alias("kind"), F.max_by("type", at).alias("type"))
 
 
 def css_links(sheets: DataFrame) -> DataFrame:
     """Rows id, pos, target, type of url(...) and then @import of style sheets (id, base, css)."""
-    refs = F.concat(F.regexp_extract_all("css", F.lit(CSS_URL), 0), F.regexp_extract_all("css", F.lit(CSS_IMPORT), 0))
-    d = sheets.select("id", "base", F.posexplode(refs).alias("pos", "raw"))
-    inner = _unquoted(trim(F.when(F.col("raw").startswith("@"), F.regexp_extract("raw", r"^@import\s+(.*)$", 1)).otherwise(F.regexp_extract("raw", r"^url\((.*)\)$", 1))))
-    d = d.withColumn("ref", inner).where(~skippable(F.col("ref")))
+    d = sheets.select("id", "base", F.posexplode(css_refs(F.col("css"))).alias("pos", "x")).select("id", "base", "pos", "x.*").where(~skippable(F.col("ref")))
     d = resolved(d, "base", "ref")
     kind = type_from_url(F.col("target"))
-    return d.select("id", "pos", "target", F.when(kind.isin("", "html"), F.when(F.col("raw").startswith("@") | F.col("target").contains(".css"), "css").otherwise("img")).otherwise(kind).alias("type"))
+    return d.select("id", "pos", "target", F.when(kind.isin("", "html"), F.when((F.col("via") == "import") | F.col("target").contains(".css"), "css").otherwise("img")).otherwise(kind).alias("type"))
 
 
 def js_links(scripts: DataFrame) -> DataFrame:
@@ -142,13 +190,13 @@ def js_links(scripts: DataFrame) -> DataFrame:
 
 def srcset(value: Column) -> Column:
     """Candidates of a srcset as structs of reference and descriptor."""
-    parts = F.filter(F.transform(F.split(value, r"\s*,\s+|,$"), trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(value, r"\s*,\s*"), trim), lambda x: x != "")
     return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("ref"), trim(F.regexp_extract(x, r"^\S+\s+(.*)$", 1)).alias("descriptor")))
 
 
 def meta_target(name: Column, content: Column) -> Column:
     """The URL that a meta element names: of a refresh, or of a social image."""
-    refresh = _unquoted(trim(F.regexp_extract(content, r"(?i)^\s*\d+\s*[;,]\s*url\s*=\s*(.*)$", 1)))
+    refresh = _unquoted(trim(F.regexp_extract(content, r"(?i)^\s*[\d.]+\s*;\s*url\s*=\s*(.+)$", 1)))
     return F.when(lower(name) == "refresh", F.nullif(refresh, F.lit(""))).when(lower(name).isin(*META_IMAGES) & content.rlike(r"(?i)^https?://"), content)
 
 

@@ -13,6 +13,7 @@ from .kit import d_decode, d_parts, d_ref, d_trim, d_type, fixture, literal, que
 DOCS = [
     (-1, "https://site.test/dir/p", '<html><head><base href="/base/"><link rel="stylesheet" href="a.css"><link rel=icon href=f.ico><link rel="preload" as="font" href="x.woff2"><link rel="canonical" href="/c"></head><body background="bg.png"><a href="b.pdf">b</a><a href=\'q?x=1&amp;y=2\'>q</a><img src="i.png" data-src="big.webp"><script src="/s.js">var a="<a href=no>";</script><!-- <a href="no"> --><iframe src="f.html"></iframe><form action="/go"></form><a href="mailto:x@y">m</a><a href="b.pdf#2">again</a><video src="v" poster="p.jpg"></video></body></html>'),
     (-2, "https://site.test/e", '<base href=""><a href="x">x</a><textarea><a href="no"></textarea><style>.a{background:url(z.png)}</style><object data="o.swf"></object><input src="b.gif"><embed src="e"><track src="t.vtt"><area href="m.zip"><a name="none">n</a>'),
+    (-3, "https://site.test/f/", '<meta http-equiv="refresh" content="5; url=\'/next\'"><meta property="og:image" content="https://site.test/og.png"><meta name="twitter:image" content="/no.png"><meta name="keywords" content="https://no/"><meta property="og:video" content="http://cdn.t/v"><style>@import "b.css"; a{b:url(bg.png)} c{d:url(data:x)}</style><style>e{f:URL( \'f.woff2\' )}</style><img srcset="a.png 1x,b.webp 2x, c" src="d.png"><source data-srcset="data:x, y 2x"><div style="background:url(&quot;in line.jpg&quot;), url(z)">x</div><link imagesrcset="l.png 2x" rel="preload" as="image"><script>load("js/x.json"); y = \'p/q.css\';</script><!-- <style>a{b:url(no.png)}</style> -->'),
 ]
 ALL = f"d AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM {values(DOCS, 'page_id, url, html')})"
 
@@ -39,13 +40,33 @@ def d_skippable(ref: str) -> str:
 _baseref = d_attribute("regexp_extract(html, '(?i)<base\\s[^>]*>', 0)", "href")
 BASES = f"""{d_parts('d', 'url', 'b')}, bx AS (SELECT page_id, url, html, CASE WHEN {_baseref} <> '' THEN {d_ref('b', _baseref)} END AS bref FROM b),
 {d_parts('bx', 'bref', 'c')}, bases AS (SELECT page_id, coalesce(nullif(c_url, ''), url) AS base FROM c)"""
-_attrs = ", ".join(f"'{a}'" for a in L.URL_ATTRS)
+_attrs, _sets = (", ".join(f"'{a}'" for a in x) for x in (L.URL_ATTRS, L.SRCSET_ATTRS))
+_mi = ", ".join(f"'{m}'" for m in L.META_IMAGES)
+_refresh = _unq(d_trim("regexp_extract(value, '(?i)^\\s*[0-9.]+\\s*;\\s*url\\s*=\\s*(.+)$', 1)"))
+_prop = f"coalesce(nullif({d_attribute('raw', 'property')}, ''), {d_attribute('raw', 'name')})"
+_meta = f"CASE WHEN lower({d_attribute('raw', 'http-equiv')}) = 'refresh' THEN nullif({_refresh}, '') WHEN lower({_prop}) IN ({_mi}) AND regexp_matches(value, '(?i)^https?://') THEN value END"
+_nocomment = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+
+
+def _css_in(source: str, css: str) -> str:
+    """DuckDB: rows of a source with css, as columns ipos, ref, via."""
+    found = f"list_concat(regexp_extract_all({css}, {literal(L.CSS_URL)}, 0), regexp_extract_all({css}, {literal(L.CSS_IMPORT)}, 0))"
+    inner = _unq(d_trim("CASE WHEN starts_with(f[j], '@') THEN regexp_extract(f[j], '(?i)^@import" + chr(92) + "s+(.*)$', 1) ELSE regexp_extract(f[j], '(?i)^url" + chr(92) + "((.*)" + chr(92) + ")$', 1) END"))
+    return f"(SELECT y.*, j - 1 AS ipos, {inner} AS ref, CASE WHEN starts_with(f[j], '@') THEN 'import' ELSE 'css' END AS via FROM (SELECT *, {found} AS f FROM {source}) AS y, unnest(range(1, len(f) + 1)) AS v(j))"
+
+
+_style = f"(SELECT page_id, url, i - 1 AS apos, bs[i] AS body FROM (SELECT page_id, url, regexp_extract_all({_nocomment}, '(?is)<style\\b[^>]*>(.*?)</style\\s*>', 1) AS bs FROM d) AS x, unnest(range(1, len(bs) + 1)) AS u(i))"
 LINKS = f"""WITH {ALL}, {TAGS}, {ATTRS}, {BASES},
-lk AS (SELECT att.*, bases.base FROM att JOIN bases USING (page_id) WHERE attr IN ({_attrs}) AND NOT {d_skippable('value')}),
-{d_parts('lk', 'base', 'e')}, lr AS (SELECT page_id, url, pos, apos, tag, attr, raw, {d_ref('e', 'value')} AS x FROM e),
-{d_parts('lr', 'x', 'g')}, lt AS (SELECT *, {d_type('g_ext')} AS ext_type, lower({d_attribute('raw', 'rel')}) AS rel, lower({d_attribute('raw', 'as')}) AS as_ FROM g WHERE g_url <> ''),
-lc AS (SELECT *, {L.CLASSIFY} AS class FROM lt),
-links AS (SELECT page_id, url, pos, apos, g_url AS target, split_part(class, ':', 1) AS kind, split_part(class, ':', 2) AS type, g_host FROM lc WHERE class IS NOT NULL)"""
+rs AS (SELECT page_id, url, pos, apos, 0 AS ipos, tag, attr, raw, value AS ref, 'attr' AS via FROM att WHERE attr IN ({_attrs})
+ UNION ALL SELECT page_id, url, pos, apos, k - 1, tag, attr, raw, regexp_extract(it[k], '^(\\S+)', 1), 'srcset' FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(value, '\\s*,\\s*'), lambda x: {d_trim('x')}), lambda x: x <> '') AS it FROM att WHERE attr IN ({_sets}) AND NOT contains(lower(value), 'data:')) AS z, unnest(range(1, len(it) + 1)) AS w(k)
+ UNION ALL SELECT page_id, url, pos, apos, ipos, tag, attr, raw, ref, via FROM {_css_in("(SELECT * FROM att WHERE attr = 'style') AS q", d_decode('value'))} AS y
+ UNION ALL SELECT page_id, url, pos, apos, 0, tag, attr, raw, m, 'meta' FROM (SELECT *, {_meta} AS m FROM att WHERE tag = 'meta' AND attr = 'content') AS z WHERE m IS NOT NULL
+ UNION ALL SELECT page_id, url, -1, apos, ipos, 'style', '', '', ref, via FROM {_css_in(_style + ' AS q', 'body')} AS y),
+lk AS (SELECT rs.*, bases.base FROM rs JOIN bases USING (page_id) WHERE NOT {d_skippable('ref')}),
+{d_parts('lk', 'base', 'e')}, lr AS (SELECT page_id, url, pos, apos, ipos, tag, attr, raw, via, {d_ref('e', 'ref')} AS x FROM e),
+{d_parts('lr', 'x', 'g')}, lt AS (SELECT *, g_url AS target, {d_type('g_ext')} AS ext_type, lower({d_attribute('raw', 'rel')}) AS rel, lower({d_attribute('raw', 'as')}) AS as_ FROM g WHERE g_url <> ''),
+lc AS (SELECT *, coalesce({L.CLASSIFY_VIA}, CASE WHEN via = 'attr' THEN {L.CLASSIFY} END) AS class FROM lt),
+links AS (SELECT page_id, url, pos, apos, ipos, target, split_part(class, ':', 1) AS kind, split_part(class, ':', 2) AS type, g_host FROM lc WHERE class IS NOT NULL)"""
 
 
 def pages(spark, sf_dir):
@@ -57,9 +78,9 @@ query("extract_tags", f"WITH {ALL}, {TAGS} SELECT page_id, pos::INT AS pos, tag
 query("extract_attrs", f"WITH {ALL}, {TAGS}, {ATTRS} SELECT page_id, pos::INT AS pos, apos::INT AS apos, attr, value FROM att")(lambda s, d: L.attributes(pages(s, d)).select("page_id", "pos", "apos", "attr", "value"))
 query("base_href", f"WITH {ALL}, {BASES} SELECT page_id, base FROM bases")(lambda s, d: pages(s, d).select("page_id", L.base_href(F.col("html"), F.col("url")).alias("base")))
 query("filter_skippable", f"WITH {ALL}, {TAGS}, {ATTRS} SELECT page_id, value FROM att WHERE {d_skippable('value')}")(lambda s, d: L.attributes(pages(s, d)).where(L.skippable(F.col("value"))).select("page_id", "value"))
-query("extract_links", f"{LINKS} SELECT page_id, pos::INT AS pos, apos::INT AS apos, target, kind, type FROM links")(lambda s, d: L.links(pages(s, d)).select("page_id", "pos", "apos", "target", "kind", "type"))
+query("extract_links", f"{LINKS} SELECT page_id, pos::INT AS pos, apos::INT AS apos, ipos::INT AS ipos, target, kind, type FROM links")(lambda s, d: L.links(pages(s, d)).select("page_id", "pos", "apos", "ipos", "target", "kind", "type"))
 query("link_kind", f"{LINKS} SELECT kind, type, count(*)::BIGINT AS n FROM links GROUP BY kind, type")(lambda s, d: L.links(pages(s, d)).groupBy("kind", "type").agg(F.count("*").alias("n")))
-query("link_dedup", f"{LINKS} SELECT page_id, target, min(pos)::INT AS pos, arg_max(kind, pos * 1000 + apos) AS kind, arg_max(type, pos * 1000 + apos) AS type FROM links GROUP BY page_id, target")(lambda s, d: L.dedup(L.links(pages(s, d))))
+query("link_dedup", f"{LINKS} SELECT page_id, target, min(pos)::INT AS pos, arg_max(kind, pos * 1000000 + apos * 1000 + ipos) AS kind, arg_max(type, pos * 1000000 + apos * 1000 + ipos) AS type FROM links GROUP BY page_id, target")(lambda s, d: L.dedup(L.links(pages(s, d))))
 query("host_links", f"{LINKS} SELECT g_host AS host, kind, type, count(*)::BIGINT AS n, count(DISTINCT page_id)::BIGINT AS pages FROM links GROUP BY g_host, kind, type")(
     lambda s, d: L.links(pages(s, d)).groupBy(host(F.col("target")).alias("host"), "kind", "type").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 )
@@ -75,15 +96,17 @@ SCRIPTS = [(1, "https://site.test/js/", "load('img/a.png'); x=\"/b.css?v=2\"; y=
 _js = f"""WITH s AS (SELECT * FROM {values(SCRIPTS, 'id, base, js')}), {d_parts('s', 'base', 'b')},
 r AS (SELECT *, i - 1 AS pos, raws[i] AS raw FROM (SELECT *, regexp_extract_all(js, {literal(L.JS_LITERAL)}, 0) AS raws FROM b) AS x, unnest(range(1, len(raws) + 1)) AS u(i)),
 t AS (SELECT id, pos, {d_ref('b', _unq('raw'))} AS x FROM r), {d_parts('t', 'x', 'n')} SELECT id, pos::INT AS pos, n_url AS target, {d_type('n_ext')} AS type FROM n WHERE n_url <> ''"""
+query("script_links", f"""WITH {ALL}, sb AS (SELECT page_id, url, i - 1 AS apos, bs[i] AS body FROM (SELECT page_id, url, regexp_extract_all({_nocomment}, '(?is)<script\\b[^>]*>(.*?)</script\\s*>', 1) AS bs FROM d) AS x, unnest(range(1, len(bs) + 1)) AS u(i)), {BASES},
+sl AS (SELECT page_id, apos, j - 1 AS ipos, {_unq('ls[j]')} AS ref, base FROM (SELECT *, regexp_extract_all(body, {literal(L.JS_LITERAL)}, 0) AS ls FROM sb JOIN bases USING (page_id)) AS y, unnest(range(1, len(ls) + 1)) AS v(j)),
+{d_parts('sl', 'base', 'k')}, sr AS (SELECT page_id, apos, ipos, {d_ref('k', 'ref')} AS x FROM k WHERE NOT {d_skippable('ref')}), {d_parts('sr', 'x', 'n')}
+SELECT page_id, apos::INT AS apos, ipos::INT AS ipos, n_url AS target, 'asset' AS kind, {d_type('n_ext')} AS type FROM n WHERE n_url <> ''""")(lambda s, d: L.links(pages(s, d), scripts=True).where("pos = -2").select("page_id", "apos", "ipos", "target", "kind", "type"))
 query("extract_js", _js)(lambda s, d: L.js_links(fixture(s, SCRIPTS, "id int, base string, js string")))
 SETS = [(1, "a.png 1x, b.png 2x"), (2, "c.webp"), (3, "d,e.png 100w,  f.png 50w,"), (4, "")]
-query("extract_srcset", f"SELECT id, regexp_extract(p, '^(\\S+)', 1) AS ref, {d_trim('regexp_extract(p, ' + literal('^' + chr(92) + 'S+' + chr(92) + 's+(.*)$') + ', 1)')} AS descriptor FROM (SELECT id, {d_trim('x')} AS p FROM {values(SETS, 'id, value')}, unnest(regexp_split_to_array(value, '\\s*,\\s+|,$')) AS u(x)) AS s WHERE p <> ''")(
+query("extract_srcset", f"SELECT id, regexp_extract(p, '^(\\S+)', 1) AS ref, {d_trim('regexp_extract(p, ' + literal('^' + chr(92) + 'S+' + chr(92) + 's+(.*)$') + ', 1)')} AS descriptor FROM (SELECT id, {d_trim('x')} AS p FROM {values(SETS, 'id, value')}, unnest(regexp_split_to_array(value, '\\s*,\\s*')) AS u(x)) AS s WHERE p <> ''")(
     lambda s, d: fixture(s, SETS, "id int, value string").select("id", F.inline(L.srcset(F.col("value"))))
 )
 METAS = [("refresh", "5; url='/next'"), ("Refresh", "0"), ("og:image", "https://site.test/i.png"), ("og:image", "/rel.png"), ("twitter:image", "http://h/x"), ("keywords", "https://no")]
-_mi = ", ".join(f"'{m}'" for m in L.META_IMAGES)
-_refresh = _unq(d_trim("regexp_extract(content, '(?i)^\\s*[0-9]+\\s*[;,]\\s*url\\s*=\\s*(.*)$', 1)"))
-query("extract_meta", f"SELECT name, content, CASE WHEN lower(name) = 'refresh' THEN nullif({_refresh}, '') WHEN lower(name) IN ({_mi}) AND regexp_matches(content, '(?i)^https?://') THEN content END AS target FROM {values(METAS, 'name, content')}")(
+query("extract_meta", f"SELECT name, content, CASE WHEN lower(name) = 'refresh' THEN nullif({_refresh.replace('value', 'content')}, '') WHEN lower(name) IN ({_mi}) AND regexp_matches(content, '(?i)^https?://') THEN content END AS target FROM {values(METAS, 'name, content')}")(
     lambda s, d: fixture(s, METAS, "name string, content string").select("name", "content", L.meta_target(F.col("name"), F.col("content")).alias("target"))
 )
 
