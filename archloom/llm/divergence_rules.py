@@ -96,7 +96,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = written(base_counts(docs, id_col, text_col, lang_col).withColumn("base_failed", _base_failed()), "rule-counts")
     whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("bins", F.concat("commons", F.array(F.col("n_words") - whole("commons"))))
-    middle = lambda c, n: F.array(*(F.percentile_approx(F.get(c, F.lit(i)) / F.nullif(whole(c), F.lit(0)), 0.5, 1000) for i in range(n)))
+    middle = lambda c, n: F.array(*(F.percentile_approx(F.get(c, F.lit(i)) / F.nullif(whole(c), F.lit(0)), 0.5, 10_000) for i in range(n)))
     ref = d.where(~F.col("base_failed")).groupBy("lang").agg(middle("classes", 6).alias("ref_classes"), middle("bins", N_COMMON + 1).alias("ref_bins"))
     # At most one row a language of COMMON_WORDS and one for the rest.
     d = d.join(F.broadcast(ref), "lang", "left")
@@ -114,4 +114,38 @@ def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    # Distances to six places, within which engines agree.
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _sql() -> str:
+    """The same rows by DuckDB, with bins as rows; medians there are exact, as they are here for few documents."""
+    word = r"[^\x20\x09-\x0D]+"
+    common = ", ".join(f"('{k}', {i}, '{w}')" for k, v in COMMON_WORDS.items() for i, w in enumerate(v))
+    kinds = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digits": "0-9", "marks": r".,;:!?''()\-"}
+    count = lambda keep: f"length(regexp_replace(glued, '[^{keep}]+', '', 'g'))"
+    counts = ", ".join(f"{count(v)} AS n_{k}" for k, v in kinds.items())
+    return rf"""
+WITH w AS (SELECT doc_id, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) THEN lang ELSE '' END AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+g AS (SELECT *, len(ws) AS n_words, array_to_string(ws, '') AS glued, length(t) AS n_chars, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM w),
+n AS (SELECT *, length(glued) AS word_chars, {count("#*$%&|<>")} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, {counts} FROM g),
+x AS (SELECT doc_id, i, ws[i:i + 2] AS x FROM w, unnest(range(1, greatest(len(ws) - 1, 1))) AS u(i)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM x) AS y, (VALUES (0), (1), (2)) AS v(j) WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT n.*, coalesce(r.n, 0) AS n_repeat_words, n_words < {BASE_LEAST_WORDS} OR 100 * coalesce(r.n, 0) > {BASE_MOST_REPEATED} * n_words AS base_failed FROM n LEFT JOIN r USING (doc_id)),
+cw AS (SELECT b.doc_id, c.bin, count(*) AS n FROM b, unnest(ws) AS u(x), (VALUES {common}) AS c(lang, bin, word) WHERE c.lang = b.lang AND c.word = lower(u.x) GROUP BY ALL),
+bins AS (
+ SELECT doc_id, lang, base_failed, n_words, 'class' AS kind, i AS bin, [n_lower, n_upper, n_digits, n_marks, word_chars - n_lower - n_upper - n_digits - n_marks, n_chars - word_chars][i] AS n FROM b, unnest(range(1, 7)) AS u(i)
+ UNION ALL SELECT b.doc_id, lang, base_failed, n_words, 'word', i, CASE WHEN i < {N_COMMON} THEN coalesce(cw.n, 0) ELSE n_words - coalesce((SELECT sum(n) FROM cw AS o WHERE o.doc_id = b.doc_id), 0) END
+ FROM b CROSS JOIN unnest(range(0, {N_COMMON + 1})) AS u(i) LEFT JOIN cw ON cw.doc_id = b.doc_id AND cw.bin = i),
+sh AS (SELECT *, n / nullif(sum(n) OVER (PARTITION BY doc_id, kind), 0) AS p, sum(n) OVER (PARTITION BY doc_id, kind) AS total FROM bins),
+rf AS (SELECT lang, kind, bin, quantile_disc(p, 0.5) AS q FROM sh WHERE NOT base_failed GROUP BY ALL),
+rn AS (SELECT lang, kind, bin, q / nullif(sum(q) OVER (PARTITION BY lang, kind), 0) AS q FROM rf),
+js AS (SELECT doc_id, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS distance
+ FROM sh JOIN rn USING (lang, kind, bin) WHERE p IS NOT NULL AND q IS NOT NULL AND CASE kind WHEN 'class' THEN total >= {LEAST_CHARS} ELSE lang <> '' AND n_words >= {LEAST_WORDS} END GROUP BY doc_id, kind),
+e AS (SELECT b.*, c.distance AS class_distance, w.distance AS word_distance FROM b LEFT JOIN js AS c ON c.doc_id = b.doc_id AND c.kind = 'class' LEFT JOIN js AS w ON w.doc_id = b.doc_id AND w.kind = 'word')
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+ NOT base_failed AND coalesce(class_distance, 0) <= {MOST_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {MOST_WORD_DISTANCE} AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM e"""
+
+
+OP4_SQL = _sql()

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, table, text_of, written
 
 #: Documents of one memtable; the number of runs follows from it.
-MEMTABLE_ROWS = 4_000_000
+MEMTABLE_ROWS = 50_000
 #: Runs merged in one step of compaction.
-FAN_IN = 8
+FAN_IN = 4
 #: Rows of a group that one copy of the kept text is compared with.
 VERIFY_ROWS = 64
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .divergence_rules import op4_divergence_rules
+from .divergence_rules import OP4_SQL, op4_divergence_rules
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op10_html_text
 from .ordinal_quality import op3_ordinal_quality
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_divergence_rules": OP4_SQL,
     "op7_shingle_join": OP7_SQL,
     "op9_source_mix": OP9_SQL,
 }
