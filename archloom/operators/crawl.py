@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from archloom.functions.url import html_decode, same_site, trim
-from archloom.sources.shared import shared_dir
+from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a level with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+from archloom.functions.url import extension, host, html_decode, is_http, local_path, same_site, trim, type_from_mime
+from archloom.operators import robots as R
+from archloom.operators.links import css_links, dedup, js_links, links
+from archloom.operators.paths import assign
+from archloom.operators.ranking import running
+from archloom.sources.shared import kept
 
 
 def closure(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
@@ -49,3 +49,145 @@ def sitemap_urls(files: DataFrame, start: str, root_host: str, most_files: int =
         read = kept(read.unionByName(level).distinct())
     pages = locs.join(read, locs["src"] == read["url"]).where("is_file is null").select(F.col("loc").alias("url")).distinct()
     return pages.where(same_site(F.col("url"), F.lit(root_host), F.lit(False))).orderBy("url").limit(most_urls).withColumn("depth", F.lit(1))
+
+
+@dataclass
+class Options:
+    """What a crawl may do; limits of zero hold nothing back but pages, assets, depth and bytes."""
+
+    root_host: str
+    max_pages: int = 150
+    max_assets: int = 1500
+    max_depth: int = 6
+    max_bytes: int = 600 << 20
+    most_file_bytes: int = 25 << 20
+    respect_robots: bool = True
+    external_assets: bool = True
+    subdomains: bool = False
+    scripts: bool = False
+    types: dict[str, bool] = field(default_factory=dict)
+    skip_ext: tuple[str, ...] = ()
+
+    def in_scope(self, url: Column) -> Column:
+        return same_site(url, F.lit(self.root_host), F.lit(self.subdomains))
+
+    def off(self, kind: Column) -> Column:
+        return kind.isin(*[k for k, on in self.types.items() if not on])
+
+
+def reject_reason(o: Options, url: Column, kind: Column, type_: Column, robots: Column) -> Column:
+    """Why a queued URL is not fetched; null to go ahead. robots: whether its host's rules allow it."""
+    scope = o.in_scope(url)
+    ext = extension(url)
+    return (
+        F.when(~is_http(url), "not an http(s) URL")
+        .when(F.lit(o.respect_robots) & scope & ~F.coalesce(robots, F.lit(True)), "blocked by robots.txt")
+        .when((kind == "page") & ~scope, "outside the site")
+        .when((kind == "asset") & ~scope & F.lit(not o.external_assets), "external file (option off)")
+        .when((type_ != "") & (type_ != "html") & o.off(type_), F.concat(type_, F.lit(" files are turned off")))
+        .when((ext != "") & ext.isin(*o.skip_ext), F.concat(F.lit("."), ext, F.lit(" is on your skip list")))
+    )
+
+
+def effective_type(ctype: Column, guess: Column) -> Column:
+    """The type that the response header says, or else the one guessed, or a document."""
+    return F.coalesce(F.nullif(type_from_mime(F.coalesce(ctype, F.lit(""))), F.lit("")), F.nullif(guess, F.lit("")), F.lit("doc"))
+
+
+def handled(o: Options, d: DataFrame) -> DataFrame:
+    """Rows of queued URLs joined with their responses: kind, type, state and note as the response has them.
+
+    d: url, kind, type, and final_url, status, ctype, size, error of the response (null for none).
+    """
+    problem = (
+        F.when(F.coalesce("size", F.lit(0)) > o.most_file_bytes, "skipped: larger than the per-file limit").when(F.coalesce("error", F.lit("")) != "", F.col("error"))
+        .when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).when(F.coalesce("status", F.lit(0)) == 0, "no response")
+    )
+    d = d.withColumns({"problem": problem, "real": effective_type(F.col("ctype"), F.col("type")), "final_url": F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))})
+    kind = F.when((F.col("kind") == "page") & (F.col("real") != "html"), "asset").otherwise(F.col("kind"))
+    off = (F.col("real") != "html") & o.off(F.col("real"))
+    away = (kind == "page") & (F.col("final_url") != F.col("url")) & ~o.in_scope(F.col("final_url"))
+    fine = F.col("problem").isNull()
+    return d.withColumns({
+        "state": F.when(~fine, "fail").when(off | away, "skip").otherwise("ok"),
+        "note": F.when(~fine, F.col("problem")).when(off, F.concat("real", F.lit(" files are turned off"))).when(away, "redirected off-site").otherwise(""),
+        "kind": F.when(fine, kind).otherwise(F.col("kind")),
+        "type": F.when(fine, F.col("real")).otherwise(F.col("type")),
+    }).drop("problem", "real")
+
+
+def discovered(o: Options, ok: DataFrame) -> DataFrame:
+    """Rows parent, pos, url, kind, type, depth that fetched documents (seq, final_url, type, depth, body) name."""
+    d = ok.select(F.col("seq").alias("page_id"), F.col("final_url").alias("url"), F.col("body").alias("html"), "type", "depth")
+    found = dedup(links(d.where("type = 'html'").select("page_id", "url", "html"), o.scripts)).select("page_id", "pos", "first", "target", "kind", "type")
+    sheets = d.where("type = 'css'").select(F.col("page_id").alias("id"), F.col("url").alias("base"), F.col("html").alias("css"))
+    more = css_links(sheets).withColumnRenamed("id", "page_id")
+    if o.scripts:
+        files = d.where("type = 'js'").select(F.col("page_id").alias("id"), F.col("url").alias("base"), F.col("html").alias("js"))
+        more = more.unionByName(js_links(files).withColumnRenamed("id", "page_id"))
+    more = more.select("page_id", "pos", F.struct("pos", F.lit(0).alias("apos"), F.lit(0).alias("ipos")).alias("first"), "target", F.lit("asset").alias("kind"), "type")
+    found = found.unionByName(more).join(d.select("page_id", "depth"), "page_id")
+    page = F.col("kind") == "page"
+    found = found.withColumn("depth", F.when(page, F.col("depth") + 1).otherwise(F.col("depth")))
+    found = found.where(~page | ((F.col("depth") <= o.max_depth) & o.in_scope(F.col("target"))))
+    return found.select(F.col("page_id").alias("parent"), "first", F.col("target").alias("url"), "kind", F.when(F.col("kind") == "page", "html").otherwise(F.col("type")).alias("type"), "depth")
+
+
+def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options) -> DataFrame:
+    """Resources of a crawl: seq, url, kind, type, depth, state, path, code, bytes, note, hash.
+
+    seeds: url, depth. site: the responses that a fetch gives (url, final_url, status, ctype, body,
+    size, error). robots: host, body. Pages are taken level by level, in the order of their discovery
+    (parent, place), then assets; what a level finds is queued after all before it. Budgets are
+    global running sums over that order, so they cut exactly: what they leave stays queued.
+    """
+    rows = R.rules(robots)
+    chosen = kept(rows.join(R.group(rows), ["host", "agent"]))
+    first = Window.orderBy("depth", "url")  # seeds are the few URLs that a person or a sitemap names
+    res = kept(seeds.select("url", "depth").withColumns({"seq": (F.row_number().over(first) - 1).cast("long"), "kind": F.lit("page"), "type": F.lit("html"), "state": F.lit("queued"), "note": F.lit(""), "code": F.lit(0), "bytes": F.lit(0).cast("long"), "final_url": F.lit(""), "hash": F.lit("")}))
+    columns = ["seq", "url", "kind", "type", "depth", "state", "note", "code", "bytes", "final_url", "hash"]
+    res = res.select(columns)
+    done = {"page": 0, "asset": 0, "bytes": 0}
+    responses = site.withColumnRenamed("url", "at")
+    for turn, most in (("page", o.max_pages), ("asset", o.max_assets)):
+        while True:
+            queue = res.where((F.col("state") == "queued") & (F.col("kind") == turn))
+            if done[turn] >= most or done["bytes"] >= o.max_bytes or queue.isEmpty():
+                break
+            verdict = R.allowed(queue.select("url", host(F.col("url")).alias("host")), chosen)
+            judged = queue.join(verdict, "url", "left")
+            judged = judged.withColumn("reason", reject_reason(o, F.col("url"), F.col("kind"), F.col("type"), F.col("allowed"))).drop("final_url")
+            got = handled(o, judged.join(responses, (F.col("url") == F.col("at")) & F.col("reason").isNull(), "left"))
+            got = got.withColumns({"state": F.when(F.col("reason").isNotNull(), "skip").otherwise(F.col("state")), "note": F.coalesce("reason", "note"), "kind": F.when(F.col("reason").isNotNull(), F.lit(turn)).otherwise(F.col("kind"))})
+            fine = F.col("state") == "ok"
+            size = F.when(fine, F.coalesce("size", F.lit(0))).otherwise(0)
+            got = running(got, "seq", spent=(fine & (F.col("kind") == turn)).cast("long"), used=size)
+            taken = kept(got.where((F.col("spent") + done[turn] < most) & (F.col("used") + done["bytes"] < o.max_bytes)))
+            counts = taken.where(fine).groupBy("kind").agg(F.count("*"), F.sum(F.coalesce("size", F.lit(0)))).collect()
+            for kind, n, used in counts:  # one row a kind
+                done[kind] += n
+                done["bytes"] += used
+            found = discovered(o, taken.where(fine).select("seq", "final_url", "type", "depth", F.col("body").cast("string").alias("body")))
+            new = found.join(res.select("url"), "url", "left_anti")
+            new = new.groupBy("url").agg(F.min(F.struct("parent", "first", "kind", "type", "depth")).alias("x")).select("url", "x.*")
+            n = res.agg(F.max("seq")).first()[0] + 1
+            order = F.struct("parent", "first")
+            new = running(new.withColumn("order", order), "order", place=F.lit(1)).withColumn("seq", F.col("place") + n)
+            told = taken.select("seq", "url", "kind", "type", "depth", "state", "note", F.coalesce("status", F.lit(0)).cast("int").alias("code"), F.when(fine, F.coalesce("size", F.lit(0))).otherwise(0).cast("long").alias("bytes"), "final_url", F.when(fine, F.sha1("body")).otherwise("").alias("hash"))
+            fresh = new.select("seq", "url", "kind", "type", "depth", F.lit("queued").alias("state"), F.lit("").alias("note"), F.lit(0).alias("code"), F.lit(0).cast("long").alias("bytes"), F.lit("").alias("final_url"), F.lit("").alias("hash"))
+            rest = res.join(taken.select("seq"), "seq", "left_anti").select(columns)
+            if taken.isEmpty():
+                break
+            res = kept(rest.unionByName(told).unionByName(fresh))
+    ok = res.where("state = 'ok'").select("seq", F.col("final_url").alias("url"), local_path(F.col("final_url"), F.col("type"), F.lit(o.root_host)).alias("path"), "hash", F.when(F.col("kind") == "page", 0).otherwise(1).alias("turn"), "depth")
+    files = assign(ok.select("seq", "url", "path", "hash"))
+    return res.join(files.select("seq", F.col("file").alias("path")), "seq", "left").withColumn("path", F.coalesce("path", F.lit("")))
+
+
+def counters(res: DataFrame) -> DataFrame:
+    """One row: pages_done, pages_failed, assets_done, assets_failed, skipped, bytes."""
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    return res.agg(
+        n("kind = 'page' and state = 'ok'").alias("pages_done"), n("kind = 'page' and state = 'fail'").alias("pages_failed"), n("kind = 'asset' and state = 'ok'").alias("assets_done"),
+        n("kind = 'asset' and state = 'fail'").alias("assets_failed"), n("state = 'skip'").alias("skipped"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+    )

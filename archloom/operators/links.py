@@ -170,7 +170,7 @@ def links(pages: DataFrame, scripts: bool = False) -> DataFrame:
 def dedup(found: DataFrame) -> DataFrame:
     """One row a page and target: the first place, and the kind and type of the last."""
     at = F.struct("pos", "apos", "ipos")
-    return found.groupBy("page_id", "target").agg(F.min("pos").alias("pos"), F.max_by("kind", at).alias("kind"), F.max_by("type", at).alias("type"))
+    return found.groupBy("page_id", "target").agg(F.min("pos").alias("pos"), F.min(at).alias("first"), F.max_by("kind", at).alias("kind"), F.max_by("type", at).alias("type"))
 
 
 def css_links(sheets: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archloom.functions.url import folder
 
 #: A number as it is appended to a stem; of more digits than names can reach, none is read.
 _NUMBER = "-([1-9][0-9]{0,17})$"
@@ -13,14 +14,14 @@ _NUMBER = "-([1-9][0-9]{0,17})$"
 def assign(arrivals: DataFrame) -> DataFrame:
     """Columns seq, url, file from (seq, url, path, hash).
 
-    The first arrival owns a path; one with the same content shares the file; the others get the
+    The first arrival owns a path; one with the same content and directory shares the file; the others get the
     first free of -2, -3, ... in order of arrival. A suffixed name that is itself a natural path
     belongs to its natural owner and is not free. Names of unlike paths never meet otherwise, as a
     name tells its path and number.
     """
     stem, ext = F.regexp_replace("path", r"\.[^./]*$", ""), F.regexp_extract("path", r"(\.[^./]*)$", 1)
     name = lambda n: F.when(n == 1, F.col("path")).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), ext))
-    same = Window.partitionBy("path", "hash").orderBy("seq")
+    same = Window.partitionBy("path", "hash", folder(F.col("url"))).orderBy("seq")
     d = arrivals.withColumn("owner", F.first("seq").over(same))
     owners = d.where("owner = seq").select("seq", "path", F.row_number().over(Window.partitionBy("path").orderBy("seq")).cast("long").alias("n"))
     # The numbers that natural paths take, by the path they would number.

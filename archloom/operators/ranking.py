@@ -1,21 +1,31 @@
-"""Global ranks without one task that sees all rows."""
+"""Global ranks and running sums without one task that sees all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archloom.sources.shared import kept
 
-def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with the 1-based rank of each row in order of key.
 
-    Rows are range-partitioned by key; each partition ranks its own rows, and the sizes of the
-    partitions before, one row each, give its offset.
+def running(df: DataFrame, key: str, **sums: Column) -> DataFrame:
+    """df with, for each named value, its sum over all rows before in order of key (unique).
+
+    Rows are range-partitioned by key and checkpointed, so that both uses see the same partitions;
+    each partition sums its own rows, and the totals of the partitions before, one row each, are
+    added.
     """
-    d = df.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    own = d.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
-    sizes = d.groupBy("__part").agg(F.count("*").alias("__size"))
+    d = kept(df.repartitionByRange(F.col(key)).withColumns({"__part": F.spark_partition_id(), **{f"__{n}": v.cast("long") for n, v in sums.items()}}))
+    own = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    totals = d.groupBy("__part").agg(*(F.sum(f"__{n}").alias(f"__all_{n}") for n in sums))
+    totals = totals.select("__part", *(F.coalesce(F.sum(f"__all_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums))
     # One row per shuffle partition.
-    return own.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+    out = d.join(F.broadcast(totals), "__part")
+    out = out.withColumns({n: F.coalesce(F.sum(f"__{n}").over(own), F.lit(0)) + F.col(f"__before_{n}") for n in sums})
+    return out.select(*df.columns, *sums)
+
+
+def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the 1-based rank of each row in order of key (unique)."""
+    return running(df, key, **{name: F.lit(1)}).withColumn(name, F.col(name) + 1)

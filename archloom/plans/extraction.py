@@ -80,7 +80,7 @@ query("base_href", f"WITH {ALL}, {BASES} SELECT page_id, base FROM bases")(lambd
 query("filter_skippable", f"WITH {ALL}, {TAGS}, {ATTRS} SELECT page_id, value FROM att WHERE {d_skippable('value')}")(lambda s, d: L.attributes(pages(s, d)).where(L.skippable(F.col("value"))).select("page_id", "value"))
 query("extract_links", f"{LINKS} SELECT page_id, pos::INT AS pos, apos::INT AS apos, ipos::INT AS ipos, target, kind, type FROM links")(lambda s, d: L.links(pages(s, d)).select("page_id", "pos", "apos", "ipos", "target", "kind", "type"))
 query("link_kind", f"{LINKS} SELECT kind, type, count(*)::BIGINT AS n FROM links GROUP BY kind, type")(lambda s, d: L.links(pages(s, d)).groupBy("kind", "type").agg(F.count("*").alias("n")))
-query("link_dedup", f"{LINKS} SELECT page_id, target, min(pos)::INT AS pos, arg_max(kind, pos * 1000000 + apos * 1000 + ipos) AS kind, arg_max(type, pos * 1000000 + apos * 1000 + ipos) AS type FROM links GROUP BY page_id, target")(lambda s, d: L.dedup(L.links(pages(s, d))))
+query("link_dedup", f"{LINKS} SELECT page_id, target, min(pos)::INT AS pos, arg_max(kind, pos * 1000000 + apos * 1000 + ipos) AS kind, arg_max(type, pos * 1000000 + apos * 1000 + ipos) AS type FROM links GROUP BY page_id, target")(lambda s, d: L.dedup(L.links(pages(s, d))).drop("first"))
 query("host_links", f"{LINKS} SELECT g_host AS host, kind, type, count(*)::BIGINT AS n, count(DISTINCT page_id)::BIGINT AS pages FROM links GROUP BY g_host, kind, type")(
     lambda s, d: L.links(pages(s, d)).groupBy(host(F.col("target")).alias("host"), "kind", "type").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 )

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import extraction, relational, streams, urls  # noqa: F401  each registers its queries
+from . import crawls, extraction, relational, streams, urls  # noqa: F401  each registers its queries
 from .kit import ORACLE_SQL, QUERIES  # noqa: F401
