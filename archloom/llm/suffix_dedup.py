@@ -83,7 +83,8 @@ def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     same = inside[1:n] & inside[: n - 1] & (at[1:] == at[:-1])
     first = np.flatnonzero(inside[:n] & np.append(True, ~same))
     last = np.flatnonzero(inside[:n] & np.append(~same, True))
-    return first, last, h[at[first]] >> np.uint64(64 - _ANCHOR)
+    # The least hashes of windows are small numbers, so they are mixed anew before they are dealt by range.
+    return first, last, _mixed(h[at[first]] * _ODD[4]) >> np.uint64(64 - _ANCHOR)
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
