@@ -34,8 +34,14 @@ LEAST_DEVIATIONS = 4.0
 BATCH_BYTES, BUCKET_ENTRIES = 8 << 20, 2_000_000
 #: Hash of the end of a document, which also stands once before its first word.
 END = np.uint64(0x5BD1E9955BD1E995)
-#: Bytes of the hash of a token and of a longer n-gram, and of a count.
-_TOKEN, _GRAM, _COUNT = 8, 7, 6
+#: Bytes of the hash of a token, and of a count.
+_TOKEN, _COUNT = 8, 6
+
+
+def gram_bytes(n_bytes: int) -> int:
+    """Bytes of the hash of an n-gram: so many that one by chance is known with a likelihood under 1 in 20,000."""
+    return min(8, max(5, -(-(n_bytes // 6 * 20_000).bit_length() // 8)))
+
 
 _COUNTS, _SUMS, _KEPT = range(3)
 _SENT = {"bucket": pa.int64(), "batch": pa.int64(), "kind": pa.int32(), "level": pa.int32(), "g": pa.binary(), "n": pa.binary()}
@@ -67,7 +73,8 @@ class Batch:
     Places run over all documents: an end, the words, an end. The first is a context alone.
     """
 
-    def __init__(self, t: pa.Table, told: list[tuple[int, int, bytes, bytes]], root: tuple[int, int] | None, depth: int):
+    def __init__(self, t: pa.Table, told: list[tuple[int, int, bytes, bytes]], root: tuple[int, int] | None, depth: int, width: int):
+        self.width = width
         texts = pc.cast(t.column("text"), pa.binary()).to_pylist()
         words, starts = word_hashes(b"\n".join(texts).lower())
         size = np.array([len(x) + 1 for x in texts], np.int64)
@@ -96,12 +103,12 @@ class Batch:
             at = np.flatnonzero(self.place > 0 if j == 0 else self.place >= j)
             if j > 1:  # contexts that are rare have no children
                 at = at[self.level(j - 1)[at - 1] >= LEAST_CONTEXT]
-            known, number = _distinct(g[at] if j == 0 else g[at] >> np.uint64(64 - 8 * _GRAM))
+            known, number = _distinct(g[at] if j == 0 else g[at] >> np.uint64(64 - 8 * self.width))
             own = np.bincount(number, self.train[at], len(known)).astype(np.int64)
             total = own.copy()
             for kind, level, keys, counts in self.told:
                 if kind == _COUNTS and level == j:
-                    total[np.searchsorted(known, numbers([keys], _GRAM if j else _TOKEN)[0])] = numbers([counts], _COUNT)[0]
+                    total[np.searchsorted(known, numbers([keys], self.width if j else _TOKEN)[0])] = numbers([counts], _COUNT)[0]
             self.grams.append((at, known, own))
             here = np.zeros(len(self.token), np.int64)
             here[at] = total[number]
@@ -122,7 +129,7 @@ class Batch:
         g = self.token.copy()
         for i in range(1, k):
             g[i:] = mixed(g[i:] * ODD[i % 5] + self.token[:-i])
-        return np.append(np.uint64(0), g[:-1]) >> np.uint64(64 - 8 * _GRAM)
+        return np.append(np.uint64(0), g[:-1]) >> np.uint64(64 - 8 * self.width)
 
     def chances(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each token from the longest suffix of at most k tokens kept, and whether all k are."""
@@ -130,7 +137,7 @@ class Batch:
         p = (self.level(0) + 0.5) / (n + 0.5 * (v + 1))
         kept = self.place > 0
         for j in range(1, k + 1):
-            held = [(numbers([g], _GRAM)[0], np.frombuffer(x, "<f8")) for kind, level, g, x in self.told if kind == _KEPT and level == j]
+            held = [(numbers([g], self.width)[0], np.frombuffer(x, "<f8")) for kind, level, g, x in self.told if kind == _KEPT and level == j]
             keys, kinds = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0))
             kept = kept & (self.place >= j)
             at = np.flatnonzero(kept)
@@ -185,18 +192,18 @@ def _send(b: Batch, batch: int, done: int, n_buckets: int) -> Iterator[tuple]:
     for level in (0, 1) if done == 0 else (done + 1,) if done < b.depth else ():
         b.level(level)
         _, g, own = b.grams[level]
-        size = _GRAM if level else _TOKEN
+        size = b.width if level else _TOKEN
         yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(g[i:j], size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
     if done:
         g, sums = b.sums(done)
-        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], _GRAM), sums[:, i:j].astype("<f8").tobytes()) for k, i, j in deal(g, _GRAM))
+        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], b.width), sums[:5, i:j].astype("<f4").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
 
 
-def _meet(t: pa.Table) -> pa.Table:
+def _meet(t: pa.Table, width: int) -> pa.Table:
     """Answers of a bucket to its batches."""
     kind, level = t.column("kind")[0].as_py(), t.column("level")[0].as_py()
     batches = t.column("batch").to_pylist()
-    each = numbers(t.column("g").to_pylist(), _GRAM if level else _TOKEN)
+    each = numbers(t.column("g").to_pylist(), width if level else _TOKEN)
     known, number = _distinct(np.concatenate(each))
     rows, at = [], 0
     if kind == _COUNTS:
@@ -206,19 +213,22 @@ def _meet(t: pa.Table) -> pa.Table:
             whole = total[number[at : at + len(g)]]
             at += len(g)
             other = whole != mine
-            rows.append((batch, kind, level, planes(g[other], _GRAM if level else _TOKEN), planes(whole[other], _COUNT), int(total.sum()) * (k == 0), int((total > 0).sum()) * (k == 0)))
+            rows.append((batch, kind, level, planes(g[other], width if level else _TOKEN), planes(whole[other], _COUNT), int(total.sum()) * (k == 0), int((total > 0).sum()) * (k == 0)))
         if level:
             rows = [(*r[:5], 0, 0) for r in rows]
         return _table(rows, _BACK)
-    parts = np.concatenate([np.frombuffer(x, "<f8").reshape(6, -1) for x in t.column("n").to_pylist()], axis=1)
-    sums = np.stack([*(np.bincount(number, x, len(known)) for x in parts[:5]), np.zeros(len(known))])
-    sums[5, number] = parts[5]
+    sent = list(zip(t.column("n").to_pylist(), each))
+    parts = np.concatenate([np.frombuffer(x, "<f4", 5 * len(g)).reshape(5, -1) for x, g in sent], axis=1).astype(float)
+    sums = np.stack([*(np.bincount(number, x, len(known)) for x in parts), np.zeros(len(known))])
+    # Kinds are whole numbers, whatever their parts were rounded to.
+    sums[0], sums[4] = np.round(sums[0]), np.round(sums[4])
+    sums[5, number] = np.concatenate(numbers([x[20 * len(g) :] for x, g in sent], _COUNT))
     kept = kept_contexts(sums)
     for batch, g in zip(batches, each):
         k = number[at : at + len(g)]
         at += len(g)
         some = kept[k]
-        rows.append((batch, _KEPT, level, planes(g[some], _GRAM), sums[0][k][some].astype("<f8").tobytes(), 0, 0))
+        rows.append((batch, _KEPT, level, planes(g[some], width), sums[0][k][some].astype("<f8").tobytes(), 0, 0))
     return _table(rows, _BACK)
 
 
@@ -236,15 +246,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     n_bytes = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # A document is dealt to the same batch in each pass.
     d = d.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(max(12, n_bytes // BATCH_BYTES))))
-    n_buckets = max(12, n_bytes // 5 // BUCKET_ENTRIES)
+    n_buckets, width = max(12, n_bytes // 5 // BUCKET_ENTRIES), gram_bytes(n_bytes)
+
+    def meet(t: pa.Table) -> pa.Table:
+        return _meet(t, width)
 
     def answers(told: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
         return list(zip(*(told.column(c).to_pylist() for c in ("kind", "level", "g", "n"))))
 
     def first(t: pa.Table) -> pa.Table:
-        return _table(list(_send(Batch(t, [], None, depth), t.column("batch")[0].as_py(), 0, n_buckets)), _SENT)
+        return _table(list(_send(Batch(t, [], None, depth, width), t.column("batch")[0].as_py(), 0, n_buckets)), _SENT)
 
-    told = written(d.groupBy("batch").applyInArrow(first, _schema(_SENT)).groupBy("bucket").applyInArrow(_meet, _schema(_BACK)), "token-counts")
+    told = written(d.groupBy("batch").applyInArrow(first, _schema(_SENT)).groupBy("bucket").applyInArrow(meet, _schema(_BACK)), "token-counts")
     forget(spark)
     n, v = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     used = [told]
@@ -253,20 +266,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         def more(t: pa.Table, got: pa.Table) -> pa.Table:
             if not t.num_rows:
                 return _table([], _SENT)
-            return _table(list(_send(Batch(t, answers(got), (n, v), depth), t.column("batch")[0].as_py(), done, n_buckets)), _SENT)
+            return _table(list(_send(Batch(t, answers(got), (n, v), depth, width), t.column("batch")[0].as_py(), done, n_buckets)), _SENT)
 
         return more
 
     for done in range(1, depth + 1):
         sent = d.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(grown(done), _schema(_SENT))
-        used.append(written(sent.groupBy("bucket").applyInArrow(_meet, _schema(_BACK)), f"level-{done}"))
+        used.append(written(sent.groupBy("bucket").applyInArrow(meet, _schema(_BACK)), f"level-{done}"))
         forget(spark)
         told = told.unionByName(used[-1])
 
     columns = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(t: pa.Table, got: pa.Table) -> pa.Table:
-        b = Batch(t, answers(got), (n, v), depth)
+        b = Batch(t, answers(got), (n, v), depth, width)
         count, real = b.level(0), b.place > 0
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         p, _ = b.chances(depth)
