@@ -147,7 +147,7 @@ query("crawl_delay", f"SELECT robots::DOUBLE AS robots, option::DOUBLE AS option
 # Rewriting.
 REWRITE = f"""WITH p AS (SELECT page_id, url, string_split_regex(html, '<a\\s+href="[^"]*"') AS texts, regexp_extract_all(html, '(<a\\s+href=")([^"]*)(")', 2) AS refs FROM pages), {d_parts('p', 'url', 'b')},
 r AS (SELECT page_id, i, ref, x FROM (SELECT page_id, i, refs[i] AS ref, {d_ref('b', 'refs[i]')} AS x FROM b, unnest(range(1, len(refs) + 1)) AS u(i)) AS y), {d_parts('r', 'x', 'n')},
-m AS (SELECT page_id, list(CASE WHEN n_p LIKE '%e%' THEN 'local' || n_p ELSE coalesce(nullif(n_url, ''), ref) END ORDER BY i) AS new FROM n GROUP BY page_id)
+m AS (SELECT page_id, list(CASE WHEN n_url = '' OR x IS NULL THEN ref ELSE replace(CASE WHEN n_p LIKE '%e%' THEN 'local' || n_p ELSE n_url END || regexp_extract({d_decode('ref')}, '(?s)^[^#]+(#.*)$', 1), '&', '&amp;') END ORDER BY i) AS new FROM n GROUP BY page_id)
 SELECT p.page_id, sha1(array_to_string(list_transform(range(1, len(texts) + 1), lambda k: CASE WHEN k = 1 THEN texts[k] ELSE '<a href="' || new[k - 1] || '"' || texts[k] END), '')) AS html FROM p LEFT JOIN m USING (page_id)"""
 
 
@@ -162,10 +162,33 @@ def rewrite_html(spark, sf_dir):
     return L.rewrite(p, index).select("page_id", F.sha1("html").alias("html"))
 
 
-CSS = [(1, "a{b:url(../font/a.woff2)} c{d:url('x.png')}", {"../font/a.woff2": "../font/a.woff2", "x.png": "img/x.png"})]
-query("rewrite_css", "SELECT 1 AS id, 'a{b:url(\"../font/a.woff2\")} c{d:url(\"img/x.png\")}' AS css")(
+CSS = [
+    (1, "a{b:url(../font/a.woff2)} c{d:url('x.png')}", {"../font/a.woff2": "../font/a.woff2", "x.png": "img/x.png"}),
+    (2, "a{b:url( \"p$1\\E.png\" )} c{d:url(none.png)} @import 'x.png';", {"p$1\\E.png": "q$2.png"}), (3, "", {}),
+]
+_map = "MAP {" + ", ".join(f"{i}: MAP {{{', '.join(f'{literal(k)}: {literal(v)}' for k, v in m.items())}}}" for i, _, m in CSS if m) + "}"
+_inner = _unq(d_trim("regexp_replace(regexp_replace(f[i], '(?i)^url\\(', ''), '\\)$', '')"))
+query("rewrite_css", f"""WITH s AS (SELECT id, string_split_regex(css, {literal(L.CSS_URL)}) AS t, regexp_extract_all(css, {literal(L.CSS_URL)}, 0) AS f FROM {values([r[:2] for r in CSS], 'id, css')}),
+r AS (SELECT id, i, coalesce('url("' || {_map}[id][{_inner}] || '")', f[i]) AS new, t[i + 1] AS text FROM s, unnest(range(1, len(f) + 1)) AS u(i))
+SELECT s.id::INT AS id, t[1] || coalesce((SELECT string_agg(new || text, '' ORDER BY i) FROM r WHERE r.id = s.id), '') AS css FROM s""")(
     lambda s, d: fixture(s, CSS, "id int, css string, m map<string,string>").select("id", L.rewrite_css(F.col("css"), F.col("m")).alias("css"))
 )
+# A copy of a small site: paths relative to the file, fragments kept, what is not in the copy absolute or marked.
+COPY = [("https://site.test/", "index.html"), ("https://site.test/index.html", "index.html"), ("https://site.test/about", "about/index.html"), ("https://site.test/img/logo.png", "img/logo.png"), ("https://site.test/team/", "team/index.html"), ("https://site.test/team/deep", "team/deep/index.html"), ("https://site.test/css/app.css", "css/app.css"), ("https://site.test/font/a.woff2", "font/a.woff2"), ("https://site.test/q?a=1&b=2", "q__1.html")]
+DRAFTS = [
+    (1, "https://site.test/about", "about/index.html", "<a href=\"/\">h</a><a class=c HREF='/index.html'>i</a><img src=../img/logo.png alt=x><a href=\"team/\">t</a><a href=\"mailto:x@y\">m</a>", "<a href=\"../index.html\">h</a><a class=c HREF='../index.html'>i</a><img src=../img/logo.png alt=x><a href=\"../team/index.html\">t</a><a href=\"mailto:x@y\">m</a>"),
+    (2, "https://site.test/team/", "team/index.html", '<base href="/team/"><a href="deep#s">d</a><a href="/q?a=1&amp;b=2#t">q</a><a href="/private/x">p</a><!-- <a href="deep"> --><script src="/x.js" integrity="sha">var a = "<a href=/>";</script>', '<base href="./"><a href="deep/index.html#s">d</a><a href="../q__1.html#t">q</a><a href="https://site.test/private/x">p</a><!-- <a href="deep"> --><script src="https://site.test/x.js" >var a = "<a href=/>";</script>'),
+    (3, "https://site.test/", "index.html", '<style>a{b:url(/img/logo.png)}</style><img srcset="/img/logo.png 1x, /none.png 2x"><div style="b:url(img/logo.png)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=/about">', '<style>a{b:url(img/logo.png)}</style><img srcset="img/logo.png 1x, https://site.test/none.png 2x"><div style="b:url(img/logo.png)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=about/index.html">'),
+]
+query("rewrite_site", f"SELECT id::BIGINT AS page_id, html FROM {values([(r[0], r[4]) for r in DRAFTS], 'id, html')}")(
+    lambda s, d: L.rewrite(fixture(s, [r[:4] for r in DRAFTS], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"))
+)
+query("rewrite_site_offline", "SELECT 1::BIGINT AS page_id, '<a href=\"#not-downloaded\">p</a><a href=\"about/index.html#x\">a</a>' AS html")(
+    lambda s, d: L.rewrite(fixture(s, [(1, "https://site.test/", "index.html", '<a href="/private/x#y">p</a><a href="about#x">a</a>')], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"), "#not-downloaded")
+)
+query("rewrite_sheets", "SELECT 1 AS id, 'a{b:url(../font/a.woff2)} @import \"https://site.test/css/b.css\"; c{d:url(data:x)}' AS css")(
+    lambda s, d: L.rewrite_sheets(fixture(s, [(1, "https://site.test/css/app.css", 'a{b:url(../font/a.woff2)} @import "b.css"; c{d:url(data:x)}', "css/app.css")], "id int, base string, css string, file string"), fixture(s, COPY, "url string, path string"))
+)
 MARKUP = [('<script src="a.js" integrity="sha384-x" crossorigin=\'anonymous\'></script>',), ('<BASE target=_top href="https://x/">',), ("<p>plain</p>",)]
 query("strip_integrity", f"""SELECT html, regexp_replace(html, '(?i)\\s(?:integrity|crossorigin)\\s*=\\s*(?:"[^"]*"|''[^'']*'')', '', 'g') AS plain FROM {values(MARKUP, 'html')}""")(lambda s, d: fixture(s, MARKUP, "html string").select("html", L.strip_integrity(F.col("html")).alias("plain")))
 query("neutral_base", f"""SELECT html, regexp_replace(html, '(?i)(<base\\s[^>]*href\\s*=\\s*)(?:"[^"]*"|''[^'']*'')', '\\1"./"', 'g') AS plain FROM {values(MARKUP, 'html')}""")(lambda s, d: fixture(s, MARKUP, "html string").select("html", L.neutral_base(F.col("html")).alias("plain")))
