@@ -168,11 +168,33 @@ def ext_for_mime(mime: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(MIME_EXT), lower(trim(F.substring_index(mime, ";", 1)))), F.lit(""))
 
 
+_NUMERIC = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _numeric(c: Column) -> Column:
+    """Numeric character references decoded, those of no character left as they are."""
+
+    def of(x: Column) -> Column:
+        code = F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(F.conv(x, 10, 10)).cast("long")
+        some = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
+        # An ampersand is decoded with the named ones, once.
+        return let(code, lambda n: F.when(n == 38, "&amp;").when(some(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&#"), x, F.lit(";"))))
+
+    found = F.regexp_extract_all(c, F.lit(_NUMERIC), 1)
+    whole = lambda f: F.array_join(F.transform(F.split(c, _NUMERIC, -1), lambda t, i: F.concat(t, F.coalesce(of(F.get(f, i)), F.lit("")))), "")
+    return F.when(c.contains("&#"), let(found, whole)).otherwise(c)
+
+
 def html_decode(c: Column) -> Column:
-    """The five basic entities and their usual numeric forms, ampersands last."""
-    for e, t in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(e), F.lit(t))
-    return c
+    """The five basic entities and numeric references, ampersands last."""
+
+    def of(c: Column) -> Column:
+        c = _numeric(c)
+        for e, t in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            c = F.replace(c, F.lit(e), F.lit(t))
+        return c
+
+    return let(c, of)
 
 
 def resolve(base: Column, ref: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archloom.functions.url import extension, host, html_decode, is_http, local_path, same_site, trim, type_from_mime
+from archloom.functions.url import extension, host, html_decode, is_http, local_path, same_site, trim, type_from_mime, type_from_url
 from archloom.operators import robots as R
 from archloom.operators.links import css_links, dedup, js_links, links
 from archloom.operators.paths import assign
@@ -116,21 +116,22 @@ def handled(o: Options, d: DataFrame) -> DataFrame:
     }).drop("problem", "real")
 
 
-def discovered(o: Options, ok: DataFrame) -> DataFrame:
-    """Rows parent, pos, url, kind, type, depth that fetched documents (seq, final_url, type, depth, body) name."""
-    d = ok.select(F.col("seq").alias("page_id"), F.col("final_url").alias("url"), F.col("body").alias("html"), "type", "depth")
-    found = dedup(links(d.where("type = 'html'").select("page_id", "url", "html"), o.scripts)).select("page_id", "pos", "first", "target", "kind", "type")
-    sheets = d.where("type = 'css'").select(F.col("page_id").alias("id"), F.col("url").alias("base"), F.col("html").alias("css"))
-    more = css_links(sheets).withColumnRenamed("id", "page_id")
-    if o.scripts:
-        files = d.where("type = 'js'").select(F.col("page_id").alias("id"), F.col("url").alias("base"), F.col("html").alias("js"))
-        more = more.unionByName(js_links(files).withColumnRenamed("id", "page_id"))
-    more = more.select("page_id", "pos", F.struct("pos", F.lit(0).alias("apos"), F.lit(0).alias("ipos")).alias("first"), "target", F.lit("asset").alias("kind"), "type")
-    found = found.unionByName(more).join(d.select("page_id", "depth"), "page_id")
-    page = F.col("kind") == "page"
-    found = found.withColumn("depth", F.when(page, F.col("depth") + 1).otherwise(F.col("depth")))
-    found = found.where(~page | ((F.col("depth") <= o.max_depth) & o.in_scope(F.col("target"))))
-    return found.select(F.col("page_id").alias("parent"), "first", F.col("target").alias("url"), "kind", F.when(F.col("kind") == "page", "html").otherwise(F.col("type")).alias("type"), "depth")
+def named(o: Options, site: DataFrame) -> DataFrame:
+    """Rows src, first (its place), url, kind, type: what each fetched document (final_url, ctype, body) names.
+
+    All documents are read at once; a crawl then follows the rows. Documents without a type in
+    their response are taken for what their name says, or else for HTML.
+    """
+    src = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))
+    guess = F.coalesce(F.nullif(type_from_url(src), F.lit("")), F.lit("html"))
+    d = site.where("status between 1 and 399").select(src.alias("src"), effective_type(F.col("ctype"), guess).alias("type"), F.col("body").cast("string").alias("text")).dropDuplicates(["src"])
+    pages = d.where("type = 'html'").select(F.col("src").alias("page_id"), F.col("src").alias("url"), F.col("text").alias("html"))
+    out = dedup(links(pages, o.scripts)).select(F.col("page_id").alias("src"), "first", F.col("target").alias("url"), "kind", "type")
+    at = F.struct("pos", F.lit(0).alias("apos"), F.lit(0).alias("ipos")).alias("first")
+    one = lambda t, name: d.where(F.col("type") == t).select(F.col("src").alias("id"), F.col("src").alias("base"), F.col("text").alias(name))
+    for more in (css_links(one("css", "css")), *([js_links(one("js", "js"))] if o.scripts else [])):
+        out = out.unionByName(more.select(F.col("id").alias("src"), at, F.col("target").alias("url"), F.lit("asset").alias("kind"), "type"))
+    return out.withColumn("type", F.when(F.col("kind") == "page", "html").otherwise(F.col("type"))).withColumn("inside", o.in_scope(F.col("url")))
 
 
 def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options) -> DataFrame:
@@ -148,7 +149,8 @@ def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options) -> D
     columns = ["seq", "url", "kind", "type", "depth", "state", "note", "code", "bytes", "final_url", "hash"]
     res = res.select(columns)
     done = {"page": 0, "asset": 0, "bytes": 0}
-    responses = site.withColumnRenamed("url", "at")
+    responses = kept(site.withColumnRenamed("url", "at"))
+    edges = kept(named(o, site))
     for turn, most in (("page", o.max_pages), ("asset", o.max_assets)):
         while True:
             queue = res.where((F.col("state") == "queued") & (F.col("kind") == turn))
@@ -167,7 +169,9 @@ def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options) -> D
             for kind, n, used in counts:  # one row a kind
                 done[kind] += n
                 done["bytes"] += used
-            found = discovered(o, taken.where(fine).select("seq", "final_url", "type", "depth", F.col("body").cast("string").alias("body")))
+            ok = taken.where(fine).select(F.col("seq").alias("parent"), F.col("final_url").alias("src"), F.col("depth").alias("above"))
+            found = ok.join(edges, "src").withColumn("depth", F.when(F.col("kind") == "page", F.col("above") + 1).otherwise(F.col("above")))
+            found = found.where((F.col("kind") == "asset") | ((F.col("depth") <= o.max_depth) & F.col("inside")))
             new = found.join(res.select("url"), "url", "left_anti")
             new = new.groupBy("url").agg(F.min(F.struct("parent", "first", "kind", "type", "depth")).alias("x")).select("url", "x.*")
             n = res.agg(F.max("seq")).first()[0] + 1

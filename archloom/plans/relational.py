@@ -6,11 +6,16 @@ rows, order numbers and options are data. Order is always a column (seq), never
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archloom.functions.text import sql_literal
+from archloom.functions.url import folder
+from archloom.operators.archive import MOST_BYTES, MOST_ENTRIES
+from archloom.operators.crawl import Options, effective_type, handled, reject_reason
+from archloom.operators.ranking import running
 
-from .kit import query, shared, table, values
+from .kit import d_parts, query, shared, table, values
 
 #: A resource table: seq, url, kind, type, state, depth, path, code, bytes, note.
 RESOURCES = [
@@ -47,11 +52,8 @@ shared("rewrite_index", W + "SELECT url, path FROM res WHERE state = 'ok' AND pa
 shared("entry_file", W + "SELECT coalesce(max(CASE WHEN url = 'https://site.test/' AND state = 'ok' THEN path END), min_by(path, CASE WHEN state = 'ok' AND type = 'html' THEN seq END)) AS entry FROM res")
 
 # Queue: order, budgets.
-shared("frontier_batch", "SELECT event_id, kind FROM (SELECT event_id, kind, row_number() OVER (ORDER BY CASE WHEN kind = 'page' THEN 0 ELSE 1 END, event_id) AS r FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN 'page' ELSE 'asset' END AS kind FROM events) AS k) AS o WHERE r <= 50", "events")
 shared("budget_pages", """SELECT o_orderkey, kind FROM (SELECT o_orderkey, kind, coalesce(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
   FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority AS kind FROM orders) AS k) AS b WHERE done < 150""", "orders")
-shared("budget_bytes", """SELECT event_id FROM (SELECT event_id, coalesce(sum(size) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
-  FROM (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS size FROM events) AS k) AS b WHERE used < 1500""", "events")
 JOBS = [("j%02d" % k, 1_700_000_000 + (k * 7919) % 1000, "done" if k % 3 else "error") for k in range(60)]
 shared("jobs_recent", f"SELECT id, created, status FROM {values(JOBS, 'id, created, status')} ORDER BY created DESC, id LIMIT 40")
 
@@ -59,7 +61,6 @@ shared("jobs_recent", f"SELECT id, created, status FROM {values(JOBS, 'id, creat
 STORED = "('jpg','jpeg','png','gif','webp','avif','ico','mp3','mp4','webm','ogg','oga','ogv','m4a','m4v','mov','avi','mkv','zip','gz','rar','7z','woff','woff2','pdf')"
 FILES = f"WITH {RES}, f AS (SELECT DISTINCT path, bytes FROM res WHERE path <> '' AND state = 'ok'), e AS (SELECT path, bytes, CASE WHEN bytes > 1024 AND NOT (lower(regexp_extract(path, '[.]([^.]*)$', 1)) IN {STORED}) THEN 8 ELSE 0 END AS method FROM f) "
 shared("zip_plan", FILES + "SELECT path, bytes, method, CAST(coalesce(sum(30 + length(path) + bytes) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM e")
-shared("zip_limits", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, sum(CAST(o_totalprice * 10000 AS BIGINT)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS size FROM orders) AS z WHERE n <= 65000 AND size <= 4294901760", "orders")
 shared("pack_list", FILES + "SELECT path, bytes FROM e ORDER BY path")
 shared("dir_stats", FILES + "SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM e")
 
@@ -82,25 +83,11 @@ FETCHES = [
     ("https://site.test/v", "https://site.test/v", 200, 10, "", "video/mp4", "asset", ""), ("https://site.test/n", "https://site.test/n", 200, 10, "", "", "asset", ""), ("https://site.test/z", "https://site.test/z", 0, 0, "", "", "asset", "css"),
 ]
 FET = f"f AS (SELECT * FROM {values(FETCHES, 'url, final_url, status, size, error, ctype, kind, guess')})"
-shared("fetch_status", f"WITH {FET} SELECT url, CASE WHEN size > 26214400 THEN 'skipped: larger than the per-file limit' WHEN error <> '' THEN error WHEN status >= 400 THEN concat('HTTP ', CAST(status AS VARCHAR(9))) WHEN status = 0 THEN 'no response' ELSE '' END AS error FROM f")
-_TYPE = "CASE WHEN ctype LIKE '%html%' THEN 'html' WHEN ctype LIKE 'image/%' THEN 'img' WHEN ctype LIKE 'video/%' OR ctype LIKE 'audio/%' THEN 'media' WHEN ctype = 'text/css' THEN 'css' WHEN ctype = '' THEN '' ELSE 'doc' END"
-shared("effective_type", f"WITH {FET}, t AS (SELECT url, kind, coalesce(nullif({_TYPE}, ''), nullif(guess, ''), 'doc') AS type FROM f) SELECT url, type, CASE WHEN kind = 'page' AND type <> 'html' THEN 'asset' ELSE kind END AS kind FROM t")
-SWITCHES = [("css", True), ("js", True), ("img", True), ("font", True), ("doc", True), ("media", False)]
-shared("filter_type", f"WITH {FET}, t AS (SELECT url, coalesce(nullif({_TYPE}, ''), nullif(guess, ''), 'doc') AS type FROM f), s AS (SELECT * FROM {values(SWITCHES, 'type, wanted')}) SELECT t.url, t.type FROM t LEFT JOIN s ON s.type = t.type WHERE coalesce(s.wanted, true)")
 shared("redirect_offsite", f"WITH {FET} SELECT url, final_url FROM f WHERE kind = 'page' AND NOT (final_url LIKE 'https://site.test/%')")
-shared("crawl_handle", f"""WITH {FET}, t AS (SELECT *, coalesce(nullif({_TYPE}, ''), nullif(guess, ''), 'doc') AS type FROM f),
-e AS (SELECT *, CASE WHEN kind = 'page' AND type <> 'html' THEN 'asset' ELSE kind END AS real_kind, CASE WHEN size > 26214400 THEN 'skipped: larger than the per-file limit' WHEN error <> '' THEN error WHEN status >= 400 THEN concat('HTTP ', CAST(status AS VARCHAR(9))) WHEN status = 0 THEN 'no response' ELSE '' END AS problem FROM t),
-h AS (SELECT url, final_url, type, real_kind, CASE WHEN problem <> '' THEN 'fail' WHEN type = 'media' THEN 'skip' WHEN real_kind = 'page' AND NOT (final_url LIKE 'https://site.test/%') THEN 'skip' ELSE 'ok' END AS state,
-  CASE WHEN problem <> '' THEN problem WHEN type = 'media' THEN 'media files are turned off' WHEN real_kind = 'page' AND NOT (final_url LIKE 'https://site.test/%') THEN 'redirected off-site' ELSE '' END AS note FROM e)
-SELECT url, type, real_kind AS kind, state, note, CASE WHEN state = 'ok' THEN concat('raw/', sha1(url), '.dat') ELSE '' END AS raw FROM h UNION ALL
-SELECT final_url, type, real_kind, state, note, concat('raw/', sha1(url), '.dat') FROM h WHERE state = 'ok' AND final_url <> url""")
 CANDIDATES = [
     (0, "mailto:x@y", "page", ""), (1, "https://site.test/private/a", "page", "html"), (2, "https://other.test/p", "page", "html"), (3, "https://cdn.test/a.js", "asset", "js"),
     (4, "https://site.test/v.mp4", "asset", "media"), (5, "https://site.test/big.iso", "asset", "doc"), (6, "https://site.test/ok", "page", "html"), (7, "https://site.test/app.css", "asset", "css"),
 ]
-shared("reject_reason", f"""SELECT seq, url, CASE WHEN NOT (url LIKE 'http://%' OR url LIKE 'https://%') THEN 'not an http(s) URL' WHEN url LIKE 'https://site.test/private/%' THEN 'blocked by robots.txt'
-  WHEN kind = 'page' AND NOT (url LIKE 'https://site.test/%') THEN 'outside the site' WHEN kind = 'asset' AND NOT (url LIKE 'https://site.test/%') THEN 'external file (option off)'
-  WHEN type = 'media' THEN 'media files are turned off' WHEN url LIKE '%.iso' THEN '.iso is on your skip list' END AS reason FROM {values(CANDIDATES, 'seq, url, kind, type')}""")
 PATHS = [("/srv/www/site",), ("/srv/www",), ("/srv/wwwx",), ("/etc/passwd",), ("/home/a/p",)]
 shared("path_in_roots", f"SELECT p.path, CAST(max(CASE WHEN p.path = r.root OR substr(p.path, 1, length(r.root) + 1) = concat(r.root, '/') THEN 1 ELSE 0 END) AS BIGINT) = 1 AS allowed FROM {values(PATHS, 'path').replace('AS f', 'AS p')} CROSS JOIN {values([('/srv/www',), ('/home',)], 'root').replace('AS f', 'AS r')} GROUP BY p.path")
 TREE = [("a.php", 100), ("vendor/x.php", 50), ("node_modules/m/i.js", 70), ("src/node_modules/z.js", 10), ("src/b.PHP", 300), ("img/big.bin", 99999999), ("readme.md", 5)]
@@ -123,13 +110,8 @@ EDGES = [
 EDGE = f"edges AS (SELECT * FROM {values(EDGES, 'src, pos, dst, kind')})"
 shared("discover", f"WITH {EDGE} SELECT dst, kind, min(CASE WHEN kind = 'page' THEN 1 ELSE 0 END) AS depth, min(pos) AS pos FROM edges WHERE src = '/' AND (kind = 'asset' OR 0 + 1 <= 6) GROUP BY dst, kind")
 shared("crawl_seed", f"SELECT url, min(depth) AS depth FROM (SELECT url, 0 AS depth FROM {values([('https://site.test/',)], 'url')} UNION ALL SELECT url, depth FROM {values([('https://www.site.test/', 0), ('https://site.test/', 0)], 'url, depth').replace('AS f', 'AS g')}) AS s GROUP BY url")
-shared("content_twins", "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS owner FROM documents", "documents")
-
 # Log: format, tail.
 shared("log_format", "SELECT event_id, concat('{\"t\":', CAST(user_id AS VARCHAR(20)), ',\"l\":\"', CASE WHEN value > 90 THEN 'warn' ELSE 'info' END, '\",\"m\":\"', event_type, '\"}') AS line FROM events", "events")
-shared("log_tail", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r, sum(length(event_type) + 1) OVER (ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back FROM events) AS t WHERE r <= 400 AND back <= 400000""", "events")
-
-
 # SQL dump: multi-row INSERTs of 400 rows, in key order.
 @query("sql_dump_insert", """WITH r AS (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 400 AS chunk, '(' || c_custkey || ', ''' || c_name || ''', ' || c_nationkey || ')' AS t FROM customer)
 SELECT chunk::BIGINT AS chunk, 'INSERT INTO `customer` VALUES' || chr(10) || string_agg(t, ',' || chr(10) ORDER BY c_custkey) || ';' AS sql FROM r GROUP BY chunk""")
@@ -179,3 +161,97 @@ def sitemap_seed(spark, sf_dir):
 
     files = spark.createDataFrame(SITEMAPS, "url string, body string")
     return sitemap_urls(files, "https://site.test/sitemap.xml", "site.test")
+
+
+# Order and budgets over whole tables: running sums by ranges, and the first rows of an order.
+@query("frontier_batch", "SELECT event_id, kind FROM (SELECT event_id, kind, row_number() OVER (ORDER BY CASE WHEN kind = 'page' THEN 0 ELSE 1 END, event_id) AS r FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN 'page' ELSE 'asset' END AS kind FROM events) AS k) AS o WHERE r <= 50")
+def frontier_batch(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "page").otherwise("asset").alias("kind"))
+    return e.orderBy(F.when(F.col("kind") == "page", 0).otherwise(1), "event_id").limit(50)
+
+
+@query("budget_bytes", "SELECT event_id FROM (SELECT event_id, coalesce(sum(size) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (SELECT event_id, floor(value)::BIGINT AS size FROM events) AS k) AS b WHERE used < 150000")
+def budget_bytes(spark, sf_dir):
+    """One budget for all: what lies before it in the order of the queue is taken."""
+    return running(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", used=F.floor("value")).where("used < 150000").select("event_id")
+
+
+@query("zip_limits", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, sum(CAST(o_totalprice * 10000 AS BIGINT)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS size FROM orders) AS z WHERE n <= 65000 AND size <= 4294901760")
+def zip_limits(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") * 10000).cast("decimal(38,4)").alias("x")).select("o_orderkey", F.round("x").cast("long").alias("size"))
+    return running(o, "o_orderkey", n=F.lit(1), used=F.col("size")).where((F.col("n") < MOST_ENTRIES) & (F.col("used") + F.col("size") <= MOST_BYTES)).select("o_orderkey")
+
+
+@query("log_tail", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r, sum(length(event_type) + 1) OVER (ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back FROM events) AS t WHERE r <= 400 AND back <= 400000")
+def log_tail(spark, sf_dir):
+    """The last rows first: at most 400 of them meet in the window."""
+    last = table(spark, sf_dir, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(400)
+    back = F.sum(F.length("event_type") + 1).over(Window.orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return last.withColumn("back", back).where("back <= 400000").select("event_id")
+
+
+TWINS = [(-1, "https://site.test/a/", "same"), (-2, "https://site.test/a/index.html", "same"), (-3, "https://site.test/b/", "same"), (-4, "https://www.site.test/a/x", "same")]
+
+
+@query("content_twins", f"WITH p AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM {values(TWINS, 'page_id, url, html')}), {d_parts('p', 'url', 'n')} SELECT page_id, min(page_id) OVER (PARTITION BY html, n_host || regexp_extract(n_p, '^(.*/)', 1)) AS owner FROM n")
+def content_twins(spark, sf_dir):
+    """Pages of one directory with the same content, by the first of them."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(spark.createDataFrame(TWINS, "page_id long, url string, html string"))
+    return p.select("page_id", F.sha1("html").alias("h"), folder(F.col("url")).alias("dir")).withColumn("owner", F.min("page_id").over(Window.partitionBy("h", "dir"))).select("page_id", "owner")
+
+
+# Fetch results and policy, by the operators of the crawl.
+def _fetches(spark):
+    d = spark.createDataFrame(FETCHES, "url string, final_url string, status int, size long, error string, ctype string, kind string, type string")
+    return handled(POLICY, d)
+
+
+POLICY = Options("site.test", external_assets=False, types={"media": False}, skip_ext=("iso",))
+_MIME = "CASE WHEN ctype = '' THEN '' WHEN ctype LIKE '%html%' THEN 'html' WHEN ctype = 'text/css' THEN 'css' WHEN ctype LIKE '%javascript%' OR ctype LIKE '%ecmascript%' THEN 'js' WHEN ctype LIKE 'image/%' THEN 'img' WHEN ctype LIKE 'font/%' OR ctype LIKE '%woff%' THEN 'font' WHEN ctype LIKE 'video/%' OR ctype LIKE 'audio/%' THEN 'media' ELSE 'doc' END"
+HANDLED = f"""{FET}, t AS (SELECT *, coalesce(nullif({_MIME}, ''), nullif(guess, ''), 'doc') AS type, CASE WHEN size > 26214400 THEN 'skipped: larger than the per-file limit' WHEN error <> '' THEN error WHEN status >= 400 THEN 'HTTP ' || status WHEN status = 0 THEN 'no response' ELSE '' END AS problem FROM f),
+h AS (SELECT *, CASE WHEN kind = 'page' AND type <> 'html' THEN 'asset' ELSE kind END AS real FROM t)"""
+query("fetch_status", f"WITH {HANDLED} SELECT url, problem AS error FROM h")(lambda s, d: _fetches(s).select("url", F.when(F.col("state") == "fail", F.col("note")).otherwise("").alias("error")))
+query("effective_type", f"WITH {HANDLED} SELECT url, ctype, guess, type FROM h")(
+    lambda s, d: s.createDataFrame(FETCHES, "url string, final_url string, status int, size long, error string, ctype string, kind string, guess string").select("url", "ctype", "guess", effective_type(F.col("ctype"), F.col("guess")).alias("type"))
+)
+query("filter_type", f"WITH {HANDLED} SELECT url, type FROM h WHERE problem = '' AND type <> 'media'")(lambda s, d: _fetches(s).where("state <> 'fail'").where(~POLICY.off(F.col("type"))).select("url", "type"))
+query("crawl_handle", f"""WITH {HANDLED} SELECT url, CASE WHEN problem <> '' THEN guess ELSE type END AS type, CASE WHEN problem <> '' THEN kind ELSE real END AS kind,
+ CASE WHEN problem <> '' THEN 'fail' WHEN type = 'media' OR (real = 'page' AND NOT (final_url LIKE 'https://site.test/%')) THEN 'skip' ELSE 'ok' END AS state,
+ CASE WHEN problem <> '' THEN problem WHEN type = 'media' THEN 'media files are turned off' WHEN real = 'page' AND NOT (final_url LIKE 'https://site.test/%') THEN 'redirected off-site' ELSE '' END AS note FROM h""")(
+    lambda s, d: _fetches(s).select("url", "type", "kind", "state", "note")
+)
+query("reject_reason", f"""SELECT seq, url, CASE WHEN NOT (url LIKE 'http://%' OR url LIKE 'https://%') THEN 'not an http(s) URL' WHEN url LIKE 'https://site.test/private/%' THEN 'blocked by robots.txt'
+ WHEN kind = 'page' AND NOT (url LIKE 'https://site.test/%') THEN 'outside the site' WHEN kind = 'asset' AND NOT (url LIKE 'https://site.test/%') THEN 'external file (option off)'
+ WHEN type = 'media' THEN 'media files are turned off' WHEN url LIKE '%.iso' THEN '.iso is on your skip list' END AS reason FROM {values(CANDIDATES, 'seq, url, kind, type')}""")(lambda s, d: rejected(s))
+
+
+def rejected(spark):
+    """Candidates judged by scope, options and the rules of their host's robots file."""
+    from archloom.functions.url import host
+    from archloom.operators import robots as R
+
+    c = spark.createDataFrame(CANDIDATES, "seq int, url string, kind string, type string")
+    rows = R.rules(spark.createDataFrame([("site.test", "User-agent: *\nDisallow: /private/")], "host string, body string"))
+    verdict = R.allowed(c.select("url", host(F.col("url")).alias("host")), rows.join(R.group(rows), ["host", "agent"]))
+    return c.join(verdict, "url", "left").select("seq", "url", reject_reason(POLICY, F.col("url"), F.col("kind"), F.col("type"), F.col("allowed")).alias("reason"))
+
+
+# The end of a job: counts by kind, one line each.
+query("summary_lines", W + """SELECT 1 AS place, count(*) FILTER (kind = 'page' AND state = 'ok') || ' pages, ' || count(*) FILTER (kind = 'asset' AND state = 'ok') || ' files' AS line FROM res
+ UNION ALL SELECT 2, count(*) FILTER (state = 'fail') || ' failed, ' || count(*) FILTER (state = 'skip') || ' skipped, ' || count(*) FILTER (state = 'queued') || ' left' FROM res
+ UNION ALL SELECT 3, sum(bytes) FILTER (state = 'ok') || ' bytes' FROM res""")(lambda s, d: summary(s.createDataFrame(RESOURCES, "seq int, url string, kind string, type string, state string, depth int, path string, code int, bytes long, note string")))
+query("manifest_json", W + """SELECT seq, '{"url":"' || url || '","file":"' || path || '","type":"' || type || '","kind":"' || kind || '","status":' || code || ',"bytes":' || bytes || ',"state":"' || state || '","note":"' || note || '"}' AS entry FROM res""")(
+    lambda s, d: s.createDataFrame(RESOURCES, "seq int, url string, kind string, type string, state string, depth int, path string, code int, bytes long, note string").select("seq", F.to_json(F.struct("url", F.col("path").alias("file"), "type", "kind", F.col("code").alias("status"), "bytes", "state", "note")).alias("entry"))
+)
+
+
+def summary(res):
+    n = lambda c: F.count(F.when(F.expr(c), 1)).cast("string")
+    lines = res.agg(
+        F.array(
+            F.concat(n("kind = 'page' and state = 'ok'"), F.lit(" pages, "), n("kind = 'asset' and state = 'ok'"), F.lit(" files")),
+            F.concat(n("state = 'fail'"), F.lit(" failed, "), n("state = 'skip'"), F.lit(" skipped, "), n("state = 'queued'"), F.lit(" left")),
+            F.concat(F.sum(F.when(F.col("state") == "ok", F.col("bytes"))).cast("string"), F.lit(" bytes")),
+        ).alias("lines")
+    )
+    return lines.select(F.posexplode("lines").alias("place", "line")).select((F.col("place") + 1).alias("place"), "line")

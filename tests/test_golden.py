@@ -61,3 +61,11 @@ def test_normalize_twice_is_once(spark, paths):
 def test_local_path_stays_inside(spark, paths):
     df = spark.createDataFrame([("http://h/" + p,) for p in paths], "u string").select(U.local_path(F.col("u"), F.lit("html"), F.lit("h")).alias("p"))
     assert not any({"..", ""} & set(r.p.split("/")) for r in df.collect())
+
+
+def test_numeric_references(spark):
+    from archloom.functions.text import html_decode
+
+    cases = {"a&#39;b&#x1F600;&#xe9;c": "a'b\U0001f600\u00e9c", "&#0;&#xD800;&#1114112;": "&#0;&#xD800;&#1114112;", "&amp;#39;": "&#39;", "&#38;lt;": "&lt;", "plain": "plain", "": "", "&#x41;": "A"}
+    d = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.d for r in d.select("t", html_decode(F.col("t")).alias("d")).collect()} == cases
