@@ -45,7 +45,7 @@ def gram_bytes(n_bytes: int) -> int:
 
 _COUNTS, _SUMS, _KEPT = range(3)
 _SENT = {"bucket": pa.int64(), "batch": pa.int64(), "kind": pa.int32(), "level": pa.int32(), "g": pa.binary(), "n": pa.binary()}
-_BACK = {k: _SENT[k] for k in ("batch", "kind", "level", "g", "n")} | {"tokens": pa.int64(), "distinct": pa.int64()}
+_BACK = {k: _SENT[k] for k in ("batch", "kind", "level", "bucket")} | {"bits": pa.binary(), "n": pa.binary(), "tokens": pa.int64(), "distinct": pa.int64()}
 
 
 def _schema(columns: dict[str, pa.DataType]) -> str:
@@ -67,14 +67,24 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[order][new], number
 
 
+def _cuts(g: np.ndarray, size: int, n_buckets: int) -> np.ndarray:
+    """Where the sorted hashes of each bucket begin and end."""
+    bucket = ((g >> np.uint64(8 * size - 32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    return np.searchsorted(bucket, np.arange(n_buckets + 1))
+
+
+def _chosen(bits: bytes, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
+
+
 class Batch:
     """Tokens of a batch of documents, and what its passes have learnt of them.
 
     Places run over all documents: an end, the words, an end. The first is a context alone.
     """
 
-    def __init__(self, t: pa.Table, told: list[tuple[int, int, bytes, bytes]], root: tuple[int, int] | None, depth: int, width: int):
-        self.width = width
+    def __init__(self, t: pa.Table, told: list[tuple[int, int, int, bytes, bytes]], root: tuple[int, int] | None, depth: int, width: int, n_buckets: int):
+        self.width, self.n_buckets = width, n_buckets
         texts = pc.cast(t.column("text"), pa.binary()).to_pylist()
         words, starts = word_hashes(b"\n".join(texts).lower())
         size = np.array([len(x) + 1 for x in texts], np.int64)
@@ -95,7 +105,8 @@ class Batch:
 
     def level(self, k: int) -> np.ndarray:
         """Count over all training documents of the k + 1 tokens that end at each place; 0 where they are not counted."""
-        while len(self.count) <= k:
+        last = k
+        while len(self.count) <= last:
             j = len(self.count)
             g = self.token.copy()
             for i in range(1, j + 1):  # the token i places before
@@ -106,14 +117,16 @@ class Batch:
             known, number = _distinct(g[at] if j == 0 else g[at] >> np.uint64(64 - 8 * self.width))
             own = np.bincount(number, self.train[at], len(known)).astype(np.int64)
             total = own.copy()
-            for kind, level, keys, counts in self.told:
+            # Answers tell places in what was sent, which is found anew.
+            cuts = _cuts(known, self.width if j else _TOKEN, self.n_buckets)
+            for kind, level, k, bits, counts in self.told:
                 if kind == _COUNTS and level == j:
-                    total[np.searchsorted(known, numbers([keys], self.width if j else _TOKEN)[0])] = numbers([counts], _COUNT)[0]
+                    total[cuts[k] + _chosen(bits, cuts[k + 1] - cuts[k])] = numbers([counts], _COUNT)[0]
             self.grams.append((at, known, own))
             here = np.zeros(len(self.token), np.int64)
             here[at] = total[number]
             self.count.append(here)
-        return self.count[k]
+        return self.count[last]
 
     def before(self, k: int) -> np.ndarray:
         """Count of the context of k tokens before each place; that of the start is the number of documents."""
@@ -137,32 +150,33 @@ class Batch:
         p = (self.level(0) + 0.5) / (n + 0.5 * (v + 1))
         kept = self.place > 0
         for j in range(1, k + 1):
-            held = [(numbers([g], self.width)[0], np.frombuffer(x, "<f8")) for kind, level, g, x in self.told if kind == _KEPT and level == j]
-            keys, kinds = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0))
-            kept = kept & (self.place >= j)
-            at = np.flatnonzero(kept)
-            if not len(keys):
-                return p, np.zeros(len(p), bool)
-            order = np.argsort(keys)
-            keys, kinds = keys[order], kinds[order]
-            want = self.key(j)[at]
-            i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[i] == want
+            at, known, number = self.contexts(j, kept)
+            cuts = _cuts(known, self.width, self.n_buckets)
+            kinds = np.zeros(len(known))
+            for kind, level, b, bits, x in self.told:
+                if kind == _KEPT and level == j:
+                    kinds[cuts[b] + _chosen(bits, cuts[b + 1] - cuts[b])] = np.frombuffer(x, "<f8")
+            kinds = kinds[number]
+            hit = kinds > 0
             kept = np.zeros(len(p), bool)
-            at, kind = at[hit], kinds[i[hit]]
+            at, kind = at[hit], kinds[hit]
             kept[at] = True
             # The longer context holds its next tokens and, in the share of their kinds, what its suffix says.
             p[at] = (self.level(j)[at] + kind * p[at]) / (self.before(j)[at] + kind)
         return p, kept
 
+    def contexts(self, k: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places after a frequent context of k tokens whose suffix is kept there; the distinct contexts, and the number of each place's."""
+        at = np.flatnonzero(kept & (self.place >= k) & (self.before(k) >= LEAST_CONTEXT))
+        return at, *_distinct(self.key(k)[at])
+
     def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The contexts of k tokens that may be kept, and parts of their sums: kinds of next tokens, and
         of those frequent enough divergence, probability by the suffix, places and kinds; then the count."""
         p, kept = self.chances(k - 1)
         context = self.before(k)
         # Documents held out ask for the contexts too, and add nothing to the sums.
-        at = np.flatnonzero(kept & (self.place >= k) & (context >= LEAST_CONTEXT))
-        known, number = _distinct(self.key(k)[at])
+        at, known, number = self.contexts(k, kept)
         train = self.train[at]
         n, total = np.maximum(self.level(k)[at], 1).astype(float), context[at].astype(float)
         often = train & (n >= LEAST_NEXT)
@@ -181,12 +195,11 @@ def kept_contexts(sums: np.ndarray) -> np.ndarray:
     return (2 * divergence > freedom + LEAST_DEVIATIONS * np.sqrt(2 * freedom)) & (freedom > 0)
 
 
-def _send(b: Batch, batch: int, done: int, n_buckets: int) -> Iterator[tuple]:
+def _send(b: Batch, batch: int, done: int) -> Iterator[tuple]:
     """Rows of a pass: counts of tokens and pairs first; then sums of the last level counted, and counts of the next."""
 
     def deal(g: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
-        bucket = ((g >> np.uint64(8 * size - 32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        cuts = _cuts(g, size, b.n_buckets)
         return ((k, int(i), int(j)) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j)
 
     for level in (0, 1) if done == 0 else (done + 1,) if done < b.depth else ():
@@ -202,7 +215,7 @@ def _send(b: Batch, batch: int, done: int, n_buckets: int) -> Iterator[tuple]:
 def _meet(t: pa.Table, width: int) -> pa.Table:
     """Answers of a bucket to its batches."""
     kind, level = t.column("kind")[0].as_py(), t.column("level")[0].as_py()
-    batches = t.column("batch").to_pylist()
+    batches, bucket = t.column("batch").to_pylist(), t.column("bucket")[0].as_py() // 3
     each = numbers(t.column("g").to_pylist(), width if level else _TOKEN)
     known, number = _distinct(np.concatenate(each))
     rows, at = [], 0
@@ -213,9 +226,9 @@ def _meet(t: pa.Table, width: int) -> pa.Table:
             whole = total[number[at : at + len(g)]]
             at += len(g)
             other = whole != mine
-            rows.append((batch, kind, level, planes(g[other], width if level else _TOKEN), planes(whole[other], _COUNT), int(total.sum()) * (k == 0), int((total > 0).sum()) * (k == 0)))
+            rows.append((batch, kind, level, bucket, np.packbits(other).tobytes(), planes(whole[other], _COUNT), int(total.sum()) * (k == 0), int((total > 0).sum()) * (k == 0)))
         if level:
-            rows = [(*r[:5], 0, 0) for r in rows]
+            rows = [(*r[:6], 0, 0) for r in rows]
         return _table(rows, _BACK)
     sent = list(zip(t.column("n").to_pylist(), each))
     parts = np.concatenate([np.frombuffer(x, "<f4", 5 * len(g)).reshape(5, -1) for x, g in sent], axis=1).astype(float)
@@ -228,7 +241,7 @@ def _meet(t: pa.Table, width: int) -> pa.Table:
         k = number[at : at + len(g)]
         at += len(g)
         some = kept[k]
-        rows.append((batch, _KEPT, level, planes(g[some], width), sums[0][k][some].astype("<f8").tobytes(), 0, 0))
+        rows.append((batch, _KEPT, level, bucket, np.packbits(some).tobytes(), sums[0][k][some].astype("<f8").tobytes(), 0, 0))
     return _table(rows, _BACK)
 
 
@@ -251,11 +264,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     def meet(t: pa.Table) -> pa.Table:
         return _meet(t, width)
 
-    def answers(told: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
-        return list(zip(*(told.column(c).to_pylist() for c in ("kind", "level", "g", "n"))))
+    def answers(told: pa.Table) -> list[tuple[int, int, int, bytes, bytes]]:
+        return list(zip(*(told.column(c).to_pylist() for c in ("kind", "level", "bucket", "bits", "n"))))
 
     def first(t: pa.Table) -> pa.Table:
-        return _table(list(_send(Batch(t, [], None, depth, width), t.column("batch")[0].as_py(), 0, n_buckets)), _SENT)
+        return _table(list(_send(Batch(t, [], None, depth, width, n_buckets), t.column("batch")[0].as_py(), 0)), _SENT)
 
     told = written(d.groupBy("batch").applyInArrow(first, _schema(_SENT)).groupBy("bucket").applyInArrow(meet, _schema(_BACK)), "token-counts")
     forget(spark)
@@ -266,7 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         def more(t: pa.Table, got: pa.Table) -> pa.Table:
             if not t.num_rows:
                 return _table([], _SENT)
-            return _table(list(_send(Batch(t, answers(got), (n, v), depth, width), t.column("batch")[0].as_py(), done, n_buckets)), _SENT)
+            return _table(list(_send(Batch(t, answers(got), (n, v), depth, width, n_buckets), t.column("batch")[0].as_py(), done)), _SENT)
 
         return more
 
@@ -279,7 +292,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     columns = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(t: pa.Table, got: pa.Table) -> pa.Table:
-        b = Batch(t, answers(got), (n, v), depth, width)
+        b = Batch(t, answers(got), (n, v), depth, width, n_buckets)
         count, real = b.level(0), b.place > 0
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         p, _ = b.chances(depth)
