@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from archloom.llm.html_text import op10_html_text
 from archloom.llm.ordinal_quality import op3_ordinal_quality
@@ -17,7 +18,7 @@ from archloom.llm.shingle_join import PrefixTree, links, shingle_sets
 from archloom.llm import suffix_dedup as suffix_module
 from archloom.llm.suffix_dedup import blind_trie_order, first_holders, suffix_dedup
 from archloom.llm.suffix_tree_lm import op2_suffix_tree_lm
-from archloom.llm.swap_packing import Ids, best_fit, improve, tokenizer_path
+from archloom.llm.swap_packing import Ids, best_fit, improve, op5_swap_packing, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 #: No word holds white space, so this is no word.
@@ -222,6 +223,29 @@ def test_tokens_are_those_of_the_whole_text(texts):
     assert ids.all(cases[::-1]) == ids.encode(cases[::-1])  # with what is remembered
 
 
+def test_packing_by_its_contract(spark, texts):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    by_doc, by_bin = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in op5_swap_packing(spark, SF).collect():
+        assert r.piece not in by_doc[r.doc_id]
+        by_doc[r.doc_id][r.piece] = r
+        by_bin[r.sequence_id].append((r.offset, r.length))
+    assert by_doc.keys() == texts.keys()
+    total = 0
+    for i, t in texts.items():
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        rows = [by_doc[i][k] for k in range(len(by_doc[i]))]
+        assert rows[0].start == 0 and all(a.start + a.length == b.start for a, b in zip(rows, rows[1:]))
+        assert rows[-1].start + rows[-1].length == len(ids) and all(r.length == 2048 for r in rows[1:]) and 0 < rows[0].length <= 2048
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows)
+    for b in by_bin.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(b, b[1:])) and sum(n for _, n in b) <= 2048
+    # Within a hundredth of the least number that any packing could have.
+    assert len(by_bin) <= math.ceil(1.01 * math.ceil(total / 2048))
+
+
 def test_local_search_never_adds_bins():
     rng = np.random.default_rng(3)
     for _ in range(20):
