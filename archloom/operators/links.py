@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archloom.functions.url import extension, html_decode, let, lower, relative_path, resolve, trim, type_from_url
+from archloom.functions.url import extension, html_decode, let, lower, resolve, trim, type_from_url
 
 # Attributes that hold a URL, that hold candidate lists, and prefixes that are no link.
 URL_ATTRS = (
@@ -20,10 +20,10 @@ SKIP_PREFIXES = "data: javascript: mailto: tel: sms: about: blob: ftp: file: chr
 SKIP_MARKS = ("{{", "}}", "{%", "%}", "<?", "${")
 META_IMAGES = "og:image og:image:url og:image:secure_url twitter:image twitter:image:src og:audio og:video msapplication-tileimage".split()
 
-TAG = r"""<[a-zA-Z][a-zA-Z0-9]*(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+TAG = r"""<[a-zA-Z][-a-zA-Z0-9:_]*(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 ATTR = r"""[a-zA-Z_:][-a-zA-Z0-9_:.]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-CSS_URL = r"""url\(\s*(?:"[^"]*"|'[^']*'|[^"'()\s]+)\s*\)"""
-CSS_IMPORT = r"""@import\s+(?:"[^"]*"|'[^']*')"""
+CSS_URL = r"""(?i)url\(\s*(?:"[^"]*"|'[^']*'|[^"'()\s]+)\s*\)"""
+CSS_IMPORT = r"""(?i)@import\s+(?:"[^"]*"|'[^']*')"""
 JS_LITERAL = r"""["'](?:[^"'\s<>]*/)?[^"'\s<>/]+\.(?:css|js|mjs|png|jpg|jpeg|gif|svg|webp|ico|woff|woff2|ttf|mp4|webm|mp3|json)(?:\?[^"'\s<>]*)?["']"""
 
 #: Kind and type of a link by tag, attribute, rel, as and the type that its extension says; shared text of both engines.
@@ -96,7 +96,7 @@ def skippable(ref: Column) -> Column:
 def tags(pages: DataFrame, *keep: str) -> DataFrame:
     """Rows page_id, url, pos, tag (name), raw of every start tag outside protected bodies, and the columns keep."""
     d = pages.select("page_id", "url", *keep, F.posexplode(F.regexp_extract_all(protect(F.col("html")), F.lit(TAG), 0)).alias("pos", "raw"))
-    return d.withColumn("tag", lower(F.regexp_extract("raw", r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)))
+    return d.withColumn("tag", lower(F.regexp_extract("raw", r"^<([a-zA-Z][-a-zA-Z0-9:_]*)", 1)))
 
 
 def attributes(pages: DataFrame, *keep: str) -> DataFrame:
@@ -200,116 +200,12 @@ def meta_target(name: Column, content: Column) -> Column:
     return F.when(lower(name) == "refresh", F.nullif(refresh, F.lit(""))).when(lower(name).isin(*META_IMAGES) & content.rlike(r"(?i)^https?://"), content)
 
 
-#: What a page is cut at: comments, elements whose bodies are no markup, and start tags.
-TOKEN = r"""(?is)<!--.*?-->|<textarea\b[^>]*>.*?</textarea\s*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|""" + TAG
-
-
 def _cut(text: Column, pattern: str) -> Column:
     """Array of (text, token): what lies before each match and the match, and at the end the rest with an empty one."""
     texts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     return let(F.struct(texts.alias("t"), found.alias("f")), lambda x: F.transform(x.getField("t"), lambda t, i: F.struct(t.alias("text"), F.coalesce(F.get(x.getField("f"), i), F.lit("")).alias("token"))))
 
 
-def _segments(x: Column, ref: Column, via: str) -> Column:
-    """The token of a cut around a reference in it."""
-    none = F.lit(None).cast("string")
-    at = F.when(ref != "", F.instr(x, ref)).otherwise(0)
-    return F.when(at > 0, F.struct(F.substring(x, F.lit(1), at - 1).alias("pre"), ref.alias("ref"), F.substring(x, at + F.length(ref), F.length(x)).alias("post"), F.lit(via).alias("via"))).otherwise(F.struct(x.alias("pre"), none.alias("ref"), F.lit("").alias("post"), F.lit(via).alias("via")))
-
-
-def _css_segments(css: Column) -> Column:
-    """A style sheet as an array of (pre, ref, post, via), in order, which join to the whole."""
-    inner = lambda x: _unquoted(trim(F.regexp_replace(x, r"(?i)^url\(|^@import\s+|\)$", "")))
-    plain = lambda t: F.struct(t.alias("pre"), F.lit(None).cast("string").alias("ref"), F.lit("").alias("post"), F.lit("css").alias("via"))
-    return F.flatten(F.transform(_cut(css, f"{CSS_URL}|{CSS_IMPORT}"), lambda x: F.array(plain(x.getField("text")), let(x.getField("token"), lambda t: _segments(t, inner(t), "css")))))
-
-
-def _attribute_segments(tag: Column, raw: Column, pair: Column) -> Column:
-    """An attribute as an array of (pre, ref, post, via)."""
-    name = lower(F.regexp_extract(pair, r"^([^\s=]*)", 1))
-    value = _unquoted(F.regexp_extract(pair, r"(?s)=\s*(.*)$", 1))
-    none = F.lit(None).cast("string")
-    plain = F.array(F.struct(pair.alias("pre"), none.alias("ref"), F.lit("").alias("post"), F.lit("attr").alias("via")))
-    # A candidate list is cut at commas; its first piece has the name, its last the closing quote.
-    lists = F.transform(_cut(pair, r"\s*,\s*"), lambda x: F.struct(x.getField("text").alias("t"), x.getField("token").alias("sep")))
-    entry = lambda t: trim(F.regexp_extract(F.regexp_replace(t, r"(?s)^[a-zA-Z-]+\s*=\s*[\"']?", ""), r"^\s*([^\s\"']+)", 1))
-    sets = F.flatten(F.transform(lists, lambda x: F.array(_segments(x.getField("t"), entry(x.getField("t")), "srcset"), F.struct(x.getField("sep").alias("pre"), none.alias("ref"), F.lit("").alias("post"), F.lit("attr").alias("via")))))
-    meta = meta_target(F.when(lower(attribute(raw, "http-equiv")) == "refresh", "refresh").otherwise(F.coalesce(F.nullif(attribute(raw, "property"), F.lit("")), attribute(raw, "name"))), value)
-    return (
-        F.when(pair == "", plain).when(name.isin("integrity", "crossorigin"), F.array().cast(_SEGMENTS))
-        .when((tag == "base") & (name == "href"), F.array(F.struct(F.lit('href="./"').alias("pre"), none.alias("ref"), F.lit("").alias("post"), F.lit("attr").alias("via"))))
-        .when(name.isin(*SRCSET_ATTRS) & ~lower(value).contains("data:"), sets).when(name == "style", _css_segments(html_decode(pair)))
-        .when((tag == "meta") & (name == "content"), F.array(_segments(pair, F.coalesce(meta, F.lit("")), "meta"))).when(name.isin(*URL_ATTRS), F.array(_segments(pair, value, "attr"))).otherwise(plain)
-    )
-
-
-_SEGMENTS = "array<struct<pre:string,ref:string,post:string,via:string>>"
-
-
-def _replaced(rows: DataFrame, targets: DataFrame, missing: str | None) -> DataFrame:
-    """Rows of segments with text: their references replaced by the files of targets (url, path).
-
-    rows: target and key as _aimed gives them, file (of the document itself, null to take paths as
-    they are), pre, ref, post, and what else they have. A reference to no file becomes absolute, or missing where that is given.
-    """
-    met = rows.join(targets.select(F.col("url").alias("key"), F.col("path").alias("to")), "key", "left")
-    new = F.when(F.col("to").isNotNull(), F.when(F.col("file").isNull(), F.col("to")).otherwise(relative_path(F.col("file"), F.col("to")))).otherwise(F.lit(missing) if missing else F.col("target"))
-    fragment = F.when(F.col("to").isNull() & F.lit(bool(missing)), "").otherwise(F.regexp_extract(html_decode(F.col("ref")), r"(?s)^[^#]+(#.*)$", 1))
-    text = F.when(F.col("target").isNull(), F.coalesce("ref", F.lit(""))).otherwise(F.replace(F.concat(new, fragment), F.lit("&"), F.lit("&amp;")))
-    return met.withColumn("text", F.concat("pre", text, "post"))
-
-
-def _aimed(rows: DataFrame, *place: str) -> DataFrame:
-    """Rows with target, null where there is no link, and key: the target, or else a name of the row that no URL has.
-
-    The key spreads the rows without a link over the tasks of the join. The generator computes the
-    target once.
-    """
-    ref = F.when(~skippable(F.col("ref")), F.col("ref"))
-    d = rows.select("*", F.explode(F.array(F.when(ref.isNotNull(), resolve(F.col("base"), ref)))).alias("target"))
-    return d.withColumn("key", F.coalesce("target", F.concat_ws("#", F.lit(""), *place)))
-
-
-def _joined(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    pieces = F.array_sort(F.collect_list(F.struct(*order, "text")))
-    return rows.groupBy(key).agg(F.array_join(F.transform(pieces, lambda x: x.getField("text")), "").alias("text"))
-
-
-def rewrite(pages: DataFrame, targets: DataFrame, missing: str | None = None) -> DataFrame:
-    """Rows page_id, html with every link of attributes, candidate lists, styles and meta elements replaced.
-
-    pages: page_id, url, html, and file where links are to be relative to it. targets: url, path.
-    Pages are cut at their links; the pieces of a page meet their replacements as rows, which spread
-    over tasks however many links a page has. Comments, scripts and text areas stay as they are;
-    integrity attributes go, and a base element points here.
-    """
-    file = F.col("file") if "file" in pages.columns else F.lit(None).cast("string")
-    d = pages.select("page_id", "html", file.alias("file"), F.explode(F.array(base_href(F.col("html"), F.col("url")))).alias("base"))
-    d = d.select("page_id", "base", "file", F.posexplode(_cut(F.col("html"), TOKEN)).alias("pos", "x")).select("page_id", "base", "file", "pos", "x.text", "x.token")
-    raw = F.when(F.col("token").startswith("<!--"), "").otherwise(F.regexp_extract("token", "^" + TAG, 0))
-    d = d.withColumns({"head": raw, "tail": F.substring(F.col("token"), F.length(raw) + 1, F.length("token")), "tag": lower(F.regexp_extract(raw, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))})
-    a = d.select("page_id", "base", "file", "pos", "text", "head", "tail", "tag", F.posexplode(_cut(F.col("head"), ATTR)).alias("apos", "y")).select("*", F.col("y.text").alias("between"), F.col("y.token").alias("pair")).drop("y")
-    none = F.lit(None).cast("string")
-    before = F.concat(F.when(F.col("apos") == 0, F.col("text")).otherwise(""), F.col("between"))
-    plain = lambda t: F.struct(t.alias("pre"), none.alias("ref"), F.lit("").alias("post"), F.lit("text").alias("via"))
-    segments = F.concat(F.array(plain(before)), _attribute_segments(F.col("tag"), F.col("head"), F.col("pair")))
-    rows = a.select("page_id", "base", "file", "pos", "apos", "tag", F.col("head").alias("raw"), lower(F.regexp_extract("pair", r"^([^\s=]*)", 1)).alias("attr"), F.posexplode(segments).alias("ipos", "s"))
-    after = F.when(F.col("tag") == "style", _css_segments(F.col("tail"))).otherwise(F.array(plain(F.col("tail"))))
-    tails = d.select("page_id", "base", "file", "pos", F.lit(1 << 30).alias("apos"), "tag", F.lit("").alias("raw"), F.lit("").alias("attr"), F.posexplode(after).alias("ipos", "s"))
-    rows = rows.unionByName(tails).select("*", "s.*").drop("s")
-    rows = _aimed(rows, "page_id", "pos", "apos", "ipos")
-    # What no rule calls a link stays as it is.
-    kinds = rows.withColumns({"ext_type": type_from_url(F.coalesce("target", F.lit(""))), "rel": lower(attribute(F.col("raw"), "rel")), "as_": lower(attribute(F.col("raw"), "as"))})
-    rows = kinds.withColumn("target", F.when((F.col("via") != "attr") | F.expr(CLASSIFY).isNotNull(), F.col("target"))).drop("ext_type", "rel", "as_", "raw", "tag", "attr", "via")
-    return _joined(_replaced(rows, targets, missing), "page_id", "pos", "apos", "ipos").withColumnRenamed("text", "html")
-
-
-def rewrite_sheets(sheets: DataFrame, targets: DataFrame, missing: str | None = None) -> DataFrame:
-    """Rows id, css of style sheets (id, base, css, file) with their references replaced by targets (url, path)."""
-    rows = sheets.select("id", "base", "file", F.posexplode(_css_segments(F.col("css"))).alias("ipos", "s")).select("*", "s.*").drop("s")
-    return _joined(_replaced(_aimed(rows, "id", "ipos"), targets, missing), "id", "ipos").withColumnRenamed("text", "css")
-
-
 def rewrite_css(css: Column, mapping: Column) -> Column:
     """Style sheets with the files of a map from reference to file, in double quotes; other references stay."""
     inner = lambda x: _unquoted(trim(F.regexp_replace(x, r"(?i)^url\(|\)$", "")))
@@ -325,4 +221,4 @@ def neutral_base(html: Column) -> Column:
     return F.regexp_replace(html, r"""(?i)(<base\s[^>]*href\s*=\s*)(?:"[^"]*"|'[^']*')""", '$1"./"')
 
 
-__all__ = ["attributes", "base_href", "css_links", "dedup", "extension", "html_decode", "js_links", "links", "meta_target", "neutral_base", "protect", "rewrite", "rewrite_css", "rewrite_sheets", "skippable", "srcset", "strip_integrity", "tags"]
+__all__ = ["attributes", "base_href", "css_links", "dedup", "extension", "html_decode", "js_links", "links", "meta_target", "neutral_base", "protect", "rewrite_css", "skippable", "srcset", "strip_integrity", "tags"]

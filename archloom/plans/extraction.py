@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from archloom.functions.url import host
 from archloom.operators import links as L
+from archloom.operators import rewriting as W
 from archloom.operators import robots as R
 
 from .kit import d_decode, d_parts, d_ref, d_trim, d_type, fixture, literal, query, table, values
@@ -23,7 +24,7 @@ for _t in ("script", "style", "textarea"):
 _TAG = literal(L.TAG.replace("++", "+").replace("*+", "*"))
 _ATTR = literal(L.ATTR)
 _unq = lambda e: f"""regexp_replace({e}, '^["'']|["'']$', '', 'g')"""
-TAGS = f"tg AS (SELECT page_id, url, i - 1 AS pos, raws[i] AS raw, lower(regexp_extract(raws[i], '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM (SELECT page_id, url, regexp_extract_all({_body}, {_TAG}, 0) AS raws FROM d) AS x, unnest(range(1, len(raws) + 1)) AS u(i))"
+TAGS = f"tg AS (SELECT page_id, url, i - 1 AS pos, raws[i] AS raw, lower(regexp_extract(raws[i], '^<([a-zA-Z][-a-zA-Z0-9:_]*)', 1)) AS tag FROM (SELECT page_id, url, regexp_extract_all({_body}, {_TAG}, 0) AS raws FROM d) AS x, unnest(range(1, len(raws) + 1)) AS u(i))"
 ATTRS = f"""att AS (SELECT page_id, url, pos, tag, raw, i - 1 AS apos, lower(regexp_extract(pairs[i], '^([^\\s=]+)', 1)) AS attr, {_unq("regexp_extract(pairs[i], '(?s)=" + chr(92) + "s*(.*)$', 1)")} AS value
   FROM (SELECT *, regexp_extract_all(raw, {_ATTR}, 0) AS pairs FROM tg) AS x, unnest(range(1, len(pairs) + 1)) AS u(i))"""
 
@@ -88,7 +89,7 @@ query("host_links", f"{LINKS} SELECT g_host AS host, kind, type, count(*)::BIGIN
 SHEETS = [(1, "https://site.test/css/app.css", "a{b:url(../font/a.woff2)} c{d:url( 'x.png' )} e{f:url(\"y\")} @import \"b.css\"; @import 'c'; g{h:url(data:x)}"), (2, "https://h/", "none")]
 _css = f"""WITH s AS (SELECT * FROM {values(SHEETS, 'id, base, css')}), {d_parts('s', 'base', 'b')},
 r AS (SELECT *, i - 1 AS pos, raws[i] AS raw FROM (SELECT *, list_concat(regexp_extract_all(css, {literal(L.CSS_URL)}, 0), regexp_extract_all(css, {literal(L.CSS_IMPORT)}, 0)) AS raws FROM b) AS x, unnest(range(1, len(raws) + 1)) AS u(i)),
-i AS (SELECT *, {_unq(d_trim("CASE WHEN starts_with(raw, '@') THEN regexp_extract(raw, '^@import" + chr(92) + "s+(.*)$', 1) ELSE regexp_extract(raw, '^url" + chr(92) + "((.*)" + chr(92) + ")$', 1) END"))} AS ref FROM r),
+i AS (SELECT *, {_unq(d_trim("CASE WHEN starts_with(raw, '@') THEN regexp_extract(raw, '(?i)^@import" + chr(92) + "s+(.*)$', 1) ELSE regexp_extract(raw, '(?i)^url" + chr(92) + "((.*)" + chr(92) + ")$', 1) END"))} AS ref FROM r),
 t AS (SELECT id, pos, raw, {d_ref('b', 'ref')} AS x FROM i WHERE NOT {d_skippable('ref')}), {d_parts('t', 'x', 'n')}
 SELECT id, pos::INT AS pos, n_url AS target, CASE WHEN {d_type('n_ext')} IN ('', 'html') THEN CASE WHEN starts_with(raw, '@') OR contains(n_url, '.css') THEN 'css' ELSE 'img' END ELSE {d_type('n_ext')} END AS type FROM n WHERE n_url <> ''"""
 query("extract_css", _css)(lambda s, d: L.css_links(fixture(s, SHEETS, "id int, base string, css string")))
@@ -145,10 +146,74 @@ query("crawl_delay", f"SELECT robots::DOUBLE AS robots, option::DOUBLE AS option
 )
 
 # Rewriting.
-REWRITE = f"""WITH p AS (SELECT page_id, url, string_split_regex(html, '<a\\s+href="[^"]*"') AS texts, regexp_extract_all(html, '(<a\\s+href=")([^"]*)(")', 2) AS refs FROM pages), {d_parts('p', 'url', 'b')},
-r AS (SELECT page_id, i, ref, x FROM (SELECT page_id, i, refs[i] AS ref, {d_ref('b', 'refs[i]')} AS x FROM b, unnest(range(1, len(refs) + 1)) AS u(i)) AS y), {d_parts('r', 'x', 'n')},
-m AS (SELECT page_id, list(CASE WHEN n_url = '' OR x IS NULL THEN ref ELSE replace(CASE WHEN n_p LIKE '%e%' THEN 'local' || n_p ELSE n_url END || regexp_extract({d_decode('ref')}, '(?s)^[^#]+(#.*)$', 1), '&', '&amp;') END ORDER BY i) AS new FROM n GROUP BY page_id)
-SELECT p.page_id, sha1(array_to_string(list_transform(range(1, len(texts) + 1), lambda k: CASE WHEN k = 1 THEN texts[k] ELSE '<a href="' || new[k - 1] || '"' || texts[k] END), '')) AS html FROM p LEFT JOIN m USING (page_id)"""
+FORMS = [
+    (-11, "https://site.test/f/", "<a href=\"e\">1</a><img src=\"c\"><a href='it&#39;s.pdf'>2</a><a href='it&#39;s/here.pdf#a&amp;b'>3</a><a href=plain.htm>4</a><a href=it&#39;s.htm>5</a><a href = ' spaced/e?x=1&amp;y=2 '>6</a>"),
+    (-12, "https://site.test/f/", '<img srcset="s 1x"><img srcset=" /e/s.png 1x ,t.png&amp;v 2x,, e.webp"><source data-srcset=\'data:x, y 2x\'><link imagesrcset=l.png rel=preload as=image>'),
+    (-13, "https://site.test/f/", '<p style="content:&quot;a&quot;;background:url(x.png)">1</p><p style="a:b&amp;c">2</p><p style="b:url(u)">3</p><p style=\'b:url("e q.png"), URL( &#39;e.gif&#39; )\'>4</p><p style="b:url(&quot;see.png&quot;);c:url(e)">5</p>'),
+    (-14, "https://site.test/f/", '<style>u{b:url(u)} v{c:url( "e.png" )} @import "i"; @IMPORT \'he.css\'; w{d:url("it\'s.png")} x{y:url(data:z)}</style><style>l{m:url(l)}</style>'),
+    (-15, "https://site.test/f/", '<meta http-equiv=refresh content="5; url=\'/e/next\'"><meta property="og:image" content="https://site.test/og.png?a=1&amp;b=2"><meta name="twitter:image" content="/no.png"><meta content="0;URL=e" http-equiv="Refresh">'),
+    (-16, "https://site.test/f/", '<base href="/e/"><base target=_top href=x><script src="s.js" integrity="sha" crossorigin>var a = "<a href=no>";</script><!-- <a href="no"> --><textarea><a href="no"></textarea><my-link href="k.png"><a data-href="é/e.zip" title="href=e">é</a><a href="#top">t</a><a href="mailto:e@x">m</a>'),
+]
+_TOK = literal("(?is)" + W.TOKEN.replace("++", "+").replace("*+", "*"))
+_HEAD = literal("^" + L.TAG.replace("++", "+").replace("*+", "*"))
+_CSSE = literal(r"""(?is)url\(\s*(?:&quot;.*?&quot;|&#39;.*?&#39;|"[^"]*"|'[^']*'|[^"'()\s]+)\s*\)|@import\s+(?:&quot;.*?&quot;|"[^"]*"|'[^']*')""")
+_OPEN = literal(r"""(?i)^(?:url\(\s*|@import\s+)(?:&quot;|&#39;|"|')?""")
+_CLOSED = literal(r"\s*\)$")
+_INNER = literal(r"""(&quot;|&#39;|"|')$""")
+_QUOTE = "CASE WHEN left(rest, 1) IN ('\"', '''') THEN left(rest, 1) ELSE '' END"
+
+
+def _css_units(source: str, columns: str) -> str:
+    """DuckDB: the column body of source, cut around the references of a style sheet; columns are carried along."""
+    opened = f"regexp_extract(m, {_OPEN}, 0)"
+    inner = f"regexp_extract({opened}, {_INNER}, 1)"
+    raw = f"regexp_replace(substr(m, length({opened}) + 1), {_CLOSED}, '')"
+    return f"""(SELECT {columns}, j, between, m, {opened} AS opened, CASE WHEN m = '' THEN '' ELSE {inner} END AS inq, CASE WHEN m = '' THEN '' ELSE left({raw}, length({raw}) - length({inner})) END AS ref
+  FROM (SELECT {columns}, j, ts[j] AS between, coalesce(ms[j], '') AS m FROM (SELECT *, string_split_regex(body, {_CSSE}) AS ts, regexp_extract_all(body, {_CSSE}, 0) AS ms FROM {source}) AS c, unnest(range(1, len(ts) + 1)) AS u(j)) AS w)"""
+
+
+def _new(value: str) -> str:
+    """DuckDB: a value as its slot writes it."""
+    css = f"replace(replace(replace(replace({value}, '\"', '%22'), '''', '%27'), '(', '%28'), ')', '%29')"
+    v = f"CASE WHEN form IN ('css', 'sheet') AND inq = '' THEN '\"' || {css} || '\"' WHEN form IN ('css', 'sheet') THEN {css} ELSE {value} END"
+    amp = f"replace({v}, '&', '&amp;')"
+    double = f"replace({amp}, '\"', '&quot;')"
+    odd, blank = literal(r"""[\s>"']"""), literal(r"\s")
+    return f"""CASE WHEN form = 'sheet' THEN {v} WHEN q = '"' THEN {double} WHEN q = '''' THEN replace({amp}, '''', '&#39;')
+ WHEN form IN ('attr', 'meta') THEN CASE WHEN regexp_matches({amp}, {odd}) THEN '"' || {double} || '"' ELSE {amp} END ELSE regexp_replace(replace(replace({double}, '''', '&#39;'), '>', '&gt;'), {blank}, '%20', 'g') END"""
+
+
+_fresh = "(CASE WHEN regexp_extract(n_url, '^[a-z]+://[^/]*([^?]*)', 1) LIKE '%e%' THEN 'local' || regexp_extract(n_url, '^[a-z]+://[^/]*([^?]*)', 1) ELSE n_url END || regexp_extract(" + d_decode("ref") + ", '(?s)^[^#]+(#.*)$', 1))"
+_same = "CASE WHEN form IN ('css', 'sheet') THEN substr(m, length(opened) + 1, rawlen) ELSE ref END"
+_none = "'' AS q, '' AS inq, '' AS tag, '' AS attr, '' AS rel, '' AS as_, '' AS raw, '' AS m, '' AS opened, 0 AS rawlen"
+#: Pages are cut into units (k, i, j) of a fixed text before, a reference or none, and a fixed text after.
+REWRITE = f"""WITH {ALL.replace('UNION ALL', 'UNION ALL SELECT * FROM ' + values(FORMS, 'page_id, url, html') + ' UNION ALL')}, {BASES},
+tok AS (SELECT page_id, k, ts[k] AS text, coalesce(ms[k], '') AS token FROM (SELECT page_id, string_split_regex(html, {_TOK}) AS ts, regexp_extract_all(html, {_TOK}, 0) AS ms FROM d) AS x, unnest(range(1, len(ts) + 1)) AS u(k)),
+hd AS (SELECT *, CASE WHEN starts_with(token, '<!--') THEN '' ELSE regexp_extract(token, {_HEAD}, 0) END AS raw FROM tok),
+tg AS (SELECT *, lower(regexp_extract(raw, '^<([a-zA-Z][-a-zA-Z0-9:_]*)', 1)) AS tag, lower({d_attribute('raw', 'rel')}) AS rel, lower({d_attribute('raw', 'as')}) AS as_ FROM hd),
+pr AS (SELECT page_id, k, raw, tag, rel, as_, i, ts[i] AS between, coalesce(ms[i], '') AS pair FROM (SELECT *, string_split_regex(raw, {_ATTR}) AS ts, regexp_extract_all(raw, {_ATTR}, 0) AS ms FROM tg) AS x, unnest(range(1, len(ts) + 1)) AS u(i)),
+pn AS (SELECT *, lower(regexp_extract(pair, '^([^\\s=]+)', 1)) AS attr, regexp_extract(pair, '^[^\\s=]+\\s*=\\s*', 0) AS eq FROM pr WHERE pair <> ''),
+pv AS (SELECT *, {_QUOTE} AS q, CASE WHEN {_QUOTE} = '' THEN rest ELSE substr(rest, 2, length(rest) - 2) END AS value FROM (SELECT *, substr(pair, length(eq) + 1) AS rest FROM pn) AS x),
+pf AS (SELECT *, {_meta} AS meta, CASE WHEN attr IN ('integrity', 'crossorigin') THEN 'gone' WHEN tag = 'base' AND attr = 'href' THEN 'base' WHEN attr IN ({_sets}) THEN CASE WHEN contains(lower(value), 'data:') THEN 'text' ELSE 'srcset' END
+   WHEN attr = 'style' THEN 'css' WHEN tag = 'meta' AND attr = 'content' THEN 'meta' WHEN attr IN ({_attrs}) THEN 'attr' ELSE 'text' END AS form FROM pv),
+un AS (
+ SELECT page_id, k, 0 AS i, 0 AS j, text AS pre, NULL AS ref, '' AS post, 'text' AS form, {_none} FROM tg
+ UNION ALL SELECT page_id, k, i, 0, between, NULL, '', 'text', {_none} FROM pr
+ UNION ALL SELECT page_id, k, i, 1, CASE form WHEN 'gone' THEN '' WHEN 'base' THEN eq || CASE WHEN q = '' THEN '"./"' ELSE q || './' || q END ELSE pair END, NULL, '', 'text', {_none} FROM pf WHERE form IN ('gone', 'base', 'text') OR (form = 'meta' AND meta IS NULL)
+ UNION ALL SELECT page_id, k, i, 1, eq || q, value, q, form, q, '', tag, attr, rel, as_, raw, '', '', 0 FROM pf WHERE form = 'attr'
+ UNION ALL SELECT page_id, k, i, 1, eq || q || CASE WHEN lower({d_attribute('raw', 'http-equiv')}) = 'refresh' THEN regexp_extract(value, '(?i)^\\s*[0-9.]+\\s*;\\s*url\\s*=\\s*', 0) ELSE '' END, meta, q, form, q, '', tag, attr, rel, as_, raw, '', '', 0 FROM pf WHERE form = 'meta' AND meta IS NOT NULL
+ UNION ALL SELECT page_id, k, i, n, CASE WHEN n = 1 THEN eq || q ELSE ',' END || regexp_extract(its[n], '^\\s*', 0), nullif(regexp_extract(its[n], '^\\s*(\\S+)', 1), ''), regexp_extract(its[n], '(?s)^\\s*\\S+(.*)$', 1) || CASE WHEN n = len(its) THEN q ELSE '' END, form, q, '', tag, attr, rel, as_, raw, '', '', 0
+   FROM (SELECT *, string_split(value, ',') AS its FROM pf WHERE form = 'srcset') AS x, unnest(range(1, len(its) + 1)) AS u(n)
+ UNION ALL SELECT page_id, k, i, j, CASE WHEN j = 1 THEN eq || q ELSE '' END || between || opened, CASE WHEN m <> '' THEN {d_decode('ref')} END, CASE WHEN m = '' THEN q ELSE substr(m, length(opened) + length(ref) + 1) END, 'css', q, inq, tag, attr, rel, as_, raw, m, opened, length(ref)
+   FROM {_css_units("(SELECT *, value AS body FROM pf WHERE form = 'css') AS s", 'page_id, k, i, eq, q, tag, attr, rel, as_, raw')} AS y
+ UNION ALL SELECT page_id, k, 1000000, j, between || opened, CASE WHEN m <> '' THEN ref END, CASE WHEN m = '' THEN '' ELSE substr(m, length(opened) + length(ref) + 1) END, 'sheet', '', inq, tag, '', rel, as_, raw, m, opened, length(ref)
+   FROM {_css_units("(SELECT *, substr(token, length(raw) + 1) AS body FROM tg WHERE tag = 'style') AS s", 'page_id, k, tag, rel, as_, raw')} AS y
+ UNION ALL SELECT page_id, k, 1000000, 0, substr(token, length(raw) + 1), NULL, '', 'text', {_none} FROM tg WHERE tag <> 'style'),
+ub AS (SELECT un.*, base FROM un JOIN bases USING (page_id)), {d_parts('ub', 'base', 'e')},
+ur AS (SELECT page_id, k, i, j, pre, ref, post, form, q, inq, tag, attr, rel, as_, raw, m, opened, rawlen, CASE WHEN ref IS NULL OR {d_skippable(d_decode('ref'))} THEN NULL ELSE {d_ref('e', 'ref')} END AS x FROM e),
+{d_parts('ur', 'x', 'n')}, nt AS (SELECT *, {d_type('n_ext')} AS ext_type FROM n),
+nw AS (SELECT page_id, k, i, j, pre || CASE WHEN ref IS NULL THEN '' WHEN x IS NULL OR n_url = '' OR (form = 'attr' AND {L.CLASSIFY} IS NULL) THEN {_same} ELSE {_new(_fresh)} END || post AS piece FROM nt)
+SELECT page_id, sha1(string_agg(piece, '' ORDER BY k, i, j)) AS html FROM nw GROUP BY page_id"""
 
 
 @query("rewrite_html", REWRITE)
@@ -156,10 +221,10 @@ def rewrite_html(spark, sf_dir):
     """Targets with an e in their path are in the copy."""
     from archloom.functions.url import path
 
-    p = table(spark, sf_dir, "pages")
+    p = pages(spark, sf_dir).unionByName(fixture(spark, FORMS, "page_id long, url string, html string"))
     index = L.links(p).select(F.col("target").alias("url")).distinct().select("url", F.explode(F.array(path(F.col("url")))).alias("path"))
     index = index.where(F.col("path").contains("e")).withColumn("path", F.concat(F.lit("local"), "path"))
-    return L.rewrite(p, index).select("page_id", F.sha1("html").alias("html"))
+    return W.rewrite(p, index).select("page_id", F.sha1("html").alias("html"))
 
 
 CSS = [
@@ -178,16 +243,16 @@ COPY = [("https://site.test/", "index.html"), ("https://site.test/index.html", "
 DRAFTS = [
     (1, "https://site.test/about", "about/index.html", "<a href=\"/\">h</a><a class=c HREF='/index.html'>i</a><img src=../img/logo.png alt=x><a href=\"team/\">t</a><a href=\"mailto:x@y\">m</a>", "<a href=\"../index.html\">h</a><a class=c HREF='../index.html'>i</a><img src=../img/logo.png alt=x><a href=\"../team/index.html\">t</a><a href=\"mailto:x@y\">m</a>"),
     (2, "https://site.test/team/", "team/index.html", '<base href="/team/"><a href="deep#s">d</a><a href="/q?a=1&amp;b=2#t">q</a><a href="/private/x">p</a><!-- <a href="deep"> --><script src="/x.js" integrity="sha">var a = "<a href=/>";</script>', '<base href="./"><a href="deep/index.html#s">d</a><a href="../q__1.html#t">q</a><a href="https://site.test/private/x">p</a><!-- <a href="deep"> --><script src="https://site.test/x.js" >var a = "<a href=/>";</script>'),
-    (3, "https://site.test/", "index.html", '<style>a{b:url(/img/logo.png)}</style><img srcset="/img/logo.png 1x, /none.png 2x"><div style="b:url(img/logo.png)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=/about">', '<style>a{b:url(img/logo.png)}</style><img srcset="img/logo.png 1x, https://site.test/none.png 2x"><div style="b:url(img/logo.png)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=about/index.html">'),
+    (3, "https://site.test/", "index.html", '<style>a{b:url(/img/logo.png)}</style><img srcset="/img/logo.png 1x, /none.png 2x"><div style="b:url(img/logo.png)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=/about">', '<style>a{b:url("img/logo.png")}</style><img srcset="img/logo.png 1x, https://site.test/none.png 2x"><div style="b:url(&quot;img/logo.png&quot;)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=about/index.html">'),
 ]
 query("rewrite_site", f"SELECT id::BIGINT AS page_id, html FROM {values([(r[0], r[4]) for r in DRAFTS], 'id, html')}")(
-    lambda s, d: L.rewrite(fixture(s, [r[:4] for r in DRAFTS], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"))
+    lambda s, d: W.rewrite(fixture(s, [r[:4] for r in DRAFTS], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"))
 )
 query("rewrite_site_offline", "SELECT 1::BIGINT AS page_id, '<a href=\"#not-downloaded\">p</a><a href=\"about/index.html#x\">a</a>' AS html")(
-    lambda s, d: L.rewrite(fixture(s, [(1, "https://site.test/", "index.html", '<a href="/private/x#y">p</a><a href="about#x">a</a>')], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"), "#not-downloaded")
+    lambda s, d: W.rewrite(fixture(s, [(1, "https://site.test/", "index.html", '<a href="/private/x#y">p</a><a href="about#x">a</a>')], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"), "#not-downloaded")
 )
-query("rewrite_sheets", "SELECT 1 AS id, 'a{b:url(../font/a.woff2)} @import \"https://site.test/css/b.css\"; c{d:url(data:x)}' AS css")(
-    lambda s, d: L.rewrite_sheets(fixture(s, [(1, "https://site.test/css/app.css", 'a{b:url(../font/a.woff2)} @import "b.css"; c{d:url(data:x)}', "css/app.css")], "id int, base string, css string, file string"), fixture(s, COPY, "url string, path string"))
+query("rewrite_sheets", "SELECT 1 AS id, 'a{b:url(\"../font/a.woff2\")} @import \"https://site.test/css/b.css\"; c{d:url(data:x)}' AS css")(
+    lambda s, d: W.rewrite_sheets(fixture(s, [(1, "https://site.test/css/app.css", 'a{b:url(../font/a.woff2)} @import "b.css"; c{d:url(data:x)}', "css/app.css")], "id int, base string, css string, file string"), fixture(s, COPY, "url string, path string"))
 )
 MARKUP = [('<script src="a.js" integrity="sha384-x" crossorigin=\'anonymous\'></script>',), ('<BASE target=_top href="https://x/">',), ("<p>plain</p>",)]
 query("strip_integrity", f"""SELECT html, regexp_replace(html, '(?i)\\s(?:integrity|crossorigin)\\s*=\\s*(?:"[^"]*"|''[^'']*'')', '', 'g') AS plain FROM {values(MARKUP, 'html')}""")(lambda s, d: fixture(s, MARKUP, "html string").select("html", L.strip_integrity(F.col("html")).alias("plain")))
