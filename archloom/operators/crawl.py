@@ -12,23 +12,46 @@ from archloom.operators import robots as R
 from archloom.operators.links import css_links, dedup, js_links, links
 from archloom.operators.paths import assign
 from archloom.operators.ranking import running
-from archloom.sources.shared import kept
+from archloom.sources.shared import Bucketed, kept, removed, stored
 
 
 def closure(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """Columns url, depth: everything that edges (src, dst, kind) reach within max_depth.
 
-    A page lies one deeper than the page that links to it, an asset as deep. Each step joins the
-    frontier with the edges and drops what was seen at least as early; it ends when nothing is new.
+    A page lies one deeper than the page that links to it, an asset as deep. Each step joins what the
+    last one found with the edges and drops what was seen, which is final, as depths rise: assets of
+    a depth are followed to their end before pages of the next. The seen-set and the edges are dealt by
+    URL once; steps are added to the former, and neither is shuffled again.
     """
-    seen = frontier = kept(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url"), F.when(F.col("kind") == "page", F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
-        step = step.where(F.col("depth") <= max_depth).groupBy("url").agg(F.min("depth").alias("depth"))
-        known = seen.withColumnsRenamed({"depth": "known"})
-        frontier = kept(step.join(known, "url", "left").where("known is null or depth < known").select("url", "depth"))
-        seen = kept(seen.unionByName(frontier).groupBy("url").agg(F.min("depth").alias("depth")))
-    return seen
+    spark = seeds.sparkSession
+    found = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    seen = Bucketed(spark, "url", found.schema)
+    graph = Bucketed(spark, "src", edges.select("src", "dst", "kind").schema)
+    graph.add(edges)
+
+    def step(rows: DataFrame, kind: str, deeper: int) -> DataFrame:
+        to = graph.read().where(F.col("kind") == kind).select(F.col("src").alias("url"), "dst")
+        new = rows.join(to, "url").select(F.col("dst").alias("url"), (F.col("depth") + deeper).alias("depth")).distinct()
+        return stored(new.join(seen.read().select("url"), "url", "left_anti"), "level")
+
+    level = stored(found, "level")
+    for depth in range(max_depth + 1):
+        new = level
+        while not new.isEmpty():
+            seen.add(new)
+            new, old = step(new, "asset", 0), new
+            if old is not level:
+                removed(old)
+        removed(new)
+        if depth == max_depth:
+            break
+        level, old = step(seen.read().where(F.col("depth") == depth), "page", 1), level
+        if old is not new:
+            removed(old)
+        if level.isEmpty():
+            break
+    graph.drop()
+    return seen.read()
 
 
 def locations(files: DataFrame) -> DataFrame:
@@ -134,60 +157,88 @@ def named(o: Options, site: DataFrame) -> DataFrame:
     return out.withColumn("type", F.when(F.col("kind") == "page", "html").otherwise(F.col("type"))).withColumn("inside", o.in_scope(F.col("url")))
 
 
+_FOUND = "seq long, url string, kind string, type string, depth int"
+_TOLD = ["seq", "kind", "type", "state", "note", "code", "bytes", "final_url", "hash"]
+
+
 def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options) -> DataFrame:
-    """Resources of a crawl: seq, url, kind, type, depth, state, path, code, bytes, note, hash.
+    """Resources of a crawl: seq, url, kind, type, depth, state, note, code, bytes, final_url, hash, path.
 
     seeds: url, depth. site: the responses that a fetch gives (url, final_url, status, ctype, body,
-    size, error). robots: host, body. Pages are taken level by level, in the order of their discovery
-    (parent, place), then assets; what a level finds is queued after all before it. Budgets are
-    global running sums over that order, so they cut exactly: what they leave stays queued.
+    size, error), each url once. robots: host, body. Pages are taken level by level, in the order of
+    their discovery (parent, place), then assets; what a level finds is queued after all before it.
+    Budgets are global running sums over that order, so they cut exactly: what they leave stays queued.
+
+    Bodies are read in one pass over the responses, which gives their links and hashes and shuffles no
+    body. What was found is the seen-set: dealt by URL, added to level by level, never written anew.
+    A level joins what the last one found with the responses' heads and the links, which lie dealt too.
     """
+    spark = seeds.sparkSession
     rows = R.rules(robots)
     chosen = kept(rows.join(R.group(rows), ["host", "agent"]))
+    heads = site.select(F.col("url").alias("at"), "final_url", F.col("status").cast("int").alias("status"), "ctype", F.col("size").cast("long").alias("size"), "error", F.sha1("body").alias("sha"))
+    edges = named(o, site)
+    responses, links_of = Bucketed(spark, "at", heads.schema), Bucketed(spark, "src", edges.schema)
+    responses.add(heads)
+    links_of.add(edges)
     first = Window.orderBy("depth", "url")  # seeds are the few URLs that a person or a sitemap names
-    res = kept(seeds.select("url", "depth").withColumns({"seq": (F.row_number().over(first) - 1).cast("long"), "kind": F.lit("page"), "type": F.lit("html"), "state": F.lit("queued"), "note": F.lit(""), "code": F.lit(0), "bytes": F.lit(0).cast("long"), "final_url": F.lit(""), "hash": F.lit("")}))
-    columns = ["seq", "url", "kind", "type", "depth", "state", "note", "code", "bytes", "final_url", "hash"]
-    res = res.select(columns)
+    queue = stored(seeds.select("url", F.col("depth").cast("int").alias("depth")).withColumns({"seq": (F.row_number().over(first) - 1).cast("long"), "kind": F.lit("page"), "type": F.lit("html")}).select("seq", "url", "kind", "type", "depth"), "queue")
+    found = Bucketed(spark, "url", spark.createDataFrame([], _FOUND).schema)
+    found.add(queue)
+    n, told = queue.count(), None
     done = {"page": 0, "asset": 0, "bytes": 0}
-    responses = kept(site.withColumnRenamed("url", "at"))
-    edges = kept(named(o, site))
     for turn, most in (("page", o.max_pages), ("asset", o.max_assets)):
-        while True:
-            queue = res.where((F.col("state") == "queued") & (F.col("kind") == turn))
-            if done[turn] >= most or done["bytes"] >= o.max_bytes or queue.isEmpty():
+        if turn == "asset":
+            waiting = found.read().where("kind = 'asset'")
+            queue = stored(waiting.select("seq", "url", "kind", "type", "depth"), "queue")
+        while done[turn] < most and done["bytes"] < o.max_bytes and not queue.isEmpty():
+            taken = _taken(o, queue, turn, most, done, responses, chosen)
+            removed(queue)
+            if taken.isEmpty():
+                queue = taken
                 break
-            verdict = R.allowed(queue.select("url", host(F.col("url")).alias("host")), chosen)
-            judged = queue.join(verdict, "url", "left")
-            judged = judged.withColumn("reason", reject_reason(o, F.col("url"), F.col("kind"), F.col("type"), F.col("allowed"))).drop("final_url")
-            got = handled(o, judged.join(responses, (F.col("url") == F.col("at")) & F.col("reason").isNull(), "left"))
-            got = got.withColumns({"state": F.when(F.col("reason").isNotNull(), "skip").otherwise(F.col("state")), "note": F.coalesce("reason", "note"), "kind": F.when(F.col("reason").isNotNull(), F.lit(turn)).otherwise(F.col("kind"))})
             fine = F.col("state") == "ok"
-            size = F.when(fine, F.coalesce("size", F.lit(0))).otherwise(0)
-            got = running(got, "seq", spent=(fine & (F.col("kind") == turn)).cast("long"), used=size)
-            taken = kept(got.where((F.col("spent") + done[turn] < most) & (F.col("used") + done["bytes"] < o.max_bytes)))
-            counts = taken.where(fine).groupBy("kind").agg(F.count("*"), F.sum(F.coalesce("size", F.lit(0)))).collect()
-            for kind, n, used in counts:  # one row a kind
-                done[kind] += n
+            for kind, k, used in taken.where(fine).groupBy("kind").agg(F.count("*"), F.sum("bytes")).collect():  # one row a kind
+                done[kind] += k
                 done["bytes"] += used
+            told = taken if told is None else told.unionByName(taken)
             ok = taken.where(fine).select(F.col("seq").alias("parent"), F.col("final_url").alias("src"), F.col("depth").alias("above"))
-            found = ok.join(edges, "src").withColumn("depth", F.when(F.col("kind") == "page", F.col("above") + 1).otherwise(F.col("above")))
-            found = found.where((F.col("kind") == "asset") | ((F.col("depth") <= o.max_depth) & F.col("inside")))
-            new = found.join(res.select("url"), "url", "left_anti")
+            new = ok.join(links_of.read(), "src").withColumn("depth", F.when(F.col("kind") == "page", F.col("above") + 1).otherwise(F.col("above")))
+            new = new.where((F.col("kind") == "asset") | ((F.col("depth") <= o.max_depth) & F.col("inside")))
             new = new.groupBy("url").agg(F.min(F.struct("parent", "first", "kind", "type", "depth")).alias("x")).select("url", "x.*")
-            n = res.agg(F.max("seq")).first()[0] + 1
-            order = F.struct("parent", "first")
-            new = running(new.withColumn("order", order), "order", place=F.lit(1)).withColumn("seq", F.col("place") + n)
-            told = taken.select("seq", "url", "kind", "type", "depth", "state", "note", F.coalesce("status", F.lit(0)).cast("int").alias("code"), F.when(fine, F.coalesce("size", F.lit(0))).otherwise(0).cast("long").alias("bytes"), "final_url", F.when(fine, F.sha1("body")).otherwise("").alias("hash"))
-            fresh = new.select("seq", "url", "kind", "type", "depth", F.lit("queued").alias("state"), F.lit("").alias("note"), F.lit(0).alias("code"), F.lit(0).cast("long").alias("bytes"), F.lit("").alias("final_url"), F.lit("").alias("hash"))
-            rest = res.join(taken.select("seq"), "seq", "left_anti").select(columns)
-            if taken.isEmpty():
-                break
-            res = kept(rest.unionByName(told).unionByName(fresh))
-    ok = res.where("state = 'ok'").select("seq", F.col("final_url").alias("url"), local_path(F.col("final_url"), F.col("type"), F.lit(o.root_host)).alias("path"), "hash", F.when(F.col("kind") == "page", 0).otherwise(1).alias("turn"), "depth")
-    files = assign(ok.select("seq", "url", "path", "hash"))
+            new = new.join(found.read().select("url"), "url", "left_anti")
+            new = running(new.withColumn("order", F.struct("parent", "first")), "order", place=F.lit(1)).withColumn("seq", F.col("place") + n)
+            new = stored(new.select("seq", "url", "kind", "type", "depth"), "queue")
+            found.add(new)
+            n += new.count()
+            queue = stored(new.where(F.col("kind") == turn), "queue")
+            removed(new)
+    empty = spark.createDataFrame([], "seq long, kind string, type string, state string, note string, code int, bytes long, final_url string, hash string")
+    told = empty if told is None else told.select(_TOLD)
+    res = found.read().join(told.withColumnsRenamed({"kind": "k", "type": "t"}), "seq", "left")
+    res = res.select("seq", "url", F.coalesce("k", "kind").alias("kind"), F.coalesce("t", "type").alias("type"), "depth", F.coalesce("state", F.lit("queued")).alias("state"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("final_url", F.lit("")).alias("final_url"), F.coalesce("hash", F.lit("")).alias("hash"))
+    res = stored(res, "resources")
+    for x in (responses, links_of, found):
+        x.drop()
+    ok = res.where("state = 'ok'").select("seq", F.col("final_url").alias("url"), local_path(F.col("final_url"), F.col("type"), F.lit(o.root_host)).alias("path"), "hash")
+    files = assign(ok)
     return res.join(files.select("seq", F.col("file").alias("path")), "seq", "left").withColumn("path", F.coalesce("path", F.lit("")))
 
 
+def _taken(o: Options, queue: DataFrame, turn: str, most: int, done: dict[str, int], responses: Bucketed, chosen: DataFrame) -> DataFrame:
+    """What the budgets take of a queue, with what became of it."""
+    verdict = R.allowed(queue.select("url", host(F.col("url")).alias("host")), chosen)
+    judged = queue.join(verdict, "url", "left")
+    judged = judged.withColumn("reason", reject_reason(o, F.col("url"), F.col("kind"), F.col("type"), F.col("allowed")))
+    got = handled(o, judged.join(responses.read(), (F.col("url") == F.col("at")) & F.col("reason").isNull(), "left"))
+    refused = F.col("reason").isNotNull()
+    got = got.withColumns({"state": F.when(refused, "skip").otherwise(F.col("state")), "note": F.coalesce("reason", "note"), "kind": F.when(refused, F.lit(turn)).otherwise(F.col("kind"))})
+    fine = F.col("state") == "ok"
+    got = got.withColumns({"code": F.coalesce("status", F.lit(0)).cast("int"), "bytes": F.when(fine, F.coalesce("size", F.lit(0))).otherwise(0).cast("long"), "hash": F.when(fine, F.col("sha")).otherwise(""), "final_url": F.when(refused, "").otherwise(F.col("final_url"))})
+    got = running(got.select(*_TOLD, "depth"), "seq", spent=(fine & (F.col("kind") == turn)).cast("long"), used=F.col("bytes"))
+    return stored(got.where((F.col("spent") + done[turn] < most) & (F.col("used") + done["bytes"] < o.max_bytes)), "told")
+
+
 def counters(res: DataFrame) -> DataFrame:
     """One row: pages_done, pages_failed, assets_done, assets_failed, skipped, bytes."""
     n = lambda c: F.count(F.when(F.expr(c), 1))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,46 @@ def kept(df: DataFrame) -> DataFrame:
     """Cut the lineage of a step with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of a step by a Parquet folder in the shared folder, which removed() takes away."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the folder of a result of stored() that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
+class Bucketed:
+    """A table of rows dealt by a key over buckets of files, to which rows are added.
+
+    Joins on the key read its buckets as they lie: only the other side is shuffled. Each addition
+    writes one file a bucket.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, schema: StructType, n: int = 0):
+        self.spark, self.key, self.schema = spark, key, schema
+        self.n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"archloom_{uuid.uuid4().hex}", new_folder(spark, "buckets")
+        self.add(spark.createDataFrame([], schema))
+
+    def add(self, df: DataFrame) -> None:
+        dealt = df.select(*self.schema.names).repartition(self.n, self.key)
+        dealt.write.format("parquet").bucketBy(self.n, self.key).sortBy(self.key).option("path", self.path).mode("append").saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
