@@ -16,7 +16,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,10 @@ from .common import slices, table, text_of
 BLANK = "▁"
 #: Distinct parts of texts whose ids a worker remembers; then it starts anew.
 REMEMBERED = 600_000
-#: Characters of a part that is still worth remembering.
+#: Characters of a part that is short: remembered, and its agenda a list.
 _SHORT = 64
+#: Score of a pair that is no piece; scores count from the best, 0 or less in the model, upwards.
+_NONE = float("inf")
 
 
 class Pieces:
@@ -51,7 +56,8 @@ class Pieces:
         self.byte_id = {int(text[k][3:5], 16): k for k in range(n) if sp.is_byte(k)}
         if len(self.byte_id) < 256:
             raise ValueError("the vocabulary has no pieces for bytes")
-        self.pairs = {w[k : k + 2] for w in self.id_of for k in range(len(w) - 1)}
+        #: Pairs of characters that stand side by side in a piece, and their score.
+        self.pairs = {p: self.score.get(p, _NONE) for w in self.id_of for k in range(len(w) - 1) if (p := w[k : k + 2])}
         #: ASCII characters that no piece has beside another one stand alone.
         alone = [chr(c) for c in range(128) if not any(chr(c) in p for p in self.pairs)]
         cls = "".join(map(re.escape, alone))
@@ -71,13 +77,30 @@ class Pieces:
         self.is_byte[list(self.byte_id.values())] = True
         self.ends = np.array([sp.bos_id(), sp.eos_id()], "<u4")
 
-    def merged(self, part: str) -> list[str]:
-        """Symbols of a part after all merges, by an agenda of adjacent pairs."""
+    def merged(self, part: str, agenda: list[float]) -> list[str]:
+        """Symbols of a part after all merges; agenda has the scores of its adjacent pairs, _NONE for those that are no piece.
+
+        It is used as it is, place by place, for a short part; for a long one a heap is made of it.
+        """
+        if len(part) > _SHORT:
+            return self._by_heap(part)
+        score, none, symbols = self.score.get, _NONE, list(part)
+        while agenda and (best := min(agenda)) < none:
+            k = agenda.index(best)  # the leftmost of the best
+            del agenda[k]
+            symbols[k] = w = symbols[k] + symbols.pop(k + 1)
+            if k:
+                agenda[k - 1] = score(symbols[k - 1] + w, none)
+            if k < len(agenda):
+                agenda[k] = score(w + symbols[k + 1], none)
+        return symbols
+
+    def _by_heap(self, part: str) -> list[str]:
         score = self.score
         symbols: list[str | None] = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(score[w], k, w) for k in range(n - 1) if (w := symbols[k] + symbols[k + 1]) in score]
+        agenda = [(score[w], k, w) for k in range(n - 1) if (w := part[k : k + 2]) in score]
         heapq.heapify(agenda)
         while agenda:
             _, k, w = heapq.heappop(agenda)
@@ -94,16 +117,7 @@ class Pieces:
                 heapq.heappush(agenda, (score[x], m, x))
         return [s for s in symbols if s is not None]
 
-    def _cut(self, part: str) -> Iterator[str]:
-        """A part, cut where no piece has the two characters side by side."""
-        at, pairs = 0, self.pairs
-        for k, pair in enumerate(map(str.__add__, part, part[1:]), 1):
-            if pair not in pairs:
-                yield part[at:k]
-                at = k
-        yield part[at:]
-
-    def _kept(self, part: str, ids: bytes) -> bytes:
+    def _keep(self, part: str, ids: bytes) -> bytes:
         if len(part) <= _SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -111,20 +125,26 @@ class Pieces:
         return ids
 
     def _ids(self, part: str) -> bytes:
-        """Ids of a part not yet known."""
-        out = []
-        for piece in self._cut(part):
+        """Ids of a part not yet known, cut where no piece has the two characters side by side."""
+        agenda = list(map(self.pairs.get, map(add, part, part[1:])))
+        if None not in agenda:
+            return self._keep(part, self._of(self.merged(part, agenda)))
+        out, at = [], 0
+        for k in [k for k, x in enumerate(agenda, 1) if x is None] + [len(part)]:
+            piece = part[at:k]
             ids = self.known.get(piece)
-            if ids is None:
-                got = []
-                for s in self.merged(piece) if len(piece) > 1 else (piece,):
-                    if (one := self.id_of.get(s)) is not None:
-                        got.append(one)
-                    else:
-                        got.extend(self.byte_id[b] for b in s.encode())
-                ids = self._kept(piece, np.array(got, "<u4").tobytes())
-            out.append(ids)
-        return self._kept(part, b"".join(out))
+            out.append(self._keep(piece, self._of(self.merged(piece, agenda[at : k - 1]))) if ids is None else ids)
+            at = k
+        return self._keep(part, b"".join(out))
+
+    def _of(self, symbols: list[str]) -> bytes:
+        ids = list(map(self.id_of.get, symbols))
+        if None in ids:
+            ids = [k for s, one in zip(symbols, ids) for k in ([one] if one is not None else [self.byte_id[b] for b in s.encode()])]
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers, without begin and end."""
