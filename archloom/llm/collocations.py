@@ -5,11 +5,11 @@ In a shard, prefix doubling ranks the suffixes of the word sequence; runs of suf
 their first n words (LCP intervals) are the n-grams, and their lengths the counts. Counts are merged
 over shards by key.
 
-Most n-grams of a shard are rare everywhere, so their words don't travel. A shard first sends the
-counts of its words and pairs under short hashes to buckets, and hears which of them reach the least
-count; then those of n-grams all of whose pairs do. As a hash counts at least what each of its
-n-grams does, no frequent one is lost; n-grams left by both rounds are merged by their whole words,
-which gives exact counts.
+Most n-grams of a shard are rare everywhere, so their words don't travel: their key is a hash of
+KEY bytes. A shard sends the counts of its words and pairs to buckets of keys, which add them up and
+tell it which of them are frequent; then those of n-grams all of whose pairs are. One of the shards
+that sent a frequent n-gram is its speaker: it hears the whole count and gives the words. So what is
+given out is one row a frequent n-gram, however many shards have it.
 """
 
 from __future__ import annotations
@@ -23,17 +23,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from archloom.sources.shared import Bucketed
+
 from .common import ODD, discard, mixed, numbers, planes, table, text_of, word_hashes, written
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Bytes of text of a shard, and hashes of a bucket, at the mean.
-SHARD_BYTES, BUCKET_ENTRIES = 6 << 20, 2_000_000
+SHARD_BYTES, BUCKET_ENTRIES = 4 << 20, 1_000_000
+#: Bytes of a key: two n-grams of 100 TB share one with a likelihood under 1 in 1,000.
+KEY = 12
+#: Shards of a bucket of the table of shards.
+SHARDS_TOGETHER = 4
 #: Characters that end a piece of a text, all made line ends; the blank and the tab stay between words.
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-_COUNT, _NUMBER = 4, 4
+_COUNT, _NUMBER, _TOTAL = 4, 4, 6
 _SHARD = "shard long, seq binary, hash binary, words binary, word_lang binary, langs array<string>, lang_words array<bigint>"
 _SENT = "bucket long, shard long, round int, g binary, n binary"
-_BACK = "shard long, round int, bucket long, bits binary"
+_BACK = "shard long, round int, bucket long, often binary, speaks binary, totals binary"
 _FOUND = "lang string, phrase string, n_words int, f long"
 
 
@@ -92,8 +98,8 @@ def _shift(x: np.ndarray, k: int) -> np.ndarray:
 class Shard:
     """Word numbers of a shard, its suffix array to MOST_WORDS words, and what buckets told of its n-grams."""
 
-    def __init__(self, row: dict, told: list[tuple[int, int, bytes]], width: int, n_buckets: int):
-        self.shard, self.width, self.n_buckets, self.told = row["shard"], width, n_buckets, told
+    def __init__(self, row: dict, told: list[tuple], n_buckets: int):
+        self.shard, self.n_buckets, self.told = row["shard"], n_buckets, told
         self.seq = numbers([row["seq"]], _NUMBER)[0].astype(np.int64)
         self.hash = np.concatenate([[0], np.frombuffer(row["hash"], "<u8")]).astype(np.uint64)
         self.words, self.langs = row["words"].split(b" ") if row["words"] else [], row["langs"]
@@ -104,7 +110,7 @@ class Shard:
         self.left = stop[np.searchsorted(stop, at)] - at if len(stop) else at
         #: Rank of each suffix by its first 1, 2, 4 and 5 words; a piece's end is rank 0.
         self.rank = {1: self.seq}
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.kept: dict[int, tuple[np.ndarray, ...]] = {}
 
     def doubled(self) -> None:
         r = self.rank
@@ -133,118 +139,135 @@ class Shard:
             fits = far[at[edge]] >= n
             yield n, at[edge][fits], size[fits]
 
-    def key(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Hash of the n-gram at each place, the same in all shards."""
-        g = self.hash[self.seq[at]]
+    def key(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key of the n-gram at each place, the same in all shards: 8 bytes that order it and 4 more."""
+        g, more = self.hash[self.seq[at]], mixed(self.hash[self.seq[at]] * ODD[4])
         for k in range(1, n):
-            g = mixed(g * ODD[k % 5] + self.hash[self.seq[at + k]])
-        return mixed(g + np.uint64(n)) >> np.uint64(64 - 8 * self.width)
-
-    def distinct(self, lengths: tuple[int, ...], far: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Length, place, key and count of the distinct n-grams, in order of key."""
-        found = [(np.full(len(at), n), at, self.key(at, n), size) for n, at, size in self.grams(lengths, far)]
-        n, at, g, size = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(g, kind="stable")
-        return n[order], at[order], g[order], size[order]
+            word = self.hash[self.seq[at + k]]
+            g, more = mixed(g * ODD[k % 5] + word), mixed(more + word * ODD[(k + 1) % 5])
+        return mixed(g + np.uint64(n)), more >> np.uint64(32)
+
+    def distinct(self, round_: int) -> tuple[np.ndarray, ...]:
+        """Length, place, key (two arrays) and count here of the distinct n-grams of a round, in order of key."""
+        if round_ not in self.kept:
+            found = [(np.full(len(at), n), at, *self.key(at, n), size) for n, at, size in self.grams(*self.asked(round_))]
+            columns = [np.concatenate(x) for x in zip(*found)]
+            order = np.argsort(columns[2], kind="stable")
+            self.kept[round_] = tuple(x[order] for x in columns)
+        return self.kept[round_]
 
     def cuts(self, g: np.ndarray) -> np.ndarray:
-        top = g >> np.uint64(max(0, 8 * self.width - 32))
-        return np.searchsorted((top * np.uint64(self.n_buckets) >> np.uint64(32)).astype(np.int64), np.arange(self.n_buckets + 1))
+        return np.searchsorted(((g >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)).astype(np.int64), np.arange(self.n_buckets + 1))
 
     def sent(self, round_: int) -> Iterator[tuple]:
-        _, _, g, size = self.distinct(*self.asked(round_))
+        _, _, g, more, size = self.distinct(round_)
         c = self.cuts(g)
         for k, (i, j) in enumerate(zip(c[:-1].tolist(), c[1:].tolist())):
             if i < j:
-                yield k, self.shard, round_, planes(g[i:j], self.width), planes(size[i:j], _COUNT)
+                yield k, self.shard, round_, planes(g[i:j], 8) + planes(more[i:j], KEY - 8), planes(size[i:j], _COUNT)
 
     def asked(self, round_: int) -> tuple[tuple[int, ...], np.ndarray]:
         """Lengths that a round counts, and how many words an n-gram may have at each place."""
         if round_ == 0:
             return (1, 2), np.minimum(self.left, 2)
         # Words from each place on whose pairs are all frequent.
-        n, at, *_ = self.frequent(0)
-        self.doubled()
+        n, at, g, *_ = self.distinct(0)
+        frequent = np.zeros(len(g), bool)
+        for i, often, *_ in self.answers(0):
+            frequent[i : i + len(often)] = often
         often = np.zeros(len(self.rank[2]) + 1, bool)
-        often[self.rank[2][at[n == 2]]] = True
+        often[self.rank[2][at[frequent & (n == 2)]]] = True
         pair = often[self.rank[2]] & (self.left >= 2)
         bad = np.flatnonzero(~pair)
         i = np.arange(len(pair))
         run = (np.append(bad, len(pair))[np.searchsorted(bad, i)] - i + 1) if len(pair) else i
         return tuple(range(3, MOST_WORDS + 1)), np.minimum(run, MOST_WORDS)
 
-    def frequent(self, round_: int) -> tuple[np.ndarray, ...]:
-        """Length, place, key and count here of the n-grams of a round that buckets hold for frequent."""
-        n, at, g, size = self.distinct(*self.asked(round_))
-        c = self.cuts(g)
-        often = np.zeros(len(g), bool)
-        for r, bucket, bits in self.told:
+    def answers(self, round_: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+        """Of each bucket that answered: where its keys begin, which are frequent, which this shard speaks for, and their totals."""
+        c = self.cuts(self.distinct(round_)[2])
+        for r, bucket, often, speaks, totals in self.told:
             if r == round_:
-                i, j = c[bucket], c[bucket + 1]
-                often[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
-        return n[often], at[often], g[often], size[often]
+                flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=c[bucket + 1] - c[bucket]).astype(bool) for x in (often, speaks)]
+                yield c[bucket], *flags, totals
 
     def phrases(self) -> Iterator[tuple[str, str, int, int]]:
         for round_ in (0, 1):
-            n, at, _, size = self.frequent(round_)
-            for length, place, f in zip(n.tolist(), at.tolist(), size.tolist()):
-                ids = self.seq[place : place + length] - 1
-                yield self.langs[self.word_lang[ids[0]]], b" ".join([self.words[k] for k in ids]).decode(), length, f
+            n, at, *_ = self.distinct(round_)
+            for first, _, speaks, totals in self.answers(round_):
+                mine = first + np.flatnonzero(speaks)
+                for length, place, f in zip(n[mine].tolist(), at[mine].tolist(), numbers([totals], _TOTAL)[0].tolist()):
+                    ids = self.seq[place : place + length] - 1
+                    yield self.langs[self.word_lang[ids[0]]], b" ".join([self.words[k] for k in ids]).decode(), length, f
 
 
-def _meet(least: int, width: int) -> Callable[[pa.Table], pa.Table]:
+def _meet(least: int) -> Callable[[pa.Table], pa.Table]:
     def meet(t: pa.Table) -> pa.Table:
-        """What a bucket tells each shard: which of the hashes that it sent reach the least count."""
-        each = numbers(t.column("g").to_pylist(), width)
+        """What a bucket tells each shard of the keys that it sent."""
+        sent, cut = t.column("g").to_pylist(), np.cumsum([0] + [len(x) // KEY for x in t.column("g").to_pylist()])
+        g = np.concatenate(numbers([x[: len(x) // KEY * 8] for x in sent], 8))
+        more = np.concatenate(numbers([x[len(x) // KEY * 8 :] for x in sent], KEY - 8))
         own = np.concatenate(numbers(t.column("n").to_pylist(), _COUNT)).astype(np.int64)
-        known, number = np.unique(np.concatenate(each), return_inverse=True)
-        often = (np.bincount(number.ravel(), own, len(known)) >= least)[number.ravel()]
-        cut = np.cumsum([0] + [len(g) for g in each])
-        bits = [np.packbits(often[i:j]).tobytes() if often[i:j].any() else None for i, j in zip(cut[:-1], cut[1:])]
-        rows = zip(t.column("shard").to_pylist(), t.column("round").to_pylist(), t.column("bucket").to_pylist(), bits)
-        return _table([r for r in rows if r[3] is not None], _BACK)
+        order = np.lexsort((more, g))  # stable, so of each key the first shard's comes first
+        g, more = g[order], more[order]
+        edge = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (more[1:] != more[:-1])))
+        total = np.add.reduceat(own[order], edge)
+        often, speaks, whole = np.zeros(len(g), bool), np.zeros(len(g), bool), np.zeros(len(g), np.int64)
+        frequent = total >= least
+        often[order] = np.repeat(frequent, np.diff(np.append(edge, len(g))))
+        speakers = order[edge[frequent]]
+        speaks[speakers], whole[speakers] = True, total[frequent]
+        rows = []
+        for k, (shard, round_, bucket) in enumerate(zip(*(t.column(c).to_pylist() for c in ("shard", "round", "bucket")))):
+            i, j = cut[k], cut[k + 1]
+            if often[i:j].any():
+                rows.append((shard, round_, bucket, np.packbits(often[i:j]).tobytes(), np.packbits(speaks[i:j]).tobytes(), planes(whole[i:j][speaks[i:j]], _TOTAL)))
+        return _table(rows, _BACK)
 
     return meet
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows lang, phrase, n_words, f of all phrases of 1 to MOST_WORDS words that occur least times or more; rows lang, n of all words."""
+    spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
     n_bytes = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # Repeated texts are dealt apart by their place in the scan, so that a shard has no more than its share.
     n_shards = max(12, n_bytes // shard_bytes)
     d = d.withColumn("shard", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(n_shards)))
     n_buckets = max(12, n_bytes // 4 // BUCKET_ENTRIES)
-    # A hash by chance meets others' counts once in some 2 ** 8.
-    width = min(8, max(4, -(-(n_bytes.bit_length() + 8) // 8)))
-    shards = written(d.groupBy("shard").applyInArrow(deal, _SHARD), "phrase-shards")
+    dealt = d.groupBy("shard").applyInArrow(deal, _SHARD)
+    # Shards are read again without a shuffle, as they lie dealt by number.
+    held = Bucketed(spark, "shard", dealt.schema, max(1, n_shards // SHARDS_TOGETHER))
+    held.add(dealt)
+    shards = held.read()
     n = shards.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                yield from _table(list(Shard(row, [], width, n_buckets).sent(0)), _SENT).to_batches()
+                yield from _table(list(Shard(row, [], n_buckets).sent(0)), _SENT).to_batches()
 
     def with_told(step: Callable[[Shard], Iterator[tuple]], schema: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def run(t: pa.Table, told: pa.Table) -> pa.Table:
             if not t.num_rows:
                 return _table([], schema)
-            answers = list(zip(*(told.column(c).to_pylist() for c in ("round", "bucket", "bits"))))
-            return _table(list(step(Shard(t.to_pylist()[0], answers, width, n_buckets))), schema)
+            answers = list(zip(*(told.column(c).to_pylist() for c in ("round", "bucket", "often", "speaks", "totals"))))
+            return _table(list(step(Shard(t.to_pylist()[0], answers, n_buckets))), schema)
 
         return run
 
-    meet = _meet(least, width)
+    meet = _meet(least)
     told = written(shards.mapInArrow(first, _SENT).groupBy("bucket").applyInArrow(meet, _BACK), "phrase-pairs")
     again = shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(with_told(lambda s: s.sent(1), _SENT), _SENT)
     more = written(again.groupBy("bucket").applyInArrow(meet, _BACK), "phrase-grams")
     both = told.unionByName(more)
     found = shards.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(with_told(Shard.phrases, _FOUND), _FOUND)
-    counts = written(found.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrase-counts")
-    n = written(n, "lang-words")
-    for x in (shards, told, more):
+    counts, n = written(found, "phrase-counts"), written(n, "lang-words")
+    for x in (told, more):
         discard(x)
+    held.drop()
     return counts, n
 
 
