@@ -60,13 +60,15 @@ class Bucketed:
 
     def __init__(self, spark: SparkSession, key: str, schema: StructType, n: int = 0):
         self.spark, self.key, self.schema = spark, key, schema
-        self.n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.n = min(n or int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own limit
         self.name, self.path = f"archloom_{uuid.uuid4().hex}", new_folder(spark, "buckets")
         self.add(spark.createDataFrame([], schema))
 
-    def add(self, df: DataFrame) -> None:
-        dealt = df.select(*self.schema.names).repartition(self.n, self.key)
-        dealt.write.format("parquet").bucketBy(self.n, self.key).sortBy(self.key).option("path", self.path).mode("append").saveAsTable(self.name)
+    def add(self, df: DataFrame, dealt: bool = False) -> None:
+        """Add rows; dealt tells that they lie in n partitions by the key already."""
+        rows = df.select(*self.schema.names)
+        rows = rows if dealt else rows.repartition(self.n, self.key)
+        rows.write.format("parquet").bucketBy(self.n, self.key).sortBy(self.key).option("path", self.path).mode("append").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
