@@ -5,8 +5,8 @@ In a shard, prefix doubling ranks the suffixes of the word sequence; runs of suf
 their first n words (LCP intervals) are the n-grams, and their lengths the counts. Counts are merged
 over shards by key.
 
-Most n-grams of a shard are rare everywhere, so their words don't travel: their key is a hash of
-KEY bytes. A shard sends the counts of its words and pairs to buckets of keys, which add them up and
+Most n-grams of a shard are rare everywhere, so their words don't travel: their key is a
+hash, long enough that no two of the corpus are likely to share one. A shard sends the counts of its words and pairs to buckets of keys, which add them up and
 tell it which of them are frequent; then those of n-grams all of whose pairs are. One of the shards
 that sent a frequent n-gram is its speaker: it hears the whole count and gives the words. So what is
 given out is one row a frequent n-gram, however many shards have it.
@@ -22,22 +22,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from archloom.sources.shared import Bucketed
 
-from .common import ODD, discard, mixed, numbers, planes, table, text_of, word_hashes, written
+from .common import ODD, discard, forget, mixed, numbers, planes, table, text_of, word_hashes, written
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Bytes of text of a shard, and hashes of a bucket, at the mean.
 SHARD_BYTES, BUCKET_ENTRIES = 4 << 20, 1_000_000
-#: Bytes of a key: two n-grams of 100 TB share one with a likelihood under 1 in 1,000.
-KEY = 12
 #: Shards of a bucket of the table of shards.
 SHARDS_TOGETHER = 4
 #: Characters that end a piece of a text, all made line ends; the blank and the tab stay between words.
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _COUNT, _NUMBER, _TOTAL = 4, 4, 6
-_SHARD = "shard long, seq binary, hash binary, words binary, word_lang binary, langs array<string>, lang_words array<bigint>"
+_SHARD = "shard long, seq binary, words binary, word_lang binary, langs array<string>, lang_words array<bigint>"
 _SENT = "bucket long, shard long, round int, g binary, n binary"
 _BACK = "shard long, round int, bucket long, often binary, speaks binary, totals binary"
 _FOUND = "lang string, phrase string, n_words int, f long"
@@ -57,10 +56,25 @@ def lang_hash(lang: str) -> np.uint64:
     return np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "<u8")[0]
 
 
+def key_bytes(n_bytes: int) -> int:
+    """Bytes of a key: so many that any two n-grams of a corpus share one with a likelihood under 1 in 1,000."""
+    return max(5, -(-(2 * n_bytes.bit_length() + 9) // 8))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences, whose high bytes are 0 and cost nothing."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _identity(word: np.ndarray, lang: np.ndarray, langs: list[str]) -> np.ndarray:
+    """What tells a language's word from all others everywhere, from the hash of the word and the number of its language."""
+    return mixed(word ^ np.array([lang_hash(x) for x in langs], np.uint64)[lang])
+
+
 def deal(t: pa.Table) -> pa.Table:
     """A shard of documents as one row: word numbers from 1 with a 0 after each piece, and their dictionary.
 
-    A word of two languages is two words. hash tells a language's word from all others everywhere.
+    A word of two languages is two words.
     """
     langs = sorted(set(t.column("lang").to_pylist()))
     number = {x: k for k, x in enumerate(langs)}
@@ -70,8 +84,8 @@ def deal(t: pa.Table) -> pa.Table:
     begin = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
     hashes, starts = word_hashes(data)
     lang = doc_lang[np.searchsorted(begin, starts, "right") - 1]
-    h = mixed(hashes ^ np.array([lang_hash(x) for x in langs], np.uint64)[lang])
-    known, first, number_of = np.unique(h, return_index=True, return_inverse=True)
+    h = _identity(hashes, lang, langs)
+    _, first, number_of = np.unique(h, return_index=True, return_inverse=True)
     raw = np.frombuffer(data, np.uint8)
     gaps = np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)))
     ends = np.append(gaps, len(data))[np.searchsorted(gaps, starts[first])]
@@ -81,7 +95,7 @@ def deal(t: pa.Table) -> pa.Table:
     seq = np.zeros(len(h) + int(last.sum()), np.int64)
     seq[np.arange(len(h)) + np.concatenate([[0], np.cumsum(last)])[: len(h)]] = number_of.ravel() + 1
     counts = np.bincount(lang, minlength=len(langs))
-    row = (t.column("shard")[0].as_py(), planes(seq, _NUMBER), known.astype("<u8").tobytes(), words, lang[first].astype("<u4").tobytes(), langs, counts)
+    row = (t.column("shard")[0].as_py(), planes(seq, _NUMBER), words, lang[first].astype("<u4").tobytes(), langs, counts)
     return _table([row], _SHARD)
 
 
@@ -98,12 +112,12 @@ def _shift(x: np.ndarray, k: int) -> np.ndarray:
 class Shard:
     """Word numbers of a shard, its suffix array to MOST_WORDS words, and what buckets told of its n-grams."""
 
-    def __init__(self, row: dict, told: list[tuple], n_buckets: int):
-        self.shard, self.n_buckets, self.told = row["shard"], n_buckets, told
+    def __init__(self, row: dict, told: list[tuple], width: int, n_buckets: int):
+        self.shard, self.width, self.n_buckets, self.told = row["shard"], width, n_buckets, told
         self.seq = numbers([row["seq"]], _NUMBER)[0].astype(np.int64)
-        self.hash = np.concatenate([[0], np.frombuffer(row["hash"], "<u8")]).astype(np.uint64)
         self.words, self.langs = row["words"].split(b" ") if row["words"] else [], row["langs"]
         self.word_lang = np.frombuffer(row["word_lang"], "<u4")
+        self.hash = np.concatenate([np.zeros(1, np.uint64), _identity(word_hashes(row["words"])[0], self.word_lang, self.langs)])
         # Words from each place to the end of its piece.
         at = np.arange(len(self.seq))
         stop = np.flatnonzero(self.seq == 0)
@@ -140,12 +154,13 @@ class Shard:
             yield n, at[edge][fits], size[fits]
 
     def key(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Key of the n-gram at each place, the same in all shards: 8 bytes that order it and 4 more."""
+        """Key of the n-gram at each place, the same in all shards: 8 bytes or less that order it, and those beyond 8."""
         g, more = self.hash[self.seq[at]], mixed(self.hash[self.seq[at]] * ODD[4])
         for k in range(1, n):
             word = self.hash[self.seq[at + k]]
             g, more = mixed(g * ODD[k % 5] + word), mixed(more + word * ODD[(k + 1) % 5])
-        return mixed(g + np.uint64(n)), more >> np.uint64(32)
+        beyond = max(0, self.width - 8)
+        return mixed(g + np.uint64(n)) >> np.uint64(64 - 8 * min(8, self.width)), more >> np.uint64(64 - 8 * beyond) if beyond else np.zeros(len(g), np.uint64)
 
     def distinct(self, round_: int) -> tuple[np.ndarray, ...]:
         """Length, place, key (two arrays) and count here of the distinct n-grams of a round, in order of key."""
@@ -157,14 +172,15 @@ class Shard:
         return self.kept[round_]
 
     def cuts(self, g: np.ndarray) -> np.ndarray:
-        return np.searchsorted(((g >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)).astype(np.int64), np.arange(self.n_buckets + 1))
+        top = g >> np.uint64(8 * min(8, self.width) - 32)
+        return np.searchsorted((top * np.uint64(self.n_buckets) >> np.uint64(32)).astype(np.int64), np.arange(self.n_buckets + 1))
 
     def sent(self, round_: int) -> Iterator[tuple]:
         _, _, g, more, size = self.distinct(round_)
         c = self.cuts(g)
         for k, (i, j) in enumerate(zip(c[:-1].tolist(), c[1:].tolist())):
             if i < j:
-                yield k, self.shard, round_, planes(g[i:j], 8) + planes(more[i:j], KEY - 8), planes(size[i:j], _COUNT)
+                yield k, self.shard, round_, planes(_steps(g[i:j]), min(8, self.width)) + planes(more[i:j], max(0, self.width - 8)), planes(size[i:j], _COUNT)
 
     def asked(self, round_: int) -> tuple[tuple[int, ...], np.ndarray]:
         """Lengths that a round counts, and how many words an n-gram may have at each place."""
@@ -201,12 +217,13 @@ class Shard:
                     yield self.langs[self.word_lang[ids[0]]], b" ".join([self.words[k] for k in ids]).decode(), length, f
 
 
-def _meet(least: int) -> Callable[[pa.Table], pa.Table]:
+def _meet(least: int, width: int) -> Callable[[pa.Table], pa.Table]:
     def meet(t: pa.Table) -> pa.Table:
         """What a bucket tells each shard of the keys that it sent."""
-        sent, cut = t.column("g").to_pylist(), np.cumsum([0] + [len(x) // KEY for x in t.column("g").to_pylist()])
-        g = np.concatenate(numbers([x[: len(x) // KEY * 8] for x in sent], 8))
-        more = np.concatenate(numbers([x[len(x) // KEY * 8 :] for x in sent], KEY - 8))
+        sent, high = t.column("g").to_pylist(), min(8, width)
+        cut = np.cumsum([0] + [len(x) // width for x in sent])
+        g = np.concatenate([np.cumsum(x) for x in numbers([x[: len(x) // width * high] for x in sent], high)])
+        more = np.concatenate(numbers([x[len(x) // width * high :] for x in sent], width - 8)) if width > 8 else np.zeros(len(g), np.uint64)
         own = np.concatenate(numbers(t.column("n").to_pylist(), _COUNT)).astype(np.int64)
         order = np.lexsort((more, g))  # stable, so of each key the first shard's comes first
         g, more = g[order], more[order]
@@ -236,29 +253,29 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     n_shards = max(12, n_bytes // shard_bytes)
     d = d.withColumn("shard", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(n_shards)))
     n_buckets = max(12, n_bytes // 4 // BUCKET_ENTRIES)
-    dealt = d.groupBy("shard").applyInArrow(deal, _SHARD)
-    # Shards are read again without a shuffle, as they lie dealt by number.
-    held = Bucketed(spark, "shard", dealt.schema, max(1, n_shards // SHARDS_TOGETHER))
-    held.add(dealt)
-    shards = held.read()
+    # Texts are shuffled once; shards are read again without a shuffle, as they lie dealt by number.
+    held = Bucketed(spark, "shard", StructType.fromDDL(_SHARD), n_shards // SHARDS_TOGETHER)
+    held.add(d.repartition(held.n, "shard").groupBy("shard").applyInArrow(deal, _SHARD), dealt=True)
+    forget(spark)
+    shards, width = held.read(), key_bytes(n_bytes)
     n = shards.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                yield from _table(list(Shard(row, [], n_buckets).sent(0)), _SENT).to_batches()
+                yield from _table(list(Shard(row, [], width, n_buckets).sent(0)), _SENT).to_batches()
 
     def with_told(step: Callable[[Shard], Iterator[tuple]], schema: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def run(t: pa.Table, told: pa.Table) -> pa.Table:
             if not t.num_rows:
                 return _table([], schema)
             answers = list(zip(*(told.column(c).to_pylist() for c in ("round", "bucket", "often", "speaks", "totals"))))
-            return _table(list(step(Shard(t.to_pylist()[0], answers, n_buckets))), schema)
+            return _table(list(step(Shard(t.to_pylist()[0], answers, width, n_buckets))), schema)
 
         return run
 
-    meet = _meet(least)
+    meet = _meet(least, width)
     told = written(shards.mapInArrow(first, _SENT).groupBy("bucket").applyInArrow(meet, _BACK), "phrase-pairs")
     again = shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(with_told(lambda s: s.sent(1), _SENT), _SENT)
     more = written(again.groupBy("bucket").applyInArrow(meet, _BACK), "phrase-grams")
