@@ -5,12 +5,13 @@ their n-grams as sorted arrays to buckets by range, and get back those that othe
 their counts; what no one else holds can't be shared, so it only takes its places in a set. Two sets
 that link share an n-gram among the first of both; documents with equal sets are one class.
 
-Sets that share one of their first n-grams are a group. At first each set meets the head of one
-group, which brings together most of what links. Then the groups that lie in several components
-store the beginnings of their sets in a prefix tree. It is walked level by level with the sets that
-lead: the overlap of a shared path is counted once, a subtree is left when what may follow can't
-reach the bound, or when the pair belongs to the group of an earlier n-gram. Pairs that come through
-are verified on whole sets. Only pairs in one component already are left out, so no link is lost.
+Sets that share one of their first n-grams are a group, and store their beginnings in a prefix tree.
+It is walked level by level with the sets that lead: the overlap of a shared path is counted once, a
+subtree is left when what may follow can't reach the bound, or when the pair belongs to the group of
+an earlier n-gram. Pairs that come through are verified on whole sets. In the first round the first
+set of each group leads, which brings together most of what links; then, in the groups that still lie
+in several components, all sets outside the largest one lead. Only pairs in one component already are
+left out, so no link is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ GRAM_BYTES = 6
 GRAM_BITS, MOST_HOLDERS = 48, (1 << 15) - 1
 #: Rows of a part of a group, leaders that walk a tree at once, and pairs that are verified together.
 GROUP_PART, LEADERS, CHUNK = 1024, 256, 256
-#: First rounds, in which a set meets one head only.
+#: First rounds, in which the head of each group leads alone and a set is verified with one leader.
 SPROUTS = 1
 
 
@@ -310,19 +311,19 @@ def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _possible(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _possible(rows: DataFrame, sets: DataFrame, percent: int, heads: bool) -> DataFrame:
     """The pairs (leader, node) of all groups that lie in different components and may link.
 
-    A group is dealt over parts of about GROUP_PART rows, each with its prefix tree. Its leaders, the
-    sets outside its largest component, go to each part, for a pair of different components has
-    one of them.
+    A group is dealt over parts of about GROUP_PART rows, each with its prefix tree. Its leaders go to
+    each part: its head alone, or the sets outside its largest component, for a pair of different
+    components has one of them.
     """
-    sizes = rows.groupBy("token").agg((F.count("*") / GROUP_PART).cast("int").alias("last"))
+    sizes = rows.groupBy("token").agg((F.count("*") / GROUP_PART).cast("int").alias("last"), F.min(F.struct("label", "node")).alias("head"))
     labels = rows.groupBy("token", "label").count()
     largest = labels.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-    held = rows.join(sizes, "token").join(largest, "token").join(sets.select("node", "n", "lone", F.slice("shared", F.lit(1), F.col("room").cast("int")).alias("first")), "node")
+    held = (rows.withColumn("largest", F.lit(None).cast("long")) if heads else rows.join(largest, "token")).join(sizes, "token").join(sets.select("node", "n", "lone", F.slice("shared", F.lit(1), F.col("room").cast("int")).alias("first")), "node")
     columns = ["token", "part", "leads", "node", "label", "n", "lone", "leader", "first"]
-    held = held.withColumn("leader", F.col("label") != F.col("largest"))
+    held = held.withColumn("leader", F.col("node") == F.col("head.node") if heads else F.col("label") != F.col("largest"))
     members = held.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"), "leads": F.lit(False)}).select(columns)
     leading = held.where("leader").withColumns({"part": F.explode(F.sequence(F.lit(0), "last")), "leads": F.lit(True)}).select(columns)
     dealt = members.unionByName(leading).repartition("token", "part").sortWithinPartitions("token", "part")
@@ -396,11 +397,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wor
     open_rows = written(found.join(_several(found), "token"), "open")
     edges, labels, sprouts = [], None, SPROUTS
     while not open_rows.isEmpty():
+        pairs = _possible(open_rows, sets, percent, heads=bool(sprouts))
         if sprouts:
-            head = open_rows.groupBy("token").agg(F.min(F.struct("label", "node")).alias("head"))
-            pairs = open_rows.join(head, "token").where("label <> head.label").groupBy("node").agg(F.min("head.node").alias("leader"))
-        else:
-            pairs = _possible(open_rows, sets, percent)
+            pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader"))
         pairs = written(pairs.select("leader", "node"), "pairs")
         edges.append(written(_verified(pairs, sets, percent), "links"))
         discard(pairs)
