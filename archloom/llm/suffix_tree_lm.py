@@ -22,10 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archloom.sources.shared import Bucketed
+
 from .common import ODD, discard, forget, mixed, numbers, planes, table, text_of, word_hashes, written
 
 FOLDS, HELD_OUT = 5, 1
-DEPTH = 2
+DEPTH = 3
+#: Batches of a bucket of the table of texts.
+BATCHES_TOGETHER = 4
 #: Times that a context occurs, and that a next token does to be tested on its own.
 LEAST_CONTEXT, LEAST_NEXT = 8, 2
 #: Standard deviations above chance of the divergence of a context that is kept.
@@ -209,11 +213,12 @@ def _send(b: Batch, batch: int, done: int) -> Iterator[tuple]:
         yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(g[i:j], size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
     if done:
         g, sums = b.sums(done)
-        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], b.width), sums[:5, i:j].astype("<f4").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
+        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], b.width), sums[:5, i:j].astype("<f8").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
 
 
 def _meet(t: pa.Table, width: int) -> pa.Table:
     """Answers of a bucket to its batches."""
+    t = t.sort_by("batch")  # parts of sums are added in this order, whichever came first
     kind, level = t.column("kind")[0].as_py(), t.column("level")[0].as_py()
     batches, bucket = t.column("batch").to_pylist(), t.column("bucket")[0].as_py() // 3
     each = numbers(t.column("g").to_pylist(), width if level else _TOKEN)
@@ -231,11 +236,11 @@ def _meet(t: pa.Table, width: int) -> pa.Table:
             rows = [(*r[:6], 0, 0) for r in rows]
         return _table(rows, _BACK)
     sent = list(zip(t.column("n").to_pylist(), each))
-    parts = np.concatenate([np.frombuffer(x, "<f4", 5 * len(g)).reshape(5, -1) for x, g in sent], axis=1).astype(float)
+    parts = np.concatenate([np.frombuffer(x, "<f8", 5 * len(g)).reshape(5, -1) for x, g in sent], axis=1)
     sums = np.stack([*(np.bincount(number, x, len(known)) for x in parts), np.zeros(len(known))])
-    # Kinds are whole numbers, whatever their parts were rounded to.
+    # Kinds are whole numbers, whatever their parts add up to.
     sums[0], sums[4] = np.round(sums[0]), np.round(sums[4])
-    sums[5, number] = np.concatenate(numbers([x[20 * len(g) :] for x, g in sent], _COUNT))
+    sums[5, number] = np.concatenate(numbers([x[40 * len(g) :] for x, g in sent], _COUNT))
     kept = kept_contexts(sums)
     for batch, g in zip(batches, each):
         k = number[at : at + len(g)]
@@ -257,8 +262,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     d = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text_of(text_col).alias("text"))
     id_type = d.schema["id"].dataType.simpleString()
     n_bytes = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # A document is dealt to the same batch in each pass.
-    d = d.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(max(12, n_bytes // BATCH_BYTES))))
+    # Documents are dealt over batches once; each pass reads them where they lie.
+    n_batches = max(12, n_bytes // BATCH_BYTES)
+    d = d.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
+    texts = Bucketed(spark, "batch", d.schema, n_batches // BATCHES_TOGETHER)
+    texts.add(d)
+    forget(spark)
+    d = texts.read()
     n_buckets, width = max(12, n_bytes // 5 // BUCKET_ENTRIES), gram_bytes(n_bytes)
 
     def meet(t: pa.Table) -> pa.Table:
@@ -304,6 +314,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     out = written(out, "scores")
     for x in used:
         discard(x)
+    texts.drop()
     return out.withColumnRenamed("id", id_col)
 
 

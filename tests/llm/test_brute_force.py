@@ -17,7 +17,7 @@ from archloom.llm.patience_lines import common_lines, line_dedup, patience
 from archloom.llm.shingle_join import PrefixTree, links, shingle_sets
 from archloom.llm import suffix_dedup as suffix_module
 from archloom.llm.suffix_dedup import blind_trie_order, first_holders, suffix_dedup
-from archloom.llm.suffix_tree_lm import op2_suffix_tree_lm
+from archloom.llm.suffix_tree_lm import DEPTH, op2_suffix_tree_lm
 from archloom.llm.swap_packing import Ids, best_fit, improve, op5_swap_packing, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -171,7 +171,7 @@ def test_language_model(spark, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     # The tree by definition: counts of all n-grams, contexts level by level, the longest suffix kept.
     path = {i: [END_WORD, *ws] for i, ws in words.items()}
-    grams = collections.Counter(tuple(p[k - j : k + 1]) for i, p in path.items() if not held[i] for k in range(1, len(p)) for j in (1, 2) if k >= j)
+    grams = collections.Counter(tuple(p[k - j : k + 1]) for i, p in path.items() if not held[i] for k in range(1, len(p)) for j in range(1, DEPTH + 1) if k >= j)
     after = collections.defaultdict(dict)
     for g, c in grams.items():
         after[g[:-1]][g[-1]] = c
@@ -185,7 +185,7 @@ def test_language_model(spark, texts):
         nexts = after[context]
         return (nexts.get(w, 0) + len(nexts) * chance(context[1:], w)) / (sum(nexts.values()) + len(nexts))
 
-    for size in (1, 2):
+    for size in range(1, DEPTH + 1):
         for context, nexts in after.items():
             total = sum(nexts.values())
             if len(context) != size or total < 8 or context[1:] not in kept:
@@ -198,10 +198,10 @@ def test_language_model(spark, texts):
                 g += total * rest * math.log(rest / rest_above)
             if often and 2 * g > len(often) + 4 * math.sqrt(2 * len(often)):
                 kept[context] = None
-    assert len(kept) > 20 and any(len(k) == 2 for k in kept)
+    assert len(kept) > 20 and all(any(len(k) == size for k in kept) for size in (1, 2))
     for r in rows:
         p = path[r.doc_id]
-        want = sum(math.log10(chance(tuple(p[max(0, k - 2) : k]), p[k])) for k in range(1, len(p)))
+        want = sum(math.log10(chance(tuple(p[max(0, k - DEPTH) : k]), p[k])) for k in range(1, len(p)))
         assert math.isclose(r.score, want, rel_tol=1e-9)
 
 
