@@ -37,6 +37,17 @@ def group(rule_rows: DataFrame, agent: str = AGENT) -> DataFrame:
     return d.groupBy("host").agg(F.min_by("agent", F.struct("fits", "pos")).alias("agent"))
 
 
+def delays(files: DataFrame, agent: str = AGENT) -> DataFrame:
+    """Rows host, delay: the seconds that the agent's group asks for, or else those of `*`; null where neither does."""
+    d = directives(files)
+    agents = d.where("field = 'user-agent'").select("host", "block", lower(F.col("value")).alias("agent")).distinct()
+    said = d.where("field = 'crawl-delay'").select("host", "block", "pos", F.col("value").try_cast("double").alias("delay"))
+    asked = agents.join(said, ["host", "block"]).groupBy("host", "agent").agg(F.min_by("delay", "pos").alias("delay"))
+    own = group(rules(files), agent).join(asked, ["host", "agent"]).select("host", F.col("delay").alias("own"))
+    anyone = asked.where("agent = '*'").select("host", F.col("delay").alias("anyone"))
+    return files.select("host").distinct().join(own, "host", "left").join(anyone, "host", "left").select("host", F.coalesce("own", "anyone").alias("delay"))
+
+
 def pattern_regex(pattern: Column) -> Column:
     """Java pattern of a rule: * is anything, a last $ is the end."""
     ends = pattern.endswith("$")

@@ -1,47 +1,86 @@
-"""A whole crawl over a small site, with its budgets, robots rules, twins and failures."""
+"""Crawls over the pages given: a site of their own and of what they link to."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archloom.operators.crawl import Options, counters, crawl
-
-from .kit import fixture, query, values
-
-_AT = "https://site.test"
-_HOME = '<a href="/about">a</a><a href="/shop.php?id=7">s</a><link rel="stylesheet" href="/css/app.css"><script src="https://cdn.test/lib.js"></script><a href="/private/x">p</a><a href="mailto:x@y">m</a><a href="http://other.test/">o</a>'
-SITE = [
-    (f"{_AT}/", "text/html", _HOME), (f"{_AT}/index.html", "text/html", _HOME),
-    (f"{_AT}/about", "text/html; charset=utf-8", '<a href="/">h</a><a href="/index.html">i</a><img src="../img/logo.png"><a href="team/">t</a>'),
-    (f"{_AT}/shop.php?id=7", "text/html", '<a href="?id=8">next</a>'), (f"{_AT}/team/", "text/html", '<a href="deep#s">d</a>'), (f"{_AT}/team/deep", "text/html", '<a href="/team/deeper">d</a>'),
-    (f"{_AT}/team/deeper", "text/html", "end"), (f"{_AT}/css/app.css", "text/css", 'a{b:url(../font/a.woff2)} @import "b.css";'), (f"{_AT}/css/b.css", "text/css", "c{}"),
-    (f"{_AT}/font/a.woff2", "font/woff2", "w"), (f"{_AT}/img/logo.png", "image/png", "p"), ("https://cdn.test/lib.js", "text/javascript", "j()"), (f"{_AT}/private/x", "text/html", "no"),
-]
-ROBOTS = [("site.test", "User-agent: *\nDisallow: /private/\n")]
-
-_P, _S = f"{_AT}/", "blocked by robots.txt"
-#: Expected resources: seq, url, kind, type, depth, state, path.
-WHOLE = [
-    (0, _P, "page", "html", 0, "ok", "index.html"), (1, f"{_P}about", "page", "html", 1, "ok", "about/index.html"), (2, f"{_P}shop.php?id=7", "page", "html", 1, "ok", "shop.php__c53d0f0.html"),
-    (3, f"{_P}css/app.css", "asset", "css", 0, "ok", "css/app.css"), (4, "https://cdn.test/lib.js", "asset", "js", 0, "ok", "_external/cdn.test/lib.js"), (5, f"{_P}private/x", "page", "html", 1, "skip", ""),
-    (6, f"{_P}index.html", "page", "html", 2, "ok", "index.html"), (7, f"{_P}img/logo.png", "asset", "img", 1, "ok", "img/logo.png"), (8, f"{_P}team/", "page", "html", 2, "ok", "team/index.html"),
-    (9, f"{_P}shop.php?id=8", "page", "html", 2, "fail", ""), (10, f"{_P}team/deep", "page", "html", 3, "ok", "team/deep/index.html"), (11, f"{_P}team/deeper", "page", "html", 4, "ok", "team/deeper/index.html"),
-    (12, f"{_P}font/a.woff2", "asset", "font", 0, "ok", "font/a.woff2"), (13, f"{_P}css/b.css", "asset", "css", 0, "ok", "css/b.css"),
-]
-_LEFT = {f"{_P}private/x", f"{_P}index.html", f"{_P}team/", f"{_P}shop.php?id=8"}
-FEW_PAGES = [(k, u, a, t, d, "queued" if u in _LEFT else s, "" if u in _LEFT else p) for k, (u, a, t, d, s, p) in enumerate(r[1:] for r in WHOLE if "deep" not in r[1])]
-SHALLOW = [(k, *r[1:]) for k, r in enumerate(r for r in WHOLE if r[2] == "asset" or r[4] <= 1)]
-
-
-def _crawl(spark, **options):
-    site = fixture(spark, [(u, u, 200, c, b, len(b), "") for u, c, b in SITE] + [(f"{_AT}/shop.php?id=8", f"{_AT}/shop.php?id=8", 404, "text/html", "", 0, "")], "url string, final_url string, status int, ctype string, body string, size long, error string")
-    return crawl(fixture(spark, [(f"{_AT}/", 0)], "url string, depth int"), site, fixture(spark, ROBOTS, "host string, body string"), Options("site.test", **options))
-
-
-for _name, _rows, _options in (("crawl_site", WHOLE, {}), ("crawl_site_max_pages", FEW_PAGES, {"max_pages": 3}), ("crawl_site_max_depth", SHALLOW, {"max_depth": 1})):
-    query(_name, f"SELECT seq::BIGINT AS seq, url, kind, type, depth::INT AS depth, state, path FROM {values(_rows, 'seq, url, kind, type, depth, state, path')}")(
-        lambda s, d, o=_options: _crawl(s, **o).select("seq", "url", "kind", "type", "depth", "state", "path")
-    )
-query("crawl_counters", f"SELECT count(*) FILTER (kind = 'page' AND state = 'ok') AS pages_done, count(*) FILTER (kind = 'page' AND state = 'fail') AS pages_failed, count(*) FILTER (kind = 'asset' AND state = 'ok') AS assets_done, count(*) FILTER (kind = 'asset' AND state = 'fail') AS assets_failed, count(*) FILTER (state = 'skip') AS skipped FROM {values(WHOLE, 'seq, url, kind, type, depth, state, path')}")(
-    lambda s, d: counters(fixture(s, WHOLE, "seq long, url string, kind string, type string, depth int, state string, path string").withColumn("bytes", F.lit(0))).drop("bytes")
+from archloom.functions.url import host, normalize, path
+from archloom.operators import links as L
+from archloom.operators.crawl import Options, closure, counters, crawl
+
+from .extraction import ALL, LINKS
+from .kit import d_base_domain, d_parts, query, table
+
+#: The documents of the site: each page at its own URL, and a page of the host at each linked URL with an e in its path.
+_AT = "regexp_extract({}, '^[a-z]+://[^/]*', 0)"
+DOCS = f"""{LINKS.replace(ALL, 'd AS (SELECT page_id, url, html FROM pages)').replace('WITH ', 'WITH RECURSIVE ', 1)}, {d_parts('d', 'url', 'o')},
+rk AS (SELECT page_id, o_url AS url, o_host AS host, row_number() OVER (PARTITION BY o_host ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY o_host) AS n FROM o),
+ex AS (SELECT target AS url, rk.page_id FROM (SELECT DISTINCT target, g_host FROM links) AS t JOIN rk ON rk.host = t.g_host AND rk.k = length(t.target) % rk.n
+  WHERE regexp_extract(target, '^[a-z]+://[^/]*([^?]*)', 1) LIKE '%e%' AND target NOT IN (SELECT url FROM rk)),
+docs AS (SELECT url, page_id FROM rk UNION ALL SELECT url, page_id FROM ex),
+edges AS (SELECT DISTINCT docs.url AS src, CASE WHEN {_AT.format('l.target')} = {_AT.format('rk.url')} THEN {_AT.format('docs.url')} || substr(l.target, length({_AT.format('l.target')}) + 1) ELSE l.target END AS dst, l.kind FROM docs JOIN rk USING (page_id) JOIN links AS l USING (page_id)),
+seeds AS (SELECT host, min(url) AS url FROM rk WHERE {d_base_domain('host')} = 'example.com' GROUP BY host)"""
+_HOST = "regexp_extract(dst, '^[a-z]+://([^/:]*)', 1)"
+_INSIDE = f"{d_base_domain(_HOST)} = 'example.com'"
+
+
+def _reach(max_depth: int, inside: str = _INSIDE) -> str:
+    return f"reach(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT dst, depth + 1 FROM reach JOIN edges ON src = url WHERE depth < {max_depth} AND {inside})"
+
+
+_STATES = "SELECT url, min(depth)::INT AS depth, CASE WHEN url IN (SELECT url FROM docs) THEN 'ok' ELSE 'fail' END AS state FROM reach GROUP BY url"
+
+
+def documents(spark, sf_dir):
+    """Rows url, html of the site's documents."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    own = p.select("page_id", F.explode(F.array(normalize(F.col("url")))).alias("own"), "html").withColumn("host", host(F.col("own")))
+    # Pages of a host by number, which a query's SQL can say; the counts are one row a host.
+    from pyspark.sql import Window
+
+    names = own.select("page_id", "own", "host")
+    by_host = Window.partitionBy("host").orderBy("page_id")
+    number = names.withColumn("k", F.row_number().over(by_host) - 1).join(names.groupBy("host").agg(F.count("*").alias("n")), "host")
+    to = L.links(p).select("target").distinct().withColumns({"host": host(F.col("target")), "at": path(F.col("target"))}).where(F.col("at").contains("e"))
+    to = to.join(names.select(F.col("own").alias("target")), "target", "left_anti").join(number, "host").where(F.col("k") == F.length("target") % F.col("n"))
+    extra = to.select(F.col("target").alias("url"), "page_id").join(p.select("page_id", "html"), "page_id").select("url", "html")
+    return own.select(F.col("own").alias("url"), "html").unionByName(extra), names
+
+
+def _crawl(spark, sf_dir, **options):
+    docs, names = documents(spark, sf_dir)
+    one = lambda v, t: F.lit(v).cast(t)
+    site = docs.select("url", F.col("url").alias("final_url"), one(200, "int").alias("status"), F.lit("text/html").alias("ctype"), F.col("html").alias("body"), F.octet_length("html").cast("long").alias("size"), F.lit("").alias("error"))
+    seeds = names.where(in_scope(F.col("own"))).groupBy("host").agg(F.min("own").alias("url")).select("url", F.lit(0).alias("depth"))
+    robots = spark.createDataFrame([], "host string, body string")
+    return crawl(seeds, site, robots, Options("example.com", subdomains=True, **({"max_pages": 10**9, "max_bytes": 1 << 60} | options)))
+
+
+def in_scope(url):
+    return Options("example.com", subdomains=True).in_scope(url)
+
+
+query("crawl_site", f"{DOCS}, {_reach(3)} {_STATES}")(lambda s, d: _crawl(s, d, max_depth=3).select("url", "depth", "state"))
+query("crawl_site_max_depth", f"{DOCS}, {_reach(1)} {_STATES}")(lambda s, d: _crawl(s, d, max_depth=1).select("url", "depth", "state"))
+# Seeds come first in order of URL, and all have a page; so three are taken, and what they link to is left.
+query("crawl_site_max_pages", f"{DOCS}, taken AS (SELECT url FROM seeds ORDER BY url LIMIT 3) SELECT url, 0 AS depth, CASE WHEN url IN (SELECT url FROM taken) THEN 'ok' ELSE 'queued' END AS state FROM seeds UNION ALL SELECT DISTINCT dst, 1, 'queued' FROM edges JOIN taken ON url = src WHERE {_INSIDE} AND dst NOT IN (SELECT url FROM seeds)")(
+    lambda s, d: _crawl(s, d, max_pages=3).select("url", "depth", "state")
 )
+query("crawl_counters", f"{DOCS}, {_reach(2)}, st AS ({_STATES}) SELECT count(*) FILTER (state = 'ok') AS pages_done, count(*) FILTER (state = 'fail') AS pages_failed, 0::BIGINT AS assets_done, 0::BIGINT AS assets_failed, 0::BIGINT AS skipped, sum((SELECT strlen(html) FROM docs JOIN pages USING (page_id) WHERE docs.url = st.url))::BIGINT AS bytes FROM st")(
+    lambda s, d: counters(_crawl(s, d, max_depth=2))
+)
+
+
+@query("crawl_bfs", f"{DOCS}, {_reach(4, 'true')} SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url")
+def crawl_bfs(spark, sf_dir):
+    docs, names = documents(spark, sf_dir)
+    edges = L.links(docs.select(F.col("url").alias("page_id"), "url", "html")).select(F.col("url").alias("src"), F.col("target").alias("dst"), "kind")
+    return closure(names.where(in_scope(F.col("own"))).groupBy("host").agg(F.min("own").alias("url")).select("url"), edges, max_depth=4)
+
+
+@query("discover", f"{DOCS} SELECT page_id, target AS dst, arg_max(kind, pos * 1000000 + apos * 1000 + ipos) AS kind, 1 AS depth, min(pos)::INT AS pos FROM links WHERE target NOT IN (SELECT url FROM rk) GROUP BY page_id, target")
+def discover(spark, sf_dir):
+    """What pages of depth 0 name that is not known yet; assets would stay at their depth."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = L.dedup(L.links(p)).join(p.select(normalize(F.col("url")).alias("target")), "target", "left_anti")
+    return found.select("page_id", F.col("target").alias("dst"), "kind", F.when(F.col("kind") == "page", 1).otherwise(0).alias("depth"), "pos")

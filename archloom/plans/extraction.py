@@ -9,7 +9,7 @@ from archloom.operators import links as L
 from archloom.operators import rewriting as W
 from archloom.operators import robots as R
 
-from .kit import d_decode, d_parts, d_ref, d_trim, d_type, fixture, literal, query, table, values
+from .kit import PAGE_HOST, PAGE_PATH, both, given, d_decode, d_parts, d_ref, d_trim, d_type, fixture, literal, query, table, values
 
 DOCS = [
     (-1, "https://site.test/dir/p", '<html><head><base href="/base/"><link rel="stylesheet" href="a.css"><link rel=icon href=f.ico><link rel="preload" as="font" href="x.woff2"><link rel="canonical" href="/c"></head><body background="bg.png"><a href="b.pdf">b</a><a href=\'q?x=1&amp;y=2\'>q</a><img src="i.png" data-src="big.webp"><script src="/s.js">var a="<a href=no>";</script><!-- <a href="no"> --><iframe src="f.html"></iframe><form action="/go"></form><a href="mailto:x@y">m</a><a href="b.pdf#2">again</a><video src="v" poster="p.jpg"></video></body></html>'),
@@ -87,62 +87,72 @@ query("host_links", f"{LINKS} SELECT g_host AS host, kind, type, count(*)::BIGIN
 )
 
 SHEETS = [(1, "https://site.test/css/app.css", "a{b:url(../font/a.woff2)} c{d:url( 'x.png' )} e{f:url(\"y\")} @import \"b.css\"; @import 'c'; g{h:url(data:x)}"), (2, "https://h/", "none")]
-_css = f"""WITH s AS (SELECT * FROM {values(SHEETS, 'id, base, css')}), {d_parts('s', 'base', 'b')},
+_BODY = "regexp_extract(html, '<style[^>]*>([^<]*)<', 1)"
+_SHEETS = both(SHEETS, "id, base, css", f"SELECT 1000 + page_id, url, concat({_BODY}, ' x{{y:url(../', CAST(page_id AS VARCHAR(20)), '.png)}} @import \"', CAST(page_id AS VARCHAR(20)), '\";') FROM pages")
+_css = f"""WITH s AS (SELECT * FROM {_SHEETS}), {d_parts('s', 'base', 'b')},
 r AS (SELECT *, i - 1 AS pos, raws[i] AS raw FROM (SELECT *, list_concat(regexp_extract_all(css, {literal(L.CSS_URL)}, 0), regexp_extract_all(css, {literal(L.CSS_IMPORT)}, 0)) AS raws FROM b) AS x, unnest(range(1, len(raws) + 1)) AS u(i)),
 i AS (SELECT *, {_unq(d_trim("CASE WHEN starts_with(raw, '@') THEN regexp_extract(raw, '(?i)^@import" + chr(92) + "s+(.*)$', 1) ELSE regexp_extract(raw, '(?i)^url" + chr(92) + "((.*)" + chr(92) + ")$', 1) END"))} AS ref FROM r),
 t AS (SELECT id, pos, raw, {d_ref('b', 'ref')} AS x FROM i WHERE NOT {d_skippable('ref')}), {d_parts('t', 'x', 'n')}
 SELECT id, pos::INT AS pos, n_url AS target, CASE WHEN {d_type('n_ext')} IN ('', 'html') THEN CASE WHEN starts_with(raw, '@') OR contains(n_url, '.css') THEN 'css' ELSE 'img' END ELSE {d_type('n_ext')} END AS type FROM n WHERE n_url <> ''"""
-query("extract_css", _css)(lambda s, d: L.css_links(fixture(s, SHEETS, "id int, base string, css string")))
+query("extract_css", _css)(lambda s, d: L.css_links(given(s, d, _SHEETS, "pages")))
 SCRIPTS = [(1, "https://site.test/js/", "load('img/a.png'); x=\"/b.css?v=2\"; y='not a file'; z=\"lib.min.js\"; u='https://cdn.t/v.mp4'")]
-_js = f"""WITH s AS (SELECT * FROM {values(SCRIPTS, 'id, base, js')}), {d_parts('s', 'base', 'b')},
+_SCRIPTS = both(SCRIPTS, "id, base, js", "SELECT 1000 + page_id, url, concat(regexp_extract(html, '<script[^>]*>([^<]*)<', 1), ' load(\"p/', CAST(page_id AS VARCHAR(20)), '.js\");') FROM pages")
+_js = f"""WITH s AS (SELECT * FROM {_SCRIPTS}), {d_parts('s', 'base', 'b')},
 r AS (SELECT *, i - 1 AS pos, raws[i] AS raw FROM (SELECT *, regexp_extract_all(js, {literal(L.JS_LITERAL)}, 0) AS raws FROM b) AS x, unnest(range(1, len(raws) + 1)) AS u(i)),
 t AS (SELECT id, pos, {d_ref('b', _unq('raw'))} AS x FROM r), {d_parts('t', 'x', 'n')} SELECT id, pos::INT AS pos, n_url AS target, {d_type('n_ext')} AS type FROM n WHERE n_url <> ''"""
 query("script_links", f"""WITH {ALL}, sb AS (SELECT page_id, url, i - 1 AS apos, bs[i] AS body FROM (SELECT page_id, url, regexp_extract_all({_nocomment}, '(?is)<script\\b[^>]*>(.*?)</script\\s*>', 1) AS bs FROM d) AS x, unnest(range(1, len(bs) + 1)) AS u(i)), {BASES},
 sl AS (SELECT page_id, apos, j - 1 AS ipos, {_unq('ls[j]')} AS ref, base FROM (SELECT *, regexp_extract_all(body, {literal(L.JS_LITERAL)}, 0) AS ls FROM sb JOIN bases USING (page_id)) AS y, unnest(range(1, len(ls) + 1)) AS v(j)),
 {d_parts('sl', 'base', 'k')}, sr AS (SELECT page_id, apos, ipos, {d_ref('k', 'ref')} AS x FROM k WHERE NOT {d_skippable('ref')}), {d_parts('sr', 'x', 'n')}
 SELECT page_id, apos::INT AS apos, ipos::INT AS ipos, n_url AS target, 'asset' AS kind, {d_type('n_ext')} AS type FROM n WHERE n_url <> ''""")(lambda s, d: L.links(pages(s, d), scripts=True).where("pos = -2").select("page_id", "apos", "ipos", "target", "kind", "type"))
-query("extract_js", _js)(lambda s, d: L.js_links(fixture(s, SCRIPTS, "id int, base string, js string")))
+query("extract_js", _js)(lambda s, d: L.js_links(given(s, d, _SCRIPTS, "pages")))
 SETS = [(1, "a.png 1x, b.png 2x"), (2, "c.webp"), (3, "d,e.png 100w,  f.png 50w,"), (4, "")]
-query("extract_srcset", f"SELECT id, regexp_extract(p, '^(\\S+)', 1) AS ref, {d_trim('regexp_extract(p, ' + literal('^' + chr(92) + 'S+' + chr(92) + 's+(.*)$') + ', 1)')} AS descriptor FROM (SELECT id, {d_trim('x')} AS p FROM {values(SETS, 'id, value')}, unnest(regexp_split_to_array(value, '\\s*,\\s*')) AS u(x)) AS s WHERE p <> ''")(
-    lambda s, d: fixture(s, SETS, "id int, value string").select("id", F.inline(L.srcset(F.col("value"))))
+_SETS = both(SETS, "id, value", "SELECT 1000 + page_id, concat(url, ' 1x,  ', CAST(page_id AS VARCHAR(20)), '.png 2x, ') FROM pages")
+query("extract_srcset", f"SELECT id, regexp_extract(p, '^(\\S+)', 1) AS ref, {d_trim('regexp_extract(p, ' + literal('^' + chr(92) + 'S+' + chr(92) + 's+(.*)$') + ', 1)')} AS descriptor FROM (SELECT id, {d_trim('x')} AS p FROM {_SETS}, unnest(regexp_split_to_array(value, '\\s*,\\s*')) AS u(x)) AS s WHERE p <> ''")(
+    lambda s, d: given(s, d, _SETS, "pages").select("id", F.inline(L.srcset(F.col("value"))))
 )
 METAS = [("refresh", "5; url='/next'"), ("Refresh", "0"), ("og:image", "https://site.test/i.png"), ("og:image", "/rel.png"), ("twitter:image", "http://h/x"), ("keywords", "https://no")]
-query("extract_meta", f"SELECT name, content, CASE WHEN lower(name) = 'refresh' THEN nullif({_refresh.replace('value', 'content')}, '') WHEN lower(name) IN ({_mi}) AND regexp_matches(content, '(?i)^https?://') THEN content END AS target FROM {values(METAS, 'name, content')}")(
-    lambda s, d: fixture(s, METAS, "name string, content string").select("name", "content", L.meta_target(F.col("name"), F.col("content")).alias("target"))
+_METAS = both(METAS, "name, content", "SELECT CASE page_id % 3 WHEN 0 THEN 'og:image' WHEN 1 THEN 'refresh' ELSE 'Twitter:Image' END, CASE page_id % 3 WHEN 1 THEN concat('3; url=', url) ELSE url END FROM pages")
+query("extract_meta", f"SELECT name, content, CASE WHEN lower(name) = 'refresh' THEN nullif({_refresh.replace('value', 'content')}, '') WHEN lower(name) IN ({_mi}) AND regexp_matches(content, '(?i)^https?://') THEN content END AS target FROM {_METAS}")(
+    lambda s, d: given(s, d, _METAS, "pages").select("name", "content", L.meta_target(F.col("name"), F.col("content")).alias("target"))
 )
 
 # Robots.
 ROBOTS = [("site.test", "# hello\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private/\nDisallow:\nAllow: /private/ok\nSitemap: https://site.test/s.xml\nCrawl-delay: 2"), ("b.test", "User-agent: loom\nUser-agent: x\nDisallow: /a/*\nAllow: /a/b\nDisallow: /*.pdf$\nUser-agent: *\nDisallow: /")]
 _line = d_trim("regexp_replace(x, '#.*$', '')")
-DIRS = f"""rf AS (SELECT * FROM {values(ROBOTS, 'host, body')}),
+_FIRST = f"max(regexp_extract({PAGE_PATH}, '^(/[^/]*)', 1))"
+_ROBOTS = both(ROBOTS, "host, body", f"SELECT {PAGE_HOST}, concat('User-agent: *', chr(10), 'Disallow: ', {_FIRST}, '/*1', chr(10), 'Allow: ', max({PAGE_PATH}), '$', chr(10), 'Crawl-delay: ', CAST(count(*) AS VARCHAR(20)), chr(10), 'User-agent: loom', chr(10), 'Disallow: ', min({PAGE_PATH})) FROM pages GROUP BY {PAGE_HOST}")
+DIRS = f"""rf AS (SELECT * FROM {_ROBOTS}),
 rl AS (SELECT host, i - 1 AS pos, {_line.replace('x,', 'ls[i],')} AS line FROM (SELECT host, string_split(body, chr(10)) AS ls FROM rf) AS q, unnest(range(1, len(ls) + 1)) AS u(i)),
 rd AS (SELECT host, pos, lower({d_trim("regexp_extract(line, '^([^:]*):', 1)")}) AS field, {d_trim("regexp_extract(line, '^[^:]*:(.*)$', 1)")} AS value FROM rl WHERE contains(line, ':')),
 rb AS (SELECT *, sum(opens) OVER (PARTITION BY host ORDER BY pos) AS block FROM (SELECT *, CASE WHEN field = 'user-agent' AND coalesce(lag(field) OVER (PARTITION BY host ORDER BY pos), '') <> 'user-agent' THEN 1 ELSE 0 END AS opens FROM rd WHERE field IN ('user-agent', 'allow', 'disallow', 'crawl-delay', 'sitemap')) AS o),
 rr AS (SELECT a.host, a.agent, r.pos::INT AS pos, r.field = 'allow' AS allow, r.value AS pattern, strlen(r.value)::INT AS len FROM (SELECT DISTINCT host, block, lower(value) AS agent FROM rb WHERE field = 'user-agent') AS a JOIN rb AS r ON r.host = a.host AND r.block = a.block AND r.field IN ('allow', 'disallow') AND NOT (r.field = 'disallow' AND r.value = '')),
 rg AS (SELECT host, arg_min(agent, CASE WHEN agent = '*' THEN 1000 ELSE 0 END + pos) AS agent FROM rr WHERE agent = '*' OR contains('{R.AGENT}', agent) GROUP BY host)"""
-files = lambda s: fixture(s, ROBOTS, "host string, body string")
-query("robots_rules", f"WITH {DIRS} SELECT * FROM rr")(lambda s, d: R.rules(files(s)))
-query("robots_group", f"WITH {DIRS} SELECT * FROM rg")(lambda s, d: R.group(R.rules(files(s))))
+files = lambda s, d: given(s, d, _ROBOTS, "pages")
+query("robots_rules", f"WITH {DIRS} SELECT * FROM rr")(lambda s, d: R.rules(files(s, d)))
+query("robots_group", f"WITH {DIRS} SELECT * FROM rg")(lambda s, d: R.group(R.rules(files(s, d))))
 PATTERNS = [("/a/*",), ("/*.pdf$",), ("/x?y=(1)",), ("",), ("/a.b+c",)]
 _pr = "'^' || replace(regexp_replace(CASE WHEN pattern LIKE '%$' THEN left(pattern, -1) ELSE pattern END, '([\\\\.^$|?+()\\[\\]{}])', '\\\\\\1', 'g'), '*', '.*') || CASE WHEN pattern LIKE '%$' THEN '$' ELSE '' END"
-query("robots_regex", f"SELECT pattern, {_pr} AS re FROM {values(PATTERNS, 'pattern')}")(lambda s, d: fixture(s, PATTERNS, "pattern string").select("pattern", R.pattern_regex(F.col("pattern")).alias("re")))
+_PATTERNS = both(PATTERNS, "pattern", f"SELECT concat({PAGE_PATH}, CASE page_id % 3 WHEN 0 THEN '*' WHEN 1 THEN '$' ELSE '?(a+b)' END) FROM pages")
+query("robots_regex", f"SELECT pattern, {_pr} AS re FROM {_PATTERNS}")(lambda s, d: given(s, d, _PATTERNS, "pages").select("pattern", R.pattern_regex(F.col("pattern")).alias("re")))
 VISITS = [("https://site.test/",), ("https://site.test/private/x",), ("https://site.test/private/ok?z",), ("https://b.test/a/b/c",), ("https://b.test/x.pdf",), ("https://b.test/x.pdfz",), ("https://b.test/a/q",), ("https://c.test/any",)]
-ALLOW = f"""WITH {DIRS}, v AS (SELECT * FROM {values(VISITS, 'url')}), {d_parts('v', 'url', 'n')},
+_VISITS = both(VISITS, "url", "SELECT url FROM pages")
+ALLOW = f"""WITH {DIRS}, v AS (SELECT * FROM {_VISITS}), {d_parts('v', 'url', 'n')},
 vt AS (SELECT url, n_host AS host, n_p || CASE WHEN n_query = '' THEN '' ELSE '?' || n_query END AS target FROM n),
 vr AS (SELECT vt.url, r.allow, r.len FROM vt LEFT JOIN (SELECT rr.*, {_pr} AS re FROM rr JOIN rg USING (host, agent)) AS r ON r.host = vt.host AND regexp_matches(vt.target, r.re)),
 al AS (SELECT url, coalesce(arg_max(allow, len * 2 + allow::INT), true) AS allowed FROM vr GROUP BY url)"""
 
 
-def verdicts(s):
-    rows = R.rules(files(s))
-    return R.allowed(fixture(s, VISITS, "url string").withColumn("host", host(F.col("url"))), rows.join(R.group(rows), ["host", "agent"]))
+def verdicts(s, d):
+    rows = R.rules(files(s, d))
+    return R.allowed(given(s, d, _VISITS, "pages").withColumn("host", host(F.col("url"))), rows.join(R.group(rows), ["host", "agent"]))
 
 
-query("robots_allow", f"{ALLOW} SELECT url, allowed FROM al")(lambda s, d: verdicts(s))
-query("filter_robots", f"{ALLOW} SELECT url FROM al WHERE allowed")(lambda s, d: verdicts(s).where("allowed").select("url"))
-DELAYS = [(2.0, 0.15), (99.0, 0.15), (-1.0, 0.5), (None, 1.0)]
-query("crawl_delay", f"SELECT robots::DOUBLE AS robots, option::DOUBLE AS option, greatest(option::DOUBLE, greatest(0.0, least(30.0, coalesce(robots, 0.0)))::DOUBLE) AS delay FROM {values(DELAYS, 'robots, option')}")(
-    lambda s, d: fixture(s, DELAYS, "robots double, option double").select("robots", "option", R.crawl_delay(F.col("robots"), F.col("option")).alias("delay"))
+query("robots_allow", f"{ALLOW} SELECT url, allowed FROM al")(lambda s, d: verdicts(s, d))
+query("filter_robots", f"{ALLOW} SELECT url FROM al WHERE allowed")(lambda s, d: verdicts(s, d).where("allowed").select("url"))
+DELAYS = """dl AS (SELECT a.host, a.agent, min(r.pos) AS pos, arg_min(try_cast(r.value AS DOUBLE), r.pos) AS delay FROM (SELECT DISTINCT host, block, lower(value) AS agent FROM rb WHERE field = 'user-agent') AS a JOIN rb AS r ON r.host = a.host AND r.block = a.block AND r.field = 'crawl-delay' GROUP BY a.host, a.agent),
+hs AS (SELECT DISTINCT host FROM rf)"""
+query("crawl_delay", f"WITH {DIRS}, {DELAYS} SELECT hs.host, greatest(0.15, least(30.0, greatest(0.0, coalesce(own.delay, anyone.delay, 0.0))))::DOUBLE AS delay FROM hs LEFT JOIN rg USING (host) LEFT JOIN dl AS own ON own.host = hs.host AND own.agent = rg.agent LEFT JOIN dl AS anyone ON anyone.host = hs.host AND anyone.agent = '*'")(
+    lambda s, d: R.delays(files(s, d)).select("host", R.crawl_delay(F.col("delay"), F.lit(0.15)).alias("delay"))
 )
 
 # Rewriting.
@@ -233,27 +243,60 @@ CSS = [
 ]
 _map = "MAP {" + ", ".join(f"{i}: MAP {{{', '.join(f'{literal(k)}: {literal(v)}' for k, v in m.items())}}}" for i, _, m in CSS if m) + "}"
 _inner = _unq(d_trim("regexp_replace(regexp_replace(f[i], '(?i)^url\\(', ''), '\\)$', '')"))
-query("rewrite_css", f"""WITH s AS (SELECT id, string_split_regex(css, {literal(L.CSS_URL)}) AS t, regexp_extract_all(css, {literal(L.CSS_URL)}, 0) AS f FROM {values([r[:2] for r in CSS], 'id, css')}),
+_PLAIN = f"(SELECT 1000 + page_id AS id, concat({_BODY}, ' a{{b:url(x.png)}}') AS css FROM pages) AS p"
+_CSS = f"(SELECT id, css FROM {values([r[:2] for r in CSS], 'id, css')} UNION ALL SELECT * FROM {_PLAIN})"
+query("rewrite_css", f"""WITH s AS (SELECT id, string_split_regex(css, {literal(L.CSS_URL)}) AS t, regexp_extract_all(css, {literal(L.CSS_URL)}, 0) AS f FROM {_CSS}),
 r AS (SELECT id, i, coalesce('url("' || {_map}[id][{_inner}] || '")', f[i]) AS new, t[i + 1] AS text FROM s, unnest(range(1, len(f) + 1)) AS u(i))
-SELECT s.id::INT AS id, t[1] || coalesce((SELECT string_agg(new || text, '' ORDER BY i) FROM r WHERE r.id = s.id), '') AS css FROM s""")(
-    lambda s, d: fixture(s, CSS, "id int, css string, m map<string,string>").select("id", L.rewrite_css(F.col("css"), F.col("m")).alias("css"))
-)
-# A copy of a small site: paths relative to the file, fragments kept, what is not in the copy absolute or marked.
-COPY = [("https://site.test/", "index.html"), ("https://site.test/index.html", "index.html"), ("https://site.test/about", "about/index.html"), ("https://site.test/img/logo.png", "img/logo.png"), ("https://site.test/team/", "team/index.html"), ("https://site.test/team/deep", "team/deep/index.html"), ("https://site.test/css/app.css", "css/app.css"), ("https://site.test/font/a.woff2", "font/a.woff2"), ("https://site.test/q?a=1&b=2", "q__1.html")]
-DRAFTS = [
-    (1, "https://site.test/about", "about/index.html", "<a href=\"/\">h</a><a class=c HREF='/index.html'>i</a><img src=../img/logo.png alt=x><a href=\"team/\">t</a><a href=\"mailto:x@y\">m</a>", "<a href=\"../index.html\">h</a><a class=c HREF='../index.html'>i</a><img src=../img/logo.png alt=x><a href=\"../team/index.html\">t</a><a href=\"mailto:x@y\">m</a>"),
-    (2, "https://site.test/team/", "team/index.html", '<base href="/team/"><a href="deep#s">d</a><a href="/q?a=1&amp;b=2#t">q</a><a href="/private/x">p</a><!-- <a href="deep"> --><script src="/x.js" integrity="sha">var a = "<a href=/>";</script>', '<base href="./"><a href="deep/index.html#s">d</a><a href="../q__1.html#t">q</a><a href="https://site.test/private/x">p</a><!-- <a href="deep"> --><script src="https://site.test/x.js" >var a = "<a href=/>";</script>'),
-    (3, "https://site.test/", "index.html", '<style>a{b:url(/img/logo.png)}</style><img srcset="/img/logo.png 1x, /none.png 2x"><div style="b:url(img/logo.png)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=/about">', '<style>a{b:url("img/logo.png")}</style><img srcset="img/logo.png 1x, https://site.test/none.png 2x"><div style="b:url(&quot;img/logo.png&quot;)">x</div><textarea><a href="/"></textarea><meta http-equiv=refresh content="5; url=about/index.html">'),
-]
-query("rewrite_site", f"SELECT id::BIGINT AS page_id, html FROM {values([(r[0], r[4]) for r in DRAFTS], 'id, html')}")(
-    lambda s, d: W.rewrite(fixture(s, [r[:4] for r in DRAFTS], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"))
-)
-query("rewrite_site_offline", "SELECT 1::BIGINT AS page_id, '<a href=\"#not-downloaded\">p</a><a href=\"about/index.html#x\">a</a>' AS html")(
-    lambda s, d: W.rewrite(fixture(s, [(1, "https://site.test/", "index.html", '<a href="/private/x#y">p</a><a href="about#x">a</a>')], "page_id long, url string, file string, html string"), fixture(s, COPY, "url string, path string"), "#not-downloaded")
-)
-query("rewrite_sheets", "SELECT 1 AS id, 'a{b:url(\"../font/a.woff2\")} @import \"https://site.test/css/b.css\"; c{d:url(data:x)}' AS css")(
-    lambda s, d: W.rewrite_sheets(fixture(s, [(1, "https://site.test/css/app.css", 'a{b:url(../font/a.woff2)} @import "b.css"; c{d:url(data:x)}', "css/app.css")], "id int, base string, css string, file string"), fixture(s, COPY, "url string, path string"))
+SELECT s.id AS id, t[1] || coalesce((SELECT string_agg(new || text, '' ORDER BY i) FROM r WHERE r.id = s.id), '') AS css FROM s""")(
+    lambda s, d: given(s, d, _PLAIN, "pages").withColumn("m", F.lit(None).cast("map<string,string>")).unionByName(fixture(s, CSS, "id long, css string, m map<string,string>")).select("id", L.rewrite_css(F.col("css"), F.col("m")).alias("css"))
 )
+# Copies: paths relative to a page's own file, and links to what is not in the copy marked; style sheets on their own.
+_PATH = "regexp_extract(n_url, '^[a-z]+://[^/]*([^?]*)', 1)"
+_FRAGMENT = "regexp_extract(" + d_decode("ref") + ", '(?s)^[^#]+(#.*)$', 1)"
+
+
+def _variant(fresh: str) -> str:
+    return REWRITE.replace(_new(_fresh), _new(fresh))
+
+
+def _copy(spark, sf_dir):
+    from archloom.functions.url import path
+
+    p = pages(spark, sf_dir).unionByName(fixture(spark, FORMS, "page_id long, url string, html string"))
+    index = L.links(p).select(F.col("target").alias("url")).distinct().select("url", F.explode(F.array(path(F.col("url")))).alias("path"))
+    return p, index.where(F.col("path").contains("e")).withColumn("path", F.concat(F.lit("local"), "path"))
+
+
+@query("rewrite_site", _variant(f"(CASE WHEN {_PATH} LIKE '%e%' THEN '../local' || {_PATH} ELSE n_url END || {_FRAGMENT})"))
+def rewrite_site(spark, sf_dir):
+    p, index = _copy(spark, sf_dir)
+    return W.rewrite(p.withColumn("file", F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))), index).select("page_id", F.sha1("html").alias("html"))
+
+
+@query("rewrite_site_offline", _variant(f"(CASE WHEN {_PATH} LIKE '%e%' THEN 'local' || {_PATH} || {_FRAGMENT} ELSE '#not-downloaded' END)"))
+def rewrite_site_offline(spark, sf_dir):
+    p, index = _copy(spark, sf_dir)
+    return W.rewrite(p, index, "#not-downloaded").select("page_id", F.sha1("html").alias("html"))
+
+
+_STYLES = both([(r[0], r[1], r[2]) for r in SHEETS] + [(3, "https://site.test/f/", FORMS[3][2])], "id, base, css", f"SELECT 1000 + page_id, url, concat({_BODY}, ' x{{y:url(../e', CAST(page_id AS VARCHAR(20)), '.png)}} @import \"', CAST(page_id AS VARCHAR(20)), '\";') FROM pages")
+query("rewrite_sheets", f"""WITH st AS (SELECT * FROM {_STYLES}), un AS (SELECT id, base, j, between || opened AS pre, CASE WHEN m <> '' THEN ref END AS ref, CASE WHEN m = '' THEN '' ELSE substr(m, length(opened) + length(ref) + 1) END AS post, 'sheet' AS form, '' AS q, inq, m, opened, length(ref) AS rawlen
+  FROM {_css_units("(SELECT *, css AS body FROM st) AS s", 'id, base')} AS y), {d_parts('un', 'base', 'e')},
+ur AS (SELECT id, j, pre, ref, post, form, q, inq, m, opened, rawlen, CASE WHEN ref IS NULL OR {d_skippable(d_decode('ref'))} THEN NULL ELSE {d_ref('e', 'ref')} END AS x FROM e), {d_parts('ur', 'x', 'n')}
+SELECT id, string_agg(pre || CASE WHEN ref IS NULL THEN '' WHEN x IS NULL OR n_url = '' THEN {_same} ELSE {_new(f"(CASE WHEN {_PATH} LIKE '%e%' THEN '../local' || {_PATH} ELSE n_url END || {_FRAGMENT})")} END || post, '' ORDER BY j) AS css FROM n GROUP BY id""")(lambda s, d: sheets_in_place(s, d))
+
+
+def sheets_in_place(spark, sf_dir):
+    """Targets with an e in their path are in the copy."""
+    from archloom.functions.url import path
+
+    d = given(spark, sf_dir, _STYLES, "pages")
+    index = L.css_links(d).select(F.col("target").alias("url")).distinct().select("url", F.explode(F.array(path(F.col("url")))).alias("path"))
+    index = index.where(F.col("path").contains("e")).withColumn("path", F.concat(F.lit("local"), "path"))
+    return W.rewrite_sheets(d.withColumn("file", F.lit("css/a.css")), index)
+
+
 MARKUP = [('<script src="a.js" integrity="sha384-x" crossorigin=\'anonymous\'></script>',), ('<BASE target=_top href="https://x/">',), ("<p>plain</p>",)]
-query("strip_integrity", f"""SELECT html, regexp_replace(html, '(?i)\\s(?:integrity|crossorigin)\\s*=\\s*(?:"[^"]*"|''[^'']*'')', '', 'g') AS plain FROM {values(MARKUP, 'html')}""")(lambda s, d: fixture(s, MARKUP, "html string").select("html", L.strip_integrity(F.col("html")).alias("plain")))
-query("neutral_base", f"""SELECT html, regexp_replace(html, '(?i)(<base\\s[^>]*href\\s*=\\s*)(?:"[^"]*"|''[^'']*'')', '\\1"./"', 'g') AS plain FROM {values(MARKUP, 'html')}""")(lambda s, d: fixture(s, MARKUP, "html string").select("html", L.neutral_base(F.col("html")).alias("plain")))
+_MARKUP = both(MARKUP, "html", """SELECT concat(substr(html, 1, 300), '<script integrity="', CAST(page_id AS VARCHAR(20)), '" src=a></script><base href="', url, '">') FROM pages""")
+query("strip_integrity", f"""SELECT html, regexp_replace(html, '(?i)\\s(?:integrity|crossorigin)\\s*=\\s*(?:"[^"]*"|''[^'']*'')', '', 'g') AS plain FROM {_MARKUP}""")(lambda s, d: given(s, d, _MARKUP, "pages").select("html", L.strip_integrity(F.col("html")).alias("plain")))
+query("neutral_base", f"""SELECT html, regexp_replace(html, '(?i)(<base\\s[^>]*href\\s*=\\s*)(?:"[^"]*"|''[^'']*'')', '\\1"./"', 'g') AS plain FROM {_MARKUP}""")(lambda s, d: given(s, d, _MARKUP, "pages").select("html", L.neutral_base(F.col("html")).alias("plain")))

@@ -52,6 +52,23 @@ def values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS f({columns})"
 
 
+def both(rows: list[tuple], columns: str, select: str, name: str = "f") -> str:
+    """Cases of rows and what a select makes of given tables, as one relation for a FROM clause of both engines."""
+    return f"(SELECT {columns} FROM {values(rows, columns)} UNION ALL {select}) AS {name}"
+
+
+def given(spark: SparkSession, sf_dir: str, relation: str, *tables: str) -> DataFrame:
+    """A relation over given tables as a DataFrame."""
+    for t in tables:
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(f"SELECT * FROM {relation}")
+
+
+#: Path of a page's URL, as both engines read it.
+PAGE_PATH = "regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)"
+PAGE_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)"
+
+
 def fixture(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from archloom.functions.text import sql_literal
 from archloom.functions.url import folder
-from archloom.operators.archive import MOST_BYTES, MOST_ENTRIES
+from archloom.operators.archive import MOST_BYTES, MOST_ENTRIES, STORED
 from archloom.operators.crawl import Options, effective_type, handled, reject_reason
+from archloom.operators import report as P
 from archloom.operators.ranking import running
+from archloom.sources.files import in_roots, projects, skipped
 
-from .kit import d_parts, query, shared, table, values
+from .kit import PAGE_HOST, PAGE_PATH, both, d_parts, given, query, shared, table, values
 
 #: A resource table: seq, url, kind, type, state, depth, path, code, bytes, note.
 RESOURCES = [
@@ -31,49 +33,86 @@ RESOURCES = [
     (9, "https://site.test/shop.php?id=8", "page", "html", "fail", 2, "", 404, 0, "HTTP 404"),
     (10, "https://site.test/late", "page", "html", "queued", 3, "", 0, 0, ""),
 ]
-RES = f"res AS (SELECT * FROM {values(RESOURCES, 'seq, url, kind, type, state, depth, path, code, bytes, note')})"
+_COLUMNS = "seq, url, kind, type, state, depth, path, code, bytes, note"
+#: What a crawl might have made of the pages and documents given.
+_MADE = """SELECT 1000 + page_id, url, 'page', 'html', CASE page_id % 7 WHEN 0 THEN 'fail' WHEN 1 THEN 'skip' WHEN 2 THEN 'queued' ELSE 'ok' END, page_id % 4,
+ CASE WHEN page_id % 7 > 2 THEN concat('pages/', CAST(page_id AS VARCHAR(20)), '.html') ELSE '' END, CASE WHEN page_id % 7 > 2 THEN 200 WHEN page_id % 7 = 0 THEN 404 ELSE 0 END, CASE WHEN page_id % 7 > 2 THEN length(html) ELSE 0 END,
+ CASE page_id % 7 WHEN 0 THEN 'HTTP 404' WHEN 1 THEN 'off & <"out">' ELSE '' END FROM pages
+ UNION ALL SELECT 100000000 + doc_id, concat('https://site.test/docs/', CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 3 = 0 THEN '.php' ELSE '.pdf' END), 'asset', 'doc', CASE WHEN doc_id % 9 = 0 THEN 'fail' ELSE 'ok' END, 1,
+ CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('docs/', CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 3 = 0 THEN '.php' ELSE '.pdf' END) END, CASE WHEN doc_id % 9 = 0 THEN 500 ELSE 200 END, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE coalesce(n_chars, 0) END, CASE WHEN doc_id % 9 = 0 THEN 'HTTP 500' ELSE '' END FROM documents"""
+_RESOURCES = both(RESOURCES, _COLUMNS, _MADE)
+RES = f"res AS (SELECT * FROM {_RESOURCES})"
 W = f"WITH {RES} "
 
+
+def resources(spark, sf_dir):
+    return given(spark, sf_dir, _RESOURCES, "pages", "documents")
+
+
+def reported(name: str, sql: str, of):
+    """A query of the resources by an operator, and its SQL."""
+    query(name, W + sql)(lambda s, d: of(resources(s, d)))
+
 # Counters, progress, notes.
-shared("counters", W + """SELECT kind, state, CAST(count(*) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes,
-  CAST(sum(CASE WHEN url LIKE '%.php%' AND state = 'ok' AND kind = 'page' THEN 1 ELSE 0 END) AS BIGINT) AS dynamic FROM res GROUP BY kind, state""")
+reported("counters", """SELECT kind, state, count(*)::BIGINT AS n, sum(bytes)::BIGINT AS bytes,
+  sum(CASE WHEN regexp_matches(url, '\\.php(\\?|$)') AND state = 'ok' AND kind = 'page' THEN 1 ELSE 0 END)::BIGINT AS dynamic FROM res GROUP BY kind, state""", P.by_state)
 shared("event_counters", "SELECT event_type, user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS big FROM events GROUP BY event_type, user_id", "events")
 PHASES = [("init", 0, 0), ("crawl", 5, 20), ("crawl", 20, 20), ("crawl", 0, 0), ("rewrite", 3, 12), ("package", 1, 2), ("db", 1, 4), ("done", 1, 1)]
 shared("phase_progress", f"""SELECT phase, done, total, CAST(CASE phase WHEN 'init' THEN 2
   WHEN 'crawl' THEN least(78, 3 + round(75.0 * done / greatest(total, 1), 0)) WHEN 'rewrite' THEN 80 + round(12.0 * done / greatest(total, 1), 0)
-  WHEN 'package' THEN 93 + round(6.0 * done / greatest(total, 1), 0) WHEN 'db' THEN 3 + round(75.0 * done / greatest(total, 1), 0) ELSE 100 END AS BIGINT) AS percent FROM {values(PHASES, 'phase, done, total')}""")
-shared("notes_distinct", W + "SELECT DISTINCT note FROM res WHERE note <> ''")
-shared("snapshot", W + """SELECT CAST(count(CASE WHEN state = 'queued' THEN 1 END) AS BIGINT) AS queued, CAST(count(CASE WHEN state = 'ok' AND kind = 'page' THEN 1 END) AS BIGINT) AS pages_done,
-  CAST(count(CASE WHEN state = 'fail' THEN 1 END) AS BIGINT) AS failed, CAST(sum(bytes) AS BIGINT) AS bytes, max(CASE WHEN note <> '' THEN note END) AS last_note FROM res""")
-shared("manifest", W + "SELECT seq, url, path AS file, type, kind, code AS status, bytes, state, note FROM res")
-shared("report_rows", W + "SELECT seq, state, CASE WHEN state = 'ok' THEN path ELSE note END AS shown, bytes FROM res WHERE state <> 'queued' ORDER BY seq LIMIT 4000")
-shared("readme_stats", W + "SELECT CAST(count(CASE WHEN state = 'ok' AND kind = 'page' THEN 1 END) AS VARCHAR(20)) || ' pages, ' || CAST(count(CASE WHEN state = 'ok' AND kind = 'asset' THEN 1 END) AS VARCHAR(20)) || ' files' AS line FROM res")
-shared("rewrite_index", W + "SELECT url, path FROM res WHERE state = 'ok' AND path <> ''")
-shared("entry_file", W + "SELECT coalesce(max(CASE WHEN url = 'https://site.test/' AND state = 'ok' THEN path END), min_by(path, CASE WHEN state = 'ok' AND type = 'html' THEN seq END)) AS entry FROM res")
+  WHEN 'package' THEN 93 + round(6.0 * done / greatest(total, 1), 0) WHEN 'db' THEN 3 + round(75.0 * done / greatest(total, 1), 0) ELSE 100 END AS BIGINT) AS percent FROM {both(PHASES, 'phase, done, total', "SELECT CASE o_orderkey % 6 WHEN 0 THEN 'init' WHEN 1 THEN 'crawl' WHEN 2 THEN 'rewrite' WHEN 3 THEN 'package' WHEN 4 THEN 'db' ELSE 'done' END, o_orderkey % 50, 50 FROM orders")}""", "orders")
+reported("notes_distinct", "SELECT DISTINCT note FROM res WHERE note <> ''", P.notes)
+reported("snapshot", """SELECT count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'ok' AND kind = 'page') AS pages_done, count(*) FILTER (state = 'fail') AS failed,
+  sum(bytes)::BIGINT AS bytes, max(CASE WHEN note <> '' THEN note END) AS last_note FROM res""", P.snapshot)
+reported("manifest", "SELECT seq, url, path AS file, type, kind, code AS status, bytes, state, note FROM res", P.manifest)
+reported("report_rows", "SELECT seq, state, CASE WHEN state = 'ok' THEN path ELSE note END AS shown, bytes FROM res WHERE state <> 'queued' ORDER BY seq LIMIT 4000", P.first_rows)
+_esc = lambda c: f"replace(replace(replace(replace(replace(coalesce({c}::VARCHAR, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#039;')"
+_human = "CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 10240 THEN printf('%.2f KB', round((bytes / 1024.0)::DECIMAL(30,10), 2)) ELSE printf('%.1f KB', round((bytes / 1024.0)::DECIMAL(30,10), 1)) END"
+reported("report_lines", f"""SELECT seq, '<tr data-state="' || {_esc('state')} || '"><td>' || {_esc('state')} || '</td><td>' || {_esc('code')} || '</td><td>' || {_esc('type')} || '</td><td>' || {_human} || '</td><td>' || {_esc('url')} || '</td><td>'
+  || CASE WHEN path <> '' AND state = 'ok' THEN '<a href="../' || {_esc('path')} || '">' || {_esc('path')} || '</a>' ELSE {_esc('note')} END || '</td></tr>' AS line FROM (SELECT * FROM res ORDER BY seq LIMIT 4000) AS r""", P.report_lines)
+reported("readme_stats", "SELECT count(*) FILTER (state = 'ok' AND kind = 'page') || ' pages, ' || count(*) FILTER (state = 'ok' AND kind = 'asset') || ' files' AS line FROM res", lambda r: summary(r).where("place = 1").select("line"))
+_total = "CASE WHEN b < 1048576 THEN printf('%.1f KB', round((b / 1024.0)::DECIMAL(30,10), 1)) WHEN b < 10485760 THEN printf('%.2f MB', round((b / 1048576.0)::DECIMAL(30,10), 2)) ELSE printf('%.1f MB', round((b / 1048576.0)::DECIMAL(30,10), 1)) END"
+reported("readme_text", f"""SELECT array_to_string(['OFFLINE COPY OF SITE.TEST', '', 'Pages (HTML)      : ' || p, 'Other files       : ' || f, 'Failed            : ' || x, 'Skipped           : ' || k, 'Total size        : ' || {_total},
+  '', made || ' page(s) came from scripts on the server and are kept as the HTML they gave.', '', 'NOTES', ns], chr(13) || chr(10)) || chr(13) || chr(10) AS text
+  FROM (SELECT count(*) FILTER (kind = 'page' AND state = 'ok') AS p, count(*) FILTER (kind = 'asset' AND state = 'ok') AS f, count(*) FILTER (state = 'fail') AS x, count(*) FILTER (state = 'skip') AS k, sum(bytes) FILTER (state = 'ok') AS b,
+  count(*) FILTER (regexp_matches(url, '\\.php(\\?|$)') AND state = 'ok' AND kind = 'page') AS made, (SELECT string_agg(' - ' || note, chr(13) || chr(10) ORDER BY note) FROM (SELECT DISTINCT note FROM res WHERE note <> '') AS d) AS ns FROM res) AS t""", lambda r: P.readme(r, "site.test"))
+reported("rewrite_index", "SELECT url, path FROM res WHERE state = 'ok' AND path <> ''", P.copied)
+reported("entry_file", "SELECT coalesce(max(CASE WHEN url = 'https://site.test/' AND state = 'ok' THEN path END), min_by(path, CASE WHEN state = 'ok' AND type = 'html' THEN seq END)) AS entry FROM res", lambda r: P.entry_file(r, "https://site.test/"))
 
 # Queue: order, budgets.
 shared("budget_pages", """SELECT o_orderkey, kind FROM (SELECT o_orderkey, kind, coalesce(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
   FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority AS kind FROM orders) AS k) AS b WHERE done < 150""", "orders")
 JOBS = [("j%02d" % k, 1_700_000_000 + (k * 7919) % 1000, "done" if k % 3 else "error") for k in range(60)]
-shared("jobs_recent", f"SELECT id, created, status FROM {values(JOBS, 'id, created, status')} ORDER BY created DESC, id LIMIT 40")
+shared("jobs_recent", f"SELECT id, created, status FROM {both(JOBS, 'id, created, status', "SELECT concat('o', CAST(o_orderkey AS VARCHAR(20))), 1600000000 + (o_orderkey * 7919) % 200000000, o_orderstatus FROM orders")} ORDER BY created DESC, id LIMIT 40", "orders")
 
 # Archive plan: method by extension and size, running offsets, and the limits of the format.
-STORED = "('jpg','jpeg','png','gif','webp','avif','ico','mp3','mp4','webm','ogg','oga','ogv','m4a','m4v','mov','avi','mkv','zip','gz','rar','7z','woff','woff2','pdf')"
-FILES = f"WITH {RES}, f AS (SELECT DISTINCT path, bytes FROM res WHERE path <> '' AND state = 'ok'), e AS (SELECT path, bytes, CASE WHEN bytes > 1024 AND NOT (lower(regexp_extract(path, '[.]([^.]*)$', 1)) IN {STORED}) THEN 8 ELSE 0 END AS method FROM f) "
-shared("zip_plan", FILES + "SELECT path, bytes, method, CAST(coalesce(sum(30 + length(path) + bytes) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM e")
-shared("pack_list", FILES + "SELECT path, bytes FROM e ORDER BY path")
-shared("dir_stats", FILES + "SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM e")
+FILES = f"f AS (SELECT path, max(bytes) AS bytes FROM res WHERE path <> '' AND state = 'ok' GROUP BY path), e AS (SELECT path, bytes, CASE WHEN bytes > 1024 AND NOT (lower(regexp_extract(path, '[.]([^.]*)$', 1)) IN ({', '.join(repr(x) for x in STORED)})) THEN 8 ELSE 0 END AS method FROM f) "
+for _name, _sql, _of in (
+    ("zip_plan", "SELECT path, bytes::BIGINT AS bytes, method, coalesce(sum(30 + strlen(path) + bytes) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM e", P.offsets),
+    ("pack_list", "SELECT path, bytes::BIGINT AS bytes FROM e", lambda r: P.files(r).select("path", "bytes").orderBy("path")),
+    ("dir_stats", "SELECT count(*)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM e", lambda r: P.files(r).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))),
+):
+    query(_name, f"WITH {RES}, {FILES} {_sql}")(lambda s, d, of=_of: of(resources(s, d)))
 
 # Joins.
 shared("fetch_lookup", f"SELECT q.url, p.page_id, CASE WHEN p.page_id IS NULL THEN 'no response' ELSE '' END AS error FROM (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM {values([('https://missing.test/',), ('https://missing.test/',)], 'url')}) AS a WHERE url <> '') AS q LEFT JOIN pages AS p ON p.url = q.url", "pages")
 FOUND = [(0, "https://site.test/about"), (1, "https://site.test/new"), (2, "https://site.test/new"), (3, "https://site.test/css/x.css"), (4, "https://site.test/")]
-shared("seen_antijoin", f"WITH {RES}, found AS (SELECT * FROM {values(FOUND, 'pos, url')}) SELECT url, min(pos) AS pos FROM found WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.url = found.url) GROUP BY url")
+_FOUND = both(FOUND, "pos, url", "SELECT 100 + page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE concat(url, '&new') END FROM pages", "found")
+query("seen_antijoin", f"WITH {RES} SELECT url, min(pos) AS pos FROM {_FOUND} WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.url = found.url) GROUP BY url")(
+    lambda s, d: given(s, d, _FOUND, "pages").join(resources(s, d).select("url"), "url", "left_anti").groupBy("url").agg(F.min("pos").alias("pos"))
+)
 shared("user_antijoin", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
 TARGETS = [("https://site.test/about",), ("https://site.test/private/x",), ("http://other.test/",)]
-for name, miss in (("rewrite_targets", "t.url"), ("rewrite_targets_offline", "'#not-downloaded'")):
-    shared(name, f"WITH {RES}, t AS (SELECT * FROM {values(TARGETS, 'url')}) SELECT t.url, coalesce(i.path, {miss}) AS target FROM t LEFT JOIN (SELECT url, path FROM res WHERE state = 'ok' AND path <> '') AS i ON i.url = t.url")
+_TARGETS = both(TARGETS, "url", "SELECT url FROM pages", "t")
+for _name, _miss, _mark in (("rewrite_targets", "t.url", None), ("rewrite_targets_offline", "'#not-downloaded'", "#not-downloaded")):
+    query(_name, f"WITH {RES} SELECT t.url, coalesce(i.path, {_miss}) AS target FROM {_TARGETS} LEFT JOIN (SELECT url, path FROM res WHERE state = 'ok' AND path <> '') AS i ON i.url = t.url")(
+        lambda s, d, mark=_mark: P.targets(given(s, d, _TARGETS, "pages"), resources(s, d), mark)
+    )
 MOVED = [("https://site.test/old", "https://site.test/about", "about/index.html"), ("https://site.test/a", "https://site.test/b", "b/index.html")]
-shared("redirect_alias", f"WITH {RES}, m AS (SELECT * FROM {values(MOVED, 'url, final_url, path')}) SELECT url, path FROM m UNION ALL SELECT final_url, path FROM m WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.url = m.final_url)")
+_MOVED = both(MOVED, "url, final_url, path", "SELECT concat(url, '/old'), CASE WHEN page_id % 2 = 0 THEN url ELSE concat(url, '/to') END, concat('to/', CAST(page_id AS VARCHAR(20)), '.html') FROM pages", "m")
+query("redirect_alias", f"WITH {RES} SELECT url, path FROM {_MOVED} UNION ALL SELECT final_url, path FROM {_MOVED} WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.url = m.final_url)")(
+    lambda s, d: P.aliases(given(s, d, _MOVED, "pages"), resources(s, d))
+)
 
 # Fetch results and policy.
 FETCHES = [
@@ -82,34 +121,49 @@ FETCHES = [
     ("https://site.test/go", "https://else.test/", 200, 10, "", "text/html", "page", "html"), ("https://site.test/f", "https://site.test/f", 200, 10, "", "image/png", "page", "html"),
     ("https://site.test/v", "https://site.test/v", 200, 10, "", "video/mp4", "asset", ""), ("https://site.test/n", "https://site.test/n", 200, 10, "", "", "asset", ""), ("https://site.test/z", "https://site.test/z", 0, 0, "", "", "asset", "css"),
 ]
-FET = f"f AS (SELECT * FROM {values(FETCHES, 'url, final_url, status, size, error, ctype, kind, guess')})"
-shared("redirect_offsite", f"WITH {FET} SELECT url, final_url FROM f WHERE kind = 'page' AND NOT (final_url LIKE 'https://site.test/%')")
+_FETCHED = both(FETCHES, "url, final_url, status, size, error, ctype, kind, guess", """SELECT url, CASE WHEN page_id % 5 = 0 THEN 'https://else.test/' WHEN page_id % 5 = 1 THEN 'https://site.test/in' ELSE url END, CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END,
+ CASE WHEN page_id % 13 = 0 THEN 99999999 ELSE length(html) END, CASE WHEN page_id % 11 = 0 THEN 'timeout' ELSE '' END, CASE page_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN '' WHEN 2 THEN 'video/mp4' WHEN 3 THEN 'text/css' ELSE 'text/html' END, CASE WHEN page_id % 3 = 0 THEN 'asset' ELSE 'page' END, CASE WHEN page_id % 2 = 0 THEN 'html' ELSE '' END FROM pages""")
+FET = f"f AS (SELECT * FROM {_FETCHED})"
+_AWAY = "real = 'page' AND final_url <> url AND NOT (final_url LIKE 'https://site.test/%')"
 CANDIDATES = [
     (0, "mailto:x@y", "page", ""), (1, "https://site.test/private/a", "page", "html"), (2, "https://other.test/p", "page", "html"), (3, "https://cdn.test/a.js", "asset", "js"),
     (4, "https://site.test/v.mp4", "asset", "media"), (5, "https://site.test/big.iso", "asset", "doc"), (6, "https://site.test/ok", "page", "html"), (7, "https://site.test/app.css", "asset", "css"),
 ]
+_CANDIDATES = both(CANDIDATES, "seq, url, kind, type", "SELECT 100 + page_id, CASE WHEN page_id % 4 = 0 THEN concat('https://site.test/private/', CAST(page_id AS VARCHAR(20))) WHEN page_id % 4 = 1 THEN concat('https://site.test/', CAST(page_id AS VARCHAR(20)), '.iso') ELSE url END, CASE WHEN page_id % 3 = 0 THEN 'asset' ELSE 'page' END, CASE WHEN page_id % 5 = 0 THEN 'media' ELSE '' END FROM pages")
 PATHS = [("/srv/www/site",), ("/srv/www",), ("/srv/wwwx",), ("/etc/passwd",), ("/home/a/p",)]
-shared("path_in_roots", f"SELECT p.path, CAST(max(CASE WHEN p.path = r.root OR substr(p.path, 1, length(r.root) + 1) = concat(r.root, '/') THEN 1 ELSE 0 END) AS BIGINT) = 1 AS allowed FROM {values(PATHS, 'path').replace('AS f', 'AS p')} CROSS JOIN {values([('/srv/www',), ('/home',)], 'root').replace('AS f', 'AS r')} GROUP BY p.path")
+_PATHS = both(PATHS, "path", f"SELECT concat(CASE WHEN page_id % 2 = 0 THEN '/srv/www' ELSE '/srv/other' END, {PAGE_PATH}) FROM pages", "p")
+query("path_in_roots", f"SELECT path, bool_or(path = root OR starts_with(path, root || '/')) AS allowed FROM {_PATHS}, (VALUES ('/srv/www'), ('/home')) AS r(root) GROUP BY path")(
+    lambda s, d: given(s, d, _PATHS, "pages").distinct().select("path", in_roots(F.col("path"), ["/srv/www", "/home"]).alias("allowed"))
+)
 TREE = [("a.php", 100), ("vendor/x.php", 50), ("node_modules/m/i.js", 70), ("src/node_modules/z.js", 10), ("src/b.PHP", 300), ("img/big.bin", 99999999), ("readme.md", 5)]
-_TREE = f"SELECT path, size FROM {values(TREE, 'path, size')} WHERE NOT (concat('/', path) LIKE '%/node_modules/%') AND size <= 52428800"
-shared("project_files", _TREE)
-shared("project_stats", f"SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(CASE WHEN lower(path) LIKE '%.php' THEN 1 ELSE 0 END) AS BIGINT) AS php FROM ({_TREE}) AS t")
+_FILES = both(TREE, "path, size", f"SELECT concat(CASE page_id % 5 WHEN 0 THEN 'node_modules' WHEN 1 THEN 'a/.git' ELSE 'src' END, {PAGE_PATH}, CASE WHEN page_id % 2 = 0 THEN '.php' ELSE '' END), length(html) * (CASE WHEN page_id % 7 = 0 THEN 10000 ELSE 1 END) FROM pages")
+_TREE = f"SELECT path, size FROM {_FILES} WHERE NOT regexp_matches('/' || path, '/(?:node_modules|\\.git)/') AND size <= 52428800"
+
+
+def project(spark, sf_dir):
+    return given(spark, sf_dir, _FILES, "pages").where(~skipped(F.col("path")) & (F.col("size") <= 50 << 20))
+
+
+query("project_files", _TREE)(project)
+query("project_stats", f"SELECT count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (lower(path) LIKE '%.php')::BIGINT AS php FROM ({_TREE}) AS t")(
+    lambda s, d: project(s, d).agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"), F.count(F.when(F.lower("path").endswith(".php"), 1)).alias("php"))
+)
 SITES = [("Blog", "index.html"), ("Blog", "a.php"), (".git", "x.php"), ("shop", None), ("alpha", "z.htm"), ("alpha", "b.txt")]
-shared("list_projects", f"SELECT name, min(CASE WHEN entry LIKE '%.php' OR entry LIKE '%.html' OR entry LIKE '%.htm' THEN entry END) AS entry, row_number() OVER (ORDER BY lower(name)) AS place FROM {values(SITES, 'name, entry')} WHERE NOT (name LIKE '.%') GROUP BY name")
+_SITES = both(SITES, "name, entry", f"SELECT {PAGE_HOST}, regexp_extract(url, '([^/?#]*)[^/]*$', 1) FROM pages")
+query("list_projects", f"SELECT name, min(CASE WHEN entry LIKE '%.php' OR entry LIKE '%.html' OR entry LIKE '%.htm' THEN entry END) AS entry, row_number() OVER (ORDER BY lower(name), name) AS place FROM {_SITES} WHERE NOT (name LIKE '.%') GROUP BY name")(
+    lambda s, d: projects(given(s, d, _SITES, "pages"))
+)
 SCHEMAS = [("mysql", "user"), ("shop", "item"), ("shop", "sale"), ("sys", "x"), ("blog", "post")]
-shared("list_databases", f"SELECT name, CAST(count(*) AS BIGINT) AS n_tables FROM {values(SCHEMAS, 'name, tbl')} WHERE name NOT IN ('information_schema', 'performance_schema', 'mysql', 'sys') GROUP BY name")
+_SCHEMAS = both(SCHEMAS, "name, tbl", "SELECT lower(replace(r_name, ' ', '_')), n_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+shared("list_databases", f"SELECT name, CAST(count(*) AS BIGINT) AS n_tables FROM {_SCHEMAS} WHERE name NOT IN ('information_schema', 'performance_schema', 'mysql', 'sys') GROUP BY name", "nation", "region")
 TABLES = [("v_sales", "VIEW"), ("item", "BASE TABLE"), ("sale", "BASE TABLE"), ("v_all", "VIEW")]
-shared("dump_table_order", f"SELECT name, row_number() OVER (ORDER BY CASE WHEN kind = 'VIEW' THEN 1 ELSE 0 END, name) AS place FROM {values(TABLES, 'name, kind')}")
-shared("sql_dump_header", f"SELECT concat('-- Database: ', name, chr(10), '-- Tables: ', CAST(count(*) AS VARCHAR(9)), chr(10), 'SET NAMES utf8mb4;', chr(10), 'SET FOREIGN_KEY_CHECKS=0;') AS header FROM {values(SCHEMAS, 'name, tbl')} GROUP BY name")
+_TABLES = both(TABLES, "name, kind", "SELECT n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END FROM nation")
+shared("dump_table_order", f"SELECT name, row_number() OVER (ORDER BY CASE WHEN kind = 'VIEW' THEN 1 ELSE 0 END, name) AS place FROM {_TABLES}", "nation")
+shared("sql_dump_header", f"SELECT concat('-- Database: ', name, chr(10), '-- Tables: ', CAST(count(*) AS VARCHAR(9)), chr(10), 'SET NAMES utf8mb4;', chr(10), 'SET FOREIGN_KEY_CHECKS=0;') AS header FROM {_SCHEMAS} GROUP BY name", "nation", "region")
 
-# Discovery and crawl over an edge fixture.
-EDGES = [
-    ("/", 0, "/about", "page"), ("/", 1, "/shop", "page"), ("/", 2, "/app.css", "asset"), ("/", 3, "/private", "page"), ("/about", 0, "/", "page"), ("/about", 1, "/team", "page"), ("/about", 2, "/logo.png", "asset"),
-    ("/team", 0, "/deep", "page"), ("/deep", 0, "/deeper", "page"), ("/shop", 0, "/shop2", "page"), ("/app.css", 0, "/a.woff2", "asset"),
-]
-EDGE = f"edges AS (SELECT * FROM {values(EDGES, 'src, pos, dst, kind')})"
-shared("discover", f"WITH {EDGE} SELECT dst, kind, min(CASE WHEN kind = 'page' THEN 1 ELSE 0 END) AS depth, min(pos) AS pos FROM edges WHERE src = '/' AND (kind = 'asset' OR 0 + 1 <= 6) GROUP BY dst, kind")
-shared("crawl_seed", f"SELECT url, min(depth) AS depth FROM (SELECT url, 0 AS depth FROM {values([('https://site.test/',)], 'url')} UNION ALL SELECT url, depth FROM {values([('https://www.site.test/', 0), ('https://site.test/', 0)], 'url, depth').replace('AS f', 'AS g')}) AS s GROUP BY url")
+# Seeds of a crawl.
+_STARTS = both([("https://site.test/", 0), ("https://www.site.test/", 0), ("https://site.test/", 0)], "url, depth", "SELECT url, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END FROM pages", "s")
+query("crawl_seed", f"SELECT url, min(depth) AS depth FROM {_STARTS} GROUP BY url")(lambda s, d: given(s, d, _STARTS, "pages").groupBy("url").agg(F.min("depth").alias("depth")))
 # Log: format, tail.
 shared("log_format", "SELECT event_id, concat('{\"t\":', CAST(user_id AS VARCHAR(20)), ',\"l\":\"', CASE WHEN value > 90 THEN 'warn' ELSE 'info' END, '\",\"m\":\"', event_type, '\"}') AS line FROM events", "events")
 # SQL dump: multi-row INSERTs of 400 rows, in key order.
@@ -136,30 +190,32 @@ def json_permissive(spark, sf_dir):
 ARRIVALS = [(0, "/a", "a/index.html", "h1"), (1, "/a/", "a/index.html", "h2"), (2, "/a/index.html", "a/index.html", "h2"), (3, "/b", "b/index.html", "h1"), (4, "/a/x", "a/index-2.html", "h9"), (5, "/a?", "a/index.html", "h1")]
 
 
-@query("assign_path")
+_ARRIVALS = both(ARRIVALS, "seq, url, path, hash", "SELECT 100 + page_id, url, concat('d', CAST(page_id % 3 AS VARCHAR(20)), '/page', CASE page_id % 11 WHEN 0 THEN '-2' WHEN 1 THEN '-4' WHEN 2 THEN '-04' ELSE '' END, CASE WHEN page_id % 5 = 0 THEN '' ELSE '.html' END), CAST(page_id % 97 AS VARCHAR(20)) FROM pages")
+
+
+@query("assign_path", f"""WITH a0 AS (SELECT * FROM {_ARRIVALS}), {d_parts('a0', 'url', 'n')}, ar AS (SELECT seq, url, path, hash, n_host || regexp_extract(n_p, '^(.*/)', 1) AS dir FROM n),
+ow AS (SELECT *, first_value(seq) OVER (PARTITION BY path, hash, dir ORDER BY seq) AS owner FROM ar), nu AS (SELECT seq, path, row_number() OVER (PARTITION BY path ORDER BY seq) AS n FROM ow WHERE seq = owner),
+st AS (SELECT DISTINCT path, regexp_replace(path, '\\.[^./]*$', '') AS stem, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext FROM ar),
+ta AS (SELECT p.path, list(m) AS taken FROM st p, (SELECT unnest(range(2, 3 + (SELECT count(*) FROM ar))) AS m) AS k JOIN st q ON q.path = p.stem || '-' || m || p.ext GROUP BY p.path),
+fi AS (SELECT nu.seq, CASE WHEN n = 1 THEN nu.path ELSE stem || '-' || list_filter(range(2, n + 2 + coalesce(len(taken), 0)), lambda x: NOT list_contains(coalesce(taken, []), x))[n - 1] || ext END AS file FROM nu JOIN st ON st.path = nu.path LEFT JOIN ta ON ta.path = nu.path)
+SELECT ow.seq, url, file FROM ow JOIN fi ON fi.seq = ow.owner""")
 def assign_path(spark, sf_dir):
     from archloom.operators.paths import assign
 
-    return assign(spark.createDataFrame(ARRIVALS, "seq long, url string, path string, hash string"))
+    return assign(given(spark, sf_dir, _ARRIVALS, "pages"))
 
 
-@query("crawl_bfs", f"""WITH RECURSIVE {EDGE}, walk(url, depth) AS (SELECT '/', 0 UNION ALL SELECT e.dst, CASE WHEN e.kind = 'page' THEN w.depth + 1 ELSE w.depth END FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < 6)
-SELECT url, min(depth)::INT AS depth FROM walk WHERE url <> '/private' GROUP BY url""")
-def crawl_bfs(spark, sf_dir):
-    from archloom.operators.crawl import closure
+SITEMAPS = [("https://site.test/sitemap.xml", "<sitemapindex><sitemap><loc>https://site.test/s1.xml</loc></sitemap><sitemap><loc>https://site.test/s2.xml</loc></sitemap></sitemapindex>"), ("https://site.test/s1.xml", "<urlset><url><loc>https://site.test/a</loc></url><url><loc> https://site.test/b&amp;c </loc></url><url><loc>https://else.test/z</loc></url></urlset>"), ("https://site.test/s9.xml", "<urlset><url><loc>https://site.test/never</loc></url></urlset>")]
 
-    edges = spark.createDataFrame(EDGES, "src string, pos int, dst string, kind string").where("dst <> '/private'")
-    return closure(spark.createDataFrame([("/",)], "url string"), edges, max_depth=6)
 
+_SITEMAPS = both(SITEMAPS, "url, body", f"SELECT 'https://site.test/s2.xml', concat('<urlset>', string_agg(concat('<url><loc>https://site.test', {PAGE_PATH}, '</loc></url>'), ''), '</urlset>') FROM pages")
 
-SITEMAPS = [("https://site.test/sitemap.xml", "<sitemapindex><sitemap><loc>https://site.test/s1.xml</loc></sitemap></sitemapindex>"), ("https://site.test/s1.xml", "<urlset><url><loc>https://site.test/a</loc></url><url><loc> https://site.test/b&amp;c </loc></url><url><loc>https://else.test/z</loc></url></urlset>"), ("https://site.test/s9.xml", "<urlset><url><loc>https://site.test/never</loc></url></urlset>")]
 
-
-@query("sitemap_seed", f"WITH m AS (SELECT * FROM {values(SITEMAPS, 'url, body')}), l AS (SELECT m.url AS src, replace(trim(x), '&amp;', '&') AS loc FROM m, unnest(regexp_extract_all(body, '<loc>([^<]*)</loc>', 1)) AS u(x)) SELECT DISTINCT b.loc AS url, 1 AS depth FROM l a JOIN l b ON b.src = a.loc WHERE a.src = 'https://site.test/sitemap.xml' AND b.loc LIKE 'https://site.test/%'")
+@query("sitemap_seed", f"WITH m AS (SELECT * FROM {_SITEMAPS}), l AS (SELECT m.url AS src, replace(trim(x), '&amp;', '&') AS loc FROM m, unnest(regexp_extract_all(body, '<loc>([^<]*)</loc>', 1)) AS u(x)) SELECT DISTINCT b.loc AS url, 1 AS depth FROM l a JOIN l b ON b.src = a.loc WHERE a.src = 'https://site.test/sitemap.xml' AND b.loc LIKE 'https://site.test/%' ORDER BY url LIMIT 3000")
 def sitemap_seed(spark, sf_dir):
     from archloom.operators.crawl import sitemap_urls
 
-    files = spark.createDataFrame(SITEMAPS, "url string, body string")
+    files = given(spark, sf_dir, _SITEMAPS, "pages")
     return sitemap_urls(files, "https://site.test/sitemap.xml", "site.test")
 
 
@@ -201,48 +257,47 @@ def content_twins(spark, sf_dir):
 
 
 # Fetch results and policy, by the operators of the crawl.
-def _fetches(spark):
-    d = spark.createDataFrame(FETCHES, "url string, final_url string, status int, size long, error string, ctype string, kind string, type string")
-    return handled(POLICY, d)
+def _fetches(spark, sf_dir):
+    return handled(POLICY, given(spark, sf_dir, _FETCHED, "pages").withColumnRenamed("guess", "type"))
 
 
 POLICY = Options("site.test", external_assets=False, types={"media": False}, skip_ext=("iso",))
 _MIME = "CASE WHEN ctype = '' THEN '' WHEN ctype LIKE '%html%' THEN 'html' WHEN ctype = 'text/css' THEN 'css' WHEN ctype LIKE '%javascript%' OR ctype LIKE '%ecmascript%' THEN 'js' WHEN ctype LIKE 'image/%' THEN 'img' WHEN ctype LIKE 'font/%' OR ctype LIKE '%woff%' THEN 'font' WHEN ctype LIKE 'video/%' OR ctype LIKE 'audio/%' THEN 'media' ELSE 'doc' END"
 HANDLED = f"""{FET}, t AS (SELECT *, coalesce(nullif({_MIME}, ''), nullif(guess, ''), 'doc') AS type, CASE WHEN size > 26214400 THEN 'skipped: larger than the per-file limit' WHEN error <> '' THEN error WHEN status >= 400 THEN 'HTTP ' || status WHEN status = 0 THEN 'no response' ELSE '' END AS problem FROM f),
 h AS (SELECT *, CASE WHEN kind = 'page' AND type <> 'html' THEN 'asset' ELSE kind END AS real FROM t)"""
-query("fetch_status", f"WITH {HANDLED} SELECT url, problem AS error FROM h")(lambda s, d: _fetches(s).select("url", F.when(F.col("state") == "fail", F.col("note")).otherwise("").alias("error")))
+query("fetch_status", f"WITH {HANDLED} SELECT url, problem AS error FROM h")(lambda s, d: _fetches(s, d).select("url", F.when(F.col("state") == "fail", F.col("note")).otherwise("").alias("error")))
 query("effective_type", f"WITH {HANDLED} SELECT url, ctype, guess, type FROM h")(
-    lambda s, d: s.createDataFrame(FETCHES, "url string, final_url string, status int, size long, error string, ctype string, kind string, guess string").select("url", "ctype", "guess", effective_type(F.col("ctype"), F.col("guess")).alias("type"))
+    lambda s, d: given(s, d, _FETCHED, "pages").select("url", "ctype", "guess", effective_type(F.col("ctype"), F.col("guess")).alias("type"))
 )
-query("filter_type", f"WITH {HANDLED} SELECT url, type FROM h WHERE problem = '' AND type <> 'media'")(lambda s, d: _fetches(s).where("state <> 'fail'").where(~POLICY.off(F.col("type"))).select("url", "type"))
+query("filter_type", f"WITH {HANDLED} SELECT url, type FROM h WHERE problem = '' AND type <> 'media'")(lambda s, d: _fetches(s, d).where("state <> 'fail'").where(~POLICY.off(F.col("type"))).select("url", "type"))
 query("crawl_handle", f"""WITH {HANDLED} SELECT url, CASE WHEN problem <> '' THEN guess ELSE type END AS type, CASE WHEN problem <> '' THEN kind ELSE real END AS kind,
- CASE WHEN problem <> '' THEN 'fail' WHEN type = 'media' OR (real = 'page' AND NOT (final_url LIKE 'https://site.test/%')) THEN 'skip' ELSE 'ok' END AS state,
- CASE WHEN problem <> '' THEN problem WHEN type = 'media' THEN 'media files are turned off' WHEN real = 'page' AND NOT (final_url LIKE 'https://site.test/%') THEN 'redirected off-site' ELSE '' END AS note FROM h""")(
-    lambda s, d: _fetches(s).select("url", "type", "kind", "state", "note")
+ CASE WHEN problem <> '' THEN 'fail' WHEN type = 'media' OR ({_AWAY}) THEN 'skip' ELSE 'ok' END AS state,
+ CASE WHEN problem <> '' THEN problem WHEN type = 'media' THEN 'media files are turned off' WHEN {_AWAY} THEN 'redirected off-site' ELSE '' END AS note FROM h""")(
+    lambda s, d: _fetches(s, d).select("url", "type", "kind", "state", "note")
 )
+query("redirect_offsite", f"WITH {HANDLED} SELECT url, final_url FROM h WHERE problem = '' AND type <> 'media' AND {_AWAY}")(lambda s, d: _fetches(s, d).where("note = 'redirected off-site'").select("url", "final_url"))
 query("reject_reason", f"""SELECT seq, url, CASE WHEN NOT (url LIKE 'http://%' OR url LIKE 'https://%') THEN 'not an http(s) URL' WHEN url LIKE 'https://site.test/private/%' THEN 'blocked by robots.txt'
  WHEN kind = 'page' AND NOT (url LIKE 'https://site.test/%') THEN 'outside the site' WHEN kind = 'asset' AND NOT (url LIKE 'https://site.test/%') THEN 'external file (option off)'
- WHEN type = 'media' THEN 'media files are turned off' WHEN url LIKE '%.iso' THEN '.iso is on your skip list' END AS reason FROM {values(CANDIDATES, 'seq, url, kind, type')}""")(lambda s, d: rejected(s))
+ WHEN type = 'media' THEN 'media files are turned off' WHEN url LIKE '%.iso' THEN '.iso is on your skip list' END AS reason FROM {_CANDIDATES}""")(lambda s, d: rejected(s, d))
 
 
-def rejected(spark):
+def rejected(spark, sf_dir):
     """Candidates judged by scope, options and the rules of their host's robots file."""
     from archloom.functions.url import host
     from archloom.operators import robots as R
 
-    c = spark.createDataFrame(CANDIDATES, "seq int, url string, kind string, type string")
+    c = given(spark, sf_dir, _CANDIDATES, "pages")
     rows = R.rules(spark.createDataFrame([("site.test", "User-agent: *\nDisallow: /private/")], "host string, body string"))
-    verdict = R.allowed(c.select("url", host(F.col("url")).alias("host")), rows.join(R.group(rows), ["host", "agent"]))
+    verdict = R.allowed(c.select("url", host(F.col("url")).alias("host")).distinct(), rows.join(R.group(rows), ["host", "agent"]))
     return c.join(verdict, "url", "left").select("seq", "url", reject_reason(POLICY, F.col("url"), F.col("kind"), F.col("type"), F.col("allowed")).alias("reason"))
 
 
 # The end of a job: counts by kind, one line each.
 query("summary_lines", W + """SELECT 1 AS place, count(*) FILTER (kind = 'page' AND state = 'ok') || ' pages, ' || count(*) FILTER (kind = 'asset' AND state = 'ok') || ' files' AS line FROM res
  UNION ALL SELECT 2, count(*) FILTER (state = 'fail') || ' failed, ' || count(*) FILTER (state = 'skip') || ' skipped, ' || count(*) FILTER (state = 'queued') || ' left' FROM res
- UNION ALL SELECT 3, sum(bytes) FILTER (state = 'ok') || ' bytes' FROM res""")(lambda s, d: summary(s.createDataFrame(RESOURCES, "seq int, url string, kind string, type string, state string, depth int, path string, code int, bytes long, note string")))
-query("manifest_json", W + """SELECT seq, '{"url":"' || url || '","file":"' || path || '","type":"' || type || '","kind":"' || kind || '","status":' || code || ',"bytes":' || bytes || ',"state":"' || state || '","note":"' || note || '"}' AS entry FROM res""")(
-    lambda s, d: s.createDataFrame(RESOURCES, "seq int, url string, kind string, type string, state string, depth int, path string, code int, bytes long, note string").select("seq", F.to_json(F.struct("url", F.col("path").alias("file"), "type", "kind", F.col("code").alias("status"), "bytes", "state", "note")).alias("entry"))
-)
+ UNION ALL SELECT 3, sum(bytes) FILTER (state = 'ok') || ' bytes' FROM res""")(lambda s, d: summary(resources(s, d)))
+_js = lambda c: f"replace(replace({c}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+reported("manifest_json", f"""SELECT seq, '{{"url":"' || url || '","file":"' || path || '","type":"' || type || '","kind":"' || kind || '","status":' || code || ',"bytes":' || bytes || ',"state":"' || state || '","note":"' || {_js('note')} || '"}}' AS entry FROM res""", P.manifest_entries)
 
 
 def summary(res):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from archloom.functions import text as T
 from archloom.functions import url as U
 
-from .kit import d_bare, d_base_domain, d_decode, d_parts, d_ref, d_trim, d_type, fixture, literal, query, shared, table, values
+from .kit import PAGE_HOST, PAGE_PATH, both, given, d_bare, d_base_domain, d_decode, d_parts, d_ref, d_trim, d_type, fixture, literal, query, shared, table, values
 
 CASES = [
     "HTTP://User:pw@Example.COM:80/a/./b/../c?x=1#f", "https://h:443", "https://h:8443//a//b/", "http://h/a/b/..", "http://h/a/.", "http://h/../../x", "http://h/a b{c}", "//h/p", "https://h/?", "/no/host",
@@ -43,26 +43,30 @@ query("filter_scope", f"{WITH} SELECT url FROM n WHERE {_scope}")(lambda s, d: u
 PATHS = [("/a/b/../c",), ("/../../x",), ("//a//b/",), ("/a/.",), ("/",), ("",), ("/a b/{c}|d",), ("/a/../",), ("/x/./y/../../z/",), ("/q\"<>^`",)]
 from .kit import d_canon  # noqa: E402
 
-query("url_canon_path", f"SELECT path, {d_canon('path')} AS canon FROM {values(PATHS, 'path')}")(lambda s, d: fixture(s, PATHS, "path string").select("path", U.canon_path(F.col("path")).alias("canon")))
+_PATHS = both(PATHS, "path", f"SELECT concat({PAGE_PATH}, '/./x/../', CAST(page_id AS VARCHAR(20)), '//') FROM pages")
+query("url_canon_path", f"SELECT path, {d_canon('path')} AS canon FROM {_PATHS}")(lambda s, d: given(s, d, _PATHS, "pages").select("path", U.canon_path(F.col("path")).alias("canon")))
 
 BASE = "https://site.test/dir/page?z=1"
 REFS = [(b, r) for b in (BASE, "http://h", "nohost/x") for r in ("x.html", "../img/l.png", "/r", "?q=1", "//cdn.t/l.js", "HTTPS://O/p", "a&amp;b", " x\n.css ", "#f", "mailto:a@b", "host:8080/x", "", "./.././y/", "z#top")]
-query("url_resolve", f"WITH u AS (SELECT * FROM {values(REFS, 'base, ref')}), {d_parts('u', 'base', 'b')}, r AS (SELECT base, ref, {d_ref('b', 'ref')} AS x FROM b), {d_parts('r', 'x', 'n')} SELECT base, ref, nullif(n_url, '') AS url FROM n")(
-    lambda s, d: fixture(s, REFS, "base string, ref string").select("base", "ref", U.resolve(F.col("base"), F.col("ref")).alias("url"))
+_REFS = both(REFS, "base, ref", "SELECT url, regexp_extract(html, 'href=.([^ >]*?)[^a-z/.0-9]', 1) FROM pages UNION ALL SELECT url, concat('../', CAST(page_id AS VARCHAR(20)), '?a=1&amp;b=2#c') FROM pages")
+query("url_resolve", f"WITH u AS (SELECT * FROM {_REFS}), {d_parts('u', 'base', 'b')}, r AS (SELECT base, ref, {d_ref('b', 'ref')} AS x FROM b), {d_parts('r', 'x', 'n')} SELECT base, ref, nullif(n_url, '') AS url FROM n")(
+    lambda s, d: given(s, d, _REFS, "pages").select("base", "ref", U.resolve(F.col("base"), F.col("ref")).alias("url"))
 )
 
 TYPED = [("example.com",), (" HTTP://Example.com/x ",), ("not a url",), ("",), ("https://h.test:8443/p?q",), ("ftp://x.test",), ("-bad-.test",)]
-query("admit_url", f"WITH u AS (SELECT typed, CASE WHEN {d_trim('typed')} <> '' AND NOT regexp_matches({d_trim('typed')}, '(?i)^https?://') THEN 'https://' || {d_trim('typed')} ELSE {d_trim('typed')} END AS x FROM {values(TYPED, 'typed')}), {d_parts('u', 'x', 'n')} SELECT typed, CASE WHEN regexp_matches(n_host, '^[a-z0-9]([a-z0-9.\\-]*[a-z0-9])?$') THEN n_url ELSE '' END AS url FROM n")(
-    lambda s, d: fixture(s, TYPED, "typed string").select("typed", U.admit_url(F.col("typed")).alias("url"))
+_TYPED = both(TYPED, "typed", "SELECT CASE WHEN page_id % 2 = 0 THEN replace(replace(url, 'https://', ' '), 'http://', '') ELSE url END FROM pages")
+query("admit_url", f"WITH u AS (SELECT typed, CASE WHEN {d_trim('typed')} <> '' AND NOT regexp_matches({d_trim('typed')}, '(?i)^https?://') THEN 'https://' || {d_trim('typed')} ELSE {d_trim('typed')} END AS x FROM {_TYPED}), {d_parts('u', 'x', 'n')} SELECT typed, CASE WHEN regexp_matches(n_host, '^[a-z0-9]([a-z0-9.\\-]*[a-z0-9])?$') THEN n_url ELSE '' END AS url FROM n")(
+    lambda s, d: given(s, d, _TYPED, "pages").select("typed", U.admit_url(F.col("typed")).alias("url"))
 )
 
 MIMES = [("text/html; charset=x",), ("application/xhtml+xml",), ("TEXT/CSS",), ("text/javascript",), ("application/ecmascript",), ("image/svg+xml",), ("font/woff2",), ("application/font-woff",), ("application/vnd.ms-fontobject",), ("audio/ogg",), ("video/mp4",), ("application/octet-stream",), ("",)]
 _m = f"lower({d_trim(chr(115) + 'plit_part(mime, ' + repr(';') + ', 1)')})"
-query("type_from_mime", f"SELECT mime, CASE WHEN {_m} = '' THEN '' WHEN {_m} LIKE '%html%' THEN 'html' WHEN {_m} = 'text/css' THEN 'css' WHEN {_m} LIKE '%javascript%' OR {_m} LIKE '%ecmascript%' THEN 'js' WHEN {_m} LIKE 'image/%' THEN 'img' WHEN {_m} LIKE 'font/%' OR regexp_matches({_m}, 'font-woff|woff|opentype|truetype|font-sfnt') THEN 'font' WHEN {_m} LIKE 'video/%' OR {_m} LIKE 'audio/%' THEN 'media' ELSE 'doc' END AS type FROM {values(MIMES, 'mime')}")(
-    lambda s, d: fixture(s, MIMES, "mime string").select("mime", U.type_from_mime(F.col("mime")).alias("type"))
+_MIMES = both(MIMES, "mime", """SELECT concat(CASE p_partkey % 6 WHEN 0 THEN 'image/' WHEN 1 THEN 'text/' WHEN 2 THEN 'FONT/' WHEN 3 THEN 'video/' WHEN 4 THEN 'application/' ELSE 'audio/' END, CASE p_size % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'css; x=' WHEN 2 THEN 'png;' ELSE '' END, lower(p_type)) FROM part""")
+query("type_from_mime", f"SELECT mime, CASE WHEN {_m} = '' THEN '' WHEN {_m} LIKE '%html%' THEN 'html' WHEN {_m} = 'text/css' THEN 'css' WHEN {_m} LIKE '%javascript%' OR {_m} LIKE '%ecmascript%' THEN 'js' WHEN {_m} LIKE 'image/%' THEN 'img' WHEN {_m} LIKE 'font/%' OR regexp_matches({_m}, 'font-woff|woff|opentype|truetype|font-sfnt') THEN 'font' WHEN {_m} LIKE 'video/%' OR {_m} LIKE 'audio/%' THEN 'media' ELSE 'doc' END AS type FROM {_MIMES}")(
+    lambda s, d: given(s, d, _MIMES, "part").select("mime", U.type_from_mime(F.col("mime")).alias("type"))
 )
 _x = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.MIME_EXT.items())
-query("ext_for_mime", f"SELECT mime, CASE {_m} {_x} ELSE '' END AS ext FROM {values(MIMES, 'mime')}")(lambda s, d: fixture(s, MIMES, "mime string").select("mime", U.ext_for_mime(F.col("mime")).alias("ext")))
+query("ext_for_mime", f"SELECT mime, CASE {_m} {_x} ELSE '' END AS ext FROM {_MIMES}")(lambda s, d: given(s, d, _MIMES, "part").select("mime", U.ext_for_mime(F.col("mime")).alias("ext")))
 
 SEGMENTS = [("a%20b",), ("c/d",), ("CON.txt",), ("..",), (".htaccess",), ("x<y>z",), (" pad ",), ("a+b",), ("q" * 120 + ".html",), ("",), ("tab\there",), ("nul",), ("name.tar.gz",)]
 
@@ -77,8 +81,9 @@ def d_segment(source: str, column: str, pre: str) -> str:
 {pre} AS (SELECT *, CASE WHEN strlen({pre}_4) > 90 THEN substr(regexp_replace({pre}_4, '\\.[^.]*$', ''), 1, 70) || '-' || substr(sha1({pre}_4), 1, 8) || regexp_extract({pre}_4, '(\\.[^.]+)$', 1) ELSE {pre}_4 END AS {pre}_safe FROM {pre}d)"""
 
 
-query("safe_segment", f"WITH u AS (SELECT seg FROM {values(SEGMENTS, 'seg')}), {d_segment('u', 'seg', 'x')} SELECT seg, x_safe AS safe FROM x")(
-    lambda s, d: fixture(s, SEGMENTS, "seg string").select("seg", U.safe_segment(F.col("seg")).alias("safe"))
+_SEGMENTS = both(SEGMENTS, "seg", f"SELECT {PAGE_PATH} FROM pages UNION ALL SELECT concat(' ', p_name, '%20<', p_brand, '> ', p_type, '.') FROM part")
+query("safe_segment", f"WITH u AS (SELECT seg FROM {_SEGMENTS}), {d_segment('u', 'seg', 'x')} SELECT seg, x_safe AS safe FROM x")(
+    lambda s, d: given(s, d, _SEGMENTS, "pages", "part").select("seg", U.safe_segment(F.col("seg")).alias("safe"))
 )
 
 # Page paths have plain segments, so the SQL needs no escapes undone.
@@ -93,11 +98,12 @@ SELECT url, array_to_string(list_concat(list_concat(CASE WHEN {d_bare('n_host')}
 query("local_path", LOCAL_SQL)(lambda s, d: table(s, d, "pages").select("url", U.local_path(F.col("url"), F.lit("html"), F.lit("example.com")).alias("path")))
 
 LINKS = [("about/index.html", "assets/app.css"), ("index.html", "index.html"), ("a/b/c.html", "a/b/d.html"), ("a/b/c.html", "a/x.html"), ("index.html", "a/b.html"), ("a/b.html", "a"), ("a/b/c.html", "a/b")]
-query("relative_path", f"""WITH f AS (SELECT source, target, string_split(source, '/') AS a, string_split(target, '/') AS b FROM {values(LINKS, 'source, target')}),
+_LINKS = both(LINKS, "source, target", f"SELECT concat(replace({PAGE_HOST}, '.', '/'), {PAGE_PATH}, '/index.html'), concat(replace({PAGE_HOST}, '.', '/'), CASE WHEN page_id % 2 = 0 THEN '/en/' ELSE '/' END, CAST(page_id AS VARCHAR(20)), '.css') FROM pages")
+query("relative_path", f"""WITH f AS (SELECT source, target, string_split(source, '/') AS a, string_split(target, '/') AS b FROM {_LINKS}),
 g AS (SELECT *, least(len(a), len(b)) - 1 AS most FROM f),
 h AS (SELECT *, coalesce(list_min(list_filter(range(most), lambda i: a[i + 1] <> b[i + 1])), most) AS same FROM g)
 SELECT source, target, repeat('../', (len(a) - 1 - same)::INT) || array_to_string(b[same + 1:], '/') AS rel FROM h""")(
-    lambda s, d: fixture(s, LINKS, "source string, target string").select("source", "target", U.relative_path(F.col("source"), F.col("target")).alias("rel"))
+    lambda s, d: given(s, d, _LINKS, "pages").select("source", "target", U.relative_path(F.col("source"), F.col("target")).alias("rel"))
 )
 query("same_dir", f"{WITH} SELECT url, n_host || regexp_extract(n_p, '^(.*/)', 1) = 'h/a/' AS same FROM n")(lambda s, d: urls(s, d).select("url", U.same_dir(F.col("url"), F.lit("http://h/a/x")).alias("same")))
 
@@ -119,26 +125,31 @@ query("hms", "SELECT event_id, CASE WHEN event_id < 60 THEN event_id || 's' WHEN
 )
 shared("clamp", "SELECT event_id, greatest(10.0D, least(value, 90.0D)) AS clamped FROM events".replace("10.0D", "CAST(10 AS DOUBLE)").replace("90.0D", "CAST(90 AS DOUBLE)"), "events")
 WORDS = [("1",), ("true",), (" ON ",), ("yes",), ("0",), ("off",), ("",), ("12abc",), ("-7",), ("x",)]
-query("coerce_bool", f"SELECT raw, lower({d_trim('raw')}) IN ('1', 'true', 'on', 'yes') AS flag, coalesce(try_cast(regexp_extract(raw, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT), 5) AS number FROM {values(WORDS, 'raw')}")(
-    lambda s, d: fixture(s, WORDS, "raw string").select("raw", T.to_bool(F.col("raw")).alias("flag"), T.to_int(F.col("raw"), 5).alias("number"))
+_WORDS = both(WORDS, "raw", "SELECT CASE WHEN event_id % 5 = 0 THEN CAST(user_id AS VARCHAR(20)) WHEN event_id % 5 = 1 THEN ' TRUE ' WHEN event_id % 5 = 2 THEN concat(CAST(event_id AS VARCHAR(20)), event_type) ELSE event_type END FROM events")
+query("coerce_bool", f"SELECT raw, lower({d_trim('raw')}) IN ('1', 'true', 'on', 'yes') AS flag, coalesce(try_cast(regexp_extract(raw, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT), 5) AS number FROM {_WORDS}")(
+    lambda s, d: given(s, d, _WORDS, "events").select("raw", T.to_bool(F.col("raw")).alias("flag"), T.to_int(F.col("raw"), 5).alias("number"))
 )
 IDS = [("20260101-120000-0a1b2c",), ("20260101-120000-0A1B2C",), ("x",), ("20260101-1200-0a1b2c",), ("",)]
-query("job_id_valid", f"SELECT id, regexp_matches(id, '^[0-9]{{8}}-[0-9]{{6}}-[0-9a-f]{{6}}$') AS valid FROM {values(IDS, 'id')}")(lambda s, d: fixture(s, IDS, "id string").select("id", T.job_id_valid(F.col("id")).alias("valid")))
+_IDS = both(IDS, "id", "SELECT concat('20260101-', lpad(CAST(event_id % 240000 AS VARCHAR(20)), CASE WHEN event_id % 3 = 0 THEN 5 ELSE 6 END, '0'), '-', substr(md5(CAST(event_id AS VARCHAR(20))), 1, 6)) FROM events")
+query("job_id_valid", f"SELECT id, regexp_matches(id, '^[0-9]{{8}}-[0-9]{{6}}-[0-9a-f]{{6}}$') AS valid FROM {_IDS}")(lambda s, d: given(s, d, _IDS, "events").select("id", T.job_id_valid(F.col("id")).alias("valid")))
 HEADS = [('<meta name="generator" content="Loom 1.2">',), ("<META content='X' NAME=generator>",), ("<meta name='viewport' content='w'>",), ("",)]
 _gen = "regexp_extract(html, '(?i)<meta\\s[^>]*name\\s*=\\s*[\"'']?generator[\"'']?[^>]*>', 0)"
-query("meta_generator", f"SELECT html, {d_trim('regexp_extract(' + _gen + ', ' + literal('(?i)content' + chr(92) + 's*=' + chr(92) + 's*[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)') + ', 1)')} AS generator FROM {values(HEADS, 'html')}")(
-    lambda s, d: fixture(s, HEADS, "html string").select("html", T.meta_generator(F.col("html")).alias("generator"))
+_HEADS = both(HEADS, "html", """SELECT concat(substr(html, 1, 400), CASE WHEN page_id % 2 = 0 THEN concat('<meta content="loom ', CAST(page_id AS VARCHAR(20)), '" name=generator>') ELSE '' END) FROM pages""")
+query("meta_generator", f"SELECT html, {d_trim('regexp_extract(' + _gen + ', ' + literal('(?i)content' + chr(92) + 's*=' + chr(92) + 's*[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)') + ', 1)')} AS generator FROM {_HEADS}")(
+    lambda s, d: given(s, d, _HEADS, "pages").select("html", T.meta_generator(F.col("html")).alias("generator"))
 )
 SERVERS = [("a", "nginx", "PHP/8", ""), ("b", "", None, "text/html"), ("c", None, None, None)]
-query("fingerprint", f"SELECT job, key, value FROM (SELECT job, 'server' AS key, server AS value FROM {values(SERVERS, 'job, server, powered, ctype')} UNION ALL SELECT job, 'powered_by', powered FROM {values(SERVERS, 'job, server, powered, ctype')} UNION ALL SELECT job, 'content_type', ctype FROM {values(SERVERS, 'job, server, powered, ctype')}) WHERE value <> ''")(
-    lambda s, d: fixture(s, SERVERS, "job string, server string, powered string, ctype string").select("job", F.explode(T.fingerprint(F.create_map(F.lit("server"), "server", F.lit("powered_by"), "powered", F.lit("content_type"), "ctype"))).alias("key", "value"))
+_SERVERS = both(SERVERS, "job, server, powered, ctype", "SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))), CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END, CASE WHEN s_suppkey % 2 = 0 THEN concat('PHP/', CAST(s_nationkey AS VARCHAR(20))) END, 'text/html' FROM supplier")
+query("fingerprint", f"SELECT job, key, value FROM (SELECT job, 'server' AS key, server AS value FROM {_SERVERS} UNION ALL SELECT job, 'powered_by', powered FROM {_SERVERS} UNION ALL SELECT job, 'content_type', ctype FROM {_SERVERS}) WHERE value <> ''")(
+    lambda s, d: given(s, d, _SERVERS, "supplier").select("job", F.explode(T.fingerprint(F.create_map(F.lit("server"), "server", F.lit("powered_by"), "powered", F.lit("content_type"), "ctype"))).alias("key", "value"))
 )
 query("dos_time", "SELECT event_id, ((hour(ts) << 11) | (minute(ts) << 5) | (second(ts) // 2))::INT AS dos_time, (((year(ts) - 1980) << 9) | (month(ts) << 5) | day(ts))::INT AS dos_date FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", *(x.cast("int").alias(n) for x, n in zip(T.dos_time(F.unix_timestamp(F.col("ts").cast("timestamp"))), ("dos_time", "dos_date"))))
 )
 VIEWS = [("CREATE ALGORITHM=UNDEFINED DEFINER=`root`@`localhost` SQL SECURITY DEFINER VIEW v AS SELECT 1",), ("CREATE DEFINER=app@db VIEW w AS SELECT 2",), ("CREATE TABLE t (a int)",)]
-query("strip_definer", f"SELECT ddl, regexp_replace(regexp_replace(ddl, '(?i)\\sDEFINER\\s*=\\s*(?:`[^`]*`@`[^`]*`|\\S+)', '', 'g'), '(?i)\\sSQL\\s+SECURITY\\s+(?:DEFINER|INVOKER)', '', 'g') AS plain FROM {values(VIEWS, 'ddl')}")(
-    lambda s, d: fixture(s, VIEWS, "ddl string").select("ddl", T.strip_definer(F.col("ddl")).alias("plain"))
+_VIEWS = both(VIEWS, "ddl", "SELECT concat('CREATE DEFINER=`', s_name, '`@`localhost` SQL SECURITY INVOKER VIEW v', CAST(s_suppkey AS VARCHAR(20)), ' AS SELECT 1') FROM supplier")
+query("strip_definer", f"SELECT ddl, regexp_replace(regexp_replace(ddl, '(?i)\\sDEFINER\\s*=\\s*(?:`[^`]*`@`[^`]*`|\\S+)', '', 'g'), '(?i)\\sSQL\\s+SECURITY\\s+(?:DEFINER|INVOKER)', '', 'g') AS plain FROM {_VIEWS}")(
+    lambda s, d: given(s, d, _VIEWS, "supplier").select("ddl", T.strip_definer(F.col("ddl")).alias("plain"))
 )
 query("sql_literal", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NULL' ELSE '''' || replace(replace(c_name, chr(92), chr(92) || chr(92)), '''', chr(92) || '''') || '''' END AS name, c_nationkey::VARCHAR AS nation, CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END AS positive, '0x' || lower(hex(c_mktsegment)) AS segment FROM customer")(
     lambda s, d: table(s, d, "customer").select("c_custkey", T.sql_literal(F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")), "string").alias("name"), T.sql_literal(F.col("c_nationkey"), "int").alias("nation"), T.sql_literal(F.col("c_acctbal") > 0, "boolean").alias("positive"), T.sql_literal(F.col("c_mktsegment").cast("binary"), "binary").alias("segment"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archloom.operators.ranking import ranked
+
 # Folders that a project scan leaves out.
 SKIPPED = ("node_modules", ".git", ".svn", "vendor/bin", ".idea", ".vscode", "storage/jobs")
 FETCHED = "url string, final_url string, status int, ctype string, body binary, size long, error string"
@@ -36,6 +38,20 @@ def skipped(path: Column, skip: tuple[str, ...] = SKIPPED) -> Column:
     return out
 
 
+def in_roots(path: Column, roots: list[str]) -> Column:
+    """Whether a path is one of the roots or lies below one."""
+    out = F.lit(False)
+    for r in roots:
+        out = out | (path == r) | path.startswith(r.rstrip("/") + "/")
+    return out
+
+
+def projects(entries: DataFrame) -> DataFrame:
+    """Rows name, entry, place from files (name of the folder, entry): hidden folders aside, the first page of each, in order of name whatever its case."""
+    d = entries.where(~F.col("name").startswith(".")).groupBy("name").agg(F.min(F.when(F.col("entry").rlike(r"\.(?:php|html|htm)$"), F.col("entry"))).alias("entry"))
+    return ranked(d.withColumn("key", F.struct(F.lower("name").alias("low"), "name")), "key", "place").drop("key")
+
+
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents; broken ones give nulls."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(path)
