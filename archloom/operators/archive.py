@@ -1,4 +1,4 @@
-"""ZIP archives and site trees from tables of files."""
+"""ZIP archives from tables of files; sources.site_writer writes trees and many archives by tasks."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def pack(files: DataFrame, target: str) -> int:
     """Write files to one ZIP in order of name, and return how many.
 
     One archive is one stream of bytes, so it is written by the driver; rows come one partition at
-    a time. A site beyond the limits of the format needs several archives.
+    a time. For a site beyond one archive, or a large one, take sources.site_writer.write_archives.
     """
     n, size = 0, 0
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as out:

@@ -29,3 +29,15 @@ def running(df: DataFrame, key: str, **sums: Column) -> DataFrame:
 def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
     """df with the 1-based rank of each row in order of key (unique)."""
     return running(df, key, **{name: F.lit(1)}).withColumn(name, F.col(name) + 1)
+
+
+def running_by(df: DataFrame, group: str, key: str, **sums: Column) -> DataFrame:
+    """df with, for each named value, its sum over the rows of the same group before in order of key (unique in a group).
+
+    Ranges of (group, key) are summed as in running(), so a group is not a task; what lies before a
+    group's first row, one row a group, is taken off.
+    """
+    d = running(df.withColumn("__order", F.struct(group, key)), "__order", **sums)
+    first = d.groupBy(group).agg(*(F.min_by(n, "__order").alias(f"__first_{n}") for n in sums)).withColumnRenamed(group, "__group")
+    out = d.join(first, F.col(group).eqNullSafe(F.col("__group")))
+    return out.select(*df.columns, *((F.col(n) - F.col(f"__first_{n}")).alias(n) for n in sums))

@@ -14,7 +14,7 @@ from archloom.functions.url import folder
 from archloom.operators.archive import MOST_BYTES, MOST_ENTRIES, STORED
 from archloom.operators.crawl import Options, effective_type, handled, reject_reason
 from archloom.operators import report as P
-from archloom.operators.ranking import running
+from archloom.operators.ranking import running, running_by
 from archloom.sources.files import in_roots, projects, skipped
 
 from .kit import PAGE_HOST, PAGE_PATH, both, d_parts, given, query, shared, table, values
@@ -80,8 +80,25 @@ reported("rewrite_index", "SELECT url, path FROM res WHERE state = 'ok' AND path
 reported("entry_file", "SELECT coalesce(max(CASE WHEN url = 'https://site.test/' AND state = 'ok' THEN path END), min_by(path, CASE WHEN state = 'ok' AND type = 'html' THEN seq END)) AS entry FROM res", lambda r: P.entry_file(r, "https://site.test/"))
 
 # Queue: order, budgets.
-shared("budget_pages", """SELECT o_orderkey, kind FROM (SELECT o_orderkey, kind, coalesce(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
-  FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority AS kind FROM orders) AS k) AS b WHERE done < 150""", "orders")
+@query("budget_pages", """SELECT o_orderkey, kind FROM (SELECT o_orderkey, kind, coalesce(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+  FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority AS kind FROM orders) AS k) AS b WHERE done < 150""")
+def budget_pages(spark, sf_dir):
+    """A budget for each kind: the sums run over ranges of (kind, order), so a kind is not a task."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("kind"))
+    return running_by(o, "kind", "o_orderkey", done=(F.col("o_orderstatus") != "F").cast("long")).where("done < 150").select("o_orderkey", "kind")
+
+
+@query("archive_deal", """WITH f AS (SELECT 'p/' || lpad(page_id::VARCHAR, 9, '0') || '.html' AS path, strlen(html) + 2 * 16 + 76 AS size FROM pages),
+r AS (SELECT path, size, coalesce(sum(size) OVER w, 0) // (300000 - max(size) OVER ()) AS b, (row_number() OVER (ORDER BY path) - 1) // 40 AS e FROM f WINDOW w AS (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT path, dense_rank() OVER (ORDER BY b, e)::INT AS archive FROM r""")
+def archive_deal(spark, sf_dir):
+    """Pages dealt over archives of at most 40 entries and 300,000 bytes, in order of name."""
+    from archloom.sources.site_writer import archives
+
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("p/"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("body"))
+    return archives(files, most_entries=40, most_bytes=300_000).select("path", "archive")
+
+
 JOBS = [("j%02d" % k, 1_700_000_000 + (k * 7919) % 1000, "done" if k % 3 else "error") for k in range(60)]
 shared("jobs_recent", f"SELECT id, created, status FROM {both(JOBS, 'id, created, status', "SELECT concat('o', CAST(o_orderkey AS VARCHAR(20))), 1600000000 + (o_orderkey * 7919) % 200000000, o_orderstatus FROM orders")} ORDER BY created DESC, id LIMIT 40", "orders")
 
