@@ -213,12 +213,12 @@ def _send(b: Batch, batch: int, done: int) -> Iterator[tuple]:
         yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(g[i:j], size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
     if done:
         g, sums = b.sums(done)
-        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], b.width), sums[:5, i:j].astype("<f8").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
+        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], b.width), sums[:5, i:j].astype("<f4").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
 
 
 def _meet(t: pa.Table, width: int) -> pa.Table:
     """Answers of a bucket to its batches."""
-    t = t.sort_by("batch")  # parts of sums are added in this order, whichever came first
+    t = t.sort_by("batch")  # parts of sums, in single precision, are added in this order, whichever came first
     kind, level = t.column("kind")[0].as_py(), t.column("level")[0].as_py()
     batches, bucket = t.column("batch").to_pylist(), t.column("bucket")[0].as_py() // 3
     each = numbers(t.column("g").to_pylist(), width if level else _TOKEN)
@@ -236,11 +236,11 @@ def _meet(t: pa.Table, width: int) -> pa.Table:
             rows = [(*r[:6], 0, 0) for r in rows]
         return _table(rows, _BACK)
     sent = list(zip(t.column("n").to_pylist(), each))
-    parts = np.concatenate([np.frombuffer(x, "<f8", 5 * len(g)).reshape(5, -1) for x, g in sent], axis=1)
+    parts = np.concatenate([np.frombuffer(x, "<f4", 5 * len(g)).reshape(5, -1) for x, g in sent], axis=1).astype(float)
     sums = np.stack([*(np.bincount(number, x, len(known)) for x in parts), np.zeros(len(known))])
-    # Kinds are whole numbers, whatever their parts add up to.
+    # Kinds are whole numbers, whatever their parts were rounded to.
     sums[0], sums[4] = np.round(sums[0]), np.round(sums[4])
-    sums[5, number] = np.concatenate(numbers([x[40 * len(g) :] for x, g in sent], _COUNT))
+    sums[5, number] = np.concatenate(numbers([x[20 * len(g) :] for x, g in sent], _COUNT))
     kept = kept_contexts(sums)
     for batch, g in zip(batches, each):
         k = number[at : at + len(g)]
