@@ -276,9 +276,9 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         return run
 
     meet = _meet(least, width)
-    told = written(shards.mapInArrow(first, _SENT).groupBy("bucket").applyInArrow(meet, _BACK), "phrase-pairs")
+    told = written(shards.mapInArrow(first, _SENT).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, _BACK), "phrase-pairs")
     again = shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(with_told(lambda s: s.sent(1), _SENT), _SENT)
-    more = written(again.groupBy("bucket").applyInArrow(meet, _BACK), "phrase-grams")
+    more = written(again.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, _BACK), "phrase-grams")
     both = told.unionByName(more)
     found = shards.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(with_told(Shard.phrases, _FOUND), _FOUND)
     counts, n = written(found, "phrase-counts"), written(n, "lang-words")
