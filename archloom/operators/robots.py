@@ -58,14 +58,23 @@ def pattern_regex(pattern: Column) -> Column:
 def allowed(urls: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows url, allowed from urls (url, host) and rules (host, allow, pattern, len) of the chosen groups.
 
-    URLs meet the rules of their own host only; the longest pattern that matches decides, Allow
-    among equals; no match is allowed.
+    The longest pattern that matches decides, Allow among equals; no match is allowed. A pattern can
+    match only a target that begins with its head, the part before a wildcard. So a URL is taken apart
+    into its beginnings, of the lengths that heads of its host have, and each beginning meets the rules
+    of that head: as many look-ups as there are lengths, however many rules. What is no more than a
+    head matches then and there; the rest of the others is matched as an expression.
     """
     target = F.concat(path(F.col("url")), F.when(query(F.col("url")) == "", "").otherwise(F.concat(F.lit("?"), query(F.col("url")))))
-    d = urls.withColumn("target", target).join(chosen.withColumn("re", pattern_regex(F.col("pattern"))), "host", "left")
-    hit = F.col("re").isNotNull() & F.expr("target rlike re")
-    best = F.max_by("allow", F.when(hit, F.struct("len", "allow")))
-    return d.groupBy("url").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
+    body = F.regexp_replace("pattern", r"\$$", "")
+    rules = chosen.groupBy("host", "pattern").agg(F.max("len").alias("len"), F.max("allow").alias("allow"))
+    rules = rules.withColumns({"head": F.substring_index(body, "*", 1), "plain": ~F.col("pattern").contains("*") & ~F.col("pattern").endswith("$")})
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("head")).alias("lengths"))  # no more than the longest target has characters
+    d = urls.select("url", "host").distinct().withColumn("target", F.explode(F.array(target)))
+    parts = d.join(lengths, "host").select("url", "host", "target", F.explode("lengths").alias("n")).where(F.length("target") >= F.col("n"))
+    met = parts.withColumn("head", F.substring("target", F.lit(1), F.col("n"))).join(rules.withColumn("re", F.when(~F.col("plain"), pattern_regex(F.col("pattern")))), ["host", "head"])
+    hit = met.where(F.col("plain") | F.expr("target rlike re"))
+    best = hit.groupBy("url").agg(F.max_by("allow", F.struct("len", "allow")).alias("allowed"))
+    return d.select("url").distinct().join(best, "url", "left").select("url", F.coalesce("allowed", F.lit(True)).alias("allowed"))
 
 
 def crawl_delay(robots: Column, option: Column) -> Column:

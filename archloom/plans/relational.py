@@ -197,6 +197,35 @@ def sql_dump_insert(spark, sf_dir):
     return c.groupBy("chunk").agg(F.concat(F.lit("INSERT INTO `customer` VALUES\n"), F.array_join(rows, ",\n"), F.lit(";")).alias("sql"))
 
 
+_DUMPED = {"customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey"}
+_VIEW = "CREATE DEFINER=`root`@`localhost` SQL SECURITY DEFINER VIEW `v_nations` AS SELECT n_name FROM nation"
+_TYPED = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'longtext' END"
+
+
+def _d_rows(place: int, name: str, key: str, columns: list[tuple[str, bool]]) -> str:
+    """DuckDB: the chunks of a table; columns with whether they are text."""
+    text = lambda c: f"chr(39) || replace(replace({c}, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39)"
+    row = " || ', ' || ".join(f"coalesce({text(c) if is_text else c + '::VARCHAR'}, 'NULL')" for c, is_text in columns)
+    return f"SELECT {place} AS place, '{name}' AS name, chunk, 'INSERT INTO `{name}` VALUES' || chr(10) || string_agg(r, ',' || chr(10) ORDER BY {key}) || ';' AS sql FROM (SELECT {key}, (row_number() OVER (ORDER BY {key}) - 1) // 400 AS chunk, '(' || {row} || ')' AS r FROM {name}) AS t GROUP BY chunk"
+
+
+_dump_rows = " UNION ALL ".join(_d_rows(k, n, _DUMPED[n], c) for k, (n, c) in enumerate({
+    "customer": [("c_custkey", False), ("c_name", True), ("c_nationkey", False), ("c_acctbal", False), ("c_mktsegment", True)], "nation": [("n_nationkey", False), ("n_name", True), ("n_regionkey", False)],
+    "region": [("r_regionkey", False), ("r_name", True)], "supplier": [("s_suppkey", False), ("s_name", True), ("s_nationkey", False), ("s_acctbal", False)],
+}.items(), 1))
+
+
+@query("database_dump", f"""SELECT 0 AS place, '' AS name, -1::BIGINT AS chunk, '-- Database: shop' || chr(10) || '-- Tables: 4, views: 1' || chr(10) || 'SET NAMES utf8mb4;' || chr(10) || 'SET FOREIGN_KEY_CHECKS=0;' AS sql
+UNION ALL SELECT dense_rank() OVER (ORDER BY table_name), table_name, -1, 'DROP TABLE IF EXISTS `' || table_name || '`;' || chr(10) || 'CREATE TABLE `' || table_name || '` (' || chr(10) || string_agg('  `' || column_name || '` ' || {_TYPED}, ',' || chr(10) ORDER BY ordinal_position) || chr(10) || ');' FROM information_schema.columns WHERE table_name IN ('customer', 'nation', 'region', 'supplier') GROUP BY table_name
+UNION ALL {_dump_rows}
+UNION ALL SELECT 5, 'v_nations', -1, 'DROP VIEW IF EXISTS `v_nations`;' || chr(10) || 'CREATE VIEW `v_nations` AS SELECT n_name FROM nation;'
+UNION ALL SELECT 6, '', -1, 'SET FOREIGN_KEY_CHECKS=1;' || chr(10) || '-- End of dump'""")
+def database_dump(spark, sf_dir):
+    from archloom.operators.dump import dump
+
+    return dump(spark, "shop", {n: (table(spark, sf_dir, n), [k]) for n, k in _DUMPED.items()}, {"v_nations": _VIEW})
+
+
 @query("json_permissive", "SELECT event_id, coalesce(try_cast(props AS JSON)->>'$.k', '') AS k FROM events")
 def json_permissive(spark, sf_dir):
     """A default where the JSON is missing, empty or broken."""
