@@ -28,6 +28,8 @@ RAW, INLINE = frozenset("script style noscript template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav footer aside form menu header dialog search".split())
 INSIDE = frozenset("article main".split())
+#: Of those outside, the ones that may stand around a whole page or be left open before its text.
+AROUND = frozenset("nav aside form".split())
 #: Words in class, id or role that mark a container outside the main text.
 _OUTSIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|dialog|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|recommend\w*|related|replies|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?|contentinfo|complementary)(?=$|[\s_-])",
@@ -113,9 +115,13 @@ def is_main(tree: tuple | float, features: tuple[float, ...]) -> bool:
     return tree >= 0.5
 
 
-def _outside(name: str, attrs: str, within: bool) -> bool | None:
-    """Whether a container lies outside the main text; None for one to be left out altogether."""
-    outside = name in OUTSIDE and not (within and name == "header")
+def _outside(name: str, attrs: str, within: bool, lenient: bool = False) -> bool | None:
+    """Whether a container lies outside the main text; None for one to be left out altogether.
+
+    Leniently, containers that are often left open or put around whole pages don't count, and a word of
+    a class counts only as the head of its compound: `cookie-notice`, but not `newsletter-issue`.
+    """
+    outside = name in (OUTSIDE - AROUND if lenient else OUTSIDE) and not (within and name == "header")
     if attrs:
         seen = set()
         for key, a, b, c in _ATTR.findall(attrs):
@@ -127,7 +133,8 @@ def _outside(name: str, attrs: str, within: bool) -> bool | None:
                 return None
             if key in ("class", "id", "role") and name not in ("body", "html", "article", "main"):
                 # The header of an article is part of it, by whatever name.
-                if any(not (within and m[1].lower() == "header") for m in _OUTSIDE_WORDS.finditer(_ABOUT.sub(" ", value))):
+                value = _ABOUT.sub(" ", value)
+                if any(not (within and m[1].lower() == "header") and not (lenient and value[m.end() : m.end() + 1].strip()) for m in _OUTSIDE_WORDS.finditer(value)):
                     outside = True
     return outside
 
@@ -151,7 +158,7 @@ def _silent_end(page: str, name: str, m: re.Match, at: int) -> int:
     return min(ends, default=len(page))
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
+def blocks(page: str, lenient: bool = False) -> list[tuple[str, int, float, int, int]]:
     """Flat blocks in page order: text, words, link density, place, heading."""
     found, parts, linked = [], [], []
     stack: list[tuple[str, int, bool]] = []  # open elements that matter: name, place before, silent before
@@ -217,7 +224,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         elif name == "a":
             anchor = 1
         if name in BLOCK or m[3]:
-            outside = _outside(name, m[3], place == 1)
+            outside = _outside(name, m[3], place == 1, lenient)
             if outside is not False or name in INSIDE or name in _CLOSES or name in BLOCK:
                 stack.append((name, place, silent))
                 if outside is None:
@@ -233,8 +240,17 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
 
 
 def main_text(page: str | None, tree: tuple | float) -> str:
-    """The main text of one page; empty for none."""
-    found = blocks(page or "")
+    """The main text of one page; empty for none.
+
+    A page that has none is looked at again leniently: its text may lie in a form around all of it, after
+    a menu left open, or in a container whose class only sounds like one outside.
+    """
+    page = page or ""
+    return _kept(blocks(page), tree) or _kept(blocks(page, lenient=True), tree)
+
+
+def _kept(found: list[tuple[str, int, float, int, int]], tree: tuple | float) -> str:
+    """The blocks that the tree keeps, joined."""
     marked, plain = (sum(b[1] for b in found if b[3] == k and b[2] < 0.5) for k in (1, 0))
     # An article with less text than what lies beside it is a teaser.
     if marked and marked >= plain:

@@ -311,3 +311,17 @@ def test_pages_give_their_article(spark):
         inside = re.split(r"</article>", pages[r.page_id].split("<article>", 1)[-1])[0]
         plain = re.sub(r"<[^>]*>", " ", inside).replace("&amp;", "&").replace("&quot;", '"').split()
         assert r.text.split() == plain or not plain
+
+
+def test_main_text_inside_what_only_seems_outside():
+    from archloom.llm.html_text import main_text, trained
+
+    tree, long = trained(), "Long enough words of an article that a reader came here for, one after the other, until it ends well."
+    for page in (
+        f"<form><div><h1>Title</h1><p>{long}</p><p>{long}</p></div></form>", f"<nav><ul><li><a>Home</a></ul><article><p>{long}</p></article>", f"<aside><ul><li><a>Home</a></ul><article><p>{long}</p></article>",
+        f'<div class="social-article-body"><p>{long}</p><p>{long}</p></div>', f'<div id="page-header-wrap"><article><p>{long}</p></article></div>', f'<main><section class="newsletter-issue"><p>{long}</p></section></main>',
+    ):
+        assert long in main_text(page, tree) and "Home" not in main_text(page, tree)
+    outside = f'<nav><a>Home</a></nav><div class="cookie-notice"><p>{long}</p></div><div class="comments"><article><p>{long}</p></article></div><footer><p>{long}</p></footer>'
+    assert main_text(outside, tree) == "" and main_text(None, tree) == "" and main_text("", tree) == ""
+    assert main_text(outside + f"<article><p>{long} Indeed.</p></article>", tree) == f"{long} Indeed."
