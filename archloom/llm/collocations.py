@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from archloom.sources.shared import Bucketed
 
-from .common import ODD, discard, forget, mixed, numbers, planes, table, text_of, word_hashes, written
+from .common import ODD, discard, forget, mixed, numbers, planes, steps, table, text_of, word_hashes, written
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Bytes of text of a shard, and hashes of a bucket, at the mean.
@@ -61,11 +61,6 @@ def key_bytes(n_bytes: int) -> int:
     return max(5, -(-(2 * n_bytes.bit_length() + 9) // 8))
 
 
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Sorted numbers as differences, whose high bytes are 0 and cost nothing."""
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
 def _identity(word: np.ndarray, lang: np.ndarray, langs: list[str]) -> np.ndarray:
     """What tells a language's word from all others everywhere, from the hash of the word and the number of its language."""
     return mixed(word ^ np.array([lang_hash(x) for x in langs], np.uint64)[lang])
@@ -180,7 +175,7 @@ class Shard:
         c = self.cuts(g)
         for k, (i, j) in enumerate(zip(c[:-1].tolist(), c[1:].tolist())):
             if i < j:
-                yield k, self.shard, round_, planes(_steps(g[i:j]), min(8, self.width)) + planes(more[i:j], max(0, self.width - 8)), planes(size[i:j], _COUNT)
+                yield k, self.shard, round_, planes(steps(g[i:j]), min(8, self.width)) + planes(more[i:j], max(0, self.width - 8)), planes(size[i:j], _COUNT)
 
     def asked(self, round_: int) -> tuple[tuple[int, ...], np.ndarray]:
         """Lengths that a round counts, and how many words an n-gram may have at each place."""

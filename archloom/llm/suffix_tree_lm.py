@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from archloom.sources.shared import Bucketed
 
-from .common import ODD, discard, forget, mixed, numbers, planes, table, text_of, word_hashes, written
+from .common import ODD, discard, forget, mixed, numbers, planes, steps, table, text_of, word_hashes, written
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH = 3
@@ -210,10 +210,10 @@ def _send(b: Batch, batch: int, done: int) -> Iterator[tuple]:
         b.level(level)
         _, g, own = b.grams[level]
         size = b.width if level else _TOKEN
-        yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(g[i:j], size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
+        yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(steps(g[i:j]), size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
     if done:
         g, sums = b.sums(done)
-        yield from ((3 * k + 2, batch, _SUMS, done, planes(g[i:j], b.width), sums[:5, i:j].astype("<f4").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
+        yield from ((3 * k + 2, batch, _SUMS, done, planes(steps(g[i:j]), b.width), sums[:5, i:j].astype("<f4").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
 
 
 def _meet(t: pa.Table, width: int) -> pa.Table:
@@ -221,7 +221,7 @@ def _meet(t: pa.Table, width: int) -> pa.Table:
     t = t.sort_by("batch")  # parts of sums, in single precision, are added in this order, whichever came first
     kind, level = t.column("kind")[0].as_py(), t.column("level")[0].as_py()
     batches, bucket = t.column("batch").to_pylist(), t.column("bucket")[0].as_py() // 3
-    each = numbers(t.column("g").to_pylist(), width if level else _TOKEN)
+    each = [np.cumsum(x) for x in numbers(t.column("g").to_pylist(), width if level else _TOKEN)]
     known, number = _distinct(np.concatenate(each))
     rows, at = [], 0
     if kind == _COUNTS:
