@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import slices, table, text_of
 
 BLANK = "▁"
-#: Distinct parts of texts whose ids a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+#: Distinct parts of texts whose ids a worker remembers, twice: those met since the last turn, and those of the turn before.
+REMEMBERED = 500_000
 #: Characters of a part that is short: remembered, and its agenda a list.
 _SHORT = 64
 #: Score of a pair that is no piece; scores count from the best, 0 or less in the model, upwards.
@@ -63,6 +63,7 @@ class Pieces:
         cls = "".join(map(re.escape, alone))
         self.parts = re.compile(f"{BLANK}+[^{BLANK}{cls}]*|[{cls}]|[^{BLANK}{cls}]+" if cls else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # Bytes of all pieces in a row, and where each begins and ends, for decoding.
         raw = [b""] * n
         for w, k in self.id_of.items():
@@ -120,19 +121,23 @@ class Pieces:
     def _keep(self, part: str, ids: bytes) -> bytes:
         if len(part) <= _SHORT:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.before = {}, self.known
             self.known[part] = ids
         return ids
 
     def _ids(self, part: str) -> bytes:
-        """Ids of a part not yet known, cut where no piece has the two characters side by side."""
+        """Ids of a part not known of late, cut where no piece has the two characters side by side."""
+        if ids := self.known.get(part):
+            return ids  # met before in the same text
+        if ids := self.before.get(part):
+            return self._keep(part, ids)
         agenda = list(map(self.pairs.get, map(add, part, part[1:])))
         if None not in agenda:
             return self._keep(part, self._of(self.merged(part, agenda)))
         out, at = [], 0
         for k in [k for k, x in enumerate(agenda, 1) if x is None] + [len(part)]:
             piece = part[at:k]
-            ids = self.known.get(piece)
+            ids = self.known.get(piece) or self.before.get(piece)
             out.append(self._keep(piece, self._of(self.merged(piece, agenda[at : k - 1]))) if ids is None else ids)
             at = k
         return self._keep(part, b"".join(out))
