@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from .url import html_decode, lower, trim  # noqa: F401  html_decode belongs to both
 
 
-def bytes_human(n: Column) -> Column:
-    """1536 as 1.50 KB: whole bytes, two decimals below ten of a unit, one above, rounded half up."""
+def bytes_human(n: Column, most: str = "TB", grouped: bool = True) -> Column:
+    """1536 as 1.50 KB: whole bytes, two decimals below ten of a unit, one above, rounded half up.
+
+    No unit above most is taken; grouped puts commas between thousands.
+    """
+    units = ("KB", "MB", "GB", "TB")
     value, out = n.cast("double"), F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for k, unit in enumerate(units[: units.index(most) + 1], 1):
         v = value / (1024.0**k)
         text = F.when(v < 10, F.format_number(F.round(v.cast("decimal(30,10)"), 2), 2)).otherwise(F.format_number(F.round(v.cast("decimal(30,10)"), 1), 1))
+        text = text if grouped else F.replace(text, F.lit(","))
         out = F.when(n >= 1024**k, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
     return out
 

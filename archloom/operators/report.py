@@ -6,6 +6,8 @@ that of rows; totals over all resources come from ranges (operators.ranking), no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,23 +67,23 @@ def first_rows(res: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     return d.select("seq", "state", F.when(F.col("state") == "ok", F.col("path")).otherwise(F.col("note")).alias("shown"), "bytes")
 
 
-def report_lines(res: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """Rows seq, line: a table row of HTML for each of the first resources, all cells escaped."""
+def report_lines(res: DataFrame, most: int = MOST_ROWS, size: Callable[[Column], Column] = bytes_human) -> DataFrame:
+    """Rows seq, line: a table row of HTML for each of the first resources, all cells escaped; size says bytes."""
     d = res.orderBy("seq").limit(most)
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     safe = lambda c: html_escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
     link = F.when((F.col("path") != "") & (F.col("state") == "ok"), F.concat(F.lit('<a href="../'), safe("path"), F.lit('">'), safe("path"), F.lit("</a>"))).otherwise(safe("note"))
-    cells = F.concat(cell(safe("state")), cell(safe("code")), cell(safe("type")), cell(bytes_human(F.col("bytes").cast("long"))), cell(safe("url")), cell(link))
+    cells = F.concat(cell(safe("state")), cell(safe("code")), cell(safe("type")), cell(size(F.col("bytes").cast("long"))), cell(safe("url")), cell(link))
     return d.select("seq", F.concat(F.lit('<tr data-state="'), safe("state"), F.lit('">'), cells, F.lit("</tr>")).alias("line"))
 
 
-def readme(res: DataFrame, host: str) -> DataFrame:
-    """One row, text: what the copy holds, with lines that end in CR and LF; pages of scripts and notes where there are any."""
+def readme(res: DataFrame, host: str, size: Callable[[Column], Column] = bytes_human) -> DataFrame:
+    """One row, text: what the copy holds, with lines that end in CR and LF; pages of scripts and notes where there are any; size says bytes."""
     made = F.count(F.when(F.expr("kind = 'page' and state = 'ok'") & is_dynamic(F.col("url")), 1))
     noted = F.array_sort(F.collect_set(F.when(F.col("note") != "", F.concat(F.lit(" - "), F.col("note")))))
     x = res.agg(_n("kind = 'page' and state = 'ok'").alias("pages"), _n("kind = 'asset' and state = 'ok'").alias("files"), _n("state = 'fail'").alias("failed"), _n("state = 'skip'").alias("skipped"), F.coalesce(F.sum(F.when(F.col("state") == "ok", F.col("bytes"))), F.lit(0)).cast("long").alias("bytes"), made.alias("made"), noted.alias("notes"))
     line = lambda name, c: F.concat(F.lit(name.ljust(18) + ": "), F.col(c).cast("string"))
-    lines = F.array(F.lit("OFFLINE COPY OF " + host.upper()), F.lit(""), line("Pages (HTML)", "pages"), line("Other files", "files"), line("Failed", "failed"), line("Skipped", "skipped"), F.concat(F.lit("Total size".ljust(18) + ": "), bytes_human(F.col("bytes"))))
+    lines = F.array(F.lit("OFFLINE COPY OF " + host.upper()), F.lit(""), line("Pages (HTML)", "pages"), line("Other files", "files"), line("Failed", "failed"), line("Skipped", "skipped"), F.concat(F.lit("Total size".ljust(18) + ": "), size(F.col("bytes"))))
     scripts = F.when(F.col("made") > 0, F.array(F.lit(""), F.concat(F.col("made").cast("string"), F.lit(" page(s) came from scripts on the server and are kept as the HTML they gave.")))).otherwise(F.array())
     limits = F.when(F.size("notes") > 0, F.concat(F.array(F.lit(""), F.lit("NOTES")), F.col("notes"))).otherwise(F.array())
     return x.select(F.concat(F.array_join(F.concat(lines, scripts.cast("array<string>"), limits.cast("array<string>")), "\r\n"), F.lit("\r\n")).alias("text"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from archloom.functions.text import sql_literal
+from archloom.functions.text import bytes_human, sql_literal
 from archloom.functions.url import folder
 from archloom.operators.archive import MOST_BYTES, MOST_ENTRIES, STORED
 from archloom.operators.crawl import Options, effective_type, handled, reject_reason
@@ -66,16 +66,18 @@ reported("snapshot", """SELECT count(*) FILTER (state = 'queued') AS queued, cou
   sum(bytes)::BIGINT AS bytes, max(CASE WHEN note <> '' THEN note END) AS last_note FROM res""", P.snapshot)
 reported("manifest", "SELECT seq, url, path AS file, type, kind, code AS status, bytes, state, note FROM res", P.manifest)
 reported("report_rows", "SELECT seq, state, CASE WHEN state = 'ok' THEN path ELSE note END AS shown, bytes FROM res WHERE state <> 'queued' ORDER BY seq LIMIT 4000", P.first_rows)
+# The SQL stops at a unit and has no commas.
+_plain = lambda most: lambda n: bytes_human(n, most, grouped=False)
 _esc = lambda c: f"replace(replace(replace(replace(replace(coalesce({c}::VARCHAR, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#039;')"
 _human = "CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 10240 THEN printf('%.2f KB', round((bytes / 1024.0)::DECIMAL(30,10), 2)) ELSE printf('%.1f KB', round((bytes / 1024.0)::DECIMAL(30,10), 1)) END"
 reported("report_lines", f"""SELECT seq, '<tr data-state="' || {_esc('state')} || '"><td>' || {_esc('state')} || '</td><td>' || {_esc('code')} || '</td><td>' || {_esc('type')} || '</td><td>' || {_human} || '</td><td>' || {_esc('url')} || '</td><td>'
-  || CASE WHEN path <> '' AND state = 'ok' THEN '<a href="../' || {_esc('path')} || '">' || {_esc('path')} || '</a>' ELSE {_esc('note')} END || '</td></tr>' AS line FROM (SELECT * FROM res ORDER BY seq LIMIT 4000) AS r""", P.report_lines)
+  || CASE WHEN path <> '' AND state = 'ok' THEN '<a href="../' || {_esc('path')} || '">' || {_esc('path')} || '</a>' ELSE {_esc('note')} END || '</td></tr>' AS line FROM (SELECT * FROM res ORDER BY seq LIMIT 4000) AS r""", lambda r: P.report_lines(r, size=_plain("KB")))
 reported("readme_stats", "SELECT count(*) FILTER (state = 'ok' AND kind = 'page') || ' pages, ' || count(*) FILTER (state = 'ok' AND kind = 'asset') || ' files' AS line FROM res", lambda r: summary(r).where("place = 1").select("line"))
 _total = "CASE WHEN b < 1048576 THEN printf('%.1f KB', round((b / 1024.0)::DECIMAL(30,10), 1)) WHEN b < 10485760 THEN printf('%.2f MB', round((b / 1048576.0)::DECIMAL(30,10), 2)) ELSE printf('%.1f MB', round((b / 1048576.0)::DECIMAL(30,10), 1)) END"
 reported("readme_text", f"""SELECT array_to_string(['OFFLINE COPY OF SITE.TEST', '', 'Pages (HTML)      : ' || p, 'Other files       : ' || f, 'Failed            : ' || x, 'Skipped           : ' || k, 'Total size        : ' || {_total},
   '', made || ' page(s) came from scripts on the server and are kept as the HTML they gave.', '', 'NOTES', ns], chr(13) || chr(10)) || chr(13) || chr(10) AS text
   FROM (SELECT count(*) FILTER (kind = 'page' AND state = 'ok') AS p, count(*) FILTER (kind = 'asset' AND state = 'ok') AS f, count(*) FILTER (state = 'fail') AS x, count(*) FILTER (state = 'skip') AS k, sum(bytes) FILTER (state = 'ok') AS b,
-  count(*) FILTER (regexp_matches(url, '\\.php(\\?|$)') AND state = 'ok' AND kind = 'page') AS made, (SELECT string_agg(' - ' || note, chr(13) || chr(10) ORDER BY note) FROM (SELECT DISTINCT note FROM res WHERE note <> '') AS d) AS ns FROM res) AS t""", lambda r: P.readme(r, "site.test"))
+  count(*) FILTER (regexp_matches(url, '\\.php(\\?|$)') AND state = 'ok' AND kind = 'page') AS made, (SELECT string_agg(' - ' || note, chr(13) || chr(10) ORDER BY note) FROM (SELECT DISTINCT note FROM res WHERE note <> '') AS d) AS ns FROM res) AS t""", lambda r: P.readme(r, "site.test", size=_plain("MB")))
 reported("rewrite_index", "SELECT url, path FROM res WHERE state = 'ok' AND path <> ''", P.copied)
 reported("entry_file", "SELECT coalesce(max(CASE WHEN url = 'https://site.test/' AND state = 'ok' THEN path END), min_by(path, CASE WHEN state = 'ok' AND type = 'html' THEN seq END)) AS entry FROM res", lambda r: P.entry_file(r, "https://site.test/"))
 

@@ -110,7 +110,7 @@ query("same_dir", f"{WITH} SELECT url, n_host || regexp_extract(n_p, '^(.*/)', 1
 # Text and format.
 query("bytes_human", """SELECT doc_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n < 10240 THEN printf('%.2f', round((n / 1024.0)::DECIMAL(30,10), 2)) ELSE printf('%.1f', round((n / 1024.0)::DECIMAL(30,10), 1)) END || ' KB'
 ELSE printf('%.2f', round((n / 1048576.0)::DECIMAL(30,10), 2)) || ' MB' END AS human FROM (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents)""")(
-    lambda s, d: table(s, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n")).withColumn("human", T.bytes_human(F.col("n")))
+    lambda s, d: table(s, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n")).withColumn("human", T.bytes_human(F.col("n"), "MB", grouped=False))
 )
 query("html_escape", """SELECT page_id, sha1(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;')) AS escaped FROM pages""")(
     lambda s, d: table(s, d, "pages").select("page_id", F.sha1(T.html_escape(F.col("html"))).alias("escaped"))
