@@ -143,17 +143,27 @@ def named(o: Options, site: DataFrame) -> DataFrame:
     """Rows src, first (its place), url, kind, type: what each fetched document (final_url, ctype, body) names.
 
     All documents are read at once; a crawl then follows the rows. Documents without a type in
-    their response are taken for what their name says, or else for HTML.
+    their response are taken for what their name says, or else for HTML. Of URLs that lead to one
+    final URL the first counts; which that is, their heads tell, so no body is shuffled.
     """
     src = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))
     guess = F.coalesce(F.nullif(type_from_url(src), F.lit("")), F.lit("html"))
-    d = site.where("status between 1 and 399").select(src.alias("src"), effective_type(F.col("ctype"), guess).alias("type"), F.col("body").cast("string").alias("text")).dropDuplicates(["src"])
-    pages = d.where("type = 'html'").select(F.col("src").alias("page_id"), F.col("src").alias("url"), F.col("text").alias("html"))
-    out = dedup(links(pages, o.scripts)).select(F.col("page_id").alias("src"), "first", F.col("target").alias("url"), "kind", "type")
+    fine = site.where("status between 1 and 399")
+    chosen = fine.groupBy(src.alias("src")).agg(F.min("url").alias("page_id"))
+    d = fine.select("url", src.alias("src"), effective_type(F.col("ctype"), guess).alias("type"), F.col("body").cast("string").alias("text"))
+    pages = d.where("type = 'html'").select(F.col("url").alias("page_id"), F.col("src").alias("url"), F.col("text").alias("html"))
+    out = named_by(o, links(pages, o.scripts))
     at = F.struct("pos", F.lit(0).alias("apos"), F.lit(0).alias("ipos")).alias("first")
-    one = lambda t, name: d.where(F.col("type") == t).select(F.col("src").alias("id"), F.col("src").alias("base"), F.col("text").alias(name))
+    one = lambda t, name: d.where(F.col("type") == t).select(F.col("url").alias("id"), F.col("src").alias("base"), F.col("text").alias(name))
     for more in (css_links(one("css", "css")), *([js_links(one("js", "js"))] if o.scripts else [])):
-        out = out.unionByName(more.select(F.col("id").alias("src"), at, F.col("target").alias("url"), F.lit("asset").alias("kind"), "type"))
+        more = more.select(F.col("id").alias("src"), at, F.col("target").alias("url"), F.lit("asset").alias("kind"), "type")
+        out = out.unionByName(more.withColumn("inside", o.in_scope(F.col("url"))))
+    return out.withColumnRenamed("src", "page_id").join(chosen, "page_id").select(out.columns)
+
+
+def named_by(o: Options, found: DataFrame) -> DataFrame:
+    """Rows of named() from the links of pages, whose page_id is their URL."""
+    out = dedup(found).select(F.col("page_id").alias("src"), "first", F.col("target").alias("url"), "kind", "type")
     return out.withColumn("type", F.when(F.col("kind") == "page", "html").otherwise(F.col("type"))).withColumn("inside", o.in_scope(F.col("url")))
 
 
@@ -161,11 +171,12 @@ _FOUND = "seq long, url string, kind string, type string, depth int"
 _TOLD = ["seq", "kind", "type", "state", "note", "code", "bytes", "final_url", "hash"]
 
 
-def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options) -> DataFrame:
+def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options, edges: DataFrame | None = None) -> DataFrame:
     """Resources of a crawl: seq, url, kind, type, depth, state, note, code, bytes, final_url, hash, path.
 
     seeds: url, depth. site: the responses that a fetch gives (url, final_url, status, ctype, body,
-    size, error), each url once. robots: host, body. Pages are taken level by level, in the order of
+    size, error); of several of one url the least head counts. robots: host, body. edges: the rows of
+    named(), where they are known already; else they are read from the bodies. Pages are taken level by level, in the order of
     their discovery (parent, place), then assets; what a level finds is queued after all before it.
     Budgets are global running sums over that order, so they cut exactly: what they leave stays queued.
 
@@ -177,7 +188,8 @@ def crawl(seeds: DataFrame, site: DataFrame, robots: DataFrame, o: Options) -> D
     rows = R.rules(robots)
     chosen = kept(rows.join(R.group(rows), ["host", "agent"]))
     heads = site.select(F.col("url").alias("at"), "final_url", F.col("status").cast("int").alias("status"), "ctype", F.col("size").cast("long").alias("size"), "error", F.sha1("body").alias("sha"))
-    edges = named(o, site)
+    heads = heads.groupBy("at").agg(F.min(F.struct(*heads.columns[1:])).alias("x")).select("at", "x.*")
+    edges = named(o, site) if edges is None else edges
     responses, links_of = Bucketed(spark, "at", heads.schema), Bucketed(spark, "src", edges.schema)
     responses.add(heads)
     links_of.add(edges)

@@ -64,3 +64,37 @@ def test_seen_set_is_not_shuffled(spark):
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
     seen.drop()
+
+
+def _crossing(df):
+    """Columns that go through the exchanges of a plan."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return " ".join(line for block in text.split("\n\n") if ") Exchange" in block or ") SortAggregate" in block for line in block.splitlines() if line.startswith("Input"))
+
+
+def test_no_body_crosses_an_exchange(spark):
+    from archloom.operators.crawl import named
+
+    site = spark.createDataFrame([(f"{_AT}/{k}", f"{_AT}/", 200, c, _HOME, 1, "") for k, c in enumerate(("text/html", "text/css"))], "url string, final_url string, status int, ctype string, body string, size long, error string")
+    across = _crossing(named(Options("site.test"), site))
+    assert "page_id" in across and not any(x in across for x in ("body#", "text#", "html#", "css#"))
+
+
+def test_of_two_urls_of_a_final_url_the_first_is_read(spark):
+    from archloom.operators.crawl import named
+
+    site = spark.createDataFrame([(f"{_AT}/b", f"{_AT}/z", 200, "text/html", '<a href="/from-b">', 1, ""), (f"{_AT}/a", f"{_AT}/z", 200, "text/html", '<a href="/from-a">', 1, "")], "url string, final_url string, status int, ctype string, body string, size long, error string")
+    assert [(r.src, r.url) for r in named(Options("site.test"), site).collect()] == [(f"{_AT}/z", f"{_AT}/from-a")]
+
+
+def test_pages_of_a_site_are_parsed_once(spark):
+    """The links of pages come from files, and targets meet pages by host and number, not by host alone."""
+    from archloom.plans.crawls import documents
+    from archloom.sources.shared import removed
+
+    docs, found, _, made = documents(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("pages.parquet") <= 2 * 2  # the bodies taken, for tags and for styles: scan and its location
+    assert docs.columns == ["url", "html"] and found.select("page_id").distinct().count() > made[0].select("page_id").distinct().count()
+    for x in made:
+        removed(x)
