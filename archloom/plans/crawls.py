@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archloom.functions.url import host, normalize, path
 from archloom.operators import links as L
-from archloom.operators.crawl import Options, closure, counters, crawl
+from archloom.operators.crawl import Options, closure, counters, crawl, named_by
+from archloom.sources.shared import removed, stored
 
 from .extraction import ALL, LINKS
 from .kit import d_base_domain, d_parts, query, table
@@ -32,28 +34,41 @@ _STATES = "SELECT url, min(depth)::INT AS depth, CASE WHEN url IN (SELECT url FR
 
 
 def documents(spark, sf_dir):
-    """Rows url, html of the site's documents."""
+    """The site's documents (url, html), the links of all (page_id: their URL), its pages by name, and what is stored for them.
+
+    A page is parsed once. The documents beside the pages are as many as the URLs named, each with a page's body.
+    """
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    own = p.select("page_id", F.explode(F.array(normalize(F.col("url")))).alias("own"), "html").withColumn("host", host(F.col("own")))
+    own = p.select("page_id", F.explode(F.array(normalize(F.col("url")))).alias("own"), "html")
+    found = stored(L.links(own.select(F.col("own").alias("page_id"), F.col("own").alias("url"), "html")), "links")
     # Pages of a host by number, which a query's SQL can say; the counts are one row a host.
-    from pyspark.sql import Window
-
-    names = own.select("page_id", "own", "host")
-    by_host = Window.partitionBy("host").orderBy("page_id")
-    number = names.withColumn("k", F.row_number().over(by_host) - 1).join(names.groupBy("host").agg(F.count("*").alias("n")), "host")
-    to = L.links(p).select("target").distinct().withColumns({"host": host(F.col("target")), "at": path(F.col("target"))}).where(F.col("at").contains("e"))
-    to = to.join(names.select(F.col("own").alias("target")), "target", "left_anti").join(number, "host").where(F.col("k") == F.length("target") % F.col("n"))
-    extra = to.select(F.col("target").alias("url"), "page_id").join(p.select("page_id", "html"), "page_id").select("url", "html")
-    return own.select(F.col("own").alias("url"), "html").unionByName(extra), names
+    names = own.select("page_id", "own").withColumn("host", host(F.col("own")))
+    number = names.select("host", "page_id", (F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1).alias("k"))
+    to = found.select("target").distinct().withColumns({"host": host(F.col("target")), "at": path(F.col("target"))}).where(F.col("at").contains("e"))
+    to = to.join(names.select(F.col("own").alias("target")), "target", "left_anti").join(names.groupBy("host").agg(F.count("*").alias("n")), "host")
+    extra = stored(to.withColumn("k", (F.length("target") % F.col("n")).cast("int")).join(number, ["host", "k"]).select(F.col("target").alias("url"), "page_id"), "extra")
+    # Only bodies that are taken meet the URLs; these pages are told by a list of their numbers.
+    taken = stored(extra.select("page_id").distinct(), "taken")
+    more = extra.join(p.select("page_id", "html").join(taken, "page_id", "left_semi"), "page_id").select("url", "html")
+    every = found.unionByName(L.links(more.select(F.col("url").alias("page_id"), "url", "html")))
+    return own.select(F.col("own").alias("url"), "html").unionByName(more), every, names, [found, extra, taken]
 
 
 def _crawl(spark, sf_dir, **options):
-    docs, names = documents(spark, sf_dir)
+    docs, found, names, made = documents(spark, sf_dir)
     one = lambda v, t: F.lit(v).cast(t)
     site = docs.select("url", F.col("url").alias("final_url"), one(200, "int").alias("status"), F.lit("text/html").alias("ctype"), F.col("html").alias("body"), F.octet_length("html").cast("long").alias("size"), F.lit("").alias("error"))
-    seeds = names.where(in_scope(F.col("own"))).groupBy("host").agg(F.min("own").alias("url")).select("url", F.lit(0).alias("depth"))
     robots = spark.createDataFrame([], "host string, body string")
-    return crawl(seeds, site, robots, Options("example.com", subdomains=True, **({"max_pages": 10**9, "max_bytes": 1 << 60} | options)))
+    o = Options("example.com", subdomains=True, **({"max_pages": 10**9, "max_bytes": 1 << 60} | options))
+    out = crawl(_seeds(names).withColumn("depth", F.lit(0)), site, robots, o, named_by(o, found))
+    for x in made:
+        removed(x)
+    return out
+
+
+def _seeds(names):
+    """The least URL of each host in scope."""
+    return names.where(in_scope(F.col("own"))).groupBy("host").agg(F.min("own").alias("url")).select("url")
 
 
 def in_scope(url):
@@ -73,9 +88,11 @@ query("crawl_counters", f"{DOCS}, {_reach(2)}, st AS ({_STATES}) SELECT count(*)
 
 @query("crawl_bfs", f"{DOCS}, {_reach(4, 'true')} SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url")
 def crawl_bfs(spark, sf_dir):
-    docs, names = documents(spark, sf_dir)
-    edges = L.links(docs.select(F.col("url").alias("page_id"), "url", "html")).select(F.col("url").alias("src"), F.col("target").alias("dst"), "kind")
-    return closure(names.where(in_scope(F.col("own"))).groupBy("host").agg(F.min("own").alias("url")).select("url"), edges, max_depth=4)
+    _, found, names, made = documents(spark, sf_dir)
+    out = closure(_seeds(names), found.select(F.col("page_id").alias("src"), F.col("target").alias("dst"), "kind"), max_depth=4)
+    for x in made:
+        removed(x)
+    return out
 
 
 @query("discover", f"{DOCS} SELECT page_id, target AS dst, arg_max(kind, pos * 1000000 + apos * 1000 + ipos) AS kind, 1 AS depth, min(pos)::INT AS pos FROM links WHERE target NOT IN (SELECT url FROM rk) GROUP BY page_id, target")
