@@ -30,7 +30,7 @@ from .common import slices, table, text_of
 
 BLANK = "▁"
 #: Distinct parts of texts whose ids a worker remembers, twice: those met since the last turn, and those of the turn before.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Characters of a part that is short: remembered, and its agenda a list.
 _SHORT = 64
 #: Score of a pair that is no piece; scores count from the best, 0 or less in the model, upwards.
@@ -205,6 +205,12 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+def agree(library, text: str, ids: np.ndarray, decoded: str) -> bool:
+    """Whether the library gives these ids for the text and this text for the ids; its ids come as an array, not as a list of numbers."""
+    theirs = library.encode_as_numpy(text, add_bos=True, add_eos=True)
+    return np.array_equal(theirs, ids) and library.decode(theirs) == decoded
+
+
 def piece_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", values: bool = True) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256, decoded_sha256, agrees, and with values ids and decoded.
 
@@ -222,15 +228,13 @@ def piece_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        sp, sha = p.library, lambda b: hashlib.sha256(b).hexdigest()
+        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches, 256):
             rows = []
             for text in batch.column("text").to_pylist():
                 ids = np.concatenate([p.ends[:1], np.frombuffer(p.encode(text), "<u4"), p.ends[1:]])
                 decoded = p.decode(ids)
-                theirs = sp.encode(text, add_bos=True, add_eos=True)
-                agrees = theirs == ids.tolist() and sp.decode(theirs) == decoded
-                row = (len(ids), sha(ids.tobytes()), sha(decoded.encode()), agrees)
+                row = (len(ids), sha(ids.tobytes()), sha(decoded.encode()), agree(p.library, text, ids, decoded))
                 rows.append((*row, ids.astype(np.int64), decoded) if values else row)
             types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.string()][: len(names) - 1]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
