@@ -38,6 +38,8 @@ LEAST_DEVIATIONS = 4.0
 BATCH_BYTES, BUCKET_ENTRIES = 8 << 20, 2_000_000
 #: Hash of the end of a document, which also stands once before its first word.
 END = np.uint64(0x5BD1E9955BD1E995)
+#: Contexts that are tested at once.
+_SLICE = 1 << 18
 #: Bytes of the hash of a token, and of a count.
 _TOKEN, _COUNT = 8, 6
 
@@ -66,8 +68,8 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, and the number of each element among them."""
     order = np.argsort(x)
     new = np.append(True, np.diff(x[order]) != 0)[: len(x)]
-    number = np.empty(len(x), np.int64)
-    number[order] = np.cumsum(new) - 1
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     return x[order][new], number
 
 
@@ -90,16 +92,17 @@ class Batch:
     def __init__(self, t: pa.Table, told: list[tuple[int, int, int, bytes, bytes]], root: tuple[int, int] | None, depth: int, width: int, n_buckets: int):
         self.width, self.n_buckets = width, n_buckets
         texts = pc.cast(t.column("text"), pa.binary()).to_pylist()
-        words, starts = word_hashes(b"\n".join(texts).lower())
-        size = np.array([len(x) + 1 for x in texts], np.int64)
+        size, texts = np.array([len(x) + 1 for x in texts], np.int64), b"\n".join(texts)
+        words, starts = word_hashes(texts.lower())
+        del texts
         n = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)])))
         self.begin = np.concatenate([[0], np.cumsum(n + 2)])
         self.token = np.full(self.begin[-1], END)
         inner = np.ones(len(self.token), bool)
         inner[self.begin[:-1]] = inner[self.begin[1:] - 1] = False
         self.token[inner] = mixed(words)
-        self.doc = np.repeat(np.arange(len(texts)), n + 2)
-        self.place = np.arange(len(self.token)) - self.begin[self.doc]
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
+        self.place = np.arange(len(self.token), dtype=np.int32) - self.begin.astype(np.int32)[self.doc]
         self.train = ~np.array(t.column("held_out").to_pylist(), bool)[self.doc] & (self.place > 0)
         self.told, self.depth = told, depth
         #: Of each level: the n-gram that ends at each place, its distinct values and their counts.
@@ -184,10 +187,13 @@ class Batch:
         train = self.train[at]
         n, total = np.maximum(self.level(k)[at], 1).astype(float), context[at].astype(float)
         often = train & (n >= LEAST_NEXT)
-        parts = (np.where(train, 1 / n, 0.0), np.where(often, np.log(n / (total * p[at])), 0.0), np.where(often, p[at] / n, 0.0), often.astype(float), np.where(often, 1 / n, 0.0))
-        count = np.zeros(len(known))
-        count[number] = total
-        return known, np.stack([*(np.bincount(number, x, len(known)) for x in parts), count])
+        # One part at a time, as each is as long as the batch.
+        parts = (lambda: np.where(train, 1 / n, 0.0), lambda: np.where(often, np.log(n / (total * p[at])), 0.0), lambda: np.where(often, p[at] / n, 0.0), lambda: often, lambda: np.where(often, 1 / n, 0.0))
+        out = np.zeros((6, len(known)))
+        for k, part in enumerate(parts):
+            out[k] = np.bincount(number, part(), len(known))
+        out[5, number] = total
+        return known, out
 
 
 def kept_contexts(sums: np.ndarray) -> np.ndarray:
@@ -236,12 +242,13 @@ def _meet(t: pa.Table, width: int) -> pa.Table:
             rows = [(*r[:6], 0, 0) for r in rows]
         return _table(rows, _BACK)
     sent = list(zip(t.column("n").to_pylist(), each))
-    parts = np.concatenate([np.frombuffer(x, "<f4", 5 * len(g)).reshape(5, -1) for x, g in sent], axis=1).astype(float)
-    sums = np.stack([*(np.bincount(number, x, len(known)) for x in parts), np.zeros(len(known))])
+    sums = np.zeros((6, len(known)))
+    for k in range(5):
+        sums[k] = np.bincount(number, np.concatenate([np.frombuffer(x, "<f4", len(g), 4 * k * len(g)) for x, g in sent]), len(known))
     # Kinds are whole numbers, whatever their parts were rounded to.
     sums[0], sums[4] = np.round(sums[0]), np.round(sums[4])
     sums[5, number] = np.concatenate(numbers([x[20 * len(g) :] for x, g in sent], _COUNT))
-    kept = kept_contexts(sums)
+    kept = np.concatenate([kept_contexts(sums[:, i : i + _SLICE]) for i in range(0, max(len(known), 1), _SLICE)])
     for batch, g in zip(batches, each):
         k = number[at : at + len(g)]
         at += len(g)
