@@ -6,10 +6,12 @@ the distribution of its next tokens diverges from its suffix's by more than chan
 are smoothed into those of the suffix. A text is scored from the longest suffix kept at each place.
 
 All least counts are absolute, so vocabulary and tree grow with the corpus; neither is gathered in
-one place. Documents are dealt over batches. A batch sends its distinct tokens and n-grams, sorted
-and with their counts, to buckets by hash, and gets back the counts over all training documents
-where they differ from its own. The test of a context is a sum over the places where it stands, so
-batches send their parts of the sums and get back which contexts are kept. One level takes one pass.
+one place. Documents are dealt over batches and cut into tokens once. A batch sends its distinct
+tokens and n-grams, sorted and with their counts, to buckets by hash, and gets back the counts over
+all training documents where they differ from its own. The test of a context is a sum over the
+n-grams that begin with it: of the batches that have an n-gram the first adds it, the others only ask
+which contexts are kept. One level takes one pass. Tokens and answers lie in tables dealt by batch,
+so each is shuffled once.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from archloom.sources.shared import Bucketed
 
-from .common import ODD, discard, forget, mixed, numbers, planes, steps, table, text_of, word_hashes, written
+from .common import ODD, forget, mixed, numbers, planes, steps, table, text_of, word_hashes, written
 
 FOLDS, HELD_OUT = 5, 1
 DEPTH = 3
@@ -51,7 +53,8 @@ def gram_bytes(n_bytes: int) -> int:
 
 _COUNTS, _SUMS, _KEPT = range(3)
 _SENT = {"bucket": pa.int64(), "batch": pa.int64(), "kind": pa.int32(), "level": pa.int32(), "g": pa.binary(), "n": pa.binary()}
-_BACK = {k: _SENT[k] for k in ("batch", "kind", "level", "bucket")} | {"bits": pa.binary(), "n": pa.binary(), "tokens": pa.int64(), "distinct": pa.int64()}
+_BACK = {k: _SENT[k] for k in ("batch", "kind", "level", "bucket")} | {"bits": pa.binary(), "n": pa.binary(), "first": pa.binary(), "tokens": pa.int64(), "distinct": pa.int64()}
+_ZSTD = pa.Codec("zstd")
 
 
 def _schema(columns: dict[str, pa.DataType]) -> str:
@@ -64,13 +67,39 @@ def _table(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.Table:
     return pa.table([pa.array(v, k) for v, k in zip(values, columns.values())], names=list(columns))
 
 
+def _packed(t: pa.Table) -> pa.Table:
+    """Binary columns compressed value by value, their lengths before them."""
+    for i, f in enumerate(t.schema):
+        if f.type == pa.binary():
+            t = t.set_column(i, f, pa.array([len(x).to_bytes(8, "little") + _ZSTD.compress(x, asbytes=True) for x in t.column(i).to_pylist()], f.type))
+    return t
+
+
+def _unpacked(t: pa.Table) -> pa.Table:
+    for i, f in enumerate(t.schema):
+        if f.type == pa.binary():
+            t = t.set_column(i, f, pa.array([_ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in t.column(i).to_pylist()], f.type))
+    return t
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, and the number of each element among them."""
-    order = np.argsort(x)
-    new = np.append(True, np.diff(x[order]) != 0)[: len(x)]
+    # Values whose low bits give way to their places sort faster than places by value.
+    low = np.uint64((1 << max(len(x) - 1, 1).bit_length()) - 1)
+    least, most = (x.min(), x.max()) if len(x) else (np.uint64(0), np.uint64(0))
+    order = (x - least) << np.uint64(min(63, 64 - int(most - least).bit_length()))
+    order &= ~low
+    order |= np.arange(len(x), dtype=np.uint64)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    sorted_x = x[order]
+    if (sorted_x[1:] < sorted_x[:-1]).any():  # values that differ in the low bits alone
+        order = np.argsort(x)
+        sorted_x = x[order]
+    new = np.append(True, sorted_x[1:] != sorted_x[:-1])[: len(x)]
     number = np.empty(len(x), np.int32)
     number[order] = np.cumsum(new, dtype=np.int32) - 1
-    return x[order][new], number
+    return sorted_x[new], number
 
 
 def _cuts(g: np.ndarray, size: int, n_buckets: int) -> np.ndarray:
@@ -83,30 +112,44 @@ def _chosen(bits: bytes, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
 
 
+def tokenised(t: pa.Table) -> pa.Table:
+    """Texts of a batch as one row: documents, distinct tokens by hash and the number of each word among them."""
+    texts = pc.cast(t.column("text"), pa.binary()).to_pylist()
+    size, texts = np.array([len(x) + 1 for x in texts], np.int64), b"\n".join(texts)
+    words, starts = word_hashes(texts.lower())
+    del texts
+    n = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)])))
+    known, number = _distinct(np.append(mixed(words), END))
+    whole = lambda x: pa.array([x.tolist()], pa.list_(pa.int64()))
+    lists = {"held_out": pa.array([t.column("held_out").to_pylist()], pa.list_(pa.bool_())), "n": whole(n)}
+    return pa.table(lists | {"words": [planes(steps(known), _TOKEN)], "numbers": [planes(number[:-1].astype(np.uint64), 4)]})
+
+
 class Batch:
     """Tokens of a batch of documents, and what its passes have learnt of them.
 
     Places run over all documents: an end, the words, an end. The first is a context alone.
     """
 
-    def __init__(self, t: pa.Table, told: list[tuple[int, int, int, bytes, bytes]], root: tuple[int, int] | None, depth: int, width: int, n_buckets: int):
+    def __init__(self, t: pa.Table, told: list[tuple[int, int, int, bytes, bytes, bytes]], root: tuple[int, int] | None, depth: int, width: int, n_buckets: int):
+        """Of texts, or of the row that tokenised() makes of them."""
         self.width, self.n_buckets = width, n_buckets
-        texts = pc.cast(t.column("text"), pa.binary()).to_pylist()
-        size, texts = np.array([len(x) + 1 for x in texts], np.int64), b"\n".join(texts)
-        words, starts = word_hashes(texts.lower())
-        del texts
-        n = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)])))
+        t = tokenised(t) if "text" in t.column_names else t
+        n = np.array(t.column("n")[0].as_py(), np.int64)
+        #: Distinct tokens, and the number of the token at each place.
+        self.words = np.cumsum(numbers([t.column("words")[0].as_py()], _TOKEN)[0])
         self.begin = np.concatenate([[0], np.cumsum(n + 2)])
-        self.token = np.full(self.begin[-1], END)
-        inner = np.ones(len(self.token), bool)
+        inner = np.ones(self.begin[-1], bool)
         inner[self.begin[:-1]] = inner[self.begin[1:] - 1] = False
-        self.token[inner] = mixed(words)
+        self.number = np.full(len(inner), np.searchsorted(self.words, END), np.int32)
+        self.number[inner] = numbers([t.column("numbers")[0].as_py()], 4)[0]
+        self.token = self.words[self.number]
         self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
         self.place = np.arange(len(self.token), dtype=np.int32) - self.begin.astype(np.int32)[self.doc]
-        self.train = ~np.array(t.column("held_out").to_pylist(), bool)[self.doc] & (self.place > 0)
+        self.train = ~np.array(t.column("held_out")[0].as_py(), bool)[self.doc] & (self.place > 0)
         self.told, self.depth = told, depth
-        #: Of each level: the n-gram that ends at each place, its distinct values and their counts.
-        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Of each level: the places of its n-grams and their numbers, the distinct ones, their counts here, and which are added here.
+        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.count: list[np.ndarray] = []
         self.root = root
 
@@ -115,21 +158,24 @@ class Batch:
         last = k
         while len(self.count) <= last:
             j = len(self.count)
-            g = self.token.copy()
-            for i in range(1, j + 1):  # the token i places before
-                g[i:] = mixed(g[i:] * ODD[i % 5] + self.token[:-i])
             at = np.flatnonzero(self.place > 0 if j == 0 else self.place >= j)
             if j > 1:  # contexts that are rare have no children
                 at = at[self.level(j - 1)[at - 1] >= LEAST_CONTEXT]
-            known, number = _distinct(g[at] if j == 0 else g[at] >> np.uint64(64 - 8 * self.width))
+            if j == 0:
+                known, number = self.words, self.number[at]
+            else:
+                known, number = _distinct(self.key(j + 1, at))
             own = np.bincount(number, self.train[at], len(known)).astype(np.int64)
-            total = own.copy()
+            total, first = own.copy(), own > 0
             # Answers tell places in what was sent, which is found anew.
             cuts = _cuts(known, self.width if j else _TOKEN, self.n_buckets)
-            for kind, level, k, bits, counts in self.told:
+            for kind, level, k, bits, counts, mine in self.told:
                 if kind == _COUNTS and level == j:
-                    total[cuts[k] + _chosen(bits, cuts[k + 1] - cuts[k])] = numbers([counts], _COUNT)[0]
-            self.grams.append((at, known, own))
+                    other = cuts[k] + _chosen(bits, cuts[k + 1] - cuts[k])
+                    total[other] = numbers([counts], _COUNT)[0]
+                    if j:
+                        first[other] = np.unpackbits(np.frombuffer(mine, np.uint8), count=len(other))
+            self.grams.append((at.astype(np.int32), number, known, own, first))
             here = np.zeros(len(self.token), np.int64)
             here[at] = total[number]
             self.count.append(here)
@@ -144,12 +190,12 @@ class Batch:
             out[first] = self.level(0)[self.begin[self.doc[first] + 1] - 1]
         return out
 
-    def key(self, k: int) -> np.ndarray:
-        """Hash of the context of k tokens before each place."""
-        g = self.token.copy()
-        for i in range(1, k):
-            g[i:] = mixed(g[i:] * ODD[i % 5] + self.token[:-i])
-        return np.append(np.uint64(0), g[:-1]) >> np.uint64(64 - 8 * self.width)
+    def key(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the k tokens that end at each of these places."""
+        g = self.token[at]
+        for i in range(1, k):  # the token i places before
+            g = mixed(g * ODD[i % 5] + self.token[at - i])
+        return g >> np.uint64(64 - 8 * self.width)
 
     def chances(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each token from the longest suffix of at most k tokens kept, and whether all k are."""
@@ -160,9 +206,9 @@ class Batch:
             at, known, number = self.contexts(j, kept)
             cuts = _cuts(known, self.width, self.n_buckets)
             kinds = np.zeros(len(known))
-            for kind, level, b, bits, x in self.told:
+            for kind, level, b, bits, x, _ in self.told:
                 if kind == _KEPT and level == j:
-                    kinds[cuts[b] + _chosen(bits, cuts[b + 1] - cuts[b])] = np.frombuffer(x, "<f8")
+                    kinds[cuts[b] + _chosen(bits, cuts[b + 1] - cuts[b])] = numbers([x], _COUNT)[0]
             kinds = kinds[number]
             hit = kinds > 0
             kept = np.zeros(len(p), bool)
@@ -175,31 +221,53 @@ class Batch:
     def contexts(self, k: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places after a frequent context of k tokens whose suffix is kept there; the distinct contexts, and the number of each place's."""
         at = np.flatnonzero(kept & (self.place >= k) & (self.before(k) >= LEAST_CONTEXT))
-        return at, *_distinct(self.key(k)[at])
+        # A context is an n-gram of the level before, numbered there; the start is the end before it.
+        places, number, known, *_ = self.grams[k - 1]
+        all_numbers = np.full(len(self.token), np.searchsorted(self.words, END) if k == 1 else 0, np.int32)
+        all_numbers[places] = number
+        number = all_numbers[at - 1]
+        del all_numbers
+        some = np.zeros(len(known), bool)
+        some[number] = True
+        known = known[some]
+        return at, known >> np.uint64(64 - 8 * self.width) if k == 1 else known, (np.cumsum(some, dtype=np.int32) - 1)[number]
 
     def sums(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts of k tokens that may be kept, and parts of their sums: kinds of next tokens, and
-        of those frequent enough divergence, probability by the suffix, places and kinds; then the count."""
+        """The contexts of k tokens that may be kept, and parts of their sums over the n-grams that are added
+        here: kinds of next tokens, of those frequent enough divergence and probability by the suffix, places of
+        the rest, and kinds of those frequent enough; then the count."""
         p, kept = self.chances(k - 1)
         context = self.before(k)
-        # Documents held out ask for the contexts too, and add nothing to the sums.
+        # Contexts without n-grams that are added here are asked for, and add nothing to the sums.
         at, known, number = self.contexts(k, kept)
-        train = self.train[at]
-        n, total = np.maximum(self.level(k)[at], 1).astype(float), context[at].astype(float)
-        often = train & (n >= LEAST_NEXT)
-        # One part at a time, as each is as long as the batch.
-        parts = (lambda: np.where(train, 1 / n, 0.0), lambda: np.where(often, np.log(n / (total * p[at])), 0.0), lambda: np.where(often, p[at] / n, 0.0), lambda: often, lambda: np.where(often, 1 / n, 0.0))
         out = np.zeros((6, len(known)))
-        for k, part in enumerate(parts):
-            out[k] = np.bincount(number, part(), len(known))
-        out[5, number] = total
+        out[5, number] = context[at]
+        all_numbers = np.full(len(self.token), -1, np.int32)
+        all_numbers[at] = number
+        self.level(k)
+        places, gram, grams, own, first = self.grams[k]
+        # One place of each n-gram, whichever it is.
+        one = np.zeros(len(grams), np.int32)
+        one[gram] = places
+        one = one[first & (own > 0)]
+        one = one[all_numbers[one] >= 0]
+        number = all_numbers[one]
+        del all_numbers
+        out[0] = np.bincount(number, minlength=len(known))
+        n = self.level(k)[one].astype(float)
+        often = n >= LEAST_NEXT
+        out[3] = np.bincount(number[~often], n[~often], len(known))
+        one, number, n = one[often], number[often], n[often]
+        out[1] = np.bincount(number, n * np.log(n / (context[one] * p[one])), len(known))
+        out[2] = np.bincount(number, p[one], len(known))
+        out[4] = np.bincount(number, minlength=len(known))
         return known, out
 
 
 def kept_contexts(sums: np.ndarray) -> np.ndarray:
     """Which contexts diverge from their suffixes by more than chance; a row of sums as Batch.sums gives them."""
-    _, divergence, above, places, freedom, total = sums
-    rest, rest_above = 1 - places / total, 1 - above
+    _, divergence, above, rest, freedom, total = sums
+    rest, rest_above = rest / total, 1 - above
     some = (rest > 1e-12) & (rest_above > 1e-12)
     divergence = divergence + np.where(some, total * rest * np.log(np.where(some, rest, 1.0) / np.where(some, rest_above, 1.0)), 0.0)
     return (2 * divergence > freedom + LEAST_DEVIATIONS * np.sqrt(2 * freedom)) & (freedom > 0)
@@ -214,7 +282,7 @@ def _send(b: Batch, batch: int, done: int) -> Iterator[tuple]:
 
     for level in (0, 1) if done == 0 else (done + 1,) if done < b.depth else ():
         b.level(level)
-        _, g, own = b.grams[level]
+        _, _, g, own, _ = b.grams[level]
         size = b.width if level else _TOKEN
         yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(steps(g[i:j]), size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
     if done:
@@ -223,7 +291,8 @@ def _send(b: Batch, batch: int, done: int) -> Iterator[tuple]:
 
 
 def _meet(t: pa.Table, width: int) -> pa.Table:
-    """Answers of a bucket to its batches."""
+    """Answers of a bucket to its batches: counts that differ from their own, and of these what they add to the
+    sums, which the first batch with an n-gram does; or the contexts kept, and their kinds of next tokens."""
     t = t.sort_by("batch")  # parts of sums, in single precision, are added in this order, whichever came first
     kind, level = t.column("kind")[0].as_py(), t.column("level")[0].as_py()
     batches, bucket = t.column("batch").to_pylist(), t.column("bucket")[0].as_py() // 3
@@ -232,28 +301,31 @@ def _meet(t: pa.Table, width: int) -> pa.Table:
     rows, at = [], 0
     if kind == _COUNTS:
         own = [x.astype(np.int64) for x in numbers(t.column("n").to_pylist(), _COUNT)]
-        total = np.bincount(number, np.concatenate(own), len(known)).astype(np.int64)
+        some = np.concatenate(own)
+        total = np.bincount(number, some, len(known)).astype(np.int64)
+        has, first = np.flatnonzero(some)[::-1], np.zeros(len(number), bool)
+        one = np.full(len(known), -1, np.int64)
+        one[number[has]] = has  # the last that is set, so the first batch
+        first[one[one >= 0]] = True
         for k, (batch, g, mine) in enumerate(zip(batches, each, own)):
-            whole = total[number[at : at + len(g)]]
+            whole, adds = total[number[at : at + len(g)]], first[at : at + len(g)]
             at += len(g)
             other = whole != mine
-            rows.append((batch, kind, level, bucket, np.packbits(other).tobytes(), planes(whole[other], _COUNT), int(total.sum()) * (k == 0), int((total > 0).sum()) * (k == 0)))
+            rows.append((batch, kind, level, bucket, np.packbits(other).tobytes(), planes(whole[other], _COUNT), np.packbits(adds[other]).tobytes() if level else b"", int(total.sum()) * (k == 0), int((total > 0).sum()) * (k == 0)))
         if level:
-            rows = [(*r[:6], 0, 0) for r in rows]
+            rows = [(*r[:7], 0, 0) for r in rows]
         return _table(rows, _BACK)
     sent = list(zip(t.column("n").to_pylist(), each))
     sums = np.zeros((6, len(known)))
     for k in range(5):
         sums[k] = np.bincount(number, np.concatenate([np.frombuffer(x, "<f4", len(g), 4 * k * len(g)) for x, g in sent]), len(known))
-    # Kinds are whole numbers, whatever their parts were rounded to.
-    sums[0], sums[4] = np.round(sums[0]), np.round(sums[4])
     sums[5, number] = np.concatenate(numbers([x[20 * len(g) :] for x, g in sent], _COUNT))
     kept = np.concatenate([kept_contexts(sums[:, i : i + _SLICE]) for i in range(0, max(len(known), 1), _SLICE)])
     for batch, g in zip(batches, each):
         k = number[at : at + len(g)]
         at += len(g)
         some = kept[k]
-        rows.append((batch, _KEPT, level, bucket, np.packbits(some).tobytes(), sums[0][k][some].astype("<f8").tobytes(), 0, 0))
+        rows.append((batch, _KEPT, level, bucket, np.packbits(some).tobytes(), planes(sums[0][k][some].astype(np.int64), _COUNT), b"", 0, 0))
     return _table(rows, _BACK)
 
 
@@ -269,59 +341,70 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     d = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text_of(text_col).alias("text"))
     id_type = d.schema["id"].dataType.simpleString()
     n_bytes = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # Documents are dealt over batches once; each pass reads them where they lie.
+    # Documents are dealt over batches and cut into tokens once; each pass reads those where they lie.
     n_batches = max(12, n_bytes // BATCH_BYTES)
     d = d.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
-    texts = Bucketed(spark, "batch", d.schema, n_batches // BATCHES_TOGETHER)
-    texts.add(d)
+
+    def cut(t: pa.Table) -> pa.Table:
+        ids = pa.ListArray.from_arrays([0, t.num_rows], t.column("id").combine_chunks())
+        return _packed(tokenised(t)).add_column(0, "ids", ids).add_column(0, "batch", t.column("batch")[:1])
+
+    row = f"batch long, ids array<{id_type}>, held_out array<boolean>, n array<long>, words binary, numbers binary"
+    n_files = n_batches // BATCHES_TOGETHER
+    d = d.repartition(n_files, "batch").groupBy("batch").applyInArrow(cut, row)
+    tokens = Bucketed(spark, "batch", d.schema, n_files)
+    tokens.add(d, dealt=True)
     forget(spark)
-    d = texts.read()
+    d = tokens.read()
     n_buckets, width = max(12, n_bytes // 5 // BUCKET_ENTRIES), gram_bytes(n_bytes)
 
     def meet(t: pa.Table) -> pa.Table:
-        return _meet(t, width)
+        return _packed(_meet(_unpacked(t), width))
+
+    def batch_of(t: pa.Table, got: pa.Table | None, root: tuple[int, int] | None) -> Batch:
+        got = None if got is None else _unpacked(got)
+        told = [] if got is None else list(zip(*(got.column(c).to_pylist() for c in ("kind", "level", "bucket", "bits", "n", "first"))))
+        return Batch(_unpacked(t.drop_columns("ids")), told, root, depth, width, n_buckets)
 
-    def answers(told: pa.Table) -> list[tuple[int, int, int, bytes, bytes]]:
-        return list(zip(*(told.column(c).to_pylist() for c in ("kind", "level", "bucket", "bits", "n"))))
+    def sent(t: pa.Table, b: Batch, done: int) -> pa.Table:
+        return _packed(_table(list(_send(b, t.column("batch")[0].as_py(), done)), _SENT))
 
     def first(t: pa.Table) -> pa.Table:
-        return _table(list(_send(Batch(t, [], None, depth, width, n_buckets), t.column("batch")[0].as_py(), 0)), _SENT)
+        return sent(t, batch_of(t, None, None), 0)
 
-    told = written(d.groupBy("batch").applyInArrow(first, _schema(_SENT)).groupBy("bucket").applyInArrow(meet, _schema(_BACK)), "token-counts")
+    back = d.groupBy("batch").applyInArrow(first, _schema(_SENT)).groupBy("bucket").applyInArrow(meet, _schema(_BACK))
+    told = Bucketed(spark, "batch", back.schema, n_files)
+    told.add(back)
     forget(spark)
-    n, v = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    used = [told]
+    n, v = told.read().agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     def grown(done: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def more(t: pa.Table, got: pa.Table) -> pa.Table:
-            if not t.num_rows:
-                return _table([], _SENT)
-            return _table(list(_send(Batch(t, answers(got), (n, v), depth, width, n_buckets), t.column("batch")[0].as_py(), done)), _SENT)
+            return sent(t, batch_of(t, got, (n, v)), done) if t.num_rows else _table([], _SENT)
 
         return more
 
     for done in range(1, depth + 1):
-        sent = d.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(grown(done), _schema(_SENT))
-        used.append(written(sent.groupBy("bucket").applyInArrow(meet, _schema(_BACK)), f"level-{done}"))
+        back = d.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(grown(done), _schema(_SENT))
+        told.add(back.groupBy("bucket").applyInArrow(meet, _schema(_BACK)))
         forget(spark)
-        told = told.unionByName(used[-1])
 
     columns = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(t: pa.Table, got: pa.Table) -> pa.Table:
-        b = Batch(t, answers(got), (n, v), depth, width, n_buckets)
+        b = batch_of(t, got, (n, v))
         count, real = b.level(0), b.place > 0
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         p, _ = b.chances(depth)
-        by = lambda x: pa.array(np.bincount(b.doc[real], x[real], t.num_rows))
+        by = lambda x: pa.array(np.bincount(b.doc[real], x[real], len(b.begin) - 1))
         whole = lambda x: pc.cast(by(x), pa.int64())
-        return pa.table([t.column("id"), t.column("held_out"), whole(np.ones(len(count))), whole(count > 0), pa.array(np.full(t.num_rows, n), pa.int64()), by(base), by(np.log10(p))], names=columns)
+        ids, held = (t.column(c).combine_chunks().flatten() for c in ("ids", "held_out"))
+        return pa.table([ids, held, whole(np.ones(len(count))), whole(count > 0), pa.array(np.full(len(ids), n), pa.int64()), by(base), by(np.log10(p))], names=columns)
 
-    out = d.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = d.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = written(out, "scores")
-    for x in used:
-        discard(x)
-    texts.drop()
+    told.drop()
+    tokens.drop()
     return out.withColumnRenamed("id", id_col)
 
 
