@@ -10,8 +10,8 @@ one place. Documents are dealt over batches and cut into tokens once. A batch se
 tokens and n-grams, sorted and with their counts, to buckets by hash, and gets back the counts over
 all training documents where they differ from its own. The test of a context is a sum over the
 n-grams that begin with it: of the batches that have an n-gram the first adds it, the others only ask
-which contexts are kept. One level takes one pass. Tokens and answers lie in tables dealt by batch,
-so each is shuffled once.
+which contexts are kept. Tokens are counted first, then one level takes one pass, in rounds over the
+buckets. Tokens and answers lie in tables dealt by batch, so each is shuffled once.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ BATCH_BYTES, BUCKET_ENTRIES = 8 << 20, 2_000_000
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Contexts that are tested at once.
 _SLICE = 1 << 18
+#: Rounds in which texts are dealt, and n-grams counted: only a share of them is in a shuffle at a time.
+ROUNDS = 2
 #: Bytes of the hash of a token, and of a count.
 _TOKEN, _COUNT = 8, 6
 
@@ -159,8 +161,8 @@ class Batch:
         while len(self.count) <= last:
             j = len(self.count)
             at = np.flatnonzero(self.place > 0 if j == 0 else self.place >= j)
-            if j > 1:  # contexts that are rare have no children
-                at = at[self.level(j - 1)[at - 1] >= LEAST_CONTEXT]
+            if j:  # contexts that are rare have no children
+                at = at[self.before(j)[at] >= LEAST_CONTEXT]
             if j == 0:
                 known, number = self.words, self.number[at]
             else:
@@ -273,19 +275,20 @@ def kept_contexts(sums: np.ndarray) -> np.ndarray:
     return (2 * divergence > freedom + LEAST_DEVIATIONS * np.sqrt(2 * freedom)) & (freedom > 0)
 
 
-def _send(b: Batch, batch: int, done: int) -> Iterator[tuple]:
-    """Rows of a pass: counts of tokens and pairs first; then sums of the last level counted, and counts of the next."""
+def _send(b: Batch, batch: int, done: int, part: int = 0, rounds: int = 1) -> Iterator[tuple]:
+    """Rows of a round of a pass: sums of the last level counted, if it isn't the first, and counts of the next."""
 
     def deal(g: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
         cuts = _cuts(g, size, b.n_buckets)
-        return ((k, int(i), int(j)) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j)
+        return ((k, int(i), int(j)) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j and k % rounds == part)
 
-    for level in (0, 1) if done == 0 else (done + 1,) if done < b.depth else ():
+    level = done + 1
+    if level <= b.depth:
         b.level(level)
         _, _, g, own, _ = b.grams[level]
         size = b.width if level else _TOKEN
         yield from ((3 * k + min(level, 1), batch, _COUNTS, level, planes(steps(g[i:j]), size), planes(own[i:j], _COUNT)) for k, i, j in deal(g, size))
-    if done:
+    if done > 0:
         g, sums = b.sums(done)
         yield from ((3 * k + 2, batch, _SUMS, done, planes(steps(g[i:j]), b.width), sums[:5, i:j].astype("<f4").tobytes() + planes(sums[5, i:j], _COUNT)) for k, i, j in deal(g, b.width))
 
@@ -351,43 +354,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     row = f"batch long, ids array<{id_type}>, held_out array<boolean>, n array<long>, words binary, numbers binary"
     n_files = n_batches // BATCHES_TOGETHER
-    d = d.repartition(n_files, "batch").groupBy("batch").applyInArrow(cut, row)
-    tokens = Bucketed(spark, "batch", d.schema, n_files)
-    tokens.add(d, dealt=True)
-    forget(spark)
+    tokens = Bucketed(spark, "batch", spark.createDataFrame([], row).schema, n_files)
+    for part in range(ROUNDS):
+        some = d.where(F.col("batch") % ROUNDS == part).repartition(n_files, "batch")
+        tokens.add(some.groupBy("batch").applyInArrow(cut, row), dealt=True)
+        forget(spark)
     d = tokens.read()
     n_buckets, width = max(12, n_bytes // 5 // BUCKET_ENTRIES), gram_bytes(n_bytes)
 
     def meet(t: pa.Table) -> pa.Table:
         return _packed(_meet(_unpacked(t), width))
 
-    def batch_of(t: pa.Table, got: pa.Table | None, root: tuple[int, int] | None) -> Batch:
-        got = None if got is None else _unpacked(got)
-        told = [] if got is None else list(zip(*(got.column(c).to_pylist() for c in ("kind", "level", "bucket", "bits", "n", "first"))))
+    def batch_of(t: pa.Table, got: pa.Table, root: tuple[int, int] | None) -> Batch:
+        got = _unpacked(got)
+        told = list(zip(*(got.column(c).to_pylist() for c in ("kind", "level", "bucket", "bits", "n", "first"))))
         return Batch(_unpacked(t.drop_columns("ids")), told, root, depth, width, n_buckets)
 
-    def sent(t: pa.Table, b: Batch, done: int) -> pa.Table:
-        return _packed(_table(list(_send(b, t.column("batch")[0].as_py(), done)), _SENT))
-
-    def first(t: pa.Table) -> pa.Table:
-        return sent(t, batch_of(t, None, None), 0)
-
-    back = d.groupBy("batch").applyInArrow(first, _schema(_SENT)).groupBy("bucket").applyInArrow(meet, _schema(_BACK))
-    told = Bucketed(spark, "batch", back.schema, n_files)
-    told.add(back)
-    forget(spark)
-    n, v = told.read().agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-
-    def grown(done: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def sent(done: int, part: int, rounds: int, root: tuple[int, int] | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def more(t: pa.Table, got: pa.Table) -> pa.Table:
-            return sent(t, batch_of(t, got, (n, v)), done) if t.num_rows else _table([], _SENT)
+            rows = _send(batch_of(t, got, root), t.column("batch")[0].as_py(), done, part, rounds) if t.num_rows else ()
+            return _packed(_table(list(rows), _SENT))
 
         return more
 
-    for done in range(1, depth + 1):
-        back = d.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(grown(done), _schema(_SENT))
-        told.add(back.groupBy("bucket").applyInArrow(meet, _schema(_BACK)))
-        forget(spark)
+    told = Bucketed(spark, "batch", spark.createDataFrame([], _schema(_BACK)).schema, n_files)
+    root = None
+    for done in range(-1, depth + 1):
+        rounds = ROUNDS if 0 <= done < depth else 1
+        for part in range(rounds):
+            rows = d.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(sent(done, part, rounds, root), _schema(_SENT))
+            told.add(rows.groupBy("bucket").applyInArrow(meet, _schema(_BACK)))
+            del rows
+            forget(spark)
+        if root is None:
+            root = told.read().agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()[:]
+    n, v = root
 
     columns = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
